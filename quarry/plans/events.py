@@ -1 +1,130 @@
-"""Registered jobs."""
+"""Registered jobs: event records, typed decode, dead letters, file events and state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import changes as chg
+from ..operators import events as ops
+from ..sources import events as src
+from ..sources.fixtures import Fixtures
+from .catalog import register
+from .changes import DIFF_SQL
+from .sqlbits import is_binary
+
+FE_COLS = ["event_type", "repo_id", "file_path", "content", "is_deleted"]
+
+
+def _file_events(fx: Fixtures):
+    return fx.fx_file_events.select(F.lit("STREAMED_FILE").alias("event_type"), "*")
+
+
+@register("a4_write_events", views=["fx_file_events"], oracle="""
+SELECT repo_id AS key, 'repo.events' AS topic, 'STREAMED_FILE' AS event_type, repo_id, file_path, content, is_deleted
+FROM fx_file_events""")
+def a4_write_events(spark, sf_dir):
+    rec = src.to_event_records(_file_events(Fixtures(spark, sf_dir)), value_cols=FE_COLS)
+    back = F.from_json("value", "event_type STRING, repo_id STRING, file_path STRING, content STRING, is_deleted BOOLEAN")
+    return rec.select("key", "topic", back.alias("e")).select("key", "topic", "e.*")
+
+
+def _raw(fx: Fixtures):
+    """Kafka-layout records of the file events with some damaged deliveries."""
+    fe = _file_events(fx)
+    good = F.to_json(F.struct(*FE_COLS))
+    bad_path = F.to_json(F.struct("event_type", "repo_id", F.lit("").alias("file_path"), "content", "is_deleted"))
+    unknown = F.to_json(F.struct(F.lit("FILE_SEEN").alias("event_type"), "repo_id", "file_path"))
+    o = F.col("off")
+    value = (F.when(o % 97 == 0, F.substring(good, 1, 10)).when(o % 89 == 0, bad_path)
+              .when(o % 83 == 0, unknown).when(o % 79 == 0, F.lit("")).otherwise(good))
+    return fe.select(F.col("repo_id").alias("key"), F.encode(value, "UTF-8").alias("value"),
+                     F.lit("repo.events").alias("topic"), F.lit(0).alias("partition"),
+                     o.alias("offset"), F.col("commit_ts").cast("timestamp").alias("timestamp"))
+
+
+@register("a5_decode_events", views=["fx_file_events"], oracle="""
+SELECT "off" AS "offset", repo_id, file_path, is_deleted, content FROM fx_file_events
+WHERE NOT ("off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0 OR "off" % 79 = 0)""")
+def a5_decode_events(spark, sf_dir):
+    typed, _ = src.decode_events(_raw(Fixtures(spark, sf_dir)), types=["STREAMED_FILE"])
+    return typed["STREAMED_FILE"].select("offset", "repo_id", "file_path", "is_deleted", "content")
+
+
+REJECT_SQL = """
+SELECT repo_id AS key, "off" AS "offset",
+       CASE WHEN "off" % 97 = 0 THEN 'invalid_json' WHEN "off" % 89 = 0 THEN 'missing_required:file_path'
+            ELSE 'unknown_event_type' END AS error
+FROM fx_file_events WHERE "off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0"""
+
+
+@register("a5_decode_rejects", views=["fx_file_events"], oracle=REJECT_SQL)
+def a5_decode_rejects(spark, sf_dir):
+    _, rejects = src.decode_events(_raw(Fixtures(spark, sf_dir)), types=["STREAMED_FILE"])
+    return rejects.select("key", "offset", "error")
+
+
+@register("a6_to_dlq", views=["fx_file_events"], oracle=f"""
+SELECT key, 'repo.events.dlq' AS topic, 'repo.events' AS failed_topic, 1700000000000 AS failed_at, error
+FROM ({REJECT_SQL})""")
+def a6_to_dlq(spark, sf_dir):
+    _, rejects = src.decode_events(_raw(Fixtures(spark, sf_dir)), types=["STREAMED_FILE"])
+    d = src.to_dlq(rejects, now_ms=1700000000000)
+    return d.select("key", "topic", F.col("envelope.failedTopic").alias("failed_topic"),
+                    F.col("envelope.failedAt").alias("failed_at"), F.col("envelope.error").alias("error"))
+
+
+def _repos_for(df):
+    n = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("int")
+    return df.select("repo_id").distinct().select(
+        "repo_id",
+        F.when(n % 2 == 0, F.concat(F.lit("https://github.com/org/"), F.col("repo_id"), F.lit(".git")))
+         .otherwise(F.concat(F.lit("https://gitlab.com/org/"), F.col("repo_id"))).alias("url"),
+        F.when(n % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("user_"), (n % 8).cast("string"))).alias("user_id"))
+
+
+@register("e6_to_file_events", views=["fx_snap_old", "fx_snap_new"], oracle=f"""
+WITH {DIFF_SQL.strip()},
+blobs AS (SELECT n.repo_id, n.path, CASE WHEN n.doc_id % 19 = 0 THEN NULL ELSE d.text END AS content
+          FROM fx_snap_new n JOIN documents d ON d.doc_id = n.doc_id),
+ch AS (SELECT * FROM d WHERE NOT {is_binary('path')}),
+ups AS (SELECT ch.repo_id, ch.path, b.content, FALSE AS is_deleted FROM ch JOIN blobs b ON b.repo_id = ch.repo_id AND b.path = ch.path
+        WHERE ch.change IN ('added', 'modified', 'renamed') AND b.content IS NOT NULL),
+dels AS (SELECT repo_id, path FROM ch WHERE change = 'removed'
+         UNION ALL SELECT repo_id, old_path FROM ch WHERE change = 'renamed' AND old_path IS NOT NULL),
+ev AS (SELECT * FROM ups UNION ALL SELECT repo_id, path, '', TRUE FROM dels WHERE NOT {is_binary('path')}),
+r AS (SELECT DISTINCT repo_id, CAST(regexp_extract(repo_id, '(\\d+)$', 1) AS INT) AS n FROM fx_snap_new),
+r2 AS (SELECT repo_id, CASE WHEN n % 2 = 0 THEN 'https://github.com/org/' || repo_id || '.git' ELSE 'https://gitlab.com/org/' || repo_id END AS url,
+              CASE WHEN n % 3 = 0 THEN NULL ELSE 'user_' || CAST(n % 8 AS VARCHAR) END AS user_id FROM r)
+SELECT 'STREAMED_FILE' AS event_type, ev.repo_id,
+       CASE WHEN contains(r2.url, 'github.com/') THEN regexp_replace(regexp_extract(r2.url, 'github\\.com/(.*)$', 1), '\\.git$', '') ELSE 'unknown/repo' END AS repo_name,
+       ev.path AS file_path, ev.content, r2.url, coalesce(r2.user_id, 'system') AS user_id, ev.is_deleted
+FROM ev LEFT JOIN r2 ON r2.repo_id = ev.repo_id""")
+def e6_to_file_events(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    changes = chg.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new)
+    blobs = (fx.fx_snap_new.select("doc_id", "repo_id", "path")
+             .join(fx.documents.select("doc_id", "text"), "doc_id")
+             .select("repo_id", "path", F.when(F.col("doc_id") % 19 == 0, F.lit(None))
+                     .otherwise(F.encode("text", "UTF-8")).alias("content")))
+    return ops.to_file_events(changes, blobs, _repos_for(fx.fx_snap_new))
+
+
+@register("e7_apply_file_events", views=["fx_file_events"], oracle="""
+SELECT repo_id, file_path, content, "off" FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY "off" DESC, content DESC, is_deleted DESC) AS rn
+  FROM fx_file_events) WHERE rn = 1 AND NOT is_deleted""")
+def e7_apply_file_events(spark, sf_dir):
+    """Two consecutive offset ranges applied in turn equal one pass over all events."""
+    fe = Fixtures(spark, sf_dir).fx_file_events
+    state1 = ops.apply_file_events(None, fe.filter(F.col("off") < 3000000))
+    return ops.apply_file_events(state1, fe.filter(F.col("off") >= 3000000))
+
+
+@register("l6_dedupe_events", views=["fx_file_events"], oracle="""
+SELECT DISTINCT repo_id, file_path, "off", is_deleted, sha256(content) AS content_sha FROM fx_file_events""")
+def l6_dedupe_events(spark, sf_dir):
+    """At-least-once redelivery (every tenth event twice) collapsed on the event identity."""
+    fe = Fixtures(spark, sf_dir).fx_file_events
+    delivered = fe.unionByName(fe.filter(F.col("off") % 10 == 0))
+    out = ops.dedupe_events(delivered, id_col=None)
+    return out.select("repo_id", "file_path", "off", "is_deleted", F.sha2("content", 256).alias("content_sha"))

@@ -40,14 +40,14 @@ FROM @documents
 #   doc % 17 = 0 : new copy lives under moved/, same sha        -> renamed
 #   doc % 13 = 0 : same path, new sha                           -> modified
 VIEWS["fx_snap_old"] = """
-SELECT repo_id,
+SELECT doc_id, repo_id,
        CASE WHEN doc_id % 7 = 0 THEN concat('gone/', path) ELSE path END AS path,
        CASE WHEN doc_id % 7 = 0 THEN concat('o', sha) ELSE sha END AS sha, size
 FROM @fx_files
 """
 
 VIEWS["fx_snap_new"] = """
-SELECT repo_id,
+SELECT doc_id, repo_id,
        CASE WHEN doc_id % 11 = 0 THEN concat('fresh/', path)
             WHEN doc_id % 17 = 0 THEN concat('moved/', path) ELSE path END AS path,
        CASE WHEN doc_id % 11 = 0 THEN concat('n', sha)
@@ -170,7 +170,7 @@ FROM @events
 """
 
 VIEWS["fx_file_events"] = """
-SELECT commit_seq * 100 + file_seq AS off, repo_id, path AS file_path, status = 'removed' AS is_deleted,
+SELECT commit_seq * 100 + file_seq AS off, commit_ts, repo_id, path AS file_path, status = 'removed' AS is_deleted,
        CASE WHEN status = 'removed' THEN '' ELSE concat(path, '@', CAST(commit_seq AS varchar(20))) END AS content
 FROM @fx_commit_files
 """
