@@ -71,9 +71,9 @@ def hmac_pads(secret) -> tuple[Column, Column]:
     idx = F.sequence(F.lit(0), F.lit(63))
 
     def pad(x: int) -> Column:
-        return F.unhex(F.array_join(F.transform(
+        return F.when(key.isNotNull(), F.unhex(F.array_join(F.transform(
             idx, lambda i: F.lpad(F.hex(F.conv(F.substring(hexkey, i * 2 + 1, 2), 16, 10).cast("int")
-                                        .bitwiseXOR(F.lit(x))), 2, "0")), ""))
+                                        .bitwiseXOR(F.lit(x))), 2, "0")), "")))
     return pad(0x36), pad(0x5C)
 
 

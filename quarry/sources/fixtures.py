@@ -169,6 +169,28 @@ SELECT event_id AS delivery_id, ts AS received_at,
 FROM @events
 """
 
+# Repositories whose URLs collide with webhook pushes (about 7 registrations per URL,
+# several spellings), and their credential index.
+VIEWS["fx_hook_repos"] = """
+SELECT c_custkey AS id, concat('user_', CAST(c_custkey % 8 AS varchar(20))) AS user_id,
+       CASE c_custkey % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' ELSE 'bitbucket' END AS provider,
+       concat('https://', CASE c_custkey % 3 WHEN 0 THEN 'github.com' WHEN 1 THEN 'gitlab.com' ELSE 'bitbucket.org' END,
+              '/org/r', CAST(c_custkey % 200 AS varchar(20)),
+              CASE c_custkey % 4 WHEN 0 THEN '.git' WHEN 1 THEN '/' WHEN 2 THEN '' ELSE '.git/' END) AS url,
+       c_custkey % 97 AS created_at
+FROM @customer
+"""
+
+VIEWS["fx_credentials"] = """
+SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 100000000 ELSE c_custkey END AS repo_id,
+       concat('user_', CAST(c_custkey % 8 AS varchar(20))) AS user_id,
+       CASE WHEN c_custkey % 10 = 1 THEN 'github' ELSE
+            CASE c_custkey % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' ELSE 'bitbucket' END END AS provider,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2023-06-01 00:00:00'
+            ELSE TIMESTAMP '2025-01-01 00:00:00' END AS expires_at
+FROM @customer
+"""
+
 VIEWS["fx_file_events"] = """
 SELECT commit_seq * 100 + file_seq AS off, commit_ts, repo_id, path AS file_path, status = 'removed' AS is_deleted,
        CASE WHEN status = 'removed' THEN '' ELSE concat(path, '@', CAST(commit_seq AS varchar(20))) END AS content
