@@ -77,7 +77,9 @@ SELECT c_custkey AS id, concat('user_', CAST(c_custkey % 8 AS varchar(20))) AS u
               CASE c_custkey % 4 WHEN 0 THEN '.git' WHEN 1 THEN '/' WHEN 2 THEN '' ELSE '.git/' END) AS url,
        CASE c_custkey % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' ELSE 'bitbucket' END AS provider,
        CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 700 END AS source_id,
-       c_custkey AS created_seq
+       c_custkey AS created_seq, concat('repo-', CAST(c_custkey AS varchar(20))) AS name, 'main' AS branch,
+       CASE WHEN c_acctbal < 0 THEN 'sync_failed' ELSE 'active' END AS status, c_custkey % 97 AS created_at,
+       c_acctbal < 0 AS in_debt
 FROM @customer
 """
 
