@@ -121,7 +121,7 @@ SELECT l.l_orderkey AS job_id, l.l_linenumber AS seq, l.l_shipdate AS ts,
             WHEN l.l_returnflag = 'R' THEN 'failed'
             WHEN l.l_returnflag = 'A' THEN 'completed'
             ELSE 'processing' END AS status,
-       CAST(l.l_quantity AS int) AS processed_files
+       CAST(floor(l.l_quantity) AS int) AS processed_files
 FROM @lineitem l
 """
 
@@ -193,6 +193,17 @@ SELECT CASE WHEN c_custkey % 6 = 0 THEN c_custkey + 100000000 ELSE c_custkey END
 FROM @customer
 """
 
+# Per-file processing results of an ingest (one per line item): chunks, time, size, success.
+VIEWS["fx_file_results"] = """
+SELECT concat('repo_', CAST(o.o_custkey % 50 AS varchar(20))) AS repo_id, o.o_orderkey AS commit_id,
+       l.l_linenumber AS file_seq, CAST(floor(l.l_quantity) AS INT) AS chunks,
+       CAST(floor(l.l_extendedprice) AS BIGINT) % 5000 AS duration_ms, CAST(floor(l.l_extendedprice * 10) AS BIGINT) AS size_bytes,
+       l.l_returnflag <> 'R' AS ok,
+       CASE WHEN l.l_discount < 0.03 THEN 'TIMEOUT' WHEN l.l_discount < 0.06 THEN 'PARSE_ERROR' ELSE 'UPSTREAM_5XX' END AS error_code,
+       l.l_tax > 0.05 AS fatal, l.l_linenumber AS retry_count
+FROM @orders o JOIN @lineitem l ON l.l_orderkey = o.o_orderkey
+"""
+
 VIEWS["fx_file_events"] = """
 SELECT commit_seq * 100 + file_seq AS off, commit_ts, repo_id, path AS file_path, status = 'removed' AS is_deleted,
        CASE WHEN status = 'removed' THEN '' ELSE concat(path, '@', CAST(commit_seq AS varchar(20))) END AS content
