@@ -18,36 +18,39 @@ def repo_name_from_url(url) -> F.Column:
 
 
 def to_file_events(changes: DataFrame, blobs: DataFrame, repos: DataFrame,
-                   key: str = "repo_id", drop_binaries: bool = True) -> DataFrame:
+                   key: str = "repo_id", drop_binaries: bool = True,
+                   match_cols: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """Change rows -> STREAMED_FILE events.
 
     ``changes``: key, path, change in added|modified|removed|renamed, old_path.
-    added / modified / renamed(new path) -> content event (blob joined on key+path; a
-    missing or null blob is skipped, as a failed download is). removed and the old path
-    of a rename -> tombstone (content '', is_deleted). ``repos``: key, url, user_id.
-    Only changed paths reach the blob join (content never enters the diff).
+    added / modified / renamed(new path) -> content event (blob joined on key + path
+    [+ ``match_cols``, e.g. the commit]; a missing or null blob is skipped, as a failed
+    download is). removed and the old path of a rename -> tombstone (content '',
+    is_deleted). ``repos``: key, url, user_id. ``carry`` columns (e.g. a record offset)
+    pass through to the events. Only changed paths reach the blob join.
     """
+    mc, cy = list(match_cols or []), list(carry or [])
     ch = changes
     if drop_binaries:
         ch = ch.filter(~P.is_binary("path"))
-    ups = ch.filter(F.col("change").isin("added", "modified", "renamed")).select(key, "path")
-    dels = (ch.filter(F.col("change") == "removed").select(key, "path")
+    ups = ch.filter(F.col("change").isin("added", "modified", "renamed")).select(key, *mc, "path", *cy)
+    dels = (ch.filter(F.col("change") == "removed").select(key, "path", *cy)
             .unionByName(ch.filter((F.col("change") == "renamed") & F.col("old_path").isNotNull())
-                         .select(key, F.col("old_path").alias("path"))))
+                         .select(key, F.col("old_path").alias("path"), *cy)))
     if drop_binaries:
         dels = dels.filter(~P.is_binary("path"))
-    content = (ups.join(blobs.select(key, "path", "content"), [key, "path"], "inner")
+    content = (ups.join(blobs.select(key, *mc, "path", "content"), [key, *mc, "path"], "inner")
                .filter(F.col("content").isNotNull())
-               .select(key, "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+               .select(key, "path", *cy, F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
                        F.lit(False).alias("is_deleted")))
-    tomb = dels.select(key, "path", F.lit("").alias("content"), F.lit(True).alias("is_deleted"))
-    ev = content.unionByName(tomb)
+    tomb = dels.select(key, "path", *cy, F.lit("").alias("content"), F.lit(True).alias("is_deleted"))
+    out = content.unionByName(tomb)
     r = repos.select(key, "url", "user_id")
-    ev = ev.join(r, key, "left")
-    return ev.select(F.lit("STREAMED_FILE").alias("event_type"), F.col(key).alias("repo_id"),
-                     repo_name_from_url(F.coalesce("url", F.lit(""))).alias("repo_name"),
-                     F.col("path").alias("file_path"), "content", "url",
-                     F.coalesce("user_id", F.lit("system")).alias("user_id"), "is_deleted")
+    out = out.join(r, key, "left")
+    return out.select(F.lit("STREAMED_FILE").alias("event_type"), F.col(key).alias("repo_id"),
+                      repo_name_from_url(F.coalesce("url", F.lit(""))).alias("repo_name"),
+                      F.col("path").alias("file_path"), "content", "url",
+                      F.coalesce("user_id", F.lit("system")).alias("user_id"), "is_deleted", *cy)
 
 
 def apply_file_events(state: DataFrame | None, events: DataFrame, order_col: str = "off") -> DataFrame:

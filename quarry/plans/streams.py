@@ -1 +1,163 @@
-"""Registered jobs."""
+"""Registered streaming jobs: each runs its stream to completion (availableNow) over the
+driver tables, checkpointed under ``spark.checkpoint.dir``, and returns the written result.
+The oracle is the batch job's SQL: stream and batch must agree."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import changes as chg
+from ..session import checkpoint_path
+from ..sources import events as src
+from ..sources.fixtures import Fixtures
+from ..streaming import pipelines as pipe
+from ..streaming import stateful as st
+from ..streaming.common import read_table_stream, run_handler, write_batch
+from . import audit as audit_plans
+from . import events as event_plans
+from . import webhooks as hook_plans
+from .catalog import _ORACLES, register
+
+
+def _scratch(spark, name):
+    return checkpoint_path(spark, name, unique=True)
+
+
+def _same_oracle(name: str, batch_name: str) -> None:
+    """A stream must equal its batch job: reuse the batch job's oracle SQL."""
+    _ORACLES[name] = _ORACLES[batch_name]
+
+
+@register("l3_rate_limit_stream")
+def l3_rate_limit_stream(spark, sf_dir):
+    """Keyed-state limiter over the events table as a stream; equals g1_rate_limit_audit."""
+    fx = Fixtures(spark, sf_dir)
+    log = fx.derive("fx_access_log", events=read_table_stream(spark, sf_dir, "events"))
+    out = st.rate_limit_stream(log, audit_plans.LIMITS, audit_plans.WINDOW, watermark="1 day")
+    base = _scratch(spark, "l3")
+    q = (out.writeStream.format("parquet").option("path", base + "/out")
+         .option("checkpointLocation", base + "/ckpt").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(base + "/out").select("seq", "client", "path", "request_count", "rate_limit",
+                                                    "rejected", "remaining", "reset")
+
+
+
+@register("l4_latest_status_stream")
+def l4_latest_status_stream(spark, sf_dir):
+    """Update-mode latest status per job over the line-item table as a stream."""
+    fx = Fixtures(spark, sf_dir)
+    status = fx.derive("fx_job_status_events", lineitem=read_table_stream(spark, sf_dir, "lineitem"))
+    agg = st.latest_status_stream(status)
+    base = _scratch(spark, "l4")
+
+    def handle(df, batch_id):
+        write_batch(df.withColumn("batch_id", F.lit(batch_id)), base + "/out", batch_id)
+    q = run_handler(agg, handle, None, base + "/ckpt", {"availableNow": True}, output_mode="update")
+    q.awaitTermination()
+    # Update mode emits changed rows per batch; the latest batch's row is the current one.
+    rows = spark.read.parquet(base + "/out")
+    latest = rows.groupBy("job_id").agg(F.max(F.struct("batch_id", "status", "transitions")).alias("_l"))
+    return latest.select("job_id", F.col("_l.status").alias("status"), F.col("_l.transitions").alias("transitions"))
+
+
+@register("l6_dedupe_stream")
+def l6_dedupe_stream(spark, sf_dir):
+    """Redelivered file events (every tenth twice) de-duplicated in a watermarked stream."""
+    fx = Fixtures(spark, sf_dir)
+    fe = fx.derive("fx_file_events", lineitem=read_table_stream(spark, sf_dir, "lineitem"))
+    again = fx.derive("fx_file_events", lineitem=read_table_stream(spark, sf_dir, "lineitem")).filter(F.col("off") % 10 == 0)
+    ev = fe.unionByName(again).withColumn("event_time", F.col("commit_ts").cast("timestamp"))
+    out = st.dedupe_stream(ev, ts_col="event_time", delay="10 days", id_col=None)
+    base = _scratch(spark, "l6")
+    q = (out.select("repo_id", "file_path", "off", "is_deleted", F.sha2("content", 256).alias("content_sha"))
+         .writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(base + "/out")
+
+
+@register("l1_webhook_stream")
+def l1_webhook_stream(spark, sf_dir):
+    """Webhook deliveries (derived from the events table, as a stream) -> REPO_UPDATED."""
+    fx = Fixtures(spark, sf_dir)
+    hooks = fx.derive("fx_webhooks", events=read_table_stream(spark, sf_dir, "events"))
+    deliveries, secrets = hook_plans._deliveries(fx, hooks)
+    base = _scratch(spark, "l1")
+    q = pipe.start_webhook_stream(deliveries, secrets, fx.fx_hook_repos, fx.fx_credentials, base + "/out",
+                                  base + "/ckpt", hook_plans.NOW, {"availableNow": True})
+    q.awaitTermination()
+    ev = spark.read.parquet(base + "/out/events")
+    return ev.select("event_type", "event_id", "payload.repo_id", "payload.provider", "payload.branch",
+                     "payload.old_commit", "payload.new_commit", "payload.update_type")
+
+
+@register("l2_update_stream", views=["fx_snap_new"], oracle="""
+SELECT n.repo_id, n.path AS file_path, sha256(d.text) AS content_sha
+FROM fx_snap_new n JOIN documents d ON d.doc_id = n.doc_id WHERE NOT {binary}""".format(
+    binary=__import__("quarry.plans.sqlbits", fromlist=["is_binary"]).is_binary("n.path")))
+def l2_update_stream(spark, sf_dir):
+    """One REPO_UPDATED per repository (old -> new snapshot) streamed from a landed topic;
+    applying the emitted file events to the old snapshot's state yields the new snapshot."""
+    fx = Fixtures(spark, sf_dir)
+    base = _scratch(spark, "l2")
+    repos = fx.fx_snap_new.select("repo_id").distinct()
+    n = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("bigint")
+    env = repos.select(F.lit("REPO_UPDATED").alias("event_type"),
+                       F.sha2(F.concat(F.lit("upd:"), "repo_id"), 256).alias("event_id"),
+                       F.lit("2024-01-01T00:00:00+00:00").alias("timestamp"), F.lit(None).cast("string").alias("correlation_id"),
+                       F.struct(F.col("repo_id"), F.concat(F.lit("https://github.com/org/"), "repo_id").alias("url"),
+                                F.lit("main").alias("branch"), F.lit("github").alias("provider"),
+                                F.lit("old").alias("old_commit"), F.lit("new").alias("new_commit"),
+                                F.lit("ref").alias("credential_ref"), F.lit("push").alias("update_type")).alias("payload"),
+                       n.alias("offset"))
+    rec = src.to_event_records(env.withColumn("rk", F.col("payload.repo_id")), key_col="rk",
+                               value_cols=["event_type", "event_id", "timestamp", "correlation_id", "payload"])
+    rec = (rec.join(env.select(F.col("payload.repo_id").alias("key"), "offset"), "key")
+           .select("key", F.encode("value", "UTF-8").alias("value"), "topic", F.lit(0).alias("partition"), "offset",
+                   F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp")))
+    rec.write.mode("overwrite").parquet(base + "/topic")
+    records = (spark.readStream.schema(rec.schema).parquet(base + "/topic"))
+    diffs = chg.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new).withColumn("new_commit", F.lit("new"))
+    blobs = (fx.fx_snap_new.select("doc_id", "repo_id", "path").join(fx.documents.select("doc_id", "text"), "doc_id")
+             .select("repo_id", F.lit("new").alias("commit"), "path", F.encode("text", "UTF-8").alias("content")))
+    q = pipe.start_update_stream(records, diffs, blobs, event_plans._repos_for(fx.fx_snap_new), base + "/out",
+                                 base + "/ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    from ..functions.paths import is_binary
+    old = (fx.fx_snap_old.filter(~is_binary("path")).select("doc_id", "repo_id", F.col("path").alias("file_path"))
+           .join(fx.documents.select("doc_id", "text"), "doc_id")
+           .select("repo_id", "file_path", F.col("text").alias("content"), F.lit(-1).cast("bigint").alias("off")))
+    state = pipe.current_file_state(spark, base + "/out", base_state=old)
+    return state.select("repo_id", "file_path", F.sha2("content", 256).alias("content_sha"))
+
+
+@register("l7_polling_stream", views=["fx_commit_files"], oracle="""
+WITH e AS (SELECT repo_id, path, commit_ts, commit_seq,
+                  row_number() OVER (PARTITION BY repo_id, commit_seq ORDER BY path, status, previous_path NULLS FIRST) - 1 AS file_seq,
+                  CASE status WHEN 'added' THEN 'created' WHEN 'modified' THEN 'modified' WHEN 'removed' THEN 'deleted'
+                              WHEN 'renamed' THEN 'moved' ELSE 'modified' END AS event_type FROM fx_commit_files),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY commit_ts DESC, commit_seq DESC, file_seq DESC, event_type DESC) AS rn,
+             count(*) OVER (PARTITION BY repo_id, path) AS events FROM e)
+SELECT repo_id, path, event_type, events FROM r WHERE rn = 1""")
+def l7_polling_stream(spark, sf_dir):
+    """Landed commit logs polled as a stream; net status per path."""
+    from . import changes as change_plans
+    fx = Fixtures(spark, sf_dir)
+    base = _scratch(spark, "l7")
+    commits = change_plans._commits(fx)
+    commits.write.mode("overwrite").parquet(base + "/commits")
+    stream = spark.readStream.schema(commits.schema).parquet(base + "/commits")
+    q = pipe.start_polling(stream, base + "/out", base + "/ckpt", trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(base + "/out/changes").select("repo_id", "path", "event_type", "events")
+
+
+_same_oracle("l3_rate_limit_stream", "g1_rate_limit_audit")
+_same_oracle("l6_dedupe_stream", "l6_dedupe_events")
+_same_oracle("l1_webhook_stream", "l1_webhook_updates")
+_ORACLES["l4_latest_status_stream"] = _ORACLES["g5_job_summary"].replace(
+    """SELECT job_id, arg_max(status, (ts, seq, status)) AS status,
+       max(ts) FILTER (WHERE status IN ('running', 'processing')) AS started_at,
+       max(ts) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS completed_at,
+       count(*) AS transitions""", "SELECT job_id, arg_max(status, (ts, seq, status)) AS status, count(*) AS transitions")

@@ -39,14 +39,14 @@ def _secrets(fx: Fixtures):
         .otherwise(F.concat(F.lit("sec-"), F.col("source_id"))).alias("secret"))
 
 
-def _deliveries(fx: Fixtures):
+def _deliveries(fx: Fixtures, hooks=None):
     """Deliveries with provider headers; one in 13 (and all without a secret) signed with a wrong key."""
     secrets = _secrets(fx)
     # Pads are computed once per source (for its secret and for the wrong key), not per delivery.
     si, so = K.hmac_pads(F.encode("secret", "UTF-8"))
     wi, wo = K.hmac_pads(F.encode(F.lit("wrong"), "UTF-8"))
     pads = secrets.select("source_id", "secret", si.alias("_si"), so.alias("_so"), wi.alias("_wi"), wo.alias("_wo"))
-    w = fx.fx_webhooks.join(pads, "source_id", "left")
+    w = (hooks if hooks is not None else fx.fx_webhooks).join(pads, "source_id", "left")
     wrong = (F.col("delivery_id") % 13 == 0) | F.col("secret").isNull()
     signer = F.when(wrong, F.lit("wrong")).otherwise(F.col("secret"))
     body = F.encode("body", "UTF-8")

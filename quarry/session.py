@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,7 +55,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def checkpoint_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint location (streaming checkpoints, state tables)."""
+def checkpoint_path(spark: SparkSession, name: str, unique: bool = False) -> str:
+    """A sub-folder of the shared checkpoint location (streaming checkpoints, state tables).
+
+    ``unique=True`` appends a fresh suffix: a new run never resumes (or overwrites) an
+    older run's checkpoint.
+    """
     base = ensure_checkpoint_dir(spark)
+    if unique:
+        name = f"{name}-{uuid.uuid4().hex[:12]}"
     return base.rstrip("/") + "/" + name

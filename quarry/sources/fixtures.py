@@ -243,6 +243,14 @@ def dependencies(name: str) -> list[str]:
     return out
 
 
+def driver_tables_read(name: str) -> set[str]:
+    """Driver tables a view reads, directly or through other views."""
+    out: set[str] = set()
+    for ref in _REF.findall(VIEWS[name]):
+        out |= driver_tables_read(ref) if ref in VIEWS else {ref}
+    return out
+
+
 def _rewrite_sha(sql: str, dialect: str) -> str:
     key = "SHA256_HEX("
     while key in sql:
@@ -298,6 +306,30 @@ class Fixtures:
             self._registered.add(name)
         return f"{self._tag}_{name}"
 
+    def derive(self, name: str, **inputs: DataFrame) -> DataFrame:
+        """Build view ``name`` over replacement inputs (e.g. a streaming ``events`` table).
+
+        Driver tables named in ``inputs`` are read from the given DataFrames; every
+        other reference resolves as usual. Used to run the same derivation on streams.
+        """
+        tag = self._tag + "s" + hashlib.md5(repr(sorted(inputs)).encode()).hexdigest()[:6]
+        done: dict[str, str] = {}
+
+        def resolve(ref: str) -> str:
+            if ref in done:
+                return done[ref]
+            if ref in inputs:
+                inputs[ref].createOrReplaceTempView(f"{tag}_{ref}")
+                done[ref] = f"{tag}_{ref}"
+            elif ref in VIEWS and driver_tables_read(ref) & set(inputs):
+                self.spark.sql(render(ref, "spark", resolve)).createOrReplaceTempView(f"{tag}_{ref}")
+                done[ref] = f"{tag}_{ref}"
+            else:
+                done[ref] = self._view_name(ref)
+            return done[ref]
+
+        return self.spark.sql(render(name, "spark", resolve))
+
     def view(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.table(name)
