@@ -251,3 +251,29 @@ r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY files DESC, ext
 SELECT * FROM r WHERE ext_rank <= 3""")
 def f11_extension_inventory(spark, sf_dir):
     return ops.extension_inventory(Fixtures(spark, sf_dir).fx_files, top=3)
+
+
+@register("a8_connector_scan", views=["fx_files"], oracle="""
+SELECT repo_id, 'github' AS provider, path, 'file' AS entry_type, sha, size, CAST(NULL AS VARCHAR) AS ref
+FROM fx_files WHERE (starts_with(path, 'src/') OR starts_with(path, 'docs/')) AND NOT regexp_matches(path, '\\.md$')""")
+def a8_connector_scan(spark, sf_dir):
+    """Landed GitHub tree pages (100 entries each, with directory entries) read through the
+    Python data source with include ``src/**/*,docs/**/*`` and exclude ``*.md``."""
+    from ..session import checkpoint_path
+    from ..sources.connector import RepoDumpSource
+    fx = Fixtures(spark, sf_dir)
+    base = checkpoint_path(spark, "a8", unique=True)
+    f = fx.fx_files
+    entries = (f.select("repo_id", "doc_id", F.struct("path", F.lit("blob").alias("type"), "sha", "size").alias("e"))
+               .unionByName(f.select("repo_id", "doc_id", F.struct(
+                   F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"), F.lit("tree").alias("type"),
+                   F.lit(None).cast("string").alias("sha"), F.lit(None).cast("bigint").alias("size")).alias("e"))))
+    pages = (entries.withColumn("page_no", F.floor(F.col("doc_id") / 50))
+             .groupBy("repo_id", "page_no").agg(F.collect_list("e").alias("tree")))
+    docs = pages.select("repo_id", "page_no", F.to_json(F.struct(
+        "repo_id", F.lit("github").alias("provider"), F.struct("tree").alias("page"))).alias("value"))
+    # Landed pages as JSON lines, clustered by repository into a few files.
+    docs.repartition(8, "repo_id").select("value").write.mode("overwrite").text(base + "/landed")
+    spark.dataSource.register(RepoDumpSource)
+    return (spark.read.format("repodump").option("path", base + "/landed")
+            .option("include", "src/**/*,docs/**/*").option("exclude", "*.md").load())
