@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as K
 
-GITHUB_PUSH = ("ref STRING, before STRING, after STRING, repository STRUCT<clone_url: STRING>")
-GITLAB_PUSH = ("object_kind STRING, ref STRING, before STRING, after STRING, project STRUCT<git_http_url: STRING>")
-BITBUCKET_PUSH = ("repository STRUCT<links: STRUCT<html: STRUCT<href: STRING>>>, "
-                  "push STRUCT<changes: ARRAY<STRUCT<old: STRUCT<name: STRING, target: STRUCT<hash: STRING>>, "
-                  "new: STRUCT<name: STRING, target: STRUCT<hash: STRING>>>>>")
 
 
 def _header(name: str) -> Column:
@@ -69,46 +64,59 @@ def _strip_heads(ref: Column) -> Column:
     return F.when(ref.startswith("refs/heads/"), F.replace(ref, F.lit("refs/heads/"), F.lit(""))).otherwise(ref)
 
 
+PUSH_BODY = ("object_kind STRING, ref STRING, before STRING, after STRING, "
+             "repository STRUCT<clone_url: STRING, links: STRUCT<html: STRUCT<href: STRING>>>, "
+             "project STRUCT<git_http_url: STRING>, "
+             "push STRUCT<changes: ARRAY<STRUCT<old: STRUCT<name: STRING, target: STRUCT<hash: STRING>>, "
+             "new: STRUCT<name: STRING, target: STRUCT<hash: STRING>>>>>, _corrupt STRING")
+
+
 def extract_push(deliveries: DataFrame) -> DataFrame:
     """``repo_url, branch, old_commit, new_commit, reject_reason`` per delivery.
 
     GitHub / GitLab need 40-character shas; Bitbucket reads only ``changes[0]`` and needs
     any non-empty hashes. A branch keeps everything but ``refs/heads/`` occurrences.
+    The body is parsed once against the union of the three providers' push shapes.
     """
-    body = _body()
     p = F.col("provider")
-    gh = F.from_json(body, GITHUB_PUSH)
-    gl = F.from_json(body, GITLAB_PUSH)
-    bb = F.from_json(body, BITBUCKET_PUSH)
-    first = F.try_element_at(bb["push"]["changes"], F.lit(1))
-    url = (F.when(p == "github", gh["repository"]["clone_url"]).when(p == "gitlab", gl["project"]["git_http_url"])
-            .when(p == "bitbucket", bb["repository"]["links"]["html"]["href"]))
-    branch = (F.when(p == "github", _strip_heads(gh["ref"])).when(p == "gitlab", _strip_heads(gl["ref"]))
+    x = deliveries.withColumn("_b", F.from_json(_body(), PUSH_BODY, {"columnNameOfCorruptRecord": "_corrupt"}))
+    b = F.col("_b")
+    first = F.try_element_at(b["push"]["changes"], F.lit(1))
+    url = (F.when(p == "github", b["repository"]["clone_url"]).when(p == "gitlab", b["project"]["git_http_url"])
+            .when(p == "bitbucket", b["repository"]["links"]["html"]["href"]))
+    branch = (F.when(p.isin("github", "gitlab"), _strip_heads(b["ref"]))
                .when(p == "bitbucket", first["new"]["name"]))
-    old = (F.when(p == "github", gh["before"]).when(p == "gitlab", gl["before"])
+    old = (F.when(p.isin("github", "gitlab"), b["before"])
             .when(p == "bitbucket", F.coalesce(first["old"]["target"]["hash"], F.lit(""))))
-    new = (F.when(p == "github", gh["after"]).when(p == "gitlab", gl["after"])
+    new = (F.when(p.isin("github", "gitlab"), b["after"])
             .when(p == "bitbucket", F.coalesce(first["new"]["target"]["hash"], F.lit(""))))
-    x = deliveries.withColumns({"repo_url": url, "branch": branch, "old_commit": old, "new_commit": new})
+    x = x.withColumns({"repo_url": url, "branch": branch, "old_commit": old, "new_commit": new})
     o, n = F.col("old_commit"), F.col("new_commit")
     empty = lambda c: c.isNull() | (c == "")
     sha_ok = F.when(p == "bitbucket", ~empty(o) & ~empty(n)).otherwise(
         F.coalesce((F.length(o) == 40) & (F.length(n) == 40), F.lit(False)))
-    no_changes = (p == "bitbucket") & F.coalesce(F.size(bb["push"]["changes"]) <= 0, F.lit(True))
-    reason = (F.when(F.try_parse_json(body).isNull(), "invalid_json")
+    no_changes = (p == "bitbucket") & F.coalesce(F.size(b["push"]["changes"]) <= 0, F.lit(True))
+    reason = (F.when(b.isNull() | b["_corrupt"].isNotNull(), "invalid_json")
                .when(no_changes, "no_changes")
                .when(~sha_ok, F.when(p == "bitbucket", "missing_hash").otherwise("invalid_sha"))
                .when(empty(F.col("repo_url")) | empty(F.col("branch")), "missing_repo_or_branch"))
-    return x.withColumn("reject_reason", reason)
+    return x.withColumn("reject_reason", reason).drop("_b")
 
 
 def match_repositories(pushes: DataFrame, repos: DataFrame, url_col: str = "repo_url",
                        order: tuple[str, ...] = ("created_at", "id")) -> tuple[DataFrame, DataFrame]:
-    """Push -> repository. An exact URL match wins, else the normalised URL key
-    (suffix mode); ties go to the earliest ``order``.
+    """(matched, unmatched) split of :func:`annotate_matches`."""
+    out = annotate_matches(pushes, repos, url_col, order)
+    return out.filter(F.col("repository_id").isNotNull()), out.filter(F.col("repository_id").isNull())
 
-    Each repository side is first reduced to one candidate per key (a partial
-    aggregate), so a URL registered by many users never multiplies the pushes.
+
+def annotate_matches(pushes: DataFrame, repos: DataFrame, url_col: str = "repo_url",
+                     order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """Push -> ``repository_id`` and ``match`` (exact | normalized | null).
+
+    An exact URL match wins, else the normalised URL key (suffix mode); ties go to the
+    earliest ``order``. Each repository side is first reduced to one candidate per key
+    (a partial aggregate), so a URL registered by many users never multiplies the pushes.
     """
     cand = F.struct(*[F.col(c) for c in order], F.col("id").alias("_id"))
     exact = (repos.groupBy(F.col("url").alias("_exact_url")).agg(F.min(cand).alias("_exact")))
@@ -118,8 +126,7 @@ def match_repositories(pushes: DataFrame, repos: DataFrame, url_col: str = "repo
          .join(normed, "_norm", "left"))
     rid = F.coalesce(F.col("_exact._id"), F.col("_nbest._id"))
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_nbest").isNotNull(), "normalized")
-    out = j.withColumn("repository_id", rid).withColumn("match", how).drop("_exact_url", "_exact", "_nbest", "_norm")
-    return out.filter(F.col("repository_id").isNotNull()), out.filter(F.col("repository_id").isNull())
+    return j.withColumn("repository_id", rid).withColumn("match", how).drop("_exact_url", "_exact", "_nbest", "_norm")
 
 
 def credential_audit(repos: DataFrame, creds: DataFrame, now: Column | str, key: str = "repo_id") -> DataFrame:

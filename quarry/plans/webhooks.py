@@ -141,8 +141,7 @@ def d1_match_repositories(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     d, _ = _deliveries(fx)
     good = ops.extract_push(d).filter(F.col("reject_reason").isNull())
-    matched, unmatched = ops.match_repositories(good, fx.fx_hook_repos)
-    return matched.unionByName(unmatched).select("delivery_id", "repository_id", "match")
+    return ops.annotate_matches(good, fx.fx_hook_repos).select("delivery_id", "repository_id", "match")
 
 
 @register("d3_credential_audit", views=["fx_hook_repos", "fx_credentials"], oracle=f"""

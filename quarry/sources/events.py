@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import EVENT_SCHEMAS, EVENTS_RAW, REQUIRED_FIELDS
 
@@ -67,38 +68,53 @@ def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c.cast("string") != "")
 
 
+def _merge(a: T.DataType, b: T.DataType) -> T.DataType:
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
+            fields[f.name] = _merge(fields[f.name], f.dataType) if f.name in fields else f.dataType
+        return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+    return a
+
+
+def union_schema(types: list[str]) -> T.StructType:
+    """One struct covering every field of the given event types (shared names agree)."""
+    out = T.StructType([T.StructField("event_type", T.StringType())])
+    for t in types:
+        out = _merge(out, T.StructType.fromDDL(EVENT_SCHEMAS[t]))
+    return out
+
+
 def decode_events(raw: DataFrame, types: list[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """A5: bytes -> JSON -> one typed DataFrame per ``event_type``, plus rejects.
 
-    Empty values are skipped (not rejected). Rejects carry ``error`` in
-    {invalid_json, unknown_event_type, missing_required:<field>} and the raw record, so they
-    can go to the dead-letter sink in the same micro-batch.
+    Each record is parsed once, against the union of the event schemas, with a
+    corrupt-record column for malformed JSON. Empty values are skipped (not rejected).
+    Rejects carry ``error`` in {invalid_json, unknown_event_type, missing_required:<field>}
+    and the raw record, so they can go to the dead-letter sink in the same micro-batch.
     """
     types = types or list(EVENT_SCHEMAS)
+    schema = union_schema(types).add("_corrupt", T.StringType())
     text = F.col("value").cast("string")
-    base = raw.filter(F.col("value").isNotNull() & (F.length(text) > 0)).withColumn("_json", text)
-    probe = F.from_json("_json", "event_type STRING, headers STRUCT<event_type: STRING>",
-                        {"mode": "PERMISSIVE"})
-    valid = F.try_parse_json(F.col("_json")).isNotNull()
-    tagged = base.withColumn("_ok", valid).withColumn(
-        "_type", F.when(F.col("_ok"), F.coalesce(probe["event_type"], probe["headers"]["event_type"])))
-    typed: dict[str, DataFrame] = {}
-    reject_parts = [tagged.filter(~F.col("_ok")).withColumn("error", F.lit("invalid_json"))]
-    reject_parts.append(tagged.filter(F.col("_ok") & (F.col("_type").isNull() | ~F.col("_type").isin(*types)))
-                        .withColumn("error", F.lit("unknown_event_type")))
     meta = [c for c in raw.columns if c != "value"]
+    parsed = (raw.filter(F.col("value").isNotNull() & (F.length(text) > 0))
+              .select(*meta, "value", F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e")))
+    etype = F.coalesce(F.col("e.event_type"), F.col("e.headers.event_type")) if "headers" in schema.fieldNames() \
+        else F.col("e.event_type")
+    bad_json = F.col("e").isNull() | F.col("e._corrupt").isNotNull()
+    error = F.when(bad_json, F.lit("invalid_json")).when(etype.isNull() | ~etype.isin(*types), F.lit("unknown_event_type"))
     for t in types:
-        sub = tagged.filter(F.col("_type") == t)
-        parsed = sub.select(*meta, F.col("value"), F.from_json("_json", EVENT_SCHEMAS[t]).alias("e"))
         missing = F.lit(None).cast("string")
         for field in reversed(REQUIRED_FIELDS.get(t, [])):
             missing = F.when(~_nonempty(F.col("e." + field)), F.lit("missing_required:" + field)).otherwise(missing)
-        parsed = parsed.withColumn("error", missing)
-        typed[t] = parsed.filter(F.col("error").isNull()).select(*meta, "e.*")
-        reject_parts.append(parsed.filter(F.col("error").isNotNull()).select(*meta, "value", "error"))
-    rejects = reject_parts[0].select(*meta, "value", "error")
-    for p in reject_parts[1:]:
-        rejects = rejects.unionByName(p.select(*meta, "value", "error"))
+        error = error.when(etype == t, missing)
+    tagged = parsed.withColumn("_type", etype).withColumn("error", error)
+    typed: dict[str, DataFrame] = {}
+    for t in types:
+        fields = T.StructType.fromDDL(EVENT_SCHEMAS[t]).fieldNames()
+        typed[t] = (tagged.filter((F.col("_type") == t) & F.col("error").isNull())
+                    .select(*meta, *[F.col("e." + f).alias(f) for f in fields]))
+    rejects = tagged.filter(F.col("error").isNotNull()).select(*meta, "value", "error")
     return typed, rejects
 
 

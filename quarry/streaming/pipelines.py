@@ -18,9 +18,14 @@ def start_webhook_stream(deliveries: DataFrame, secrets: DataFrame, repos: DataF
     """L1: webhook deliveries -> REPO_UPDATED events (``out_path/events``) and rejects
     (``out_path/rejects``). Dimensions are static DataFrames joined per micro-batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        events, rejects = wh.webhook_updates(batch, secrets, repos, creds, now)
-        write_batch(events, out_path + "/events", batch_id)
-        write_batch(rejects, out_path + "/rejects", batch_id)
+        # Two outputs from one micro-batch: keep the batch for the second write.
+        batch = batch.persist()
+        try:
+            events, rejects = wh.webhook_updates(batch, secrets, repos, creds, now)
+            write_batch(events, out_path + "/events", batch_id)
+            write_batch(rejects, out_path + "/rejects", batch_id)
+        finally:
+            batch.unpersist()
     return run_handler(deliveries, handle, None, checkpoint, trigger, name=None)
 
 
@@ -35,6 +40,13 @@ def start_update_stream(records: DataFrame, diffs: DataFrame, blobs: DataFrame,
     ``blobs``: repo_id, commit, path, content.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            _apply(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _apply(batch: DataFrame, batch_id: int) -> None:
         typed, rejects = src.decode_events(batch, types=["REPO_UPDATED"])
         upd = typed["REPO_UPDATED"].select("offset", F.col("payload.repo_id").alias("repo_id"),
                                            F.col("payload.new_commit").alias("new_commit"))
