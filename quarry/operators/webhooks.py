@@ -157,24 +157,37 @@ def repo_updated_events(matched: DataFrame, now: Column | str | None = None) ->
         payload.alias("payload"))
 
 
-def webhook_updates(deliveries: DataFrame, secrets: DataFrame, repos: DataFrame, creds: DataFrame,
-                    now: Column | str) -> tuple[DataFrame, DataFrame]:
-    """L1 batch step: authenticate -> push filter -> extract -> match -> credential check
-    -> REPO_UPDATED events. Returns (events, rejects with ``reason``)."""
+def webhook_outcomes(deliveries: DataFrame, secrets: DataFrame, repos: DataFrame, creds: DataFrame,
+                     now: Column | str) -> DataFrame:
+    """L1 batch step as one linear plan: every delivery with its ``reason`` (null = publish).
+
+    authenticate -> push filter -> extract -> match (only for deliveries still valid;
+    others get a null join key) -> credential check.
+    """
     a = filter_push(authenticate_webhooks(deliveries, secrets))
     x = extract_push(a)
-    bad = (F.when(~F.col("authentic"), F.col("auth_reason"))
-            .when(F.col("push_status") == "ignored", F.lit("ignored"))
-            .when(F.col("reject_reason").isNotNull(), F.col("reject_reason")))
-    x = x.withColumn("reason", bad)
-    good = x.filter(F.col("reason").isNull())
-    matched, unmatched = match_repositories(good, repos)
-    audited = credential_audit(matched.withColumn("id", F.col("repository_id"))
-                               .withColumnRenamed("provider", "provider"), creds, now)
-    ready = audited.filter(F.col("credential_status") == "ok")
-    events = repo_updated_events(ready)
-    rejects = (x.filter(F.col("reason").isNotNull()).select("delivery_id", "reason")
-               .unionByName(unmatched.select("delivery_id", F.lit("repository_not_found").alias("reason")))
-               .unionByName(audited.filter(F.col("credential_status") != "ok")
-                            .select("delivery_id", F.concat(F.lit("credential_"), F.col("credential_status")).alias("reason"))))
-    return events, rejects
+    early = (F.when(~F.col("authentic"), F.col("auth_reason"))
+              .when(F.col("push_status") == "ignored", F.lit("ignored"))
+              .when(F.col("reject_reason").isNotNull(), F.col("reject_reason")))
+    x = x.withColumn("_early", early).withColumn("_match_url", F.when(F.col("_early").isNull(), F.col("repo_url")))
+    m = annotate_matches(x, repos, url_col="_match_url")
+    c = creds.select(F.col("repo_id").alias("_crid"), F.col("provider").alias("_cprov"), F.col("expires_at").alias("_cexp"))
+    j = m.join(c, m["repository_id"] == c["_crid"], "left")
+    now_c = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    cred = (F.when(F.col("_crid").isNull(), "missing")
+             .when(F.col("_cexp").isNotNull() & (F.col("_cexp") < now_c), "expired")
+             .when(~F.col("_cprov").eqNullSafe(F.col("provider")), "provider_mismatch")
+             .otherwise("ok"))
+    reason = (F.when(F.col("_early").isNotNull(), F.col("_early"))
+               .when(F.col("repository_id").isNull(), F.lit("repository_not_found"))
+               .when(cred != "ok", F.concat(F.lit("credential_"), cred)))
+    return j.withColumn("reason", reason).drop("_early", "_match_url", "_crid", "_cprov", "_cexp")
+
+
+def webhook_updates(deliveries: DataFrame, secrets: DataFrame, repos: DataFrame, creds: DataFrame,
+                    now: Column | str) -> tuple[DataFrame, DataFrame]:
+    """L1 batch step: (REPO_UPDATED events, rejects with ``reason``), both filters of
+    :func:`webhook_outcomes`."""
+    o = webhook_outcomes(deliveries, secrets, repos, creds, now)
+    return (repo_updated_events(o.filter(F.col("reason").isNull())),
+            o.filter(F.col("reason").isNotNull()).select("delivery_id", "reason"))

@@ -284,6 +284,20 @@ def duckdb_with(names: list[str], body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan spread over at least the cluster's default parallelism.
+
+    A table written as one large row group is read by a single task however many cores
+    there are; such a scan is round-robin repartitioned once. Scans that already split
+    into enough tasks (the normal case for big tables) are left untouched.
+    """
+    df = spark.read.parquet(path)
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
+
+
 class Fixtures:
     """Spark side: reads the driver tables of one scale-factor folder and builds views."""
 
@@ -294,7 +308,7 @@ class Fixtures:
         self._registered: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     def _view_name(self, name: str) -> str:
         if name not in self._registered:
