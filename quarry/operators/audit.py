@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import (DEFAULT_RATE_LIMITS, MAX_RETRIES, RATE_LIMIT_EXEMPT_PATHS,
                                    RATE_LIMIT_PRECEDENCE, RETRYABLE_STATUSES, STATUS_BACKOFF_CAP,
                                    TRANSPORT_BACKOFF_CAP)
-from .scalable import running_sum, sliding_count
+from .scalable import ordered_scan, running_sum, sliding_count
 
 
 def _micros(ts) -> Column:
@@ -120,13 +120,19 @@ def retry_ledger(attempts: DataFrame, max_retries: int = MAX_RETRIES, status_cap
 # --------------------------------------------------------------------------- G5 / L4
 
 def status_timeline(events: DataFrame, key: str = "job_id", running=("running", "processing"),
-                    terminal=("completed", "failed", "cancelled")) -> tuple[DataFrame, DataFrame]:
+                    terminal=("completed", "failed", "cancelled"), skew_safe: bool = True) -> tuple[DataFrame, DataFrame]:
     """Ordered transitions per job (previous status, seconds in state until the next
     event) and a per-job summary: last status, started_at (last ``running`` update),
     completed_at (last terminal update), transitions."""
-    w = Window.partitionBy(key).orderBy("ts", "seq", "status")
-    steps = (events.withColumn("prev_status", F.lag("status").over(w))
-             .withColumn("next_ts", F.lead("ts").over(w))
+    # lag / lead through a skew-safe ordered scan: one job's events may be arbitrarily many.
+    if skew_safe:
+        steps = (ordered_scan(events, [key], ["ts", "seq", "status"], carry=["status", "ts"], out_ord="step")
+                 .drop("next_status", "prev_ts"))
+    else:
+        w = Window.partitionBy(key).orderBy("ts", "seq", "status")
+        steps = events.select("*", F.row_number().over(w).alias("step"), F.lag("status").over(w).alias("prev_status"),
+                              F.lead("ts").over(w).alias("next_ts"))
+    steps = (steps
              .withColumn("seconds_in_state",
                          (F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6))
     summary = events.groupBy(key).agg(

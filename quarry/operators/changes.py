@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import COMMIT_CAP, COMMIT_STATUS_TO_EVENT
+from .scalable import ordered_scan
 
 
 def _status_map() -> F.Column:
@@ -103,7 +104,7 @@ def diff_entries(diff: DataFrame, provider: str, key: str = "repo_id") -> DataFr
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo_id",),
-                   detect_renames: bool = True) -> DataFrame:
+                   detect_renames: bool = True, skew_safe: bool = True) -> DataFrame:
     """Two manifests -> ``added / modified / removed / renamed`` rows.
 
     A full outer join on (keys, path) compares shas (content never enters the join).
@@ -122,11 +123,19 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("rep
     j = j.withColumn("sha", F.coalesce("new_sha", "old_sha")).drop("old_sha", "new_sha")
     if not detect_renames:
         return j.select(*k, "path", "change", F.lit(None).cast("string").alias("old_path"), "sha")
-    w = Window.partitionBy(*k, "sha").orderBy("path")
-    rem = (j.filter(F.col("change") == "removed").filter(F.col("sha").isNotNull())
-           .withColumn("pair", F.row_number().over(w)).select(*k, "sha", "pair", F.col("path").alias("old_path")))
-    add = (j.filter(F.col("change") == "added").filter(F.col("sha").isNotNull())
-           .withColumn("pair", F.row_number().over(w)).select(*k, "sha", "pair", F.col("path").alias("new_path")))
+    # Pair the i-th removed path with the i-th added path of the same content (path order).
+    # Ordinals come from a skew-safe ordered scan: one sha (e.g. thousands of identical
+    # empty files) can be arbitrarily large without landing in a single task.
+    # ``skew_safe=False`` uses a plain window (one task per (key, sha) group).
+    def numbered(change: str, name: str):
+        side = j.filter((F.col("change") == change) & F.col("sha").isNotNull()).select(*k, "sha", "path")
+        if skew_safe:
+            side = ordered_scan(side, [*k, "sha"], ["path"], out_ord="pair")
+        else:
+            side = side.withColumn("pair", F.row_number().over(Window.partitionBy(*k, "sha").orderBy("path")))
+        return side.select(*k, "sha", "pair", F.col("path").alias(name))
+    rem = numbered("removed", "old_path")
+    add = numbered("added", "new_path")
     pairs = add.join(rem, k + ["sha", "pair"], "inner").select(*k, "sha", "old_path", "new_path")
     renamed = pairs.select(*k, F.col("new_path").alias("path"), F.lit("renamed").alias("change"), "old_path", "sha")
     paired = (pairs.select(*k, F.col("old_path").alias("path"))

@@ -33,16 +33,14 @@ def l3_rate_limit_stream(spark, sf_dir):
     """Keyed-state limiter over the events table as a stream; equals g1_rate_limit_audit."""
     fx = Fixtures(spark, sf_dir)
     log = fx.derive("fx_access_log", events=read_table_stream(spark, sf_dir, "events"))
-    out = st.rate_limit_stream(log, audit_plans.LIMITS, audit_plans.WINDOW, watermark="1 day")
     base = _scratch(spark, "l3")
-    q = (out.writeStream.format("parquet").option("path", base + "/out")
-         .option("checkpointLocation", base + "/ckpt").outputMode("append").trigger(availableNow=True).start())
+    q = st.start_rate_limit_stream(log, base + "/out", base + "/ckpt", base + "/state", audit_plans.LIMITS,
+                                   audit_plans.WINDOW, trigger={"availableNow": True}, bucket_secs=86400)
     q.awaitTermination()
     return spark.read.parquet(base + "/out").select("seq", "client", "path", "request_count", "rate_limit",
                                                     "rejected", "remaining", "reset")
 
 
-
 @register("l4_latest_status_stream")
 def l4_latest_status_stream(spark, sf_dir):
     """Update-mode latest status per job over the line-item table as a stream."""

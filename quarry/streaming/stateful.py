@@ -1,69 +1,69 @@
-"""Stateful streaming operators: limiter (L3), latest job status (L4), de-duplication."""
+"""Stateful streaming jobs: limiter (L3), latest job status (L4), de-duplication."""
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-from collections.abc import Iterator
-
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.constants import DEFAULT_RATE_LIMITS, RATE_LIMIT_EXEMPT_PATHS
 from ..operators.audit import limit_for_path
 from ..operators.events import dedupe_events
+from ..operators.scalable import sliding_count
+from .common import run_handler, write_batch
+
+def _limiter_rows(df: DataFrame, limits: dict, client_col: str, ts_col: str, seq_col: str) -> DataFrame:
+    return (df.filter(~F.col("path").isin(*RATE_LIMIT_EXEMPT_PATHS))
+            .select(F.col(client_col).alias("client"), "path", F.col(seq_col).alias("seq"),
+                    F.col(ts_col).cast("timestamp").alias("ts")))
 
-LIMITER_OUT = ("client STRING, path STRING, seq BIGINT, ts TIMESTAMP, request_count BIGINT, rate_limit INT, "
-               "rejected BOOLEAN, remaining INT, reset BIGINT")
 
+def start_rate_limit_stream(log: DataFrame, out_path: str, checkpoint: str, state_path: str,
+                            limits: dict | None = None, window_secs: int = 60, client_col: str = "client",
+                            ts_col: str = "ts", seq_col: str = "seq", trigger: dict | None = None,
+                            bucket_secs: int | None = None) -> StreamingQuery:
+    """L3: the sliding-window limiter over a request stream.
 
-def rate_limit_stream(log: DataFrame, limits: dict | None = None, window_secs: int = 60,
-                      client_col: str = "client", ts_col: str = "ts", seq_col: str = "seq",
-                      watermark: str | None = None) -> DataFrame:
-    """L3: the sliding-window limiter as keyed state (one list of recent arrival times per
-    (client, path)). Rows of a micro-batch are applied in (ts, seq) order; the state
-    keeps only arrivals newer than ``t - window`` and is dropped after a key has been
-    idle past the watermark. Cross-batch disorder follows arrival order, as a live
-    limiter would."""
+    Every micro-batch is replayed with the distributed (time-bucketed) sliding count of
+    :func:`rate_limit_audit`, seeded with the arrivals of the last ``window`` seconds kept
+    by the previous batch. That carried state is a table under ``state_path``, versioned
+    by batch id and overwritten on retry, so a re-run batch is idempotent and no key's
+    history is ever gathered into one task. Rows of a batch are ordered by (ts, seq);
+    a later batch's rows arrive after all earlier batches' rows.
+    """
     limits = limits or DEFAULT_RATE_LIMITS
     w_us = window_secs * 1_000_000
-    x = (log.filter(~F.col("path").isin(*RATE_LIMIT_EXEMPT_PATHS))
-         .select(F.col(client_col).alias("client"), "path", F.col(seq_col).alias("seq"),
-                 F.col(ts_col).cast("timestamp").alias("ts"), limit_for_path("path", limits).alias("rate_limit")))
-    x = x.withWatermark("ts", watermark or f"{window_secs} seconds")
+    cols = ["client", "path", "seq", "ts"]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if pdf.empty:
-            return
-        pdf = pdf.sort_values(["ts", "seq"], kind="mergesort")
-        # Arrival times kept sorted; an arrival evicts everything at or before t - window.
-        recent = sorted(state.get[0]) if state.exists else []
-        times = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        counts = []
-        for t in times:
-            cut = bisect_right(recent, int(t) - w_us)
-            if cut:
-                del recent[:cut]
-            insort(recent, int(t))
-            counts.append(len(recent))
-        state.update((recent,))
-        state.setTimeoutTimestamp(int(times.max() // 1000) + window_secs * 1000)
-        lim = pdf["rate_limit"].astype("int64").to_numpy()
-        cnt = pd.Series(counts, dtype="int64").to_numpy()
-        rejected = cnt > lim
-        yield pd.DataFrame({
-            "client": pdf["client"].to_numpy(), "path": pdf["path"].to_numpy(), "seq": pdf["seq"].to_numpy(),
-            "ts": pdf["ts"].to_numpy(), "request_count": cnt, "rate_limit": lim.astype("int32"),
-            "rejected": rejected, "remaining": ((lim - cnt).clip(min=0) * (~rejected)).astype("int32"),
-            "reset": times // 1_000_000 + window_secs})
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        cur = _limiter_rows(batch, limits, client_col, ts_col, seq_col).withColumn("_cur", F.lit(True)) \
+            .withColumn("_arr", F.struct(F.lit(batch_id).cast("long").alias("b"), F.col("seq")))
+        try:
+            prev = spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}").select(*cols, "_arr")
+        except AnalysisException:
+            prev = spark.createDataFrame([], cur.select(*cols, "_arr").schema)
+        both = prev.withColumn("_cur", F.lit(False)).unionByName(cur.select(*cols, "_arr", "_cur")) \
+            .withColumn("_t", F.unix_micros("ts")).persist()
+        try:
+            counted = sliding_count(both, ["client", "path"], "_t", w_us, "request_count", arrival="_arr",
+                                    bucket_micros=bucket_secs * 1_000_000 if bucket_secs else None)
+            lim = limit_for_path("path", limits)
+            out = (counted.filter("_cur").withColumn("rate_limit", lim)
+                   .withColumn("rejected", F.col("request_count") > F.col("rate_limit"))
+                   .withColumn("remaining", F.when(F.col("rejected"), 0)
+                               .otherwise(F.greatest(F.lit(0), F.col("rate_limit") - F.col("request_count"))))
+                   .withColumn("reset", F.floor(F.col("_t") / 1_000_000) + window_secs)
+                   .drop("_t", "_cur", "_arr"))
+            write_batch(out, out_path, batch_id)
+            newest = both.agg(F.max("_t")).first()[0]  # one scalar
+            keep = both if newest is None else both.filter(F.col("_t") > F.lit(newest - w_us))
+            keep.select(*cols, "_arr").write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        finally:
+            both.unpersist()
 
-    return x.groupBy("client", "path").applyInPandasWithState(
-        step, LIMITER_OUT, "recent ARRAY<BIGINT>", "append", GroupStateTimeout.EventTimeTimeout)
+    return run_handler(log, handle, None, checkpoint, trigger)
 
 
 def latest_status_stream(status: DataFrame, key: str = "job_id") -> DataFrame:

@@ -33,10 +33,9 @@ def test_limiter_stream_equals_batch_across_batches_and_restart(spark):
                 time.sleep(1.1)  # distinct modification times keep file order
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
             .option("recursiveFileLookup", "true").parquet(f"{base}/in")
-        out = stateful.rate_limit_stream(stream, {"default": 5, "/search": 3, "/sources": 4}, window_secs=60,
-                                         watermark="10 minutes")
-        q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
-             .trigger(availableNow=True).start())
+        q = stateful.start_rate_limit_stream(stream, f"{base}/out", f"{base}/ckpt", f"{base}/state",
+                                             {"default": 5, "/search": 3, "/sources": 4}, window_secs=60,
+                                             trigger={"availableNow": True}, bucket_secs=120)
         q.awaitTermination()
         return q
 
