@@ -96,7 +96,10 @@ def retry_ledger(attempts: DataFrame, max_retries: int = MAX_RETRIES, status_cap
     w = Window.partitionBy(key).orderBy("ts", "seq")
     err = F.col("error_kind").isNotNull() if "error_kind" in attempts.columns else F.lit(False)
     st = F.col("status")
-    x = attempts.withColumn("attempt", F.row_number().over(w)).withColumn("_transport", err)
+    # Attempts past the retry budget are never made: the filter right on the row number
+    # lets Catalyst cut every request to ``max_retries`` rows map-side (WindowGroupLimit).
+    x = (attempts.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= max_retries)
+         .withColumn("_transport", err))
     retryable = F.col("_transport") | st.isin(*RETRYABLE_STATUSES)
     terminal = (~F.col("_transport") & (st < 400)) | ~retryable | (F.col("attempt") >= max_retries)
     x = x.withColumn("_terminal", terminal)

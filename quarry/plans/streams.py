@@ -115,7 +115,7 @@ def l2_update_stream(spark, sf_dir):
            .select("key", F.encode("value", "UTF-8").alias("value"), "topic", F.lit(0).alias("partition"), "offset",
                    F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp")))
     rec.write.mode("overwrite").parquet(base + "/topic")
-    records = (spark.readStream.schema(rec.schema).parquet(base + "/topic"))
+    records = src.read_events(spark, {"format": "parquet", "path": base + "/topic"}, streaming=True)
     diffs = chg.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new).withColumn("new_commit", F.lit("new"))
     blobs = (fx.fx_snap_new.select("doc_id", "repo_id", "path").join(fx.documents.select("doc_id", "text"), "doc_id")
              .select("repo_id", F.lit("new").alias("commit"), "path", F.encode("text", "UTF-8").alias("content")))

@@ -146,3 +146,41 @@ def test_retry_ledger(spark):
     df = spark.createDataFrame(rows, "request_id string, ts timestamp, seq long, status int, error_kind string")
     got = {r.request_id: (r.attempts, r.total_backoff_s, r.outcome) for r in audit.retry_ledger(df).collect()}
     assert got == {"a": (3, 3.0, "success"), "b": (2, 1.0, "client_error")}
+
+
+def test_write_and_read_events_roundtrip(spark):
+    from quarry.session import checkpoint_path
+    from quarry.sources import events as src
+    base = checkpoint_path(spark, "test-events", unique=True)
+    rows = spark.createDataFrame([("STREAMED_FILE", "r1", "a.py", "x", False), ("STREAMED_FILE", "r2", "b.py", "", True)],
+                                 "event_type string, repo_id string, file_path string, content string, is_deleted boolean")
+    rec = src.to_event_records(rows).withColumn("event_type", F.lit("STREAMED_FILE"))
+    src.write_events(rec, {"format": "parquet", "path": base + "/log"})
+    back = spark.read.parquet(base + "/log")
+    assert sorted(r.key for r in back.collect()) == ["r1", "r2"]
+    raw = back.select("key", F.encode("value", "UTF-8").alias("value"), "topic", F.lit(0).alias("partition"),
+                      F.monotonically_increasing_id().alias("offset"), F.current_timestamp().alias("timestamp"))
+    raw.write.parquet(base + "/raw")
+    typed, rejects = src.decode_events(src.read_events(spark, {"format": "parquet", "path": base + "/raw"}))
+    assert typed["STREAMED_FILE"].count() == 2 and rejects.count() == 0
+
+
+def test_read_registry_parquet(spark):
+    from quarry.session import checkpoint_path
+    from quarry.sources.registry import read_registry
+    base = checkpoint_path(spark, "test-registry", unique=True)
+    spark.createDataFrame([("r1", "u", "github", None)], "repo_id string, user_id string, provider string, expires_at timestamp") \
+        .write.parquet(base + "/credential_index")
+    df = read_registry(spark, base, "credential_index")
+    assert df.columns == ["repo_id", "user_id", "provider", "expires_at"] and df.count() == 1
+
+
+def test_select_paths_pushes_prefix_into_scan(spark):
+    from quarry.session import checkpoint_path
+    base = checkpoint_path(spark, "test-pushdown", unique=True)
+    spark.createDataFrame([("r", "src/a.py", "s", 1, "x"), ("r", "docs/b.md", "t", 2, "y")],
+                          "repo_id string, path string, sha string, size long, extra string").write.parquet(base)
+    m = spark.read.parquet(base)
+    plan = paths.select_paths(m, ["src/**/*"], None).select("path")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(path,src/)" in plan
+    assert "ReadSchema: struct<path:string>" in plan
