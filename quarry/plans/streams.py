@@ -19,6 +19,10 @@ from . import webhooks as hook_plans
 from .catalog import _ORACLES, register
 
 
+def _spread(spark):
+    return spark.sparkContext.defaultParallelism
+
+
 def _scratch(spark, name):
     return checkpoint_path(spark, name, unique=True)
 
@@ -32,7 +36,7 @@ def _same_oracle(name: str, batch_name: str) -> None:
 def l3_rate_limit_stream(spark, sf_dir):
     """Keyed-state limiter over the events table as a stream; equals g1_rate_limit_audit."""
     fx = Fixtures(spark, sf_dir)
-    log = fx.derive("fx_access_log", events=read_table_stream(spark, sf_dir, "events"))
+    log = fx.derive("fx_access_log", events=read_table_stream(spark, sf_dir, "events", partitions=_spread(spark)))
     base = _scratch(spark, "l3")
     q = st.start_rate_limit_stream(log, base + "/out", base + "/ckpt", base + "/state", audit_plans.LIMITS,
                                    audit_plans.WINDOW, trigger={"availableNow": True}, bucket_secs=86400)
@@ -45,7 +49,7 @@ def l3_rate_limit_stream(spark, sf_dir):
 def l4_latest_status_stream(spark, sf_dir):
     """Update-mode latest status per job over the line-item table as a stream."""
     fx = Fixtures(spark, sf_dir)
-    status = fx.derive("fx_job_status_events", lineitem=read_table_stream(spark, sf_dir, "lineitem"))
+    status = fx.derive("fx_job_status_events", lineitem=read_table_stream(spark, sf_dir, "lineitem", partitions=_spread(spark)))
     agg = st.latest_status_stream(status)
     base = _scratch(spark, "l4")
 
@@ -63,8 +67,8 @@ def l4_latest_status_stream(spark, sf_dir):
 def l6_dedupe_stream(spark, sf_dir):
     """Redelivered file events (every tenth twice) de-duplicated in a watermarked stream."""
     fx = Fixtures(spark, sf_dir)
-    fe = fx.derive("fx_file_events", lineitem=read_table_stream(spark, sf_dir, "lineitem"))
-    again = fx.derive("fx_file_events", lineitem=read_table_stream(spark, sf_dir, "lineitem")).filter(F.col("off") % 10 == 0)
+    fe = fx.derive("fx_file_events", lineitem=read_table_stream(spark, sf_dir, "lineitem", partitions=_spread(spark)))
+    again = fx.derive("fx_file_events", lineitem=read_table_stream(spark, sf_dir, "lineitem", partitions=_spread(spark))).filter(F.col("off") % 10 == 0)
     ev = fe.unionByName(again).withColumn("event_time", F.col("commit_ts").cast("timestamp"))
     out = st.dedupe_stream(ev, ts_col="event_time", delay="10 days", id_col=None)
     base = _scratch(spark, "l6")
@@ -79,7 +83,7 @@ def l6_dedupe_stream(spark, sf_dir):
 def l1_webhook_stream(spark, sf_dir):
     """Webhook deliveries (derived from the events table, as a stream) -> REPO_UPDATED."""
     fx = Fixtures(spark, sf_dir)
-    hooks = fx.derive("fx_webhooks", events=read_table_stream(spark, sf_dir, "events"))
+    hooks = fx.derive("fx_webhooks", events=read_table_stream(spark, sf_dir, "events", partitions=_spread(spark)))
     deliveries, secrets = hook_plans._deliveries(fx, hooks)
     base = _scratch(spark, "l1")
     q = pipe.start_webhook_stream(deliveries, secrets, fx.fx_hook_repos, fx.fx_credentials, base + "/out",
