@@ -124,18 +124,16 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("rep
     if not detect_renames:
         return j.select(*k, "path", "change", F.lit(None).cast("string").alias("old_path"), "sha")
     # Pair the i-th removed path with the i-th added path of the same content (path order).
-    # Ordinals come from a skew-safe ordered scan: one sha (e.g. thousands of identical
-    # empty files) can be arbitrarily large without landing in a single task.
+    # Ordinals come from one skew-safe ordered scan over both sides: one sha (e.g. thousands
+    # of identical empty files) can be arbitrarily large without landing in a single task.
     # ``skew_safe=False`` uses a plain window (one task per (key, sha) group).
-    def numbered(change: str, name: str):
-        side = j.filter((F.col("change") == change) & F.col("sha").isNotNull()).select(*k, "sha", "path")
-        if skew_safe:
-            side = ordered_scan(side, [*k, "sha"], ["path"], out_ord="pair")
-        else:
-            side = side.withColumn("pair", F.row_number().over(Window.partitionBy(*k, "sha").orderBy("path")))
-        return side.select(*k, "sha", "pair", F.col("path").alias(name))
-    rem = numbered("removed", "old_path")
-    add = numbered("added", "new_path")
+    cand = j.filter(F.col("change").isin("removed", "added") & F.col("sha").isNotNull()).select(*k, "sha", "change", "path")
+    if skew_safe:
+        cand = ordered_scan(cand, [*k, "sha", "change"], ["path"], out_ord="pair")
+    else:
+        cand = cand.withColumn("pair", F.row_number().over(Window.partitionBy(*k, "sha", "change").orderBy("path")))
+    rem = cand.filter(F.col("change") == "removed").select(*k, "sha", "pair", F.col("path").alias("old_path"))
+    add = cand.filter(F.col("change") == "added").select(*k, "sha", "pair", F.col("path").alias("new_path"))
     pairs = add.join(rem, k + ["sha", "pair"], "inner").select(*k, "sha", "old_path", "new_path")
     renamed = pairs.select(*k, F.col("new_path").alias("path"), F.lit("renamed").alias("change"), "old_path", "sha")
     paired = (pairs.select(*k, F.col("old_path").alias("path"))

@@ -69,8 +69,17 @@ def sliding_count(df: DataFrame, keys: list[str], ts_micros: str, window_micros:
             .drop("_sc_b", "_sc_own", "_sc_in", "_sc_peers", "_sc_pos"))
 
 
+def _window_scan(df: DataFrame, keys: list[str], order: list[str], carry: list[str], out_ord: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*order)
+    cols = [F.row_number().over(w).alias(out_ord)]
+    for c in carry:
+        cols += [F.lag(c).over(w).alias("prev_" + c), F.lead(c).over(w).alias("next_" + c)]
+    return df.select("*", *cols)
+
+
 def ordered_scan(df: DataFrame, keys: list[str], order: list[str], carry: list[str] = (),
-                 out_ord: str = "_ord", partitions: int | None = None) -> DataFrame:
+                 out_ord: str = "_ord", partitions: int | None = None,
+                 hot_threshold: int | None = 2_000_000) -> DataFrame:
     """Skew-safe ``row_number()``, ``lag`` and ``lead`` within each key.
 
     Adds ``out_ord`` (1-based position of the row within its key under ``order``, which
@@ -83,13 +92,21 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], carry: list[s
     neighbours across batches). Keys that cross a partition boundary are stitched with a
     per-partition summary (one row per partition, so its size is bounded by the
     partition count and it is broadcast).
+
+    With ``hot_threshold`` set, the largest key is measured first (one partial
+    aggregate, a single number to the driver); when no key exceeds it, the plain window
+    plan is used — same result, less work for evenly spread data.
     """
     import pandas as pd
     from pyspark.sql import types as T
 
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     carry = list(carry)
+    if hot_threshold is not None:
+        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        if biggest <= hot_threshold:
+            return _window_scan(df, keys, order, carry, out_ord)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
          .withColumn("_pid", F.spark_partition_id()))
     fields = list(r.schema.fields) + [T.StructField("_local", T.LongType())]
