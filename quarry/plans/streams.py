@@ -20,7 +20,10 @@ from .catalog import _ORACLES, register
 
 
 def _spread(spark):
-    return spark.sparkContext.defaultParallelism
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return None
 
 
 def _scratch(spark, name):
