@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..functions.constants import EVENT_SOURCE_TYPES, SOURCE_TYPE_ALIASES
-
-# Provider URL shapes: owner/name (GitLab: the full group path), optional branch-scoped folder.
-LINK_PATTERNS = {
-    "github": r"github\.com/([^/]+/[^/]+?)(?:/(?:tree|blob)/[^/]+(?:/(.+?))?)?(?:\?.*)?$",
-    "gitlab": r"gitlab\.com/(.+?)(?:/-/(?:tree|blob)/[^/]+(?:/(.+?))?)?(?:\?.*)?$",
-    "bitbucket": r"bitbucket\.org/([^/]+/[^/]+?)(?:/src/[^/]+(?:/(.+?))?)?(?:\?.*)?$",
-}
-
+from ..functions.constants import EVENT_SOURCE_TYPES, LINK_PATTERNS, SOURCE_TYPE_ALIASES
 
 def sniff_provider(url) -> F.Column:
     u = F.col(url) if isinstance(url, str) else url

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
-from ..functions.constants import CREDENTIAL_KEYS, GIT_SOURCE_TYPES
+from ..functions.constants import (BRANCH_PATTERN, CREDENTIAL_KEYS, GIT_SOURCE_TYPES, MAX_BRANCH_LENGTH,
+                                   MAX_CREDENTIAL_LENGTH, MAX_ID_LENGTH, MAX_NAME_LENGTH, MAX_PATH_LENGTH,
+                                   MAX_PATTERN_LENGTH, SAFE_ID_PATTERN)
 
 
 def _now(now) -> Column:
@@ -202,6 +204,17 @@ def _clean_patterns(col: str, default_all: bool) -> Column:
         F.array(F.lit("**/*")) if default_all else F.array().cast("array<string>"))
 
 
+def _source_id_checks(requests: DataFrame) -> list[tuple[Column, str]]:
+    """Source ids (when the requests carry one): required, <= 255 after stripping, safe characters."""
+    if "source_id" not in requests.columns:
+        return []
+    raw = F.col("source_id").cast("string")
+    sid = K.py_strip(raw)
+    return [(raw.isNull() | (raw == ""), "source_id_required"),
+            (F.length(sid) > MAX_ID_LENGTH, "source_id_too_long"),
+            (raw.isNotNull() & (raw != "") & ~sid.rlike(SAFE_ID_PATTERN), "source_id_invalid")]
+
+
 def validate_sources(requests: DataFrame) -> DataFrame:
     """K1: ``errors`` (all failed checks, in order), ``first_error`` and the cleaned
     ``uri``/``branch``/``include_patterns``/``exclude_patterns``.
@@ -220,22 +233,24 @@ def validate_sources(requests: DataFrame) -> DataFrame:
     branch = K.py_strip(F.col("branch"))
     inc = F.coalesce(F.col("include_patterns"), F.array().cast("array<string>"))
     exc = F.coalesce(F.col("exclude_patterns"), F.array().cast("array<string>"))
-    too_long = lambda a: F.exists(a, lambda x: F.length(K.py_strip(x)) > 1000)
+    too_long = lambda a: F.exists(a, lambda x: F.length(K.py_strip(x)) > MAX_PATTERN_LENGTH)
     creds = F.col("credentials") if "credentials" in requests.columns else F.lit(None).cast("map<string,string>")
     bad_cred = F.exists(F.map_entries(F.coalesce(creds, F.create_map().cast("map<string,string>"))),
-                        lambda e: e["key"].isin(*CREDENTIAL_KEYS) & (e["value"].isNull() | (F.length(e["value"]) > 10000)))
+                        lambda e: e["key"].isin(*CREDENTIAL_KEYS) & (e["value"].isNull() |
+                                                                     (F.length(e["value"]) > MAX_CREDENTIAL_LENGTH)))
     errs = _errors(
         (name.isNull() | (F.length(K.py_strip(name)) == 0), "name_required"),
-        (F.coalesce(F.length(name) > 255, F.lit(False)), "name_too_long"),
+        (F.coalesce(F.length(name) > MAX_NAME_LENGTH, F.lit(False)), "name_too_long"),
         (is_git & ((scheme == "") | (netloc == "") | (m == "")), "invalid_url"),
         (is_git & (scheme != "") & (netloc != "") & ~scheme.isin("http", "https"), "url_scheme"),
         (~is_git & (uri.isNull() | (uri == "")), "uri_required"),
-        (is_git & F.col("branch").isNotNull() & (F.length(branch) > 255), "branch_too_long"),
-        (is_git & F.col("branch").isNotNull() & ~F.coalesce(branch.rlike(r"^[a-zA-Z0-9._/-]+$"), F.lit(False)),
+        (is_git & F.col("branch").isNotNull() & (F.length(branch) > MAX_BRANCH_LENGTH), "branch_too_long"),
+        (is_git & F.col("branch").isNotNull() & ~F.coalesce(branch.rlike(BRANCH_PATTERN), F.lit(False)),
          "branch_invalid"),
         (too_long(inc), "include_pattern_too_long"),
         (too_long(exc), "exclude_pattern_too_long"),
         (bad_cred, "invalid_credentials"),
+        *_source_id_checks(requests),
     )
     return requests.withColumns({
         "errors": errs, "first_error": F.try_element_at(errs, F.lit(1)),
@@ -251,7 +266,7 @@ def validate_paths(files: DataFrame, path_col: str = "path") -> tuple[DataFrame,
     p = K.py_strip(raw)
     reason = (F.when(raw.isNull() | (raw == ""), "path_required")
                .when(p.contains("..") | p.startswith("/"), "path_traversal")
-               .when(F.length(p) > 1000, "path_too_long"))
+               .when(F.length(p) > MAX_PATH_LENGTH, "path_too_long"))
     x = files.withColumn("reason", reason)
     return (x.filter(F.col("reason").isNull()).drop("reason").withColumn(path_col, p),
             x.filter(F.col("reason").isNotNull()))
@@ -262,7 +277,7 @@ def validate_credentials(df: DataFrame, map_col: str = "credentials") -> DataFra
     whose value is missing or over 10000 characters."""
     m = F.coalesce(F.col(map_col), F.create_map().cast("map<string,string>"))
     known = F.map_filter(m, lambda k, v: k.isin(*CREDENTIAL_KEYS))
-    bad = F.filter(F.map_keys(F.map_filter(known, lambda k, v: v.isNull() | (F.length(v) > 10000))),
+    bad = F.filter(F.map_keys(F.map_filter(known, lambda k, v: v.isNull() | (F.length(v) > MAX_CREDENTIAL_LENGTH))),
                    lambda x: x.isNotNull())
     return df.withColumns({"valid_credentials": F.transform_values(known, lambda k, v: K.py_strip(v)),
                            "credential_errors": F.array_sort(bad)})

@@ -206,3 +206,13 @@ def e8_advance_watermarks(spark, sf_dir):
                                F.when(F.col("id") % 2 == 0, F.lit("seed")).alias("last_commit_hash"),
                                F.lit(None).cast("timestamp_ntz").alias("last_sync"))
     return ops.advance_watermarks(reg, results)
+
+
+@register("e4_plan_stream_sync", views=["fx_repositories"], oracle="""
+SELECT id, provider, last_sync,
+       CASE WHEN provider = 'github' AND last_sync IS NOT NULL THEN 'incremental' ELSE 'full' END AS sync_mode
+FROM fx_repositories""")
+def e4_plan_stream_sync(spark, sf_dir):
+    """Streamer variant: GitHub repositories with a previous sync poll, the rest list the tree."""
+    r = Fixtures(spark, sf_dir).fx_repositories.select("id", "provider", "last_sync")
+    return ops.plan_stream_sync(r)

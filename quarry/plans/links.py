@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.constants import EVENT_SOURCE_TYPES, REGISTRY_SOURCE_TYPES
+from ..functions.constants import EVENT_SOURCE_TYPES, LINK_PATTERNS, REGISTRY_SOURCE_TYPES
 from ..operators import links as ops
 from ..sources.fixtures import Fixtures
 from .catalog import register
 from .sqlbits import q
 
-GH, GL, BB = (ops.LINK_PATTERNS[k].replace("'", "''") for k in ("github", "gitlab", "bitbucket"))
+GH, GL, BB = (LINK_PATTERNS[k].replace("'", "''") for k in ("github", "gitlab", "bitbucket"))
 
 _URLS_SQL = """
 WITH b AS (SELECT id, provider, url, regexp_replace(url, '(\\.git)?/?$', '') AS base FROM fx_repositories),

@@ -79,7 +79,8 @@ SELECT c_custkey AS id, concat('user_', CAST(c_custkey % 8 AS varchar(20))) AS u
        CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 700 END AS source_id,
        c_custkey AS created_seq, concat('repo-', CAST(c_custkey AS varchar(20))) AS name, 'main' AS branch,
        CASE WHEN c_acctbal < 0 THEN 'sync_failed' ELSE 'active' END AS status, c_custkey % 97 AS created_at,
-       c_acctbal < 0 AS in_debt
+       c_acctbal < 0 AS in_debt,
+       CASE WHEN c_acctbal > 5000 THEN TIMESTAMP '2024-01-01 00:00:00' END AS last_sync
 FROM @customer
 """
 

@@ -184,3 +184,11 @@ def test_select_paths_pushes_prefix_into_scan(spark):
     plan = paths.select_paths(m, ["src/**/*"], None).select("path")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(path,src/)" in plan
     assert "ReadSchema: struct<path:string>" in plan
+
+
+def test_validate_source_ids(spark):
+    req = spark.createDataFrame([("n", "url", "x", None, None, None, None, sid) for sid in ["ok-id_1.2", "bad id", "", "a" * 256]],
+                                "name string, type string, uri string, branch string, include_patterns array<string>, "
+                                "exclude_patterns array<string>, credentials map<string,string>, source_id string")
+    errs = [r.errors for r in registry.validate_sources(req).collect()]
+    assert errs == [[], ["source_id_invalid"], ["source_id_required"], ["source_id_too_long"]]
