@@ -285,12 +285,29 @@ def duckdb_with(names: list[str], body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+SPREAD_MIN_BYTES = 1024 * 1024
+
+
+def _input_bytes(df: DataFrame) -> int | None:
+    """Total size of a scan's files from file-system metadata (no data read)."""
+    try:
+        from pyarrow import fs as pafs
+        total = 0
+        for f in df.inputFiles():
+            filesystem, path = pafs.FileSystem.from_uri(f)
+            total += filesystem.get_file_info(path).size or 0
+        return total
+    except Exception:
+        return None
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet scan spread over at least the cluster's default parallelism.
 
     A table written as one large row group is read by a single task however many cores
-    there are; such a scan is round-robin repartitioned once. Scans that already split
-    into enough tasks (the normal case for big tables) are left untouched.
+    there are; such a scan (of more than 1 MB) is round-robin repartitioned once.
+    Scans that already split into enough tasks — the normal case for big tables — and
+    small tables are left untouched.
     """
     df = spark.read.parquet(path)
     try:
@@ -298,7 +315,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         have = df.rdd.getNumPartitions()
     except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan as is
         return df
-    return df.repartition(want) if have < want else df
+    if have >= want:
+        return df
+    size = _input_bytes(df)
+    return df.repartition(want) if size is None or size >= SPREAD_MIN_BYTES else df
 
 
 class Fixtures:
