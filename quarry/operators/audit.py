@@ -186,7 +186,8 @@ def duration_histogram(df: DataFrame, key: str, value: str, buckets: list[float]
     """F4/F5 (histograms): cumulative ``le_<b>`` counts per key plus count and sum,
     Prometheus-style, with fixed bucket bounds (a single partial aggregate)."""
     aggs = [F.count_if(F.col(value) <= b).alias(f"le_{str(b).replace('.', '_')}") for b in buckets]
-    return df.groupBy(key).agg(*aggs, F.count(F.lit(1)).alias("count"), F.sum(value).alias("sum"))
+    # The sum is rounded to cents: a float sum's last bits depend on the summation order.
+    return df.groupBy(key).agg(*aggs, F.count(F.lit(1)).alias("count"), F.round(F.sum(value), 2).alias("sum"))
 
 
 def request_metrics(access_log: DataFrame) -> DataFrame:

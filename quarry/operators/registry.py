@@ -93,11 +93,12 @@ def upsert_repositories(requests: DataFrame, repos: DataFrame, now, mode: str =
     outcomes carry ``delta`` (+1 per insert) for the repo-count ledger.
     """
     now_c = _now(now)
-    repos = repos.withColumn("id", F.col("id").cast("string")).withColumn("source_id", F.col("source_id").cast("string"))
     req = requests.withColumn("_norm", K.norm_url("url", mode))
+    # The earliest row (created_at, then id in its own type) is the one a request updates.
     cur = repos.withColumn("_norm", K.norm_url("url", mode))
     target = (cur.groupBy("user_id", "_norm").agg(F.min(F.struct("created_at", "id")).alias("_t"))
-              .select("user_id", "_norm", F.col("_t.id").alias("_target_id")))
+              .select("user_id", "_norm", F.col("_t.id").cast("string").alias("_target_id")))
+    repos = repos.withColumn("id", F.col("id").cast("string")).withColumn("source_id", F.col("source_id").cast("string"))
     first = req.groupBy("user_id", "_norm").agg(F.min("req_seq").alias("_first_seq"))
     r = req.join(target, ["user_id", "_norm"], "left").join(first, ["user_id", "_norm"], "inner")
     inserted = F.col("_target_id").isNull() & (F.col("req_seq") == F.col("_first_seq"))

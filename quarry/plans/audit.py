@@ -135,7 +135,7 @@ def f4_job_metrics(spark, sf_dir):
 @register("f4_duration_histogram", views=["fx_jobs"], oracle="""
 SELECT source_type, count(*) FILTER (WHERE duration_s <= 50000.0) AS le_50000_0,
        count(*) FILTER (WHERE duration_s <= 150000.0) AS le_150000_0, count(*) FILTER (WHERE duration_s <= 300000.0) AS le_300000_0,
-       count(*) AS count, sum(duration_s) AS sum FROM fx_jobs GROUP BY source_type""")
+       count(*) AS count, round(sum(duration_s), 2) AS sum FROM fx_jobs GROUP BY source_type""")
 def f4_duration_histogram(spark, sf_dir):
     return ops.duration_histogram(Fixtures(spark, sf_dir).fx_jobs, "source_type", "duration_s", [50000.0, 150000.0, 300000.0])
 
@@ -149,7 +149,7 @@ def f5_request_metrics(spark, sf_dir):
 
 @register("f5_latency_histogram", views=["fx_access_log"], oracle="""
 SELECT path, count(*) FILTER (WHERE latency_ms <= 10.0) AS le_10_0, count(*) FILTER (WHERE latency_ms <= 50.0) AS le_50_0,
-       count(*) FILTER (WHERE latency_ms <= 100.0) AS le_100_0, count(*) AS count, sum(latency_ms) AS sum
+       count(*) FILTER (WHERE latency_ms <= 100.0) AS le_100_0, count(*) AS count, round(sum(latency_ms), 2) AS sum
 FROM fx_access_log GROUP BY path""")
 def f5_latency_histogram(spark, sf_dir):
     return ops.duration_histogram(Fixtures(spark, sf_dir).fx_access_log, "path", "latency_ms", [10.0, 50.0, 100.0])
