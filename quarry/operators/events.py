@@ -53,22 +53,29 @@ def to_file_events(changes: DataFrame, blobs: DataFrame, repos: DataFrame,
                       F.coalesce("user_id", F.lit("system")).alias("user_id"), "is_deleted", *cy)
 
 
-def apply_file_events(state: DataFrame | None, events: DataFrame, order_col: str = "off") -> DataFrame:
+def apply_file_events(state: DataFrame | None, events: DataFrame, order_col: str = "off",
+                      keep_tombstones: bool = False) -> DataFrame:
     """Current file state after applying keyed events.
 
     Per (repo_id, file_path) the event with the greatest ``(offset, content, is_deleted)``
-    wins (offsets may repeat, so the order is made total); tombstones remove the file.
+    wins (offsets may repeat, so the order is made total); tombstones remove the file
+    (``keep_tombstones=True`` keeps them as rows, so a stored state remembers deletions).
     Existing state rows carry their own offset and lose to any newer event. One partial
     aggregate — a hot repository is reduced map-side, nothing is sorted per key.
     """
     ev = events.select("repo_id", "file_path", F.col(order_col).alias("off"), "content", "is_deleted")
     if state is not None:
+        deleted = F.col("is_deleted") if "is_deleted" in state.columns else F.lit(False)
         ev = state.select("repo_id", "file_path", F.col(order_col).alias("off"), "content",
-                          F.lit(False).alias("is_deleted")).unionByName(ev)
+                          deleted.alias("is_deleted")).unionByName(ev)
     best = (ev.groupBy("repo_id", "file_path")
             .agg(F.max(F.struct("off", "content", "is_deleted")).alias("_w")))
-    return (best.filter(~F.col("_w.is_deleted"))
-            .select("repo_id", "file_path", F.col("_w.content").alias("content"), F.col("_w.off").alias(order_col)))
+    if not keep_tombstones:
+        best = best.filter(~F.col("_w.is_deleted"))
+    cols = [F.col("_w.content").alias("content"), F.col("_w.off").alias(order_col)]
+    if keep_tombstones:
+        cols.append(F.col("_w.is_deleted").alias("is_deleted"))
+    return best.select("repo_id", "file_path", *cols)
 
 
 def event_identity(df: DataFrame, id_col: str | None = "event_id") -> DataFrame:
@@ -90,3 +97,50 @@ def dedupe_events(events: DataFrame, id_col: str | None = "event_id", ts_col: st
             raise ValueError("streaming de-duplication needs an event-time column")
         return e.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(["_identity"]).drop("_identity")
     return e.dropDuplicates(["_identity"]).drop("_identity")
+
+
+STATE_BUCKETS = 64
+
+
+def state_bucket(col: str = "repo_id", buckets: int = STATE_BUCKETS) -> F.Column:
+    """Directory bucket of a file-state row (by repository)."""
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+
+
+def write_file_state(state: DataFrame, path: str, buckets: int = STATE_BUCKETS) -> None:
+    """Store a current-state table partitioned by repository bucket (with an
+    ``is_deleted`` column: deletions are kept as tombstone rows)."""
+    if "is_deleted" not in state.columns:
+        state = state.withColumn("is_deleted", F.lit(False))
+    (state.withColumn("bucket", state_bucket(buckets=buckets)).repartition("bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+
+
+def read_file_state(spark, path: str) -> DataFrame:
+    """Live files of a stored state table (tombstones filtered out)."""
+    return spark.read.parquet(path).filter(~F.col("is_deleted")).drop("is_deleted", "bucket")
+
+
+def merge_file_state(spark, path: str, events: DataFrame, staging: str, buckets: int = STATE_BUCKETS,
+                     order_col: str = "off") -> None:
+    """E7 at scale: fold a batch of file events into a stored state table, rewriting
+    only the repository buckets the batch touches.
+
+    The touched buckets are read (partition pruning on ``bucket``), merged with the events
+    by :func:`apply_file_events` keeping tombstones (so an older, late event can never
+    resurrect a deleted file), staged under ``staging`` and swapped in with a dynamic
+    partition overwrite; untouched buckets are never read or written. Re-running a batch
+    is idempotent: the winner per key does not change.
+    """
+    ev = events.withColumn("bucket", state_bucket(buckets=buckets))
+    touched = [r[0] for r in ev.select("bucket").distinct().collect()]  # at most ``buckets`` ints
+    if not touched:
+        return
+    try:
+        cur = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
+    except Exception:  # no state yet
+        cur = None
+    merged = apply_file_events(cur, ev.drop("bucket"), order_col=order_col, keep_tombstones=True)
+    merged.withColumn("bucket", state_bucket(buckets=buckets)).write.mode("overwrite").parquet(staging)
+    (spark.read.parquet(staging).repartition("bucket").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))

@@ -126,14 +126,16 @@ def l2_update_stream(spark, sf_dir):
     diffs = chg.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new).withColumn("new_commit", F.lit("new"))
     blobs = (fx.fx_snap_new.select("doc_id", "repo_id", "path").join(fx.documents.select("doc_id", "text"), "doc_id")
              .select("repo_id", F.lit("new").alias("commit"), "path", F.encode("text", "UTF-8").alias("content")))
-    q = pipe.start_update_stream(records, diffs, blobs, event_plans._repos_for(fx.fx_snap_new), base + "/out",
-                                 base + "/ckpt", trigger={"availableNow": True})
-    q.awaitTermination()
     from ..functions.paths import is_binary
+    from ..operators import events as ev_ops
     old = (fx.fx_snap_old.filter(~is_binary("path")).select("doc_id", "repo_id", F.col("path").alias("file_path"))
            .join(fx.documents.select("doc_id", "text"), "doc_id")
            .select("repo_id", "file_path", F.col("text").alias("content"), F.lit(-1).cast("bigint").alias("off")))
-    state = pipe.current_file_state(spark, base + "/out", base_state=old)
+    ev_ops.write_file_state(old, base + "/state")
+    q = pipe.start_update_stream(records, diffs, blobs, event_plans._repos_for(fx.fx_snap_new), base + "/out",
+                                 base + "/ckpt", trigger={"availableNow": True}, state_path=base + "/state")
+    q.awaitTermination()
+    state = ev_ops.read_file_state(spark, base + "/state")
     return state.select("repo_id", "file_path", F.sha2("content", 256).alias("content_sha"))
 
 

@@ -49,9 +49,15 @@ def to_event_records(df: DataFrame, key_col: str = "repo_id", topic: str = DEFAU
                      F.lit(topic).alias("topic"))
 
 
-def write_events(records: DataFrame, sink: dict) -> None:
+def write_events(records: DataFrame, sink: dict, order_col: str | None = None) -> None:
     """A4 (sink): Kafka when ``sink['format'] == 'kafka'``; otherwise files partitioned by
-    event type, records clustered by key so each repository's events stay together."""
+    event type.
+
+    Kafka keeps per-key order through the record key (the producer partitions by it).
+    For files, records are range-partitioned on (key, ``order_col``) and sorted, so one
+    repository's events stay ordered and contiguous while a hot repository is still
+    spread over several writer tasks.
+    """
     fmt = sink.get("format", "parquet")
     if fmt == "kafka":
         (records.select("key", "value", "topic").write.format("kafka")
@@ -60,7 +66,8 @@ def write_events(records: DataFrame, sink: dict) -> None:
     out = records
     if "event_type" not in out.columns:
         out = out.withColumn("event_type", F.get_json_object(F.col("value").cast("string"), "$.event_type"))
-    (out.repartition("key").sortWithinPartitions("key")
+    order = [c for c in ("key", order_col) if c]
+    (out.repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode(sink.get("mode", "append")).partitionBy("event_type").format(fmt).save(sink["path"]))
 
 

@@ -31,10 +31,12 @@ def start_webhook_stream(deliveries: DataFrame, secrets: DataFrame, repos: DataF
 
 def start_update_stream(records: DataFrame, diffs: DataFrame, blobs: DataFrame, repos: DataFrame,
                         out_path: str, checkpoint: str, dlq_topic: str | None = None,
-                        trigger: dict | None = None) -> StreamingQuery:
+                        trigger: dict | None = None, state_path: str | None = None) -> StreamingQuery:
     """L2: REPO_UPDATED records -> landed diff entries for (repo, new commit) -> STREAMED_FILE
     events with increasing offsets -> ``out_path/file_events``; undecodable records ->
-    ``out_path/dlq`` in the same micro-batch. ``current_file_state`` folds the events.
+    ``out_path/dlq`` in the same micro-batch. With ``state_path`` every batch is also merged
+    into a stored current-state table (only touched repository buckets are rewritten);
+    without it ``current_file_state`` folds the written events on read.
 
     ``diffs``: repo_id, new_commit, path, change, old_path (landed compare results).
     ``blobs``: repo_id, commit, path, content.
@@ -54,6 +56,10 @@ def start_update_stream(records: DataFrame, diffs: DataFrame, blobs: DataFrame,
         fe = ev.to_file_events(ch, blobs, repos, match_cols=["commit"], carry=["offset"])
         fe = fe.withColumnRenamed("offset", "off")
         write_batch(fe, out_path + "/file_events", batch_id)
+        if state_path:
+            spark = batch.sparkSession
+            written = spark.read.parquet(f"{out_path}/file_events/batch_id={batch_id}")
+            ev.merge_file_state(spark, state_path, written, f"{out_path}/staging/batch_id={batch_id}")
         write_batch(src.to_dlq(rejects, dlq_topic=dlq_topic).select("key", "value", "topic"), out_path + "/dlq", batch_id)
     return run_handler(records, handle, None, checkpoint, trigger)
 
