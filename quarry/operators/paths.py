@@ -63,20 +63,26 @@ def select_paths(manifest: DataFrame, include: list[str] | None = None,
     return manifest.filter(P.glob_select(F.col(path_col), include, exclude))
 
 
+def _alternation(globs) -> str | None:
+    """One anchored Java regex matching any of ``globs`` (None: no usable pattern)."""
+    if globs is None:
+        return None
+    rx = [P.glob_to_regex(g.strip()) for g in globs if g is not None and g.strip()]
+    return "|".join(f"(?:{r})" for r in rx) if rx else None
+
+
+def _alternation_series(col: pd.Series) -> pd.Series:
+    return col.map(_alternation)
+
+
 def _patterns_to_regex(patterns_df: DataFrame) -> DataFrame:
-    """Translate per-source glob arrays to regex arrays.
+    """Per source: one include and one exclude regex (each an alternation of its globs).
 
-    Runs on the (small) patterns dimension only — one Python call per *pattern batch*,
-    Arrow-transferred — never per file.
+    Runs on the (small) pattern table only — Arrow batches of sources, never per file.
+    A single pattern per source and side lets each ``regexp_like`` reuse its compiled
+    pattern across the consecutive files of a repository.
     """
-    @F.pandas_udf("array<string>")
-    def to_rx(col: pd.Series) -> pd.Series:
-        def conv(arr):
-            if arr is None:
-                return None
-            return [P.glob_to_regex(g.strip()) for g in arr if g is not None and g.strip()]
-        return col.apply(conv)
-
+    to_rx = F.pandas_udf(_alternation_series, "string")
     return (patterns_df
             .withColumn("include_rx", to_rx(F.col("include_patterns")))
             .withColumn("exclude_rx", to_rx(F.col("exclude_patterns"))))
@@ -87,15 +93,14 @@ def select_paths_by_source(manifest: DataFrame, patterns: DataFrame, key: str =
     """B4 (per-source globs): ``patterns`` has ``key, include_patterns, exclude_patterns``.
 
     Empty / all-blank include lists mean "everything"; exclude lists default to none
-    (the upstream "all-blank exclude becomes exclude-everything" defect is not kept).
-    The pattern table is one row per source and is joined on ``key``; Catalyst broadcasts
-    it only when its estimated size is under the configured threshold.
+    (the "all-blank exclude becomes exclude-everything" defect is not kept). The pattern
+    table is one row per source and is joined on ``key``; Catalyst broadcasts it only
+    when its estimated size is under the configured threshold.
     """
     rx = _patterns_to_regex(patterns).select(key, "include_rx", "exclude_rx")
     p = F.col(path_col)
-    inc = F.col("include_rx")
-    keep = ((F.coalesce(F.size(inc), F.lit(0)) <= 0) | F.exists(inc, lambda r: F.regexp_like(p, r))) & \
-        ~F.coalesce(F.exists(F.col("exclude_rx"), lambda r: F.regexp_like(p, r)), F.lit(False))
+    keep = ((F.col("include_rx").isNull() | F.regexp_like(p, F.col("include_rx"))) &
+            ~F.coalesce(F.regexp_like(p, F.col("exclude_rx")), F.lit(False)))
     return manifest.join(rx, key, "left").filter(keep).drop("include_rx", "exclude_rx")
 
 
