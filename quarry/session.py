@@ -41,9 +41,56 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     except Exception:
         pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers (UDFs, mapInPandas, the data source).
+
+    The package sources are zipped once per content version and added with
+    ``addPyFile`` — the same thing ``--py-files`` does at submit time — so executors never
+    depend on the driver's working directory.
+    """
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # no SparkContext handle (e.g. Spark Connect): ship with --py-files instead
+        return
+    if app in _SHIPPED:
+        return
+    import hashlib
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    files = []
+    for d, _, names in os.walk(pkg):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(d, n))
+    digest = hashlib.sha1()
+    for f in sorted(files):
+        digest.update(os.path.relpath(f, root).encode())
+        with open(f, "rb") as fh:
+            digest.update(fh.read())
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    folder = local if "://" not in local else tempfile.gettempdir()
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, f"quarry-{digest.hexdigest()[:12]}.zip")
+    if not os.path.exists(target):
+        tmp = target + f".{uuid.uuid4().hex[:8]}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(files):
+                z.write(f, os.path.relpath(f, root))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
