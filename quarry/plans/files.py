@@ -189,7 +189,10 @@ def b7_prune_vendor_dirs(spark, sf_dir):
     return ops.prune_vendor_dirs(f)
 
 
-@register("b8_decode_text")
+@register("b8_decode_text", oracle="""
+SELECT doc_id, length(text) + CASE WHEN doc_id % 4 IN (0, 1) THEN 1 ELSE 0 END AS chars,
+       length(text) - length(replace(text, '�', '')) + CASE WHEN doc_id % 4 IN (0, 1) THEN 1 ELSE 0 END AS replacements
+FROM documents""")
 def b8_decode_text(spark, sf_dir):
     """Malformed tails appended to some documents; decoded text length and U+FFFD count."""
     fx = Fixtures(spark, sf_dir)
