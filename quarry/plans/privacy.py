@@ -9,21 +9,35 @@ from ..sources.fixtures import Fixtures
 from .catalog import register
 
 
-@register("k3_sanitize_metadata")
+@register("k3_sanitize_metadata", oracle="""
+SELECT event_id, MAP {'k': CAST(CAST(json_extract(props, '$.k') AS BIGINT) AS VARCHAR)} AS props, [event_type] AS tags,
+       [CAST(value AS VARCHAR), CAST(CAST(user_id AS DOUBLE) AS VARCHAR)] AS nums,
+       CASE WHEN event_type = 'click' THEN 'True' ELSE 'False' END AS is_click,
+       CAST(value AS VARCHAR) AS score, CAST(user_id AS VARCHAR) AS "user", FALSE AS has_long_key,
+       ['at'] AS meta_keys
+FROM events""")
 def k3_sanitize_metadata(spark, sf_dir):
-    """Nested metadata documents built from the events table (props object, tags list,
-    booleans, floats, an over-long key and a null) cleaned recursively."""
+    """Nested metadata documents built from the events table (props object, tags list with a
+    null, numbers, a boolean, an over-long key, a nested object with a null) cleaned
+    recursively; the cleaned JSON is read back field by field."""
     e = Fixtures(spark, sf_dir).events
+    long_key = "k" * 101
     doc = F.to_json(F.struct(
         F.from_json("props", "map<string,int>").alias("props"),
         F.array(F.col("event_type"), F.lit(None).cast("string")).alias("tags"),
         F.array(F.col("value"), F.col("user_id").cast("double")).alias("nums"),
         (F.col("event_type") == "click").alias("is_click"), F.col("value").alias("score"),
-        F.col("user_id").alias("user"), F.repeat(F.lit("k"), 101).alias("k" * 101),
+        F.col("user_id").alias("user"), F.repeat(F.lit("k"), 101).alias(long_key),
         F.struct(F.col("ts").cast("string").alias("at"), F.lit(None).cast("string").alias("gone")).alias("meta")),
         {"ignoreNullFields": "false"})
     src = e.select("event_id", doc.alias("metadata"))
-    return ops.sanitize_metadata(src, "metadata", nested=True).select("event_id", "metadata")
+    clean = ops.sanitize_metadata(src, "metadata", nested=True)
+    back = F.from_json("metadata", "props map<string,string>, tags array<string>, nums array<string>, is_click string, "
+                                   "score string, user string, meta map<string,string>")
+    return clean.select("event_id", back.alias("m"),
+                        F.get_json_object("metadata", f"$.{long_key}").isNotNull().alias("has_long_key")) \
+        .select("event_id", "m.props", "m.tags", "m.nums", "m.is_click", "m.score", "m.user", "has_long_key",
+                F.array_sort(F.map_keys("m.meta")).alias("meta_keys"))
 
 
 @register("k3_sanitize_metadata_flat", oracle="""
