@@ -39,7 +39,7 @@ def file_info(df: DataFrame, path_col: str = "path", content_col: str = "content
 
 
 def route_files(df: DataFrame, targets: dict[str, str] | None = None,
-                default_target: str = "unified-processor") -> DataFrame:
+                default_target: str = "processor") -> DataFrame:
     """One routing decision per file; ``unknown`` is coerced to ``document``.
 
     ``targets`` maps a file type to a destination; every type falls back to the single

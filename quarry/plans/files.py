@@ -121,7 +121,7 @@ def b2_file_info(spark, sf_dir):
 @register("b3_route_files", views=["fx_files"], oracle=f"""
 WITH c AS (SELECT path, {ftype(ext('path'))} AS file_type FROM fx_files)
 SELECT path, file_type, CASE WHEN file_type = 'unknown' THEN 'document' ELSE file_type END AS route_type,
-       CASE WHEN file_type = 'code' THEN 'code-processor' ELSE 'unified-processor' END AS target FROM c""")
+       CASE WHEN file_type = 'code' THEN 'code-processor' ELSE 'processor' END AS target FROM c""")
 def b3_route_files(spark, sf_dir):
     out = ops.route_files(Fixtures(spark, sf_dir).fx_files, targets={"code": "code-processor"})
     return out.select("path", "file_type", "route_type", "target")
