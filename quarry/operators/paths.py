@@ -43,7 +43,7 @@ def route_files(df: DataFrame, targets: dict[str, str] | None = None,
     """One routing decision per file; ``unknown`` is coerced to ``document``.
 
     ``targets`` maps a file type to a destination; every type falls back to the single
-    default destination, as upstream routes all types to one processor.
+    default destination, as the surveyed service routes all types to one processor.
     """
     classified = df if "file_type" in df.columns else classify_files(df)
     route_type = F.when(F.col("file_type") == "unknown", F.lit("document")).otherwise(F.col("file_type"))
@@ -159,7 +159,7 @@ def categorize_files(files: DataFrame, keys: list[str] | None = None,
     """per key, counts (and bytes) of code / document / unknown files plus totals.
 
     Counting is a partial (map-side) aggregation, so one huge repository is reduced in
-    every task before the shuffle. The per-file lists of the upstream result are the
+    every task before the shuffle. The per-file lists of the surveyed result are the
     classified rows themselves (``classify_files``), never collected into one array.
     """
     keys = keys or ["repo_id"]
