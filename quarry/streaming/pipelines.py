@@ -18,14 +18,15 @@ def start_webhook_stream(deliveries: DataFrame, secrets: DataFrame, repos: DataF
     """L1: webhook deliveries -> REPO_UPDATED events (``out_path/events``) and rejects
     (``out_path/rejects``). Dimensions are static DataFrames joined per micro-batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # Two outputs from one micro-batch: keep the batch for the second write.
-        batch = batch.persist()
+        # Two outputs from one micro-batch: the per-delivery outcome (authentication,
+        # parsing, matching) is computed once and kept for the second write.
+        outcome = wh.webhook_outcomes(batch, secrets, repos, creds, now).persist()
         try:
-            events, rejects = wh.webhook_updates(batch, secrets, repos, creds, now)
-            write_batch(events, out_path + "/events", batch_id)
-            write_batch(rejects, out_path + "/rejects", batch_id)
+            write_batch(wh.repo_updated_events(outcome.filter(F.col("reason").isNull())), out_path + "/events", batch_id)
+            write_batch(outcome.filter(F.col("reason").isNotNull()).select("delivery_id", "reason"),
+                        out_path + "/rejects", batch_id)
         finally:
-            batch.unpersist()
+            outcome.unpersist()
     return run_handler(deliveries, handle, None, checkpoint, trigger, name=None)
 
 
