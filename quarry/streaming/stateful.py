@@ -40,10 +40,11 @@ def start_rate_limit_stream(log: DataFrame, out_path: str, checkpoint: str, stat
         spark = batch.sparkSession
         cur = _limiter_rows(batch, limits, client_col, ts_col, seq_col).withColumn("_cur", F.lit(True)) \
             .withColumn("_arr", F.struct(F.lit(batch_id).cast("long").alias("b"), F.col("seq")))
+        state_schema = cur.select(*cols, "_arr").schema
         try:
-            prev = spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}").select(*cols, "_arr")
-        except AnalysisException:
-            prev = spark.createDataFrame([], cur.select(*cols, "_arr").schema)
+            prev = spark.read.schema(state_schema).parquet(f"{state_path}/batch_id={batch_id - 1}")
+        except AnalysisException:  # first batch: nothing carried yet
+            prev = spark.createDataFrame([], state_schema)
         both = prev.withColumn("_cur", F.lit(False)).unionByName(cur.select(*cols, "_arr", "_cur")) \
             .withColumn("_t", F.unix_micros("ts")).persist()
         try:
