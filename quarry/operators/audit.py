@@ -41,9 +41,12 @@ def rate_limit_audit(log: DataFrame, limits: dict | None = None, window_secs: in
     """
     limits = limits or DEFAULT_RATE_LIMITS
     exempt = F.col("path").isin(*RATE_LIMIT_EXEMPT_PATHS)
-    x = log.filter(~exempt).withColumn("_t", _micros(ts_col))
-    counted = sliding_count(x, [client_col, "path"], "_t", window_secs * 1_000_000, "request_count",
+    # Counters are keyed by client and the path with "/" replaced by "_" (so "/a/b" and
+    # "/a_b" share one counter, as the live limiter's key does).
+    x = log.filter(~exempt).withColumn("_t", _micros(ts_col)).withColumn("_rl_path", F.replace("path", F.lit("/"), F.lit("_")))
+    counted = sliding_count(x, [client_col, "_rl_path"], "_t", window_secs * 1_000_000, "request_count",
                             arrival=seq_col, bucket_micros=bucket_secs * 1_000_000 if bucket_secs else None)
+    counted = counted.drop("_rl_path")
     lim = limit_for_path("path", limits)
     return (counted.withColumn("rate_limit", lim)
             .withColumn("rejected", F.col("request_count") > F.col("rate_limit"))

@@ -14,8 +14,9 @@ WINDOW = 6 * 3600
 
 @register("g1_rate_limit_audit", views=["fx_access_log"], oracle=f"""
 WITH x AS (SELECT *, epoch_us(ts) AS t FROM fx_access_log WHERE path NOT IN ('/health', '/metrics', '/status')),
-c AS (SELECT *, count(*) OVER (PARTITION BY client, path ORDER BY t RANGE BETWEEN {WINDOW * 1000000 - 1} PRECEDING AND CURRENT ROW)
-                - (count(*) OVER (PARTITION BY client, path, t) - row_number() OVER (PARTITION BY client, path, t ORDER BY seq)) AS request_count,
+c AS (SELECT *, count(*) OVER (PARTITION BY client, replace(path, '/', '_') ORDER BY t RANGE BETWEEN {WINDOW * 1000000 - 1} PRECEDING AND CURRENT ROW)
+                - (count(*) OVER (PARTITION BY client, replace(path, '/', '_'), t)
+                   - row_number() OVER (PARTITION BY client, replace(path, '/', '_'), t ORDER BY seq)) AS request_count,
              CASE WHEN contains(path, '/search') THEN 4 WHEN contains(path, '/sources') THEN 6
                   WHEN contains(path, '/sync') THEN 3 ELSE 5 END AS rate_limit FROM x)
 SELECT seq, client, path, request_count, rate_limit, request_count > rate_limit AS rejected,

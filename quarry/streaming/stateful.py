@@ -48,8 +48,9 @@ def start_rate_limit_stream(log: DataFrame, out_path: str, checkpoint: str, stat
         both = prev.withColumn("_cur", F.lit(False)).unionByName(cur.select(*cols, "_arr", "_cur")) \
             .withColumn("_t", F.unix_micros("ts")).persist()
         try:
-            counted = sliding_count(both, ["client", "path"], "_t", w_us, "request_count", arrival="_arr",
-                                    bucket_micros=bucket_secs * 1_000_000 if bucket_secs else None)
+            both_k = both.withColumn("_rl_path", F.replace("path", F.lit("/"), F.lit("_")))
+            counted = sliding_count(both_k, ["client", "_rl_path"], "_t", w_us, "request_count", arrival="_arr",
+                                    bucket_micros=bucket_secs * 1_000_000 if bucket_secs else None).drop("_rl_path")
             lim = limit_for_path("path", limits)
             out = (counted.filter("_cur").withColumn("rate_limit", lim)
                    .withColumn("rejected", F.col("request_count") > F.col("rate_limit"))

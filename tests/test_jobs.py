@@ -192,3 +192,11 @@ def test_validate_source_ids(spark):
                                 "exclude_patterns array<string>, credentials map<string,string>, source_id string")
     errs = [r.errors for r in registry.validate_sources(req).collect()]
     assert errs == [[], ["source_id_invalid"], ["source_id_required"], ["source_id_too_long"]]
+
+
+def test_rate_limit_key_folds_slashes(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0, t0, "c", "/api/a/b"), (1, t0 + dt.timedelta(seconds=1), "c", "/api/a_b")]
+    out = audit.rate_limit_audit(spark.createDataFrame(rows, "seq long, ts timestamp, client string, path string"),
+                                 {"default": 10}, window_secs=60)
+    assert [r.request_count for r in out.orderBy("seq").collect()] == [1, 2]
