@@ -29,6 +29,19 @@ def limit_for_path(path, limits: dict) -> Column:
     return out
 
 
+def client_identity(user="auth_user", forwarded="forwarded_for", real_ip="real_ip", host="host") -> Column:
+    """Rate-limit client id: ``user:<id>`` for authenticated requests, else the first
+    X-Forwarded-For entry (stripped), else X-Real-IP, else the peer host, else ``unknown``."""
+    from ..functions.keys import py_strip
+    u, f, r, h = F.col(user), F.col(forwarded), F.col(real_ip), F.col(host)
+    nonempty = lambda c: c.isNotNull() & (c != "")
+    return (F.when(nonempty(u), F.concat(F.lit("user:"), u))
+             .when(nonempty(f), py_strip(F.split(f, ",").getItem(0)))
+             .when(nonempty(r), r)
+             .when(h.isNotNull(), h)
+             .otherwise(F.lit("unknown")))
+
+
 def rate_limit_audit(log: DataFrame, limits: dict | None = None, window_secs: int = 60,
                      client_col: str = "client", ts_col: str = "ts", seq_col: str = "seq",
                      bucket_secs: int | None = None) -> DataFrame:

@@ -248,3 +248,15 @@ FROM dd""")
 def l5_chunk_placement(spark, sf_dir):
     _, placed = ops.reassemble_files(_chunks(Fixtures(spark, sf_dir)), block=8)
     return placed.select("file_id", "chunk_index", "offset", "length")
+
+
+@register("g1_client_identity", views=["fx_access_log"], oracle="""
+SELECT seq, CASE WHEN coalesce(auth_user, '') <> '' THEN 'user:' || auth_user
+                 WHEN coalesce(forwarded_for, '') <> '' THEN regexp_replace(split_part(forwarded_for, ',', 1), '^\\s+|\\s+$', '', 'g')
+                 WHEN coalesce(real_ip, '') <> '' THEN real_ip
+                 WHEN host IS NOT NULL THEN host ELSE 'unknown' END AS client_id
+FROM fx_access_log""")
+def g1_client_identity(spark, sf_dir):
+    """Client id of every logged request, as the limiter derives it from auth and headers."""
+    log = Fixtures(spark, sf_dir).fx_access_log
+    return log.select("seq", ops.client_identity().alias("client_id"))

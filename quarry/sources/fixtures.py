@@ -131,7 +131,12 @@ SELECT event_id AS seq, ts, concat('u', CAST(user_id % 3 AS varchar(20))) AS cli
        CASE event_type WHEN 'click' THEN '/api/search' WHEN 'view' THEN '/api/sources'
             WHEN 'purchase' THEN '/api/sources/1/sync' WHEN 'signup' THEN '/api/v1/sync/jobs' ELSE '/health' END AS path,
        CASE event_type WHEN 'click' THEN 'GET' WHEN 'view' THEN 'GET' ELSE 'POST' END AS method,
-       CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, value AS latency_ms
+       CASE WHEN event_type = 'error' THEN 503 ELSE 200 END AS status, value AS latency_ms,
+       CASE WHEN event_id % 4 = 0 THEN CAST(user_id AS varchar(20)) END AS auth_user,
+       CASE event_id % 5 WHEN 0 THEN concat(' 10.0.', CAST(user_id % 7 AS varchar(20)), '.1 , 172.16.0.1')
+                         WHEN 1 THEN ', 10.9.9.9' WHEN 2 THEN '' END AS forwarded_for,
+       CASE WHEN event_id % 3 = 0 THEN concat('192.168.0.', CAST(user_id % 5 AS varchar(20))) END AS real_ip,
+       CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('h', CAST(user_id % 9 AS varchar(20))) END AS host
 FROM @events
 """
 
