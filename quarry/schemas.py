@@ -46,7 +46,8 @@ EVENT_SCHEMAS = {
 # Required (non-empty) payload fields per event type, checked by the typed reader.
 REQUIRED_FIELDS = {
     "STREAMED_FILE": ["repo_id", "file_path"],
-    "REPO_UPDATED": ["payload.repo_id", "payload.url", "payload.new_commit"],
+    "REPO_UPDATED": ["payload.repo_id", "payload.provider", "payload.old_commit", "payload.new_commit",
+                     "payload.credential_ref"],
     "REPO_INGEST_REQUESTED": ["payload.repo_id", "payload.url"],
     "REPO_INGEST_COMPLETED": ["payload.repo_id"],
     "REPO_INGEST_FAILED": ["payload.repo_id", "payload.error_code"],
