@@ -175,12 +175,19 @@ def categorize_files(files: DataFrame, keys: list[str] | None = None,
     return c.groupBy(*keys).agg(*aggs)
 
 
-def fetch_totals(selected: DataFrame, keys: list[str] | None = None, size_col: str = "size") -> DataFrame:
-    """number of selected files and their total size (null size counts 0)."""
+def fetch_totals(selected: DataFrame, keys: list[str] | None = None, size_col: str = "size",
+                 downloaded_col: str | None = None) -> DataFrame:
+    """number of selected files and their total size (null size counts 0).
+
+    GitHub and Bitbucket fetches total the *selected* files; GitLab totals only the files
+    that were downloaded — pass ``downloaded_col`` (boolean) for that rule.
+    """
     keys = keys or ["repo_id"]
+    size = F.coalesce(F.col(size_col), F.lit(0))
+    if downloaded_col:
+        size = F.when(F.col(downloaded_col), size).otherwise(0)
     return selected.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum(F.coalesce(F.col(size_col), F.lit(0))).cast("bigint").alias("total_size"))
+        F.count(F.lit(1)).alias("files"), F.sum(size).cast("bigint").alias("total_size"))
 
 
 def extension_inventory(files: DataFrame, keys: list[str] | None = None, top: int | None = None,

@@ -200,3 +200,9 @@ def test_rate_limit_key_folds_slashes(spark):
     out = audit.rate_limit_audit(spark.createDataFrame(rows, "seq long, ts timestamp, client string, path string"),
                                  {"default": 10}, window_secs=60)
     assert [r.request_count for r in out.orderBy("seq").collect()] == [1, 2]
+
+
+def test_fetch_totals_downloaded_rule(spark):
+    df = spark.createDataFrame([("r", 10, True), ("r", None, True), ("r", 5, False)], "repo_id string, size long, ok boolean")
+    assert paths.fetch_totals(df).first().total_size == 15
+    assert paths.fetch_totals(df, downloaded_col="ok").first().total_size == 10
