@@ -181,16 +181,16 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], carry: list[s
     w = Window.orderBy("_pid")
     wk = Window.partitionBy("_lk").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
     summ = summ.withColumn("_cum", F.sum("_ll").over(wk))
-    cont_prev = F.lag("_lk").over(w) == F.col("_fk")
-    cont_next = F.lead("_fk").over(w) == F.col("_lk")
+    cont_prev = F.lag("_lk").over(w).eqNullSafe(F.col("_fk")) & F.lag("_lk").over(w).isNotNull()
+    cont_next = F.lead("_fk").over(w).eqNullSafe(F.col("_lk")) & F.lead("_fk").over(w).isNotNull()
     summ = summ.select(
         "_pid", "_fk", "_lk",
         F.when(F.coalesce(cont_prev, F.lit(False)), F.lag("_cum").over(w)).otherwise(0).alias("_off"),
         *[F.when(F.coalesce(cont_prev, F.lit(False)), F.lag("_lv_" + c).over(w)).alias("_bp_" + c) for c in carry],
         *[F.when(F.coalesce(cont_next, F.lit(False)), F.lead("_fv_" + c).over(w)).alias("_bn_" + c) for c in carry])
     j = scanned.join(F.broadcast(summ), "_pid", "left")
-    is_first_key = kstruct == F.col("_fk")
-    is_last_key = kstruct == F.col("_lk")
+    is_first_key = kstruct.eqNullSafe(F.col("_fk"))
+    is_last_key = kstruct.eqNullSafe(F.col("_lk"))
     out = j.withColumn(out_ord, F.col("_local") + F.when(is_first_key, F.col("_off")).otherwise(0))
     for c in carry:
         out = out.withColumn("prev_" + c, F.when(is_first_key & (F.col("_local") == 1), F.col("_bp_" + c))

@@ -42,3 +42,14 @@ def test_sliding_count_brute_force(spark):
     for k, t, s in rows:
         want = sum(1 for k2, t2, s2 in rows if k2 == k and t - w < t2 <= t and (t2 < t or s2 <= s))
         assert got[s] == want
+
+
+def test_ordered_scan_null_keys(spark):
+    rows = [(None if i % 3 == 0 else "a", i, f"v{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, t long, v string")
+    got = ordered_scan(df, ["k"], ["t"], carry=["v"], partitions=5, hot_threshold=None)
+    w = Window.partitionBy("k").orderBy("t")
+    want = df.select("*", F.row_number().over(w).alias("_ord"), F.lag("v").over(w).alias("prev_v"),
+                     F.lead("v").over(w).alias("next_v"))
+    key = lambda r: (r.k or "", r.t)
+    assert sorted(got.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
