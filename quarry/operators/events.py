@@ -112,7 +112,10 @@ def write_file_state(state: DataFrame, path: str, buckets: int = STATE_BUCKETS)
     ``is_deleted`` column: deletions are kept as tombstone rows)."""
     if "is_deleted" not in state.columns:
         state = state.withColumn("is_deleted", F.lit(False))
-    (state.withColumn("bucket", state_bucket(buckets=buckets)).repartition("bucket")
+    # Range partitioning on (bucket, repo, path): a bucket holding one huge repository is
+    # still written by many tasks.
+    (state.withColumn("bucket", state_bucket(buckets=buckets))
+     .repartitionByRange("bucket", "repo_id", "file_path")
      .write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
@@ -142,5 +145,5 @@ def merge_file_state(spark, path: str, events: DataFrame, staging: str, buckets:
         cur = None
     merged = apply_file_events(cur, ev.drop("bucket"), order_col=order_col, keep_tombstones=True)
     merged.withColumn("bucket", state_bucket(buckets=buckets)).write.mode("overwrite").parquet(staging)
-    (spark.read.parquet(staging).repartition("bucket").write.mode("overwrite")
+    (spark.read.parquet(staging).repartitionByRange("bucket", "repo_id", "file_path").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
