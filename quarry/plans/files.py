@@ -275,8 +275,9 @@ def a8_connector_scan(spark, sf_dir):
              .groupBy("repo_id", "page_no").agg(F.collect_list("e").alias("tree")))
     docs = pages.select("repo_id", "page_no", F.to_json(F.struct(
         "repo_id", F.lit("github").alias("provider"), F.struct("tree").alias("page"))).alias("value"))
-    # Landed pages as JSON lines, clustered by repository into a few files.
-    docs.repartition(8, "repo_id").select("value").write.mode("overwrite").text(base + "/landed")
+    # Landed pages as JSON lines, clustered by repository (and page, so a big repository
+    # spans several files) into a few files.
+    docs.repartitionByRange(8, "repo_id", "page_no").select("value").write.mode("overwrite").text(base + "/landed")
     spark.dataSource.register(RepoDumpSource)
     return (spark.read.format("repodump").option("path", base + "/landed")
             .option("include", "src/**/*,docs/**/*").option("exclude", "*.md").load())
