@@ -206,3 +206,23 @@ def test_fetch_totals_downloaded_rule(spark):
     df = spark.createDataFrame([("r", 10, True), ("r", None, True), ("r", 5, False)], "repo_id string, size long, ok boolean")
     assert paths.fetch_totals(df).first().total_size == 15
     assert paths.fetch_totals(df, downloaded_col="ok").first().total_size == 10
+
+
+def test_upsert_repositories_semantics(spark):
+    repos = spark.createDataFrame(
+        [("1", "u1", "r", "github", "https://github.com/O/r.git", "main", "active", None, dt.datetime(2024, 1, 1), None),
+         ("2", "u1", "r", "github", "https://github.com/o/r", "main", "active", "old", dt.datetime(2024, 2, 1), None)],
+        "id string, user_id string, name string, provider string, url string, branch string, status string, "
+        "source_id string, created_at timestamp, updated_at timestamp")
+    reqs = spark.createDataFrame(
+        [(1, "u1", "r", "github", "https://github.com/o/r/", None, "s1"),
+         (2, "u2", "r", "github", "https://github.com/o/r", "dev", None),
+         (3, "u2", "r", "github", "https://github.com/o/r.git", None, "s2")],
+        "req_seq long, user_id string, name string, provider string, url string, branch string, source_id string")
+    snap, out = registry.upsert_repositories(reqs, repos, "2024-03-01 00:00:00")
+    o = {r.req_seq: (r.outcome, r.delta) for r in out.collect()}
+    assert o == {1: ("updated", 0), 2: ("inserted", 1), 3: ("updated", 0)}
+    rows = {(r.user_id, r.id if r.user_id == "u1" else "new"): (r.status, r.source_id, r.branch) for r in snap.collect()}
+    assert rows[("u1", "1")] == ("validation_in_progress", "s1", "main")   # earliest row of the key is updated
+    assert rows[("u1", "2")] == ("active", "old", "main")                   # the duplicate is untouched
+    assert rows[("u2", "new")] == ("validation_in_progress", "s2", "dev")
