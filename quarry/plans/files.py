@@ -281,3 +281,22 @@ def a8_connector_scan(spark, sf_dir):
     spark.dataSource.register(RepoDumpSource)
     return (spark.read.format("repodump").option("path", base + "/landed")
             .option("include", "src/**/*,docs/**/*").option("exclude", "*.md").load())
+
+
+@register("a1_manifest_read", views=["fx_files"], oracle="""
+SELECT repo_id, 'github' AS provider, path, 'file' AS entry_type, sha, size, CAST(NULL AS VARCHAR) AS ref FROM fx_files""")
+def a1_manifest_read(spark, sf_dir):
+    """GitHub tree listings landed as JSON lines (files and their parent folders), read back
+    with the declared listing schema and reduced to file entries."""
+    from ..session import checkpoint_path
+    from ..sources.manifest import read_manifest
+    f = Fixtures(spark, sf_dir).fx_files
+    listing = (f.select("repo_id", "path", F.lit("blob").alias("type"), "sha", "size",
+                        F.concat(F.lit("https://api.example/blobs/"), "sha").alias("url"))
+               .unionByName(f.select("repo_id", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"),
+                                     F.lit("tree").alias("type"), F.lit(None).cast("string").alias("sha"),
+                                     F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("string").alias("url"))
+                            .distinct()))
+    base = checkpoint_path(spark, "a1", unique=True)
+    listing.repartitionByRange(8, "repo_id", "path").write.mode("overwrite").json(base)
+    return read_manifest(spark, base, "github", fmt="json")
