@@ -226,3 +226,17 @@ def test_upsert_repositories_semantics(spark):
     assert rows[("u1", "1")] == ("validation_in_progress", "s1", "main")   # earliest row of the key is updated
     assert rows[("u1", "2")] == ("active", "old", "main")                   # the duplicate is untouched
     assert rows[("u2", "new")] == ("validation_in_progress", "s2", "dev")
+
+
+def test_read_checkout_binary_files(spark):
+    import os
+    from quarry.session import checkpoint_path
+    from quarry.sources.manifest import content_manifest, read_checkout
+    base = checkpoint_path(spark, "test-checkout", unique=True)
+    os.makedirs(f"{base}/src/pkg", exist_ok=True)
+    for rel, data in {"src/a.py": b"print(1)\n", "src/pkg/b.md": b"# b\n", "README": b"x"}.items():
+        with open(f"{base}/{rel}", "wb") as fh:
+            fh.write(data)
+    blobs = read_checkout(spark, base, "repo1", glob="*.py")
+    got = [(r.path, r.byte_size, r.raw_extension) for r in content_manifest(blobs).collect()]
+    assert got == [("src/a.py", 9, "py")]
