@@ -32,3 +32,10 @@ def test_top_n_is_limited_before_the_shuffle(spark, name):
 def test_flagship_aggregates_partially(spark):
     plan = plan_of(spark, "flagship_file_mix")
     assert plan.count("HashAggregate") >= 2 and "Window" not in plan
+
+
+def test_every_job_has_an_oracle_and_a_survey_id():
+    names = set(E.queries())
+    assert names == set(E.oracle_sql())
+    ids = re.compile(r"^(flagship|[a-l]\d+|u1)_")
+    assert all(ids.match(n) for n in names), sorted(n for n in names if not ids.match(n))
