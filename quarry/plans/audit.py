@@ -23,6 +23,7 @@ SELECT seq, client, path, request_count, rate_limit, request_count > rate_limit
        CASE WHEN request_count > rate_limit THEN 0 ELSE greatest(0, rate_limit - request_count) END AS remaining,
        CAST(floor(t / 1000000) AS BIGINT) + {WINDOW} AS reset FROM c""")
 def g1_rate_limit_audit(spark, sf_dir):
+    """G1: sliding-window rate-limit replay over the access log."""
     log = Fixtures(spark, sf_dir).fx_access_log
     out = ops.rate_limit_audit(log, LIMITS, WINDOW, bucket_secs=86400)
     return out.select("seq", "client", "path", "request_count", "rate_limit", "rejected", "remaining", "reset")
@@ -41,6 +42,7 @@ a AS (SELECT x.sync_id,
       FROM x LEFT JOIN t ON t.sync_id = x.sync_id GROUP BY x.sync_id)
 SELECT *, trip_seq IS NOT NULL AS tripped, CASE WHEN trip_seq IS NOT NULL THEN total - sent - failed ELSE 0 END AS remaining FROM a""")
 def g3_circuit_breaker(spark, sf_dir):
+    """Circuit-breaker replay per sync."""
     return ops.circuit_breaker_replay(Fixtures(spark, sf_dir).fx_send_log, threshold=3, block=64)
 
 
@@ -58,6 +60,7 @@ SELECT request_id, attempts, total_backoff_s, final_status,
        CASE WHEN NOT lterm THEN 'incomplete' WHEN NOT ltr AND final_status < 400 THEN 'success' WHEN ltr THEN 'unreachable'
             WHEN final_status IN (502, 503, 504) THEN 'exhausted' ELSE 'client_error' END AS outcome FROM g""")
 def g4_retry_ledger(spark, sf_dir):
+    """Retry attempts, backoff and outcome per request."""
     return ops.retry_ledger(Fixtures(spark, sf_dir).fx_attempts)
 
 
@@ -67,6 +70,7 @@ SELECT job_id, seq, ts, status,
        (epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6 AS seconds_in_state
 FROM fx_job_status_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq, status)""")
 def g5_status_timeline(spark, sf_dir):
+    """Ordered status transitions per job."""
     steps, _ = ops.status_timeline(Fixtures(spark, sf_dir).fx_job_status_events)
     return steps.select("job_id", "seq", "ts", "status", "prev_status", "next_ts", "seconds_in_state")
 
@@ -77,6 +81,7 @@ SELECT job_id, arg_max(status, (ts, seq, status)) AS status,
        max(ts) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS completed_at,
        count(*) AS transitions FROM fx_job_status_events GROUP BY job_id""")
 def g5_job_summary(spark, sf_dir):
+    """Last status, start and completion time per job."""
     _, summary = ops.status_timeline(Fixtures(spark, sf_dir).fx_job_status_events)
     return summary
 
@@ -97,6 +102,7 @@ def _deltas(fx: Fixtures):
 WITH {DELTAS_SQL.strip()}
 SELECT user_id, CAST(sum(delta) AS BIGINT) AS balance, count(*) AS changes FROM d GROUP BY user_id""")
 def f7_repo_count_ledger(spark, sf_dir):
+    """repository count balance per user."""
     return ops.repo_count_ledger(_deltas(Fixtures(spark, sf_dir)))
 
 
@@ -104,6 +110,7 @@ def f7_repo_count_ledger(spark, sf_dir):
 WITH {DELTAS_SQL.strip()}
 SELECT user_id, seq, delta, CAST(sum(delta) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_balance FROM d""")
 def g6_repo_count_running(spark, sf_dir):
+    """Running repository balance per user."""
     return ops.repo_count_running(_deltas(Fixtures(spark, sf_dir)))
 
 
@@ -114,6 +121,7 @@ SELECT repo_id, commit_id, count(*) FILTER (WHERE ok) AS files_processed,
        CAST(sum(CASE WHEN ok THEN size_bytes ELSE 0 END) AS BIGINT) AS repository_size_bytes
 FROM fx_file_results GROUP BY repo_id, commit_id""")
 def f3_ingest_stats(spark, sf_dir):
+    """ingest statistics per repository and commit."""
     per, _ = ops.ingest_stats(Fixtures(spark, sf_dir).fx_file_results)
     return per
 
@@ -122,6 +130,7 @@ def f3_ingest_stats(spark, sf_dir):
 SELECT count(*) FILTER (WHERE ok) AS total_processed, count(*) FILTER (WHERE NOT ok) AS total_failed,
        CAST(sum(duration_ms) AS BIGINT) AS total_time_ms FROM fx_file_results""")
 def f3_ingest_totals(spark, sf_dir):
+    """batch totals of an ingest."""
     _, totals = ops.ingest_stats(Fixtures(spark, sf_dir).fx_file_results)
     return totals
 
@@ -130,6 +139,7 @@ def f3_ingest_totals(spark, sf_dir):
 SELECT status, source_type, count(*) AS jobs, CAST(grouping(status, source_type) AS INTEGER) AS level
 FROM fx_jobs GROUP BY ROLLUP (status, source_type)""")
 def f4_job_metrics(spark, sf_dir):
+    """jobs by status and source type with subtotals (ROLLUP)."""
     return ops.job_metrics(Fixtures(spark, sf_dir).fx_jobs)
 
 
@@ -138,6 +148,7 @@ SELECT source_type, count(*) FILTER (WHERE duration_s <= 50000.0) AS le_50000_0,
        count(*) FILTER (WHERE duration_s <= 150000.0) AS le_150000_0, count(*) FILTER (WHERE duration_s <= 300000.0) AS le_300000_0,
        count(*) AS count, round(sum(duration_s), 2) AS sum FROM fx_jobs GROUP BY source_type""")
 def f4_duration_histogram(spark, sf_dir):
+    """job duration histogram per source type."""
     return ops.duration_histogram(Fixtures(spark, sf_dir).fx_jobs, "source_type", "duration_s", [50000.0, 150000.0, 300000.0])
 
 
@@ -145,6 +156,7 @@ def f4_duration_histogram(spark, sf_dir):
 SELECT method, path, status, count(*) AS requests, CAST(grouping(method, path, status) AS INTEGER) AS level
 FROM fx_access_log GROUP BY CUBE (method, path, status)""")
 def f5_request_metrics(spark, sf_dir):
+    """requests by method, path and status with subtotals (CUBE)."""
     return ops.request_metrics(Fixtures(spark, sf_dir).fx_access_log)
 
 
@@ -153,6 +165,7 @@ SELECT path, count(*) FILTER (WHERE latency_ms <= 10.0) AS le_10_0, count(*) FIL
        count(*) FILTER (WHERE latency_ms <= 100.0) AS le_100_0, count(*) AS count, round(sum(latency_ms), 2) AS sum
 FROM fx_access_log GROUP BY path""")
 def f5_latency_histogram(spark, sf_dir):
+    """request latency histogram per path."""
     return ops.duration_histogram(Fixtures(spark, sf_dir).fx_access_log, "path", "latency_ms", [10.0, 50.0, 100.0])
 
 
@@ -160,6 +173,7 @@ def f5_latency_histogram(spark, sf_dir):
 SELECT error_code, fatal, count(*) AS failures, CAST(sum(retry_count) AS BIGINT) AS retries, max(retry_count) AS max_retries,
        count(DISTINCT repo_id) AS repos FROM fx_file_results WHERE NOT ok GROUP BY error_code, fatal""")
 def f6_failure_breakdown(spark, sf_dir):
+    """failures by error code and fatality with retry statistics."""
     r = Fixtures(spark, sf_dir).fx_file_results
     return ops.failure_breakdown(r.filter(~F.col("ok")))
 
@@ -177,6 +191,7 @@ SELECT c.file_id, count(DISTINCT c.chunk_id) AS chunks,
        count(*) FILTER (WHERE e.chunk_id IS NULL) AS missing
 FROM fx_chunks c LEFT JOIN e ON e.chunk_id = c.chunk_id GROUP BY c.file_id""")
 def f8_embedding_coverage(spark, sf_dir):
+    """F8: chunks, embedded chunks and missing embeddings per file."""
     fx = Fixtures(spark, sf_dir)
     per_file, _ = ops.embedding_coverage(fx.fx_chunks.select("chunk_id", "file_id"), _embeddings(fx),
                                          {"m0": 64, "m1": 64, "m2": 128})
@@ -188,6 +203,7 @@ SELECT 'm' || CAST(label % 3 AS VARCHAR) AS model, count(*) AS vectors,
        count(*) FILTER (WHERE len(embedding) <> CASE label % 3 WHEN 2 THEN 128 ELSE 64 END) AS dimension_mismatches
 FROM embeddings GROUP BY 1""")
 def f8_embedding_dimensions(spark, sf_dir):
+    """F8: vectors and dimension mismatches per embedding model."""
     fx = Fixtures(spark, sf_dir)
     _, per_model = ops.embedding_coverage(fx.fx_chunks.select("chunk_id", "file_id"), _embeddings(fx),
                                           {"m0": 64, "m1": 64, "m2": 128})
@@ -199,6 +215,7 @@ SELECT c.file_id, c.chunk_type, count(*) AS chunks, avg(l.quality) AS avg_qualit
        CAST(sum(c.size) AS BIGINT) AS total_size, max(c.size) AS max_size
 FROM fx_chunks c LEFT JOIN labels l ON l.doc_id = c.chunk_id GROUP BY c.file_id, c.chunk_type""")
 def f9_chunk_stats(spark, sf_dir):
+    """chunk count, quality and sizes per file and chunk type."""
     fx = Fixtures(spark, sf_dir)
     ch = (fx.fx_chunks.join(fx.labels.select(F.col("doc_id").alias("chunk_id"), "quality"), "chunk_id", "left")
           .select("file_id", "chunk_type", "size", F.col("quality").alias("quality_score"),
@@ -211,6 +228,7 @@ SELECT id, processed_files, total_files,
        round(coalesce(CASE WHEN total_files = 0 THEN NULL ELSE processed_files * 100.0 / total_files END, 0.0), 4) AS progress
 FROM fx_jobs""")
 def f10_job_progress(spark, sf_dir):
+    """processed percentage per job."""
     return ops.job_progress(Fixtures(spark, sf_dir).fx_jobs).select("id", "processed_files", "total_files", "progress")
 
 
@@ -236,6 +254,7 @@ SELECT file_id, count(*) AS chunks_received, max(total_chunks) AS total_chunks,
        count(*) = max(total_chunks) AND min(chunk_index) = 0 AND max(chunk_index) = max(total_chunks) - 1 AS complete
 FROM dd GROUP BY file_id""")
 def l5_reassemble_files(spark, sf_dir):
+    """Completeness, duplicates and size per reassembled file."""
     files, _ = ops.reassemble_files(_chunks(Fixtures(spark, sf_dir)), block=8)
     return files
 
@@ -246,6 +265,7 @@ SELECT file_id, chunk_index, CAST(coalesce(sum(octet_length(encode(chunk_data)))
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", octet_length(encode(chunk_data)) AS length
 FROM dd""")
 def l5_chunk_placement(spark, sf_dir):
+    """Byte offset of every chunk in its file."""
     _, placed = ops.reassemble_files(_chunks(Fixtures(spark, sf_dir)), block=8)
     return placed.select("file_id", "chunk_index", "offset", "length")
 

@@ -42,6 +42,7 @@ r AS (SELECT c.repo_id, c.commit_seq, c.commit_ts, wm.last_sync,
       WHERE wm.last_sync IS NULL OR c.commit_ts >= wm.last_sync)
 SELECT repo_id, commit_seq, commit_ts, recent_rank FROM r WHERE recent_rank <= 100""")
 def d5_commits_since(spark, sf_dir):
+    """Newest 100 commits since each repository's watermark."""
     fx = Fixtures(spark, sf_dir)
     commits = fx.fx_commit_files.select("repo_id", "commit_seq", "commit_ts").distinct()
     wm = commits.select("repo_id").distinct().select("repo_id", _watermarks_expr().alias("last_sync"))
@@ -53,6 +54,7 @@ def d5_commits_since(spark, sf_dir):
 SELECT repo_id, commit_seq, commit_sha AS sha, author, path, {EV_SQL} AS event_type, previous_path
 FROM fx_commit_files""")
 def e1_poll_changes(spark, sf_dir):
+    """Commits exploded into change events."""
     out = ops.poll_changes(_commits(Fixtures(spark, sf_dir)))
     return out.select("repo_id", "commit_seq", "sha", "author", "path", "event_type", "previous_path")
 
@@ -114,6 +116,7 @@ UNION ALL SELECT repo_id, coalesce(previous_path, path), 'removed', 'bitbucket'
 UNION ALL SELECT repo_id, path, 'added', 'bitbucket' FROM g WHERE p = 2 AND status = 'renamed'
 UNION ALL SELECT repo_id, path, 'modified', 'bitbucket' FROM g WHERE p = 2 AND status NOT IN ('added', 'removed', 'renamed')""")
 def e3_diff_entries(spark, sf_dir):
+    """Provider compare results -> added / modified / removed paths."""
     gh, gl, bb = _diffs(Fixtures(spark, sf_dir))
     return (ops.diff_entries(gh, "github").withColumn("provider", F.lit("github"))
             .unionByName(ops.diff_entries(gl, "gitlab").withColumn("provider", F.lit("gitlab")))
@@ -135,6 +138,7 @@ SELECT source_id, last_commit_hash, head_sha,
        CASE WHEN last_commit_hash IS NOT NULL AND head_sha IS NOT NULL AND last_commit_hash <> head_sha AND published THEN 'incremental'
             WHEN last_commit_hash = head_sha THEN 'unchanged' ELSE 'full' END AS sync_mode FROM s2""")
 def e4_plan_sync(spark, sf_dir):
+    """Incremental / unchanged / full sync plan per source."""
     fx = Fixtures(spark, sf_dir)
     heads = ops.latest_commits(fx.fx_commit_files.withColumnRenamed("commit_sha", "sha"), keys=("repo_id",))
     heads = heads.withColumnRenamed("repo_id", "source_id")
@@ -152,6 +156,7 @@ SELECT repo_id, branch, commit_sha AS head_sha, commit_ts AS head_ts FROM (
          row_number() OVER (PARTITION BY repo_id, branch ORDER BY commit_ts DESC, commit_sha DESC) AS rn
   FROM fx_commit_files) WHERE rn = 1""")
 def h4_latest_commits(spark, sf_dir):
+    """H4: head commit per repository and branch."""
     cf = Fixtures(spark, sf_dir).fx_commit_files.withColumnRenamed("commit_sha", "sha")
     return ops.latest_commits(cf, keys=("repo_id", "branch"))
 
@@ -173,6 +178,7 @@ d AS (
 
 @register("e5_diff_snapshots", views=["fx_snap_old", "fx_snap_new"], oracle=f"WITH {DIFF_SQL.strip()}\nSELECT * FROM d")
 def e5_diff_snapshots(spark, sf_dir):
+    """E5: snapshot diff with rename detection."""
     fx = Fixtures(spark, sf_dir)
     return ops.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new)
 
@@ -183,6 +189,7 @@ SELECT repo_id, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILT
        count(*) FILTER (WHERE change = 'removed') AS removed, count(*) FILTER (WHERE change = 'renamed') AS renamed
 FROM d GROUP BY repo_id""")
 def e9_change_summary(spark, sf_dir):
+    """Added / modified / removed / renamed counts per repository."""
     fx = Fixtures(spark, sf_dir)
     return ops.change_summary(ops.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new))
 
@@ -197,6 +204,7 @@ SELECT r.source_id, coalesce(b.new_commit, r.last_commit_hash) AS last_commit_ha
        b.new_commit IS NOT NULL AS advanced
 FROM reg r LEFT JOIN best b ON b.source_id = r.source_id""")
 def e8_advance_watermarks(spark, sf_dir):
+    """Last commit and sync time advanced for successful syncs."""
     fx = Fixtures(spark, sf_dir)
     o = fx.orders
     results = o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("offset"),

@@ -23,6 +23,7 @@ def _file_events(fx: Fixtures):
 SELECT repo_id AS key, 'repo.events' AS topic, 'STREAMED_FILE' AS event_type, repo_id, file_path, content, is_deleted
 FROM fx_file_events""")
 def a4_write_events(spark, sf_dir):
+    """A4: file events serialised as keyed JSON records and read back."""
     rec = src.to_event_records(_file_events(Fixtures(spark, sf_dir)), value_cols=FE_COLS)
     back = F.from_json("value", "event_type STRING, repo_id STRING, file_path STRING, content STRING, is_deleted BOOLEAN")
     return rec.select("key", "topic", back.alias("e")).select("key", "topic", "e.*")
@@ -46,6 +47,7 @@ def _raw(fx: Fixtures):
 SELECT "off" AS "offset", repo_id, file_path, is_deleted, content FROM fx_file_events
 WHERE NOT ("off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0 OR "off" % 79 = 0)""")
 def a5_decode_events(spark, sf_dir):
+    """A5: typed STREAMED_FILE events decoded from raw records (damaged ones rejected)."""
     typed, _ = src.decode_events(_raw(Fixtures(spark, sf_dir)), types=["STREAMED_FILE"])
     return typed["STREAMED_FILE"].select("offset", "repo_id", "file_path", "is_deleted", "content")
 
@@ -59,6 +61,7 @@ FROM fx_file_events WHERE "off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0"""
 
 @register("a5_decode_rejects", views=["fx_file_events"], oracle=REJECT_SQL)
 def a5_decode_rejects(spark, sf_dir):
+    """A5: rejected raw records with their reason."""
     _, rejects = src.decode_events(_raw(Fixtures(spark, sf_dir)), types=["STREAMED_FILE"])
     return rejects.select("key", "offset", "error")
 
@@ -67,6 +70,7 @@ def a5_decode_rejects(spark, sf_dir):
 SELECT key, 'repo.events.dlq' AS topic, 'repo.events' AS failed_topic, 1700000000000 AS failed_at, error
 FROM ({REJECT_SQL})""")
 def a6_to_dlq(spark, sf_dir):
+    """Dead-letter envelopes for rejected records."""
     _, rejects = src.decode_events(_raw(Fixtures(spark, sf_dir)), types=["STREAMED_FILE"])
     d = src.to_dlq(rejects, now_ms=1700000000000)
     return d.select("key", "topic", F.col("envelope.failedTopic").alias("failed_topic"),
@@ -100,6 +104,7 @@ SELECT 'STREAMED_FILE' AS event_type, ev.repo_id,
        ev.path AS file_path, ev.content, r2.url, coalesce(r2.user_id, 'system') AS user_id, ev.is_deleted
 FROM ev LEFT JOIN r2 ON r2.repo_id = ev.repo_id""")
 def e6_to_file_events(spark, sf_dir):
+    """STREAMED_FILE events and tombstones from a snapshot diff."""
     fx = Fixtures(spark, sf_dir)
     changes = chg.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new)
     blobs = (fx.fx_snap_new.select("doc_id", "repo_id", "path")

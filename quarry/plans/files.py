@@ -60,6 +60,7 @@ SELECT repo_id, CASE doc_id % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' ELSE '
        CASE WHEN doc_id % 3 = 2 THEN 'main' ELSE NULL END AS ref
 FROM fx_files""")
 def a1_manifest_scan(spark, sf_dir):
+    """A1: provider tree listings (GitHub, GitLab, Bitbucket) unified; file entries only."""
     fx = Fixtures(spark, sf_dir)
     f = fx.fx_files
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
@@ -90,6 +91,7 @@ SELECT f.repo_id, f.path, 'HEAD' AS ref, sha256(d.text) AS content_hash, CAST(st
        concat(f.repo_id, ':', f.path, ':', 'HEAD') AS source_id
 FROM fx_files f JOIN documents d ON d.doc_id = f.doc_id""")
 def a2_content_manifest(spark, sf_dir):
+    """A2: sha256, byte size, basename, raw extension and composite source id per blob."""
     fx = Fixtures(spark, sf_dir)
     blobs = (fx.fx_files.select("doc_id", "repo_id", "path")
              .join(fx.documents.select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id")
@@ -100,6 +102,7 @@ def a2_content_manifest(spark, sf_dir):
 @register("b1_classify_files", views=["fx_files"], oracle=f"""
 SELECT repo_id, path, {ext('path')} AS extension, {ftype(ext('path'))} AS file_type FROM fx_files""")
 def b1_classify_files(spark, sf_dir):
+    """B1: extension and code / document / unknown class per path."""
     return ops.classify_files(Fixtures(spark, sf_dir).fx_files).select("repo_id", "path", "extension", "file_type")
 
 
@@ -110,6 +113,7 @@ SELECT f.path, regexp_extract(f.path, '([^/]*)$', 1) AS filename,
        {ftype(ext('f.path'))} AS file_type
 FROM fx_files f JOIN documents d ON d.doc_id = f.doc_id""")
 def b2_file_info(spark, sf_dir):
+    """B2: basename, case-kept extension, byte size and type per blob."""
     fx = Fixtures(spark, sf_dir)
     blobs = (fx.fx_files.select("doc_id", "path")
              .join(fx.documents.select("doc_id", "text"), "doc_id")
@@ -123,6 +127,7 @@ WITH c AS (SELECT path, {ftype(ext('path'))} AS file_type FROM fx_files)
 SELECT path, file_type, CASE WHEN file_type = 'unknown' THEN 'document' ELSE file_type END AS route_type,
        CASE WHEN file_type = 'code' THEN 'code-processor' ELSE 'processor' END AS target FROM c""")
 def b3_route_files(spark, sf_dir):
+    """Routing decision per file (unknown routed as document)."""
     out = ops.route_files(Fixtures(spark, sf_dir).fx_files, targets={"code": "code-processor"})
     return out.select("path", "file_type", "route_type", "target")
 
@@ -130,6 +135,7 @@ def b3_route_files(spark, sf_dir):
 @register("b4_select_paths", views=["fx_files"], oracle=f"""
 SELECT repo_id, path FROM fx_files WHERE {INCLUDE_SQL} AND NOT {EXCLUDE_SQL}""")
 def b4_select_paths(spark, sf_dir):
+    """Include / exclude glob selection with literal globs."""
     return ops.select_paths(Fixtures(spark, sf_dir).fx_files, INCLUDE, EXCLUDE).select("repo_id", "path")
 
 
@@ -156,6 +162,7 @@ WHERE (CASE n % 4 WHEN 0 THEN starts_with(path, 'src/')
                ELSE TRUE END)
   AND NOT (CASE WHEN n % 3 = 0 THEN regexp_matches(path, '\\.PY$') OR starts_with(path, 'tests/') ELSE FALSE END)""")
 def b4_select_paths_by_source(spark, sf_dir):
+    """Glob selection with per-repository pattern lists."""
     fx = Fixtures(spark, sf_dir)
     return ops.select_paths_by_source(fx.fx_files, _repo_patterns(fx)).select("repo_id", "path")
 
@@ -165,6 +172,7 @@ WITH k AS (SELECT repo_id, path, CAST(regexp_extract(repo_id, '(\\d+)$', 1) AS I
      f AS (SELECT repo_id, path, CASE n % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'src/lib/en' ELSE NULL END AS folder FROM k)
 SELECT repo_id, path FROM f WHERE folder IS NULL OR path = folder OR starts_with(path, folder || '/')""")
 def b5_scope_to_folder(spark, sf_dir):
+    """Per-repository folder scope."""
     fx = Fixtures(spark, sf_dir)
     n = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("int")
     folders = fx.fx_files.select("repo_id").distinct().select(
@@ -175,6 +183,7 @@ def b5_scope_to_folder(spark, sf_dir):
 @register("b6_drop_binary", views=["fx_files"], oracle=f"""
 SELECT repo_id, path FROM fx_files WHERE NOT {is_binary('path')}""")
 def b6_drop_binary(spark, sf_dir):
+    """Binary suffixes dropped."""
     return ops.drop_binary(Fixtures(spark, sf_dir).fx_files).select("repo_id", "path")
 
 
@@ -183,6 +192,7 @@ SELECT repo_id, path FROM (
   SELECT repo_id, CASE doc_id % 5 WHEN 0 THEN 'build/' || path WHEN 1 THEN path || '/dist' ELSE path END AS path
   FROM fx_files) WHERE NOT {VENDOR_SQL}""")
 def b7_prune_vendor_dirs(spark, sf_dir):
+    """Paths under vendor / build directories dropped."""
     f = Fixtures(spark, sf_dir).fx_files
     f = f.select("repo_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("build/"), "path"))
                  .when(F.col("doc_id") % 5 == 1, F.concat("path", F.lit("/dist"))).otherwise(F.col("path")).alias("path"))
@@ -213,6 +223,7 @@ WHERE (coalesce(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size % 40 END, 0) >= 1
        OR p_size % 3 = 0)
   AND coalesce(CASE WHEN p_size % 11 = 0 THEN FALSE WHEN p_size % 11 = 1 THEN TRUE END, TRUE)""")
 def b9_filter_readable(spark, sf_dir):
+    """Projects readable by access level, visibility and pull permission."""
     part = Fixtures(spark, sf_dir).part
     s = F.col("p_size")
     projects = part.select(
@@ -237,6 +248,7 @@ SELECT repo_id,
   count(*) AS total_files, CAST(sum(coalesce(size, 0)) AS BIGINT) AS total_bytes
 FROM c GROUP BY repo_id""")
 def f1_categorize_files(spark, sf_dir):
+    """code / document / unknown files and bytes per repository."""
     return ops.categorize_files(Fixtures(spark, sf_dir).fx_files)
 
 
@@ -244,6 +256,7 @@ def f1_categorize_files(spark, sf_dir):
 SELECT repo_id, count(*) AS files, CAST(sum(coalesce(size, 0)) AS BIGINT) AS total_size
 FROM ({SELECTED_SQL}) GROUP BY repo_id""")
 def f2_fetch_totals(spark, sf_dir):
+    """selected file count and total size per repository."""
     return ops.fetch_totals(_selected(Fixtures(spark, sf_dir)))
 
 
@@ -253,6 +266,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY files DESC, ext
              count(*) OVER (PARTITION BY repo_id) AS distinct_extensions FROM c)
 SELECT * FROM r WHERE ext_rank <= 3""")
 def f11_extension_inventory(spark, sf_dir):
+    """three most frequent extensions per repository."""
     return ops.extension_inventory(Fixtures(spark, sf_dir).fx_files, top=3)
 
 

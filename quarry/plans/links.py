@@ -45,6 +45,7 @@ r AS (SELECT id, url, provider, regexp_matches(s, rx) AS resolved,
 SELECT id, url, provider, regexp_replace(rp, '\\.git$', '') AS repo_path, regexp_replace(fp, '/+$', '') AS folder_path,
        resolved FROM r""")
 def c1_resolve_links(spark, sf_dir):
+    """Repository URL -> provider, owner/name and folder."""
     out = ops.resolve_links(_urls(Fixtures(spark, sf_dir)), "url", "provider")
     return out.select("id", "url", "provider", "repo_path", "folder_path", "resolved")
 
@@ -53,6 +54,7 @@ def c1_resolve_links(spark, sf_dir):
 SELECT id, url, lower(regexp_replace(regexp_replace(url, '/+$', ''), '\\.git$', '')) AS norm_url,
        lower(rtrim(rtrim(url, '/'), '.git')) AS norm_url_charset FROM fx_repositories""")
 def c2_normalize_url(spark, sf_dir):
+    """URL join keys in suffix and character-set modes."""
     r = Fixtures(spark, sf_dir).fx_repositories.select("id", "url")
     r = ops.normalize_url(r, "url", "suffix", "norm_url")
     return ops.normalize_url(r, "url", "charset", "norm_url_charset")
@@ -65,6 +67,7 @@ WITH t AS (SELECT c_custkey AS id,
 SELECT id, type, CASE WHEN lower(type) IN ({q(EVENT_SOURCE_TYPES)}) THEN lower(type) ELSE 'unknown' END AS event_source_type,
        lower(type) NOT IN ({q(EVENT_SOURCE_TYPES)}) AS unmapped FROM t""")
 def c3_normalize_source_type(spark, sf_dir):
+    """Registry source type -> event source type."""
     c = Fixtures(spark, sf_dir).customer
     names = F.array(*[F.lit(x) for x in REGISTRY_SOURCE_TYPES + ("google_drive", "web")])
     t = F.element_at(names, (F.col("c_custkey") % 23 + 1).cast("int"))
@@ -94,6 +97,7 @@ SELECT id, user_id,
                       substr('89ab89ab89ab89ab', CAST(('0x' || substr(s, 17, 1)) AS INTEGER) + 1, 1) || substr(s, 18, 3), substr(s, 21, 12)) END AS user_uuid
 FROM h""")
 def c4_canonical_user_id(spark, sf_dir):
+    """C4: canonical UUID (UUIDv5 for non-UUID ids) per user id."""
     fx = Fixtures(spark, sf_dir)
     r = fx.fx_repositories
     h = F.md5(F.col("id").cast("string"))

@@ -47,6 +47,7 @@ SELECT event_id, map_from_entries(list_transform(list_filter(map_entries(md), la
                                                  lambda e: {'key': e.key, 'value': substr(e.value, 1, 1000)})) AS metadata
 FROM m""")
 def k3_sanitize_metadata_flat(spark, sf_dir):
+    """K3: flat metadata maps cleaned with built-in functions."""
     e = Fixtures(spark, sf_dir).events
     m = F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("props"), F.col("props"),
                      F.lit("user"), F.col("user_id").cast("string"), F.lit("note"), F.repeat(F.lit("n"), 1200),
@@ -65,6 +66,7 @@ SELECT id, map_from_entries(list_transform(map_entries(m), lambda e: {'key': e.k
               ELSE e.value END})) AS credentials
 FROM c""")
 def k4_redact_credentials(spark, sf_dir):
+    """K4: credentials redacted for logging."""
     c = Fixtures(spark, sf_dir).customer
     k = F.col("c_custkey") % 3
     m = (F.when(k == 0, F.create_map(F.lit("access_token"), F.col("c_name"), F.lit("client_id"),

@@ -18,6 +18,7 @@ PYSTRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 SELECT r.id, r.source_id, s.type AS source_type, s.uri AS source_uri, s.id IS NOT NULL AS source_found
 FROM fx_repositories r LEFT JOIN fx_sources s ON CAST(s.id AS VARCHAR) = CAST(r.source_id AS VARCHAR)""")
 def d2_repositories_with_sources(spark, sf_dir):
+    """Repositories with their sources (left outer)."""
     fx = Fixtures(spark, sf_dir)
     out = ops.repositories_with_sources(fx.fx_repositories, fx.fx_sources, uuid_keys=False)
     return out.select("id", "source_id", "source_type", "source_uri", "source_found")
@@ -36,6 +37,7 @@ oc AS (SELECT r.*, CASE WHEN o.is_new AND r.req_seq = o.first_seq THEN 'inserted
 
 @register("j1_upsert_outcomes", views=["fx_source_requests", "fx_sources"], oracle=f"WITH {J1_SQL.strip()}\nSELECT * FROM oc")
 def j1_upsert_outcomes(spark, sf_dir):
+    """Outcome of every source-create request."""
     fx = Fixtures(spark, sf_dir)
     _, outcomes = ops.upsert_sources(fx.fx_source_requests, fx.fx_sources, NOW)
     return outcomes
@@ -53,6 +55,7 @@ SELECT coalesce(s.user_id, i.user_id) AS user_id, coalesce(s.type, i.type) AS ty
        s.id IS NULL AS is_new
 FROM fx_sources s FULL OUTER JOIN last l ON l.uri = s.uri LEFT JOIN ins i ON i.uri = l.uri""")
 def j1_upsert_sources(spark, sf_dir):
+    """Source registry after a batch of requests."""
     fx = Fixtures(spark, sf_dir)
     snap, _ = ops.upsert_sources(fx.fx_source_requests, fx.fx_sources, NOW)
     existing = fx.fx_sources.select(F.col("id").cast("string").alias("id"), F.lit(False).alias("is_new"))
@@ -100,6 +103,7 @@ SELECT req_seq, user_id, url, target_id IS NULL AND req_seq = first_seq AS inser
        CASE WHEN target_id IS NULL AND req_seq = first_seq THEN 1 ELSE 0 END AS delta,
        CAST(target_id AS VARCHAR) AS existing_id FROM rr""")
 def j2_upsert_outcomes(spark, sf_dir):
+    """Outcome of every repository-create request."""
     fx = Fixtures(spark, sf_dir)
     repos = fx.fx_repositories.withColumn("created_at", F.timestamp_seconds("created_at"))
     _, out = ops.upsert_repositories(_repo_requests(fx), repos, NOW)
@@ -121,6 +125,7 @@ ins AS (SELECT rr.user_id, rr.url, rr.provider, coalesce(rr.branch, 'main') AS b
         FROM rr LEFT JOIN sid s ON s.user_id = rr.user_id AND s.k = rr.k WHERE rr.target_id IS NULL AND rr.req_seq = rr.first_seq)
 SELECT * FROM kept UNION ALL SELECT * FROM ins""")
 def j2_upsert_repositories(spark, sf_dir):
+    """Repository registry after a batch of requests."""
     fx = Fixtures(spark, sf_dir)
     repos = fx.fx_repositories.select("id", "user_id", "name", "provider", "url", "branch", "status", "source_id",
                                       F.timestamp_seconds("created_at").alias("created_at"),
@@ -177,6 +182,7 @@ WITH new AS (SELECT DISTINCT 'Repository' AS label, id AS node_id, source_id, us
 SELECT label, node_id, source_id, owner_id FROM fx_nodes
 UNION ALL SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM fx_nodes x WHERE x.label = n.label AND x.node_id = n.node_id)""")
 def j5_insert_if_absent(spark, sf_dir):
+    """Repository graph nodes inserted only when absent."""
     fx = Fixtures(spark, sf_dir)
     new = fx.fx_repositories.select(F.lit("Repository").alias("label"), F.col("id").alias("node_id"), "source_id",
                                     F.col("user_id").alias("owner_id"))
@@ -239,6 +245,7 @@ c AS (SELECT *, list_filter(list_transform(coalesce(include_patterns, []), lambd
 SELECT req_seq, errors, errors[1] AS first_error, su AS clean_uri, CASE WHEN is_git AND sb <> '' THEN sb END AS clean_branch,
        CASE WHEN len(ci) > 0 THEN ci ELSE ['**/*'] END AS clean_include, ce AS clean_exclude FROM c""")
 def k1_validate_sources(spark, sf_dir):
+    """K1: validation errors and cleaned fields per source request."""
     out = ops.validate_sources(_k1_requests(Fixtures(spark, sf_dir)))
     return out.select("req_seq", "errors", "first_error", "clean_uri", "clean_branch", "clean_include", "clean_exclude")
 
@@ -256,6 +263,7 @@ SELECT doc_id, CASE WHEN path IS NULL OR path = '' THEN 'path_required'
                     WHEN length({PYSTRIP.format(x='path')}) > 1000 THEN 'path_too_long' END AS reason,
        {PYSTRIP.format(x='path')} AS clean_path FROM p""")
 def k2_validate_paths(spark, sf_dir):
+    """K2: path validation outcome per file."""
     f = Fixtures(spark, sf_dir).fx_files
     d = F.col("doc_id") % 8
     path = (F.when(d == 0, F.concat(F.lit("../"), "path")).when(d == 1, F.concat(F.lit("/"), "path"))
@@ -278,6 +286,7 @@ SELECT id,
   CASE k WHEN 1 THEN ['refresh_token'] WHEN 2 THEN ['access_token'] ELSE [] END AS credential_errors
 FROM c""")
 def k5_validate_credentials(spark, sf_dir):
+    """K5: known credential keys kept and checked."""
     c = Fixtures(spark, sf_dir).customer
     k = F.col("c_custkey") % 5
     m = (F.when(k == 0, F.create_map(F.lit("access_token"), F.concat(F.lit("  "), "c_name", F.lit("\t")),
@@ -297,6 +306,7 @@ UNION ALL SELECT 'repo_without_source', CAST(r.id AS VARCHAR) FROM fx_repositori
 UNION ALL SELECT 'source_without_repo', CAST(s.id AS VARCHAR) FROM fx_sources s
   WHERE s.type IN ('git', 'github', 'gitlab', 'bitbucket') AND NOT EXISTS (SELECT 1 FROM fx_repositories r WHERE r.url = s.uri)""")
 def k6_registry_integrity(spark, sf_dir):
+    """K6: duplicate uris and orphaned sources / repositories."""
     fx = Fixtures(spark, sf_dir)
     return ops.registry_integrity(fx.fx_sources, fx.fx_repositories)
 
@@ -304,6 +314,7 @@ def k6_registry_integrity(spark, sf_dir):
 @register("h1_list_jobs", views=["fx_jobs"], oracle="""
 SELECT id, status, created_at FROM fx_jobs WHERE status = 'completed' ORDER BY created_at DESC, id LIMIT 50 OFFSET 100""")
 def h1_list_jobs(spark, sf_dir):
+    """H1: page of completed jobs, newest first."""
     page, _ = ops.list_jobs(Fixtures(spark, sf_dir).fx_jobs, status="completed", limit=50, offset=100)
     return page.select("id", "status", "created_at")
 
@@ -311,6 +322,7 @@ def h1_list_jobs(spark, sf_dir):
 @register("h1_list_jobs_total", views=["fx_jobs"], oracle="""
 SELECT count(*) AS total_matches FROM fx_jobs WHERE status = 'completed'""")
 def h1_list_jobs_total(spark, sf_dir):
+    """H1: true number of matching jobs."""
     _, total = ops.list_jobs(Fixtures(spark, sf_dir).fx_jobs, status="completed", limit=50, offset=100)
     return total
 
@@ -318,6 +330,7 @@ def h1_list_jobs_total(spark, sf_dir):
 @register("h2_list_sources", views=["fx_sources"], oracle="""
 SELECT id, type, uri FROM fx_sources WHERE user_id = 'user_4' AND type = 'github' ORDER BY id DESC LIMIT 20 OFFSET 5""")
 def h2_list_sources(spark, sf_dir):
+    """H2: page of one user's GitHub sources."""
     out = ops.list_sources(Fixtures(spark, sf_dir).fx_sources, "user_4", type="github", limit=20, offset=5,
                            order=("id", "uri"))
     return out.select("id", "type", "uri")
@@ -328,6 +341,7 @@ SELECT id, user_id, created_at, rank FROM (
   SELECT id, user_id, created_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank FROM fx_repositories)
 WHERE rank <= 5""")
 def h3_top_repositories(spark, sf_dir):
+    """H3: five newest repositories per user."""
     out = ops.top_repositories(Fixtures(spark, sf_dir).fx_repositories, sort="created_at", per_key=["user_id"], n=5)
     return out.select("id", "user_id", "created_at", "rank")
 
@@ -340,11 +354,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id, norm_url ORDER BY creat
 
 @register("g2_dedupe_kept", views=["fx_repositories"], oracle=f"WITH {G2_SQL.strip()}\nSELECT id, user_id, norm_url FROM r WHERE rn = 1")
 def g2_dedupe_kept(spark, sf_dir):
+    """Newest repository per user and normalised URL."""
     kept, _ = ops.dedupe_repositories(Fixtures(spark, sf_dir).fx_repositories)
     return kept.select("id", "user_id", "norm_url")
 
 
 @register("g2_dedupe_dropped", views=["fx_repositories"], oracle=f"WITH {G2_SQL.strip()}\nSELECT id, user_id, url, kept_id FROM r WHERE rn > 1")
 def g2_dedupe_dropped(spark, sf_dir):
+    """Duplicate repositories with the id that was kept."""
     _, dropped = ops.dedupe_repositories(Fixtures(spark, sf_dir).fx_repositories)
     return dropped.select("id", "user_id", "url", "kept_id")

@@ -69,6 +69,7 @@ SELECT delivery_id, provider,
             WHEN provider = 'gitlab' AND json_extract_string(body, '$.object_kind') = 'push' THEN 'accepted'
             ELSE 'ignored' END AS push_status FROM fx_webhooks""")
 def b10_filter_push(spark, sf_dir):
+    """Push deliveries accepted, everything else ignored."""
     d, _ = _deliveries(Fixtures(spark, sf_dir))
     return ops.filter_push(d).select("delivery_id", "provider", "push_status")
 
@@ -82,6 +83,7 @@ SELECT delivery_id, provider, expected_signature,
        CASE WHEN secret IS NULL THEN 'no_secret' WHEN signer <> secret THEN 'bad_signature' ELSE 'ok' END AS auth_reason
 FROM a""")
 def d4_authenticate_webhooks(spark, sf_dir):
+    """Webhook authenticity (HMAC-SHA256 / token) per delivery."""
     fx = Fixtures(spark, sf_dir)
     d, secrets = _deliveries(fx)
     a = ops.authenticate_webhooks(d, secrets)
@@ -117,6 +119,7 @@ xr AS (SELECT *, CASE
 WITH {EXTRACT_SQL.strip()}
 SELECT delivery_id, provider, repo_url, branch, old_commit, new_commit, reject_reason FROM xr""")
 def e10_extract_push(spark, sf_dir):
+    """Repository URL, branch and commits extracted from push bodies."""
     d, _ = _deliveries(Fixtures(spark, sf_dir))
     return ops.extract_push(d).select("delivery_id", "provider", "repo_url", "branch", "old_commit",
                                       "new_commit", "reject_reason")
@@ -138,6 +141,7 @@ m AS (SELECT g.delivery_id, g.provider, g.branch, g.old_commit, g.new_commit, g.
 WITH {EXTRACT_SQL.strip()}, {MATCH_SQL.strip()}
 SELECT delivery_id, repository_id, "match" FROM m""")
 def d1_match_repositories(spark, sf_dir):
+    """Push deliveries matched to repositories (exact URL, then normalised key)."""
     fx = Fixtures(spark, sf_dir)
     d, _ = _deliveries(fx)
     good = ops.extract_push(d).filter(F.col("reject_reason").isNull())
@@ -151,6 +155,7 @@ SELECT r.id, r.provider,
        WHEN c.provider IS DISTINCT FROM r.provider THEN 'provider_mismatch' ELSE 'ok' END AS credential_status
 FROM fx_hook_repos r LEFT JOIN fx_credentials c ON c.repo_id = r.id""")
 def d3_credential_audit(spark, sf_dir):
+    """D3: credential status per repository."""
     fx = Fixtures(spark, sf_dir)
     out = ops.credential_audit(fx.fx_hook_repos, fx.fx_credentials, NOW)
     return out.select("id", "provider", "credential_status")
