@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import bpe, mixing, sharding, token_output
+from . import bpe, langid, mixing, sharding, simhash, suffix_dedup, token_output
 from .common import table
 
 
@@ -39,6 +39,13 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(spark, path)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from two thirds of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 of all documents by a permutation of their row numbers (law: rows)."""
     placed = sharding.document_shards(table(spark, sf_dir, "documents"), 24)
@@ -46,7 +53,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left when strings of 100 bytes that start earlier are removed."""
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document, and the smallest doc_id reachable over links of 4 bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_source_mixing, op3_token_output, op8_sharding)
+    f.__name__: f for f in (op1_bpe, op2_source_mixing, op3_token_output, op7_language, op8_sharding, op9_suffix_dedup, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {}
