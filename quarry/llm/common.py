@@ -26,14 +26,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "none") -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage with files that every executor can read, so a lost executor costs a
-    re-read and not a recomputation, and a result used twice is computed once.
+    re-read and not a recomputation, and a result used twice is computed once. Small tables are
+    written plain: the compressors' buffers outside the heap cost more than they save.
     """
     path = checkpoint_path(df.sparkSession, name, unique=True)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
