@@ -49,18 +49,18 @@ def _memory(path: str) -> Memory:
             out: list = [None] * len(texts)
             plain, odd = [], []
             for k, t in enumerate(texts):
-                inner = t[1:]
-                (plain if t[:1] == " " and inner.strip() == inner != "" else odd).append(k)
+                (odd if t[:1] != " " or t[1:2].isspace() or t[-1].isspace() else plain).append(k)
             for k, e in zip(odd, own.encode_batch([texts[k] for k in odd], add_special_tokens=False), strict=True):
                 out[k] = np.array(e.ids, np.int32).tobytes()
             # Units with a space before them, put in a row, are one text; one call encodes many,
             # and the bytes that each id covers tell where a unit's ids end.
             for at in range(0, len(plain), 2000):
                 part = plain[at:at + 2000]
-                ids = np.array(own.encode_batch_fast(["".join([texts[k] for k in part])],
-                                                     add_special_tokens=False)[0].ids, np.int32)
-                ends = np.searchsorted(np.cumsum(size[ids]),
-                                       np.cumsum([len(texts[k].encode()) for k in part]), "left") + 1
+                some = [texts[k] for k in part]
+                row = "".join(some)
+                ids = np.array(own.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.int32)
+                long = [*map(len, some if row.isascii() else map(str.encode, some))]
+                ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum(long), "left") + 1
                 raw, start = ids.tobytes(), 0
                 for k, end in zip(part, (4 * ends).tolist(), strict=True):
                     out[k] = raw[start:end]

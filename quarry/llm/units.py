@@ -25,29 +25,32 @@ def units(text: str) -> list[str]:
 
 
 class Memory:
-    """What a worker remembers of units: two bounded dictionaries, first units apart.
+    """What a worker remembers of units.
 
-    ``encode(list[str]) -> list[bytes]`` is called for units not remembered. When more than
-    ``most`` are remembered all are forgotten, so memory doesn't grow with the vocabulary.
+    ``encode(list[str]) -> list[bytes]`` is called for units not remembered. Units live in two
+    generations of at most ``most`` each: when the young one is full it becomes the old one, and
+    old units that are met again move back. Frequent units stay, rare ones go, and memory doesn't
+    grow with the vocabulary.
     """
 
-    def __init__(self, encode, most: int = 250_000):
-        self.encode, self.most, self.first, self.rest = encode, most, {}, {}
+    def __init__(self, encode, most: int = 400_000):
+        self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The encodings of whole texts, each as the bytes of its units put in a row."""
-        if len(self.first) + len(self.rest) > self.most:
-            self.first, self.rest = {}, {}
         cut = [units(t) for t in texts]
-        new = {u[0] for u in cut} - self.first.keys()
-        self._learn(self.first, list(new), list(new))
+        firsts = [u.pop(0) for u in cut]
         met: set[str] = set()
-        for u in cut:
-            met.update(u[1:])
-        new = list(met - self.rest.keys())
-        self._learn(self.rest, new, [" " + x for x in new])
-        first, rest = self.first, self.rest.__getitem__
-        return [first[u[0]] + b"".join(map(rest, u[1:])) for u in cut]
-
-    def _learn(self, known: dict, names: list[str], texts: list[str]) -> None:
-        known.update(zip(names, self.encode(texts), strict=True))
+        met.update(*cut)
+        if len(self.young) + len(met) > self.most:
+            self.old, self.young = self.young, {}
+        met -= self.young.keys()
+        again = met & self.old.keys()
+        self.young.update((x, self.old[x]) for x in again)
+        new = list(met - again)
+        self.young.update(zip(new, self.encode([" " + x for x in new]), strict=True))
+        # First units are cut off from few spellings; they are encoded as they come.
+        distinct = list(set(firsts))
+        first = dict(zip(distinct, self.encode(distinct), strict=True))
+        known = self.young.__getitem__
+        return [first[f] + b"".join(map(known, u)) for f, u in zip(firsts, cut, strict=True)]
