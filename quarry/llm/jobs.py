@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import bpe, langid, mixing, sharding, simhash, suffix_dedup, token_output
+from . import (bpe, collision_ann, exact_topk, langid, mixing, ngram_lm, sharding, simhash, suffix_dedup,
+               token_output)
 from .common import table
 
 
@@ -39,6 +40,44 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_index(spark, path)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every whole text under an n-gram model of nine tenths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 10, 0)
+    return ngram_lm.score_documents(docs.select("doc_id", held.alias("held_out"), "text"))
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all vectors, as found, for every vector whose id is divisible by 20."""
+    found = collision_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products for every vector whose id is divisible by 50."""
+    found = exact_topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from two thirds of the documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -66,6 +105,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_source_mixing, op3_token_output, op7_language, op8_sharding, op9_suffix_dedup, op10_simhash)
+    f.__name__: f for f in (
+        op1_bpe, op2_source_mixing, op3_token_output, op4_lm_scores, op5_ann, op6_exact_topk, op7_language, op8_sharding,
+        op9_suffix_dedup, op10_simhash)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL}
