@@ -35,7 +35,13 @@ def materialize(df: DataFrame, name: str, compression: str = "none") -> DataFram
     """
     path = checkpoint_path(df.sparkSession, name, unique=True)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    out = spark.read.schema(df.schema).parquet(path)
+    # What was shuffled for the table is not needed any more. Spark drops shuffle files once the
+    # driver's JVM has collected the plan behind them; asked for here, so that a job of several
+    # tables holds one table's shuffles on the executors' disks at a time.
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
