@@ -10,10 +10,11 @@ with the same token need to meet, and neighbouring windows that share a token tr
    range-partition these by leading token; buckets are sorted locally. Runs equal to an earlier
    one are repeats; neighbouring buckets are compared at their boundary, so a hot token or text
    may span any number of buckets.
-2. Where one token leads runs of different texts, the first run of each text is fetched, its
-   windows are dealt out by a second leading token, and each bucket sorts them by multikey
-   quicksort (a word of eight bytes at a time, only ties going on to the next word). Windows
-   equal in all bytes form a group; all but the first are repeats.
+2. Where one token leads runs of different texts, the windows of each text's first run get a
+   second leading token, of ``LONG_GRAM`` bytes. Only runs that share this one as well go on.
+3. Their bytes are fetched and dealt out by the second token, and each bucket sorts the windows by
+   multikey quicksort (a word of eight bytes at a time, only ties going on to the next word).
+   Windows equal in all bytes form a group; all but the first are repeats.
 
 The texts travel compressed. Texts shorter than ``LENGTH`` bytes have no windows.
 """
@@ -34,11 +35,11 @@ from .common import SLICE_BYTES, bound_batches, materialize, slices
 
 LENGTH = 100
 GRAM = 32
+LONG_GRAM = 64
 #: Longest run of windows in one record; its text's fingerprint reads five grams.
 RUN = 60
 #: Windows sorted at once.
 WINDOWS = 1 << 20
-_GRAMS = LENGTH - GRAM + 1
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -55,24 +56,24 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _gram_hashes(data: bytes, n: int, turn: int = 0) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from each of the first ``n`` places; ``data`` is padded."""
+def _gram_hashes(data: bytes, n: int, gram: int = GRAM, turn: int = 0) -> np.ndarray:
+    """Hash of the ``gram`` bytes from each of the first ``n`` places; ``data`` is padded."""
     w = _words(data)
     h = w[:n] * _ODD[turn]
-    for k in range(1, GRAM // 8):
+    for k in range(1, gram // 8):
         h += w[8 * k:8 * k + n] * _ODD[(turn + k) % 4]
         h ^= h >> np.uint64(27)
         h *= _ODD[5]
     return _mix(h)
 
 
-def _least(h: np.ndarray) -> np.ndarray:
-    """The smallest of ``_GRAMS`` neighbours from each place on (fewer at the end)."""
-    m, span = h.copy(), 1
-    while 2 * span <= _GRAMS:
+def _least(h: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """The smallest hash of a window's grams, for the window from each place on (fewer at the end)."""
+    m, span, grams = h.copy(), 1, LENGTH - gram + 1
+    while 2 * span <= grams:
         np.minimum(m[:-span], m[span:], out=m[:-span])
         span *= 2
-    rest = _GRAMS - span
+    rest = grams - span
     np.minimum(m[:-rest], m[rest:].copy(), out=m[:-rest])
     return m
 
@@ -110,11 +111,11 @@ def _inner(h: np.ndarray, token: np.ndarray, first: np.ndarray, last: np.ndarray
     Places of leading tokens are those whose hash is the largest minimum of all windows over
     them. Two equal ones at a distance below ``RUN`` have no other between them.
     """
-    top, span = token.copy(), 1
-    while 2 * span <= _GRAMS:
+    top, span, grams = token.copy(), 1, LENGTH - GRAM + 1
+    while 2 * span <= grams:
         np.maximum(top[span:], top[:-span].copy(), out=top[span:])
         span *= 2
-    rest = _GRAMS - span
+    rest = grams - span
     np.maximum(top[rest:], top[:-rest].copy(), out=top[rest:])
     lead = np.flatnonzero(h[:len(top)] == top)
     near = (h[lead[1:]] == h[lead[:-1]]) & (np.diff(lead) < RUN)
@@ -203,18 +204,19 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = held if held is not None else [0, 0, 0, 0]
         again = same & ((doc != of(doc, old[2])) | (place >> 32 != of(place, old[3]) >> 32))
         if again.any():
-            yield rows(REPEAT, [c[again] for c in cols])
+            none = np.zeros(int(again.sum()))
+            yield rows(REPEAT, [none, none, doc[again], place[again]])
         at = np.flatnonzero(~same)
         if len(at):
             # A first run matters if the first run before or after it has the same token, or if
             # its own windows may be equal.
             like = same_token[at]
             if held is not None and like[0] and not open_token:
-                yield rows(FIRST, [[x] for x in held])
+                yield rows(FIRST, [[held[0]], [0], [held[2]], [held[3]]])
             nxt = np.append(like[1:], False)
             take = at[like | nxt | (place[at] & INNER != 0)]
             if len(take):
-                yield rows(FIRST, [c[take] for c in cols])
+                yield rows(FIRST, [token[take], np.zeros(len(take)), doc[take], place[take]])
             held, open_token = [c[at[-1]] for c in cols], bool(like[-1])
         last = [c[-1] for c in cols]
     if last is not None:
@@ -234,11 +236,6 @@ def _boundary(found: DataFrame) -> DataFrame:
                          & (F.col("text") == F.col("_b.text")) & moved)
 
 
-def _heads(found: DataFrame) -> DataFrame:
-    """The first run of each bucket: its token may have led other texts in the bucket before."""
-    return found.filter(F.col("kind") == HEAD)
-
-
 def _compressed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc, tag and the whole text as compressed bytes."""
 
@@ -254,59 +251,85 @@ def _compressed(docs: DataFrame, *columns: str) -> DataFrame:
     return chosen.mapInArrow(run, schema)
 
 
-def _text_windows(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The windows of first runs as runs of a second leading token, with their bytes."""
-    # Bounded by a document's length: its runs that are first among several texts.
-    wanted = (firsts.select("doc", "token", "place").distinct()
-              .groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"))
-              .agg(F.collect_list("token").alias("tokens"), F.collect_list("place").alias("places")))
+def _with_texts(docs: DataFrame, runs: DataFrame, step, schema: str) -> DataFrame:
+    """``step`` over the texts of ``docs`` and their ``runs`` (doc, key, place).
+
+    ``step(data, begin, count, key, doc, start, tag)`` gets the texts of some documents in a row
+    and of each of their runs its place in them, windows, key, doc, place in the document and tag.
+    The runs of a document are bounded by its length.
+    """
+    wanted = (runs.groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"))
+              .agg(F.collect_list("key").alias("keys"), F.collect_list("place").alias("places")))
     pairs = _compressed(docs).join(wanted, ["doc", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
 
-        def windows(part):
-            texts, starts, counts, tokens, docs_, places = [], [], [], [], [], []
-            at = 0
-            for z, doc, tag, t, p in part:
-                p = np.array(p, np.int64)
-                start, count, _ = _unpack(p)
-                text = open_.decompress(z)
-                texts.append(text), starts.append(start + at), counts.append(count)
-                tokens.append(np.array(t, np.int64)), docs_.append(np.full(len(p), doc)), places.append(start)
-                at += len(text)
-            data = b"".join(texts) + bytes(LENGTH + 8)
-            start, count, token, doc, place = map(np.concatenate, (starts, counts, tokens, docs_, places))
-            least = _least(_gram_hashes(data, at + LENGTH - GRAM, turn=2))
-            owner = np.repeat(np.arange(len(start)), count)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            where = start[owner] + nth
-            key = _mix(least[where] * _ODD[3] + token.view(np.uint64)[owner])
-            s, n = _runs(key + owner.astype(np.uint64) * _ODD[6], where)
-            o = owner[s]
-            begin, stop = where[s], where[s] + n + LENGTH - 1
-            raw = [data[x:y] for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key[s].view(np.int64)), pa.array(doc[o]),
-                 pa.array(_pack(place[o] + nth[s], n, tag_of[o])), pa.array(raw, pa.binary())],
-                ["key", "doc", "place", "bytes"])
+        def some(part):
+            texts, cols, at = [], [[] for _ in range(6)], 0
+            for z, doc, tag, keys, places in part:
+                place, first = np.unique(np.array(places, np.int64), return_index=True)
+                start, count, _ = _unpack(place)
+                texts.append(open_.decompress(z))
+                one = np.ones(len(place), np.int64)
+                for c, x in zip(cols, (start + at, count, np.array(keys, np.int64)[first], one * doc, place, one * tag), strict=True):
+                    c.append(x)
+                at += len(texts[-1])
+            return step(b"".join(texts) + bytes(LENGTH + 8), at, *map(np.concatenate, cols))
 
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("z", "doc", "tag", "tokens", "places")), strict=True)
             part, size = [], 0
-            for r in rows:
+            for r in zip(*(b.column(c).to_pylist() for c in ("z", "doc", "tag", "keys", "places")), strict=True):
                 part.append(r)
                 size += 4 * len(r[0])
                 if size > SLICE_BYTES:
-                    tag_of = np.concatenate([np.full(len(x[4]), x[2]) for x in part])
-                    yield windows(part)
+                    yield some(part)
                     part, size = [], 0
             if part:
-                tag_of = np.concatenate([np.full(len(x[4]), x[2]) for x in part])
-                yield windows(part)
+                yield some(part)
+
+    return pairs.select("z", "doc", "tag", "keys", "places").mapInArrow(run, schema)
+
 
-    return pairs.select("z", "doc", "tag", "tokens", "places").mapInArrow(
-        run, "key long, doc long, place long, bytes binary")
+def _long_tokens(data, n, begin, count, key, doc, place, tag) -> pa.RecordBatch:
+    """The runs' windows as runs of a second leading token."""
+    least = _least(_gram_hashes(data, n + LENGTH - LONG_GRAM, LONG_GRAM, turn=2), LONG_GRAM)
+    owner = np.repeat(np.arange(len(begin)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    where = begin[owner] + nth
+    second = _mix(least[where] * _ODD[3] + key.view(np.uint64)[owner])
+    s, size = _runs(second + owner.astype(np.uint64) * _ODD[6], where)
+    o = owner[s]
+    start = (place[o] >> 32) + nth[s]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(second[s].view(np.int64)), pa.array(doc[o]), pa.array(_pack(start, size, tag[o]) | (place[o] & INNER))],
+        ["key", "doc", "place"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by key, those whose key another run has, or whose own windows may be equal."""
+    held, like_before = None, False  # the last row met, and whether the one before it has its key
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        key, place = b.column("key").to_numpy(), b.column("place").to_numpy()
+        same = key[1:] == key[:-1]
+        left = np.concatenate([[like_before], same])
+        keep = left | np.append(same, False) | (place & INNER != 0)
+        yield b.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+        held, like_before = b.slice(len(key) - 1), bool(left[-1])
+    if held is not None and (like_before or held.column("place")[0].as_py() & INNER):
+        yield held
+
+
+def _run_bytes(data, n, begin, count, key, doc, place, tag) -> pa.RecordBatch:
+    """The runs with the bytes of their windows."""
+    stop = begin + count + LENGTH - 1
+    raw = [data[x:y] for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(place), pa.array(raw, pa.binary())],
+                                      ["key", "doc", "place", "bytes"])
 
 
 def multikey_order(words: list, key: np.ndarray) -> np.ndarray:
@@ -394,9 +417,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = _sorted_runs(docs).mapInArrow(_compare, "kind int, token long, text long, doc long, place long, task int")
     found = materialize(found, "suffix-runs", "zstd")
     again = found.filter(F.col("kind") == REPEAT).union(_boundary(found).select(*found.columns))
-    firsts = found.filter(F.col("kind") == FIRST).unionByName(_heads(found))
-    windows = _text_windows(docs, firsts).repartition("key").sortWithinPartitions("key")
-    more = windows.mapInArrow(_sort_windows, "doc long, place long")
+    firsts = found.filter(F.col("kind").isin(FIRST, HEAD)).select("doc", F.col("token").alias("key"), "place")
+    runs = _with_texts(docs, firsts, _long_tokens, "key long, doc long, place long")
+    runs = materialize(runs.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, runs.schema), "suffix-shared", "zstd")
+    windows = _with_texts(docs, runs, _run_bytes, "key long, doc long, place long, bytes binary")
+    more = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_windows, "doc long, place long")
     start = F.shiftright("place", 32)
     return (again.select("doc", "place").union(more)
             .select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"),
