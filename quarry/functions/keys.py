@@ -20,11 +20,11 @@ def norm_url(url, mode: str = "suffix") -> Column:
                   before lower-casing — reproduces the character-set strip of the
                   surveyed service (``…/a/digit`` becomes ``…/a/d``).
     """
-    u = F.regexp_replace(F.coalesce(_c(url), F.lit("")), "/+$", "")
+    u = F.regexp_replace(F.coalesce(_c(url), F.lit("")), r"/+\z", "")
     if mode == "suffix":
-        return F.lower(F.regexp_replace(u, r"\.git$", ""))
+        return F.lower(F.regexp_replace(u, r"\.git\z", ""))
     if mode == "charset":
-        return F.lower(F.regexp_replace(u, r"[.git]+$", ""))
+        return F.lower(F.regexp_replace(u, r"[.git]+\z", ""))
     raise ValueError(mode)
 
 
@@ -53,7 +53,7 @@ def canonical_user_id(col) -> Column:
     missing hyphens, as Python's ``uuid.UUID`` does."""
     s = _c(col)
     hexed = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "urn:|uuid:", ""), r"^\{+|\}+$", ""), "-", "")
-    is_uuid = hexed.rlike("^[0-9a-fA-F]{32}$")
+    is_uuid = hexed.rlike(r"^[0-9a-fA-F]{32}\z")
     return (F.when(s.isNull() | (s == "") | (s == ZERO_UUID), F.lit(ZERO_UUID))
              .when(is_uuid, _hyphenate(F.lower(hexed)))
              .otherwise(uuid5_oid(s)))

@@ -16,7 +16,7 @@ def _c(col) -> Column:
 
 def basename(path) -> Column:
     """Text after the last ``/`` (the whole path when there is none)."""
-    return F.regexp_extract(_c(path), r"([^/]*)$", 1)
+    return F.regexp_extract(_c(path), r"([^/]*)\z", 1)
 
 
 def extension(path) -> Column:
@@ -24,22 +24,22 @@ def extension(path) -> Column:
 
     Leading dots do not start an extension (``.bashrc`` has none); ``a.`` has ``.``.
     """
-    return F.regexp_extract(F.lower(basename(path)), r"(?s)^\.*[^.].*(\.[^.]*)$", 1)
+    return F.regexp_extract(F.lower(basename(path)), r"(?s)^\.*[^.].*(\.[^.]*)\z", 1)
 
 
 def extension_case_kept(path) -> Column:
     """As :func:`extension` but keeping the original case."""
-    return F.regexp_extract(basename(path), r"(?s)^\.*[^.].*(\.[^.]*)$", 1)
+    return F.regexp_extract(basename(path), r"(?s)^\.*[^.].*(\.[^.]*)\z", 1)
 
 
 def raw_extension(path) -> Column:
     """Text after the last dot of the *whole* path, case kept ('' when no dot)."""
     p = _c(path)
-    return F.when(F.instr(p, ".") > 0, F.regexp_extract(p, r"(?s)\.([^.]*)$", 1)).otherwise(F.lit(""))
+    return F.when(F.instr(p, ".") > 0, F.regexp_extract(p, r"(?s)\.([^.]*)\z", 1)).otherwise(F.lit(""))
 
 
 def binary_suffix_regex() -> str:
-    return r"(?s)(" + "|".join(re.escape(s) for s in BINARY_SUFFIXES) + r")$"
+    return r"(?s)(" + "|".join(re.escape(s) for s in BINARY_SUFFIXES) + r")\z"
 
 
 def is_binary(path) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import (DEFAULT_RATE_LIMITS, MAX_RETRIES, RATE_LIMIT_EXEMPT_PATHS,
                                    RATE_LIMIT_PRECEDENCE, RETRYABLE_STATUSES, STATUS_BACKOFF_CAP,
                                    TRANSPORT_BACKOFF_CAP)
-from .scalable import ordered_scan, running_sum, sliding_count
+from .scalable import running_sum, sliding_count
 
 
 def _micros(ts) -> Column:
@@ -106,62 +106,59 @@ def retry_ledger(attempts: DataFrame, max_retries: int = MAX_RETRIES, status_cap
 
     Attempt n (by ts, seq): a transport error retries after ``min(2^(n-1), 8)`` s; status
     502/503/504 after ``min(2^(n-1), 10)`` s; < 400 succeeds; other >= 400 fails at once;
-    the ``max_retries``-th attempt is final. Logged attempts past the stop are ignored.
-    A request is a handful of rows, so a window per request is bounded work.
+    the ``max_retries``-th attempt is final. Logged attempts past the stop don't change the
+    outcome; those past the budget are counted as ``attempts_beyond_budget``.
     """
     w = Window.partitionBy(key).orderBy("ts", "seq")
     err = F.col("error_kind").isNotNull() if "error_kind" in attempts.columns else F.lit(False)
     st = F.col("status")
-    # Attempts past the retry budget are never made: the filter right on the row number
-    # lets Catalyst cut every request to ``max_retries`` rows map-side (WindowGroupLimit).
-    x = (attempts.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= max_retries)
-         .withColumn("_transport", err))
+    x = attempts.withColumn("attempt", F.row_number().over(w)).withColumn("_transport", err)
     retryable = F.col("_transport") | st.isin(*RETRYABLE_STATUSES)
     terminal = (~F.col("_transport") & (st < 400)) | ~retryable | (F.col("attempt") >= max_retries)
     x = x.withColumn("_terminal", terminal)
     stop = x.filter("_terminal").groupBy(key).agg(F.min("attempt").alias("_stop"))
-    j = x.join(stop, key, "left").filter(F.col("_stop").isNull() | (F.col("attempt") <= F.col("_stop")))
+    j = x.join(stop, key, "left").withColumn("_counts", F.col("_stop").isNull() | (F.col("attempt") <= F.col("_stop")))
     cap = F.when(F.col("_transport"), F.lit(transport_cap)).otherwise(F.lit(status_cap))
     backoff = F.when(retryable & ~F.col("_terminal"),
                      F.least(F.pow(F.lit(2), F.col("attempt") - 1), cap)).otherwise(0)
-    last = F.max_by(F.struct("_transport", "status", "error_kind", "_terminal"), "attempt")
-    agg = j.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.sum(backoff).cast("double").alias("total_backoff_s"),
-                             last.alias("_l"))
+    last = F.max_by(F.struct("_transport", "status", "error_kind", "_terminal"), F.when(F.col("_counts"), F.col("attempt")))
+    agg = j.groupBy(key).agg(F.count_if("_counts").alias("attempts"),
+                             F.sum(F.when(F.col("_counts"), backoff)).cast("double").alias("total_backoff_s"),
+                             F.count_if(F.col("attempt") > max_retries).alias("attempts_beyond_budget"), last.alias("_l"))
     outcome = (F.when(~F.col("_l._terminal"), "incomplete")
                 .when(~F.col("_l._transport") & (F.col("_l.status") < 400), "success")
                 .when(F.col("_l._transport"), "unreachable")
                 .when(F.col("_l.status").isin(*RETRYABLE_STATUSES), "exhausted")
                 .otherwise("client_error"))
     return agg.select(key, "attempts", "total_backoff_s", F.col("_l.status").alias("final_status"),
-                      outcome.alias("outcome"))
+                      outcome.alias("outcome"), "attempts_beyond_budget")
 
 
 # --------------------------------------------------------------------------- G5 / L4
 
-def status_timeline(events: DataFrame, key: str = "job_id", running=("running", "processing"),
-                    terminal=("completed", "failed", "cancelled"), skew_safe: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Ordered transitions per job (previous status, seconds in state until the next
-    event) and a per-job summary: last status, started_at (last ``running`` update),
-    completed_at (last terminal update), transitions."""
-    # lag / lead through a skew-safe ordered scan: one job's events may be arbitrarily many.
-    if skew_safe:
-        steps = (ordered_scan(events, [key], ["ts", "seq", "status"], carry=["status", "ts"], out_ord="step")
-                 .drop("next_status", "prev_ts"))
-    else:
-        w = Window.partitionBy(key).orderBy("ts", "seq", "status")
-        steps = events.select("*", F.row_number().over(w).alias("step"), F.lag("status").over(w).alias("prev_status"),
-                              F.lead("ts").over(w).alias("next_ts"))
-    steps = (steps
-             .withColumn("seconds_in_state",
-                         (F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6))
+def status_timeline(events: DataFrame, key: str = "job_id") -> DataFrame:
+    """Ordered transitions per job: previous status, seconds in state until the next event.
+
+    ``lag`` and ``lead`` stream over a job's sorted rows with one row held, whatever their number.
+    """
+    w = Window.partitionBy(key).orderBy("ts", "seq", "status")
+    steps = events.select("*", F.row_number().over(w).alias("step"), F.lag("status").over(w).alias("prev_status"),
+                          F.lead("ts").over(w).alias("next_ts"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return steps.withColumn("seconds_in_state", (micros("next_ts") - micros("ts")) / 1e6)
+
+
+def status_summary(events: DataFrame, key: str = "job_id", running=("running", "processing"),
+                   terminal=("completed", "failed", "cancelled")) -> DataFrame:
+    """Per job the last status, started_at (last ``running`` update), completed_at (last
+    terminal update) and transitions: one aggregate."""
     summary = events.groupBy(key).agg(
         F.max(F.struct("ts", "seq", "status")).alias("_last"),
         F.max(F.when(F.col("status").isin(*running), F.struct("ts", "seq"))).alias("_run"),
         F.max(F.when(F.col("status").isin(*terminal), F.struct("ts", "seq"))).alias("_end"),
         F.count(F.lit(1)).alias("transitions"))
-    summary = summary.select(key, F.col("_last.status").alias("status"), F.col("_run.ts").alias("started_at"),
-                             F.col("_end.ts").alias("completed_at"), "transitions")
-    return steps, summary
+    return summary.select(key, F.col("_last.status").alias("status"), F.col("_run.ts").alias("started_at"),
+                          F.col("_end.ts").alias("completed_at"), "transitions")
 
 
 # --------------------------------------------------------------------------- F7 / G6

@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import COMMIT_CAP, COMMIT_STATUS_TO_EVENT
-from .scalable import ordered_scan
+from ..functions.constants import COMMIT_STATUS_TO_EVENT
 
 
 def _status_map() -> F.Column:
     return F.create_map(*[F.lit(x) for kv in COMMIT_STATUS_TO_EVENT.items() for x in kv])
 
 
-def commits_since(commits: DataFrame, watermarks: DataFrame, cap: int = COMMIT_CAP,
+def commits_since(commits: DataFrame, watermarks: DataFrame, newest: int | None = None,
                   keys: tuple[str, ...] = ("repo_id",), ts_col: str = "commit_ts",
                   tiebreak: str = "sha") -> DataFrame:
-    """Commits at or after each key's ``last_sync`` (null = no bound), newest ``cap`` per key.
+    """All commits at or after each key's ``last_sync`` (null = no bound).
 
-    The ``row_number() <= cap`` filter lets Catalyst insert a partial WindowGroupLimit
-    before the shuffle, so a hot repository ships at most ``cap`` rows per map task.
+    With ``newest`` only that many per key, newest first, ranked as ``recent_rank``: a report, not
+    a sync, as what it leaves out is lost once the watermark moves.
     """
     wm = watermarks.select(*keys, F.col("last_sync"))
     j = commits.join(wm, list(keys), "left")
     j = j.filter(F.col("last_sync").isNull() | (F.col(ts_col) >= F.col("last_sync")))
+    if newest is None:
+        return j
     w = Window.partitionBy(*keys).orderBy(F.desc(ts_col), F.desc(tiebreak))
-    return j.withColumn("recent_rank", F.row_number().over(w)).filter(F.col("recent_rank") <= cap)
+    return j.withColumn("recent_rank", F.row_number().over(w)).filter(F.col("recent_rank") <= newest)
 
 
 def poll_changes(commits: DataFrame, path_rule: str = "github") -> DataFrame:
@@ -46,7 +47,7 @@ def poll_changes(commits: DataFrame, path_rule: str = "github") -> DataFrame:
 
 def net_changes(events: DataFrame, policy: str = "newest", keys: tuple[str, ...] = ("repo_id", "path"),
                 order: tuple[str, ...] = ("commit_ts", "commit_seq", "file_seq"),
-                status_col: str = "event_type") -> DataFrame:
+                status_col: str = "event_type", keep_order: bool = False) -> DataFrame:
     """One status per path from many change events.
 
     ``newest`` (default): the latest event wins under the total order ``order + status``.
@@ -58,8 +59,12 @@ def net_changes(events: DataFrame, policy: str = "newest", keys: tuple[str, ...]
     pick = F.max(key) if policy == "newest" else F.min(key)
     if policy not in ("newest", "reference"):
         raise ValueError(policy)
-    return (events.groupBy(*keys).agg(pick.alias("_k"), F.count(F.lit(1)).alias("events"))
-            .select(*keys, F.col("_k._s").alias(status_col), "events"))
+    # ``keep_order`` returns the winner's order columns, so results of parts can be folded again;
+    # events already counted in a part are summed.
+    counted = F.sum("events") if "events" in events.columns else F.count(F.lit(1))
+    kept = [F.col(f"_k.{c}").alias(c) for c in order] if keep_order else []
+    return (events.groupBy(*keys).agg(pick.alias("_k"), counted.alias("events"))
+            .select(*keys, F.col("_k._s").alias(status_col), "events", *kept))
 
 
 def diff_entries(diff: DataFrame, provider: str, key: str = "repo_id") -> DataFrame:
@@ -104,43 +109,48 @@ def diff_entries(diff: DataFrame, provider: str, key: str = "repo_id") -> DataFr
 
 
 def diff_snapshots(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("repo_id",),
-                   detect_renames: bool = True, skew_safe: bool = True) -> DataFrame:
-    """Two manifests -> ``added / modified / removed / renamed`` rows.
-
-    A full outer join on (keys, path) compares shas (content never enters the join).
-    Renames pair the unmatched removed and added paths of one key that carry the same
-    sha, 1:1 in path order; a copy (old path still present) stays ``added``.
-    Output: keys, path, change, old_path, sha.
+                   detect_renames: bool = True) -> DataFrame:
+    """Two manifests -> ``added / modified / removed / renamed / unknown`` rows.
+
+    A full outer join on (keys, path); each side carries a marker, so a null sha doesn't look like
+    an absent file. Files on both sides are modified if their shas differ; if both shas are null
+    their sizes are compared, and without sizes the change is ``unknown``. Renames pair the
+    removed and added paths of one key with the same sha, 1:1 in path order; a copy (old path
+    still present) stays ``added``. Output: keys, path, change, old_path, sha.
+
+    One shuffle on (keys, sha) after the join does ranking and pairing; rows without a part in
+    renames travel by their path, so null shas don't meet. Rows of one sha are ranked by a
+    streaming window over paths alone: content never enters.
     """
     k = list(keys)
-    o = old.select(*k, "path", F.col("sha").alias("old_sha"))
-    n = new.select(*k, "path", F.col("sha").alias("new_sha"))
-    j = o.join(n, k + ["path"], "full_outer")
-    change = (F.when(F.col("old_sha").isNull(), "added")
-               .when(F.col("new_sha").isNull(), "removed")
-               .when(~F.col("old_sha").eqNullSafe(F.col("new_sha")), "modified"))
-    j = j.withColumn("change", change).filter(F.col("change").isNotNull())
-    j = j.withColumn("sha", F.coalesce("new_sha", "old_sha")).drop("old_sha", "new_sha")
+
+    def side(df, name):
+        size = F.col("size") if "size" in df.columns else F.lit(None).cast("long")
+        return df.select(*k, "path", F.struct("sha", size.cast("long").alias("size")).alias(name))
+
+    j = side(old, "_o").join(side(new, "_n"), k + ["path"], "full_outer")
+    o, n = F.col("_o"), F.col("_n")
+    change = (F.when(o.isNull(), "added").when(n.isNull(), "removed")
+              .when(~o["sha"].eqNullSafe(n["sha"]), "modified")
+              .when(o["sha"].isNull() & (o["size"].isNull() | n["size"].isNull()), "unknown")
+              .when(o["sha"].isNull() & (o["size"] != n["size"]), "modified"))
+    j = (j.withColumn("change", change).filter(F.col("change").isNotNull())
+         .select(*k, "path", "change", F.coalesce(n["sha"], o["sha"]).alias("sha")))
     if not detect_renames:
         return j.select(*k, "path", "change", F.lit(None).cast("string").alias("old_path"), "sha")
-    # Pair the i-th removed path with the i-th added path of the same content (path order).
-    # Ordinals come from one skew-safe ordered scan over both sides: one sha (e.g. thousands
-    # of identical empty files) can be arbitrarily large without landing in a single task.
-    # ``skew_safe=False`` uses a plain window (one task per (key, sha) group).
-    cand = j.filter(F.col("change").isin("removed", "added") & F.col("sha").isNotNull()).select(*k, "sha", "change", "path")
-    if skew_safe:
-        cand = ordered_scan(cand, [*k, "sha", "change"], ["path"], out_ord="pair")
-    else:
-        cand = cand.withColumn("pair", F.row_number().over(Window.partitionBy(*k, "sha", "change").orderBy("path")))
-    rem = cand.filter(F.col("change") == "removed").select(*k, "sha", "pair", F.col("path").alias("old_path"))
-    add = cand.filter(F.col("change") == "added").select(*k, "sha", "pair", F.col("path").alias("new_path"))
-    pairs = add.join(rem, k + ["sha", "pair"], "inner").select(*k, "sha", "old_path", "new_path")
-    renamed = pairs.select(*k, F.col("new_path").alias("path"), F.lit("renamed").alias("change"), "old_path", "sha")
-    paired = (pairs.select(*k, F.col("old_path").alias("path"))
-              .unionByName(pairs.select(*k, F.col("new_path").alias("path"))))
-    rest = (j.join(paired, k + ["path"], "left_anti")
-            .select(*k, "path", "change", F.lit(None).cast("string").alias("old_path"), "sha"))
-    return rest.unionByName(renamed)
+    may_move = F.col("change").isin("removed", "added") & F.col("sha").isNotNull()
+    meet = [*k, "_sha", "_path"]
+    x = (j.withColumn("_sha", F.when(may_move, F.col("sha"))).withColumn("_path", F.when(~may_move, F.col("path")))
+         .repartition(*meet))
+    x = x.withColumn("_nth", F.row_number().over(Window.partitionBy(*meet, "change").orderBy("path")))
+    gone = F.col("change") == "removed"
+    pair = x.groupBy(*meet, "_nth").agg(F.max(F.when(gone, F.col("path"))).alias("_old"),
+                                        F.max(F.when(~gone, F.struct("path", "change"))).alias("_new"),
+                                        F.max("sha").alias("sha"))
+    moved = F.col("_old").isNotNull() & F.col("_new").isNotNull()
+    return pair.select(*k, F.coalesce("_new.path", "_old").alias("path"),
+                       F.when(moved, "renamed").otherwise(F.coalesce("_new.change", F.lit("removed"))).alias("change"),
+                       F.when(moved, F.col("_old")).alias("old_path"), "sha")
 
 
 def change_summary(diff: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:

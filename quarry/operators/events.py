@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -57,64 +57,57 @@ def apply_file_events(state: DataFrame | None, events: DataFrame, order_col: str
                       keep_tombstones: bool = False) -> DataFrame:
     """Current file state after applying keyed events.
 
-    Per (repo_id, file_path) the event with the greatest ``(offset, content, is_deleted)``
-    wins (offsets may repeat, so the order is made total); tombstones remove the file
-    (``keep_tombstones=True`` keeps them as rows, so a stored state remembers deletions).
-    Existing state rows carry their own offset and lose to any newer event. One partial
-    aggregate — a hot repository is reduced map-side, nothing is sorted per key.
+    Per (repo_id, file_path) the event with the greatest offset wins. Events of one offset (one
+    update) are a set: content beats a tombstone, as when a file moves away and another takes its
+    path; equal rows are one event, and of different contents the one with the larger checksum is
+    taken, so the result doesn't depend on the order of reading. An event without ``is_deleted``
+    is no deletion. Tombstones remove the file (``keep_tombstones=True`` keeps them as rows, so a
+    stored state remembers deletions). State rows carry their own offset and lose to newer events.
+
+    ``row_number() = 1`` is cut down within each map task first: losing contents don't move.
     """
-    ev = events.select("repo_id", "file_path", F.col(order_col).alias("off"), "content", "is_deleted")
+    gone = F.coalesce(F.col("is_deleted"), F.lit(False))
+    ev = events.select("repo_id", "file_path", F.col(order_col).alias("off"), "content", gone.alias("is_deleted"))
     if state is not None:
-        deleted = F.col("is_deleted") if "is_deleted" in state.columns else F.lit(False)
+        deleted = gone if "is_deleted" in state.columns else F.lit(False)
         ev = state.select("repo_id", "file_path", F.col(order_col).alias("off"), "content",
                           deleted.alias("is_deleted")).unionByName(ev)
-    best = (ev.groupBy("repo_id", "file_path")
-            .agg(F.max(F.struct("off", "content", "is_deleted")).alias("_w")))
+    w = Window.partitionBy("repo_id", "file_path").orderBy(F.desc("off"), F.asc("is_deleted"), F.desc("_check"))
+    best = (ev.withColumn("_check", F.crc32(F.coalesce("content", F.lit(""))))
+            .withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") == 1))
     if not keep_tombstones:
-        best = best.filter(~F.col("_w.is_deleted"))
-    cols = [F.col("_w.content").alias("content"), F.col("_w.off").alias(order_col)]
-    if keep_tombstones:
-        cols.append(F.col("_w.is_deleted").alias("is_deleted"))
-    return best.select("repo_id", "file_path", *cols)
+        best = best.filter(~F.col("is_deleted"))
+    return best.select("repo_id", "file_path", "content", F.col("off").alias(order_col),
+                       *(["is_deleted"] if keep_tombstones else []))
 
 
 def event_identity(df: DataFrame, id_col: str | None = "event_id") -> DataFrame:
     """Identity used for at-least-once de-duplication: ``event_id`` when the event has one,
-    else (repo_id, file_path, sha256(content), is_deleted, offset)."""
+    else all of (repo_id, file_path, sha256(content), is_deleted, offset), nulls included."""
     if id_col and id_col in df.columns:
         return df.withColumn("_identity", F.col(id_col).cast("string"))
-    return df.withColumn("_identity", F.sha2(F.concat_ws(
-        "\u0001", "repo_id", "file_path", F.sha2(F.coalesce(F.col("content"), F.lit("")), 256),
-        F.col("is_deleted").cast("string"), F.col("off").cast("string")), 256))
-
-
-def dedupe_events(events: DataFrame, id_col: str | None = "event_id", ts_col: str | None = None,
-                  delay: str = "10 minutes") -> DataFrame:
-    """Drop re-deliveries. Streaming inputs keep bounded state with a watermark."""
-    e = event_identity(events, id_col)
-    if events.isStreaming:
-        if not ts_col:
-            raise ValueError("streaming de-duplication needs an event-time column")
-        return e.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(["_identity"]).drop("_identity")
-    return e.dropDuplicates(["_identity"]).drop("_identity")
+    # JSON keeps nulls, empty strings and field borders apart.
+    content = F.sha2("content", 256).alias("content")
+    return df.withColumn("_identity", F.sha2(F.to_json(F.struct("repo_id", "file_path", content, "is_deleted", "off")), 256))
 
 
-STATE_BUCKETS = 64
+def dedupe_events(events: DataFrame, id_col: str | None = "event_id") -> DataFrame:
+    """Drop re-deliveries of a batch (streams: ``streaming.stateful.start_dedupe_stream``)."""
+    return event_identity(events, id_col).dropDuplicates(["_identity"]).drop("_identity")
 
 
-def state_bucket(col: str = "repo_id", buckets: int = STATE_BUCKETS) -> F.Column:
-    """Directory bucket of a file-state row (by repository)."""
-    return F.pmod(F.xxhash64(F.col(col)), F.lit(buckets)).cast("int")
+def state_bucket(buckets: int) -> F.Column:
+    """Directory bucket of a file-state row, by repository and path: a large repository spreads
+    over all buckets, and an update rewrites only the buckets of its paths."""
+    return F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(buckets)).cast("int")
 
 
-def write_file_state(state: DataFrame, path: str, buckets: int = STATE_BUCKETS) -> None:
-    """Store a current-state table partitioned by repository bucket (with an
-    ``is_deleted`` column: deletions are kept as tombstone rows)."""
+def write_file_state(state: DataFrame, path: str, buckets: int) -> None:
+    """Store a current-state table in ``buckets`` folders (with an ``is_deleted`` column:
+    deletions are kept as tombstone rows). Choose the count so that a bucket is about 1 GB."""
     if "is_deleted" not in state.columns:
         state = state.withColumn("is_deleted", F.lit(False))
-    # Range partitioning on (bucket, repo, path): a bucket holding one huge repository is
-    # still written by many tasks.
-    (state.withColumn("bucket", state_bucket(buckets=buckets))
+    (state.withColumn("bucket", state_bucket(buckets))
      .repartitionByRange("bucket", "repo_id", "file_path")
      .write.mode("overwrite").partitionBy("bucket").parquet(path))
 
@@ -124,26 +117,29 @@ def read_file_state(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).filter(~F.col("is_deleted")).drop("is_deleted", "bucket")
 
 
-def merge_file_state(spark, path: str, events: DataFrame, staging: str, buckets: int = STATE_BUCKETS,
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def merge_file_state(spark, path: str, events: DataFrame, staging: str, buckets: int,
                      order_col: str = "off") -> None:
     """E7 at scale: fold a batch of file events into a stored state table, rewriting
-    only the repository buckets the batch touches.
+    only the buckets the batch touches.
 
     The touched buckets are read (partition pruning on ``bucket``), merged with the events
     by :func:`apply_file_events` keeping tombstones (so an older, late event can never
     resurrect a deleted file), staged under ``staging`` and swapped in with a dynamic
     partition overwrite; untouched buckets are never read or written. Re-running a batch
-    is idempotent: the winner per key does not change.
+    is idempotent: the winner per key does not change. Only a path that does not exist is an
+    empty state; a state that can't be read fails the merge and stays as it is.
     """
-    ev = events.withColumn("bucket", state_bucket(buckets=buckets))
+    ev = events.withColumn("bucket", state_bucket(buckets))
     touched = [r[0] for r in ev.select("bucket").distinct().collect()]  # at most ``buckets`` ints
     if not touched:
         return
-    try:
-        cur = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket")
-    except Exception:  # no state yet
-        cur = None
+    cur = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket") if _exists(spark, path) else None
     merged = apply_file_events(cur, ev.drop("bucket"), order_col=order_col, keep_tombstones=True)
-    merged.withColumn("bucket", state_bucket(buckets=buckets)).write.mode("overwrite").parquet(staging)
+    merged.withColumn("bucket", state_bucket(buckets)).write.mode("overwrite").parquet(staging)
     (spark.read.parquet(staging).repartitionByRange("bucket", "repo_id", "file_path").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))

@@ -302,9 +302,9 @@ def registry_integrity(sources: DataFrame, repos: DataFrame) -> DataFrame:
 
 def _check_page(limit: int, offset: int) -> None:
     if not (1 <= limit <= 1000):
-        raise ValueError("Limit must be between 1 and 1000")
+        raise ValueError(f"page size {limit} is not in 1..1000")
     if not (0 <= offset <= 10000):
-        raise ValueError("Offset must be between 0 and 10000")
+        raise ValueError(f"page start {offset} is not in 0..10000")
 
 
 def list_jobs(jobs: DataFrame, source_id=None, status: str | None = None, limit: int = 50, offset: int = 0,

@@ -10,6 +10,8 @@ split the ordered work into bounded pieces:
 * ``sliding_count`` — trailing time-window counts on time buckets: each row is counted
   in its own bucket and copied into the next bucket when it falls in that bucket's
   look-back halo, so a window partition is (key, bucket), never a whole key.
+
+Both use frames from the partition's start to the row only: one pass, no moving frame.
 """
 
 from __future__ import annotations
@@ -23,10 +25,20 @@ def running_sum(df: DataFrame, keys: list[str], order_col: str, value: Column |
     """``out_col`` = sum of ``value`` over rows of the same key with a smaller-or-equal
     ``(order_col, *tiebreak)``; ``order_col`` must be integral (ids, sequence numbers,
     epoch micros). Equivalent to ``sum(value) OVER (PARTITION BY keys ORDER BY order,
-    tiebreak ROWS UNBOUNDED PRECEDING)``."""
+    tiebreak ROWS UNBOUNDED PRECEDING)``.
+
+    A key's span of order values is cut into as many equal blocks as ``block`` rows each would
+    make, so sparse values (epoch micros) give no more blocks than dense ones. Keys must not be
+    null."""
     v = F.col(value) if isinstance(value, str) else value
     tb = tiebreak or []
-    x = df.withColumn("_rs_v", v.cast("bigint")).withColumn("_rs_blk", F.floor(F.col(order_col) / F.lit(block)))
+    span = df.groupBy(*keys).agg(F.min(order_col).alias("_rs_min"), F.max(order_col).alias("_rs_max"),
+                                 F.count(F.lit(1)).alias("_rs_n"))
+    wide = F.ceil((F.col("_rs_max") - F.col("_rs_min") + 1) / F.ceil(F.col("_rs_n") / F.lit(block)))
+    span = span.select(*keys, "_rs_min", F.greatest(wide, F.lit(1).cast("long")).alias("_rs_wide"))
+    x = (df.withColumn("_rs_v", v.cast("bigint")).join(span, keys)
+         .withColumn("_rs_blk", F.floor((F.col(order_col) - F.col("_rs_min")) / F.col("_rs_wide")))
+         .drop("_rs_min", "_rs_wide"))
     totals = x.groupBy(*keys, "_rs_blk").agg(F.sum("_rs_v").alias("_rs_bsum"))
     wb = Window.partitionBy(*keys).orderBy("_rs_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_rs_boff", F.coalesce(F.sum("_rs_bsum").over(wb), F.lit(0))).drop("_rs_bsum")
@@ -44,7 +56,9 @@ def sliding_count(df: DataFrame, keys: list[str], ts_micros: str, window_micros:
 
     Rows are bucketed by ``floor(t / bucket)``; a row within ``window`` of the next
     bucket start is copied there as a non-output halo row, so each (key, bucket)
-    partition holds everything its rows can see.
+    partition holds everything its rows can see. Each row is two marks, +1 at its time and -1
+    where it leaves the window; the count is one running sum over the marks, so the work is
+    linear in the rows however many share a window.
     """
     b = bucket_micros or max(10 * window_micros, 3_600_000_000)
     if b < window_micros:
@@ -52,151 +66,13 @@ def sliding_count(df: DataFrame, keys: list[str], ts_micros: str, window_micros:
     t = F.col(ts_micros)
     bucket = F.floor(t / F.lit(b))
     halo = (t >= (bucket + 1) * F.lit(b) - F.lit(window_micros))
-    x = df.withColumn("_sc_bkt", F.explode(F.when(halo, F.array(
-        F.struct(bucket.alias("b"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("b"), F.lit(False).alias("own"))))
-        .otherwise(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own"))))))
-    x = x.withColumn("_sc_b", F.col("_sc_bkt.b")).withColumn("_sc_own", F.col("_sc_bkt.own")).drop("_sc_bkt")
-    part = [*keys, "_sc_b"]
-    # RANGE frame counts every row with t in (t - window, t], peers at t included...
-    wr = Window.partitionBy(*part).orderBy(t).rangeBetween(-(window_micros - 1), 0)
-    # ... so later-arriving peers at the same timestamp are subtracted.
-    wp = Window.partitionBy(*part, ts_micros)
-    wpo = Window.partitionBy(*part, ts_micros).orderBy(arrival)
-    y = (x.withColumn("_sc_in", F.count(F.lit(1)).over(wr))
-         .withColumn("_sc_peers", F.count(F.lit(1)).over(wp))
-         .withColumn("_sc_pos", F.row_number().over(wpo)))
-    return (y.filter("_sc_own").withColumn(out_col, F.col("_sc_in") - (F.col("_sc_peers") - F.col("_sc_pos")))
-            .drop("_sc_b", "_sc_own", "_sc_in", "_sc_peers", "_sc_pos"))
-
-
-def _window_scan(df: DataFrame, keys: list[str], order: list[str], carry: list[str], out_ord: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    cols = [F.row_number().over(w).alias(out_ord)]
-    for c in carry:
-        cols += [F.lag(c).over(w).alias("prev_" + c), F.lead(c).over(w).alias("next_" + c)]
-    return df.select("*", *cols)
-
-
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], carry: list[str] = (),
-                 out_ord: str = "_ord", partitions: int | None = None,
-                 hot_threshold: int | None = 2_000_000) -> DataFrame:
-    """Skew-safe ``row_number()``, ``lag`` and ``lead`` within each key.
-
-    Adds ``out_ord`` (1-based position of the row within its key under ``order``, which
-    must be a total order) and, for every column ``c`` in ``carry``, ``prev_c`` /
-    ``next_c`` (the neighbouring rows' values within the key, null at the ends).
-
-    A plain window puts all rows of a key into one task. Here the rows are range-
-    partitioned on (keys, order) — a hot key is cut into many sorted partitions — and
-    each partition is scanned once (Arrow batches, carrying the running position and
-    neighbours across batches). Keys that cross a partition boundary are stitched with a
-    per-partition summary (one row per partition, so its size is bounded by the
-    partition count and it is broadcast).
-
-    With ``hot_threshold`` set, the largest key is measured first (one partial
-    aggregate, a single number to the driver); when no key exceeds it, the plain window
-    plan is used — same result, less work for evenly spread data.
-    """
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    spark = df.sparkSession
-    carry = list(carry)
-    if hot_threshold is not None:
-        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= hot_threshold:
-            return _window_scan(df, keys, order, carry, out_ord)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-         .withColumn("_pid", F.spark_partition_id()))
-    fields = list(r.schema.fields) + [T.StructField("_local", T.LongType())]
-    for c in carry:
-        dt = r.schema[c].dataType
-        fields += [T.StructField("_lp_" + c, dt), T.StructField("_ln_" + c, dt), ]
-    fields += [T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())]
-    out_schema = T.StructType(fields)
-    kcols = list(keys)
-
-    def scan(batches):
-        prev = None          # held batch (pandas) awaiting its successor
-        last_hash = None     # key hash of the last row emitted/held
-        last_count = 0       # position of that row within its key
-        last_vals = {}       # carry values of that row
-
-        def finish(pdf, next_hash, next_vals):
-            # Fill next values of the held batch's final row from the following batch.
-            if len(pdf) and next_hash is not None and pdf["_h"].iloc[-1] == next_hash:
-                for c in carry:
-                    pdf.iloc[-1, pdf.columns.get_loc("_ln_" + c)] = next_vals[c]
-                pdf.iloc[-1, pdf.columns.get_loc("_last")] = False
-            return pdf.drop(columns=["_h"])
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            h = pd.util.hash_pandas_object(pdf[kcols], index=False).astype("uint64")
-            pdf["_h"] = h
-            start = h.ne(h.shift(1))
-            if last_hash is not None:
-                start.iloc[0] = bool(h.iloc[0] != last_hash)
-            run = start.cumsum()
-            local = pdf.groupby(run).cumcount() + 1
-            if last_hash is not None and not start.iloc[0]:
-                local = local.where(run != run.iloc[0], local + last_count)
-            pdf["_local"] = local.astype("int64")
-            end = h.ne(h.shift(-1))
-            for c in carry:
-                p = pdf[c].shift(1).astype(object)
-                p = p.where(~start, None)
-                if last_hash is not None and not start.iloc[0]:
-                    p.iloc[0] = last_vals[c]
-                pdf["_lp_" + c] = p
-                nx = pdf[c].shift(-1).astype(object)
-                pdf["_ln_" + c] = nx.where(~end, None)
-            pdf["_first"] = start & (pdf["_local"] == 1)
-            pdf["_last"] = end
-            if prev is not None:
-                yield finish(prev, int(h.iloc[0]), {c: pdf[c].iloc[0] for c in carry})
-            prev = pdf
-            last_hash = int(h.iloc[-1])
-            last_count = int(pdf["_local"].iloc[-1])
-            last_vals = {c: pdf[c].iloc[-1] for c in carry}
-        if prev is not None:
-            yield finish(prev, None, {})
-
-    scanned = r.mapInPandas(scan, out_schema)
-    kstruct = F.struct(*[F.col(k) for k in keys])
-    # One summary row per partition: its first and last rows.
-    first = F.min(F.struct(*[F.col(k) for k in keys], *[F.col(o) for o in order],
-                           *[F.col(c).alias("v_" + c) for c in carry]))
-    last = F.max(F.struct(*[F.col(k) for k in keys], *[F.col(o) for o in order], F.col("_local"),
-                          *[F.col(c).alias("v_" + c) for c in carry]))
-    summ = scanned.groupBy("_pid").agg(first.alias("_f"), last.alias("_l"))
-    summ = summ.select("_pid", F.struct(*[F.col("_f." + k) for k in keys]).alias("_fk"),
-                       F.struct(*[F.col("_l." + k) for k in keys]).alias("_lk"),
-                       F.col("_l._local").alias("_ll"),
-                       *[F.col("_f.v_" + c).alias("_fv_" + c) for c in carry],
-                       *[F.col("_l.v_" + c).alias("_lv_" + c) for c in carry])
-    w = Window.orderBy("_pid")
-    wk = Window.partitionBy("_lk").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
-    summ = summ.withColumn("_cum", F.sum("_ll").over(wk))
-    cont_prev = F.lag("_lk").over(w).eqNullSafe(F.col("_fk")) & F.lag("_lk").over(w).isNotNull()
-    cont_next = F.lead("_fk").over(w).eqNullSafe(F.col("_lk")) & F.lead("_fk").over(w).isNotNull()
-    summ = summ.select(
-        "_pid", "_fk", "_lk",
-        F.when(F.coalesce(cont_prev, F.lit(False)), F.lag("_cum").over(w)).otherwise(0).alias("_off"),
-        *[F.when(F.coalesce(cont_prev, F.lit(False)), F.lag("_lv_" + c).over(w)).alias("_bp_" + c) for c in carry],
-        *[F.when(F.coalesce(cont_next, F.lit(False)), F.lead("_fv_" + c).over(w)).alias("_bn_" + c) for c in carry])
-    j = scanned.join(F.broadcast(summ), "_pid", "left")
-    is_first_key = kstruct.eqNullSafe(F.col("_fk"))
-    is_last_key = kstruct.eqNullSafe(F.col("_lk"))
-    out = j.withColumn(out_ord, F.col("_local") + F.when(is_first_key, F.col("_off")).otherwise(0))
-    for c in carry:
-        out = out.withColumn("prev_" + c, F.when(is_first_key & (F.col("_local") == 1), F.col("_bp_" + c))
-                             .otherwise(F.col("_lp_" + c)))
-        out = out.withColumn("next_" + c, F.when(is_last_key & F.col("_last"), F.col("_bn_" + c))
-                             .otherwise(F.col("_ln_" + c)))
-    drop = ["_pid", "_local", "_first", "_last", "_fk", "_lk", "_off"] + \
-        [p + c for c in carry for p in ("_lp_", "_ln_", "_bp_", "_bn_")]
-    return out.drop(*drop)
+    places = F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")),
+                     F.struct((bucket + 1).alias("b"), F.lit(False).alias("own")))
+    x = df.withColumn("_sc", F.explode(F.when(halo, places).otherwise(F.slice(places, 1, 1))))
+    marks = F.array(F.struct(t.alias("at"), F.lit(1).alias("step")),
+                    F.struct((t + F.lit(window_micros)).alias("at"), F.lit(-1).alias("step")))
+    # A row of the window's far edge has left before one that arrives there is counted.
+    order = Window.partitionBy(*keys, "_sc.b").orderBy("_sc_m.at", "_sc_m.step", arrival).rowsBetween(
+        Window.unboundedPreceding, 0)
+    return (x.withColumn("_sc_m", F.explode(marks)).withColumn(out_col, F.sum("_sc_m.step").over(order))
+            .filter("_sc.own AND _sc_m.step = 1").drop("_sc", "_sc_m"))

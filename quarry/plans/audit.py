@@ -58,7 +58,8 @@ g AS (SELECT request_id, count(*) AS attempts,
       FROM k GROUP BY request_id)
 SELECT request_id, attempts, total_backoff_s, final_status,
        CASE WHEN NOT lterm THEN 'incomplete' WHEN NOT ltr AND final_status < 400 THEN 'success' WHEN ltr THEN 'unreachable'
-            WHEN final_status IN (502, 503, 504) THEN 'exhausted' ELSE 'client_error' END AS outcome FROM g""")
+            WHEN final_status IN (502, 503, 504) THEN 'exhausted' ELSE 'client_error' END AS outcome,
+       (SELECT count(*) FROM x WHERE x.request_id = g.request_id AND x.attempt > 8) AS attempts_beyond_budget FROM g""")
 def g4_retry_ledger(spark, sf_dir):
     """Retry attempts, backoff and outcome per request."""
     return ops.retry_ledger(Fixtures(spark, sf_dir).fx_attempts)
@@ -71,7 +72,7 @@ SELECT job_id, seq, ts, status,
 FROM fx_job_status_events WINDOW w AS (PARTITION BY job_id ORDER BY ts, seq, status)""")
 def g5_status_timeline(spark, sf_dir):
     """Ordered status transitions per job."""
-    steps, _ = ops.status_timeline(Fixtures(spark, sf_dir).fx_job_status_events)
+    steps = ops.status_timeline(Fixtures(spark, sf_dir).fx_job_status_events)
     return steps.select("job_id", "seq", "ts", "status", "prev_status", "next_ts", "seconds_in_state")
 
 
@@ -82,8 +83,7 @@ SELECT job_id, arg_max(status, (ts, seq, status)) AS status,
        count(*) AS transitions FROM fx_job_status_events GROUP BY job_id""")
 def g5_job_summary(spark, sf_dir):
     """Last status, start and completion time per job."""
-    _, summary = ops.status_timeline(Fixtures(spark, sf_dir).fx_job_status_events)
-    return summary
+    return ops.status_summary(Fixtures(spark, sf_dir).fx_job_status_events)
 
 
 DELTAS_SQL = """

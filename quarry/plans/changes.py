@@ -35,19 +35,15 @@ wm AS (SELECT DISTINCT repo_id, CASE CAST(regexp_extract(repo_id, '(\\d+)$', 1)
 
 
 @register("d5_commits_since", views=["fx_commit_files"], oracle=f"""
-WITH c AS (SELECT DISTINCT repo_id, commit_seq, commit_ts FROM fx_commit_files), {WM_SQL},
-r AS (SELECT c.repo_id, c.commit_seq, c.commit_ts, wm.last_sync,
-             row_number() OVER (PARTITION BY c.repo_id ORDER BY c.commit_ts DESC, c.commit_seq DESC) AS recent_rank
-      FROM c LEFT JOIN wm ON wm.repo_id = c.repo_id
-      WHERE wm.last_sync IS NULL OR c.commit_ts >= wm.last_sync)
-SELECT repo_id, commit_seq, commit_ts, recent_rank FROM r WHERE recent_rank <= 100""")
+WITH c AS (SELECT DISTINCT repo_id, commit_seq, commit_ts FROM fx_commit_files), {WM_SQL}
+SELECT c.repo_id, c.commit_seq, c.commit_ts FROM c LEFT JOIN wm ON wm.repo_id = c.repo_id
+WHERE wm.last_sync IS NULL OR c.commit_ts >= wm.last_sync""")
 def d5_commits_since(spark, sf_dir):
-    """Newest 100 commits since each repository's watermark."""
+    """All commits since each repository's watermark."""
     fx = Fixtures(spark, sf_dir)
     commits = fx.fx_commit_files.select("repo_id", "commit_seq", "commit_ts").distinct()
     wm = commits.select("repo_id").distinct().select("repo_id", _watermarks_expr().alias("last_sync"))
-    out = ops.commits_since(commits, wm, cap=100, tiebreak="commit_seq")
-    return out.select("repo_id", "commit_seq", "commit_ts", "recent_rank")
+    return ops.commits_since(commits, wm).select("repo_id", "commit_seq", "commit_ts")
 
 
 @register("e1_poll_changes", views=["fx_commit_files"], oracle=f"""
@@ -163,7 +159,8 @@ def h4_latest_commits(spark, sf_dir):
 
 DIFF_SQL = """
 j AS (SELECT coalesce(o.repo_id, n.repo_id) AS repo_id, coalesce(o.path, n.path) AS path,
-             CASE WHEN o.sha IS NULL THEN 'added' WHEN n.sha IS NULL THEN 'removed' WHEN o.sha <> n.sha THEN 'modified' END AS change,
+             CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed'
+                  WHEN o.sha IS DISTINCT FROM n.sha OR (o.sha IS NULL AND o.size <> n.size) THEN 'modified' END AS change,
              coalesce(n.sha, o.sha) AS sha
       FROM fx_snap_old o FULL OUTER JOIN fx_snap_new n ON o.repo_id = n.repo_id AND o.path = n.path),
 c AS (SELECT * FROM j WHERE change IS NOT NULL),

@@ -32,10 +32,13 @@ def a4_write_events(spark, sf_dir):
 def _raw(fx: Fixtures):
     """Kafka-layout records of the file events with some damaged deliveries."""
     fe = _file_events(fx)
-    good = F.to_json(F.struct(*FE_COLS))
+    o = F.col("off")
+    # Some events leave out is_deleted (no deletion) or content (rejected), some have empty content.
+    there = [F.when(o % 73 != 0, F.col("is_deleted")).alias("is_deleted"), F.when(o % 71 != 0, F.col("content")).alias("content"),
+             F.lit("org/name").alias("repo_name"), F.lit("").alias("url")]
+    good = F.to_json(F.struct("event_type", "repo_id", "file_path", *there))
     bad_path = F.to_json(F.struct("event_type", "repo_id", F.lit("").alias("file_path"), "content", "is_deleted"))
     unknown = F.to_json(F.struct(F.lit("FILE_SEEN").alias("event_type"), "repo_id", "file_path"))
-    o = F.col("off")
     value = (F.when(o % 97 == 0, F.substring(good, 1, 10)).when(o % 89 == 0, bad_path)
               .when(o % 83 == 0, unknown).when(o % 79 == 0, F.lit("")).otherwise(good))
     return fe.select(F.col("repo_id").alias("key"), F.encode(value, "UTF-8").alias("value"),
@@ -44,8 +47,8 @@ def _raw(fx: Fixtures):
 
 
 @register("a5_decode_events", views=["fx_file_events"], oracle="""
-SELECT "off" AS "offset", repo_id, file_path, is_deleted, content FROM fx_file_events
-WHERE NOT ("off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0 OR "off" % 79 = 0)""")
+SELECT "off" AS "offset", repo_id, file_path, is_deleted AND "off" % 73 <> 0 AS is_deleted, content FROM fx_file_events
+WHERE NOT ("off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0 OR "off" % 79 = 0 OR "off" % 71 = 0)""")
 def a5_decode_events(spark, sf_dir):
     """A5: typed STREAMED_FILE events decoded from raw records (damaged ones rejected)."""
     typed, _ = src.decode_events(_raw(Fixtures(spark, sf_dir)), types=["STREAMED_FILE"])
@@ -55,8 +58,8 @@ def a5_decode_events(spark, sf_dir):
 REJECT_SQL = """
 SELECT repo_id AS key, "off" AS "offset",
        CASE WHEN "off" % 97 = 0 THEN 'invalid_json' WHEN "off" % 89 = 0 THEN 'missing_required:file_path'
-            ELSE 'unknown_event_type' END AS error
-FROM fx_file_events WHERE "off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0"""
+            WHEN "off" % 83 = 0 THEN 'unknown_event_type' ELSE 'missing_required:content' END AS error
+FROM fx_file_events WHERE "off" % 97 = 0 OR "off" % 89 = 0 OR "off" % 83 = 0 OR ("off" % 79 <> 0 AND "off" % 71 = 0)"""
 
 
 @register("a5_decode_rejects", views=["fx_file_events"], oracle=REJECT_SQL)
@@ -116,7 +119,7 @@ def e6_to_file_events(spark, sf_dir):
 
 @register("e7_apply_file_events", views=["fx_file_events"], oracle="""
 SELECT repo_id, file_path, content, "off" FROM (
-  SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY "off" DESC, content DESC, is_deleted DESC) AS rn
+  SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY "off" DESC, is_deleted) AS rn
   FROM fx_file_events) WHERE rn = 1 AND NOT is_deleted""")
 def e7_apply_file_events(spark, sf_dir):
     """Two consecutive offset ranges applied in turn equal one pass over all events."""

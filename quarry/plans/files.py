@@ -264,10 +264,10 @@ def f2_fetch_totals(spark, sf_dir):
 WITH c AS (SELECT repo_id, {ext('path')} AS extension, count(*) AS files FROM fx_files GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY files DESC, extension) AS ext_rank,
              count(*) OVER (PARTITION BY repo_id) AS distinct_extensions FROM c)
-SELECT * FROM r WHERE ext_rank <= 3""")
+SELECT * FROM r""")
 def f11_extension_inventory(spark, sf_dir):
-    """three most frequent extensions per repository."""
-    return ops.extension_inventory(Fixtures(spark, sf_dir).fx_files, top=3)
+    """all extensions per repository, most frequent first."""
+    return ops.extension_inventory(Fixtures(spark, sf_dir).fx_files)
 
 
 @register("a8_connector_scan", views=["fx_files"], oracle="""
@@ -291,7 +291,7 @@ def a8_connector_scan(spark, sf_dir):
         "repo_id", F.lit("github").alias("provider"), F.struct("tree").alias("page"))).alias("value"))
     # Landed pages as JSON lines, clustered by repository (and page, so a big repository
     # spans several files) into a few files.
-    docs.repartitionByRange(8, "repo_id", "page_no").select("value").write.mode("overwrite").text(base + "/landed")
+    docs.repartitionByRange("repo_id", "page_no").select("value").write.mode("overwrite").text(base + "/landed")
     spark.dataSource.register(RepoDumpSource)
     return (spark.read.format("repodump").option("path", base + "/landed")
             .option("include", "src/**/*,docs/**/*").option("exclude", "*.md").load())
@@ -312,5 +312,5 @@ def a1_manifest_read(spark, sf_dir):
                                      F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("string").alias("url"))
                             .distinct()))
     base = checkpoint_path(spark, "a1", unique=True)
-    listing.repartitionByRange(8, "repo_id", "path").write.mode("overwrite").json(base)
+    listing.repartitionByRange("repo_id", "path").write.mode("overwrite").json(base)
     return read_manifest(spark, base, "github", fmt="json")

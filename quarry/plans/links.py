@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.constants import EVENT_SOURCE_TYPES, LINK_PATTERNS, REGISTRY_SOURCE_TYPES
+from ..functions.constants import EVENT_SOURCE_TYPES, REGISTRY_SOURCE_TYPES
 from ..operators import links as ops
 from ..sources.fixtures import Fixtures
 from .catalog import register
 from .sqlbits import q
 
-GH, GL, BB = (LINK_PATTERNS[k].replace("'", "''") for k in ("github", "gitlab", "bitbucket"))
-
 _URLS_SQL = """
 WITH b AS (SELECT id, provider, url, regexp_replace(url, '(\\.git)?/?$', '') AS base FROM fx_repositories),
 u AS (SELECT id, provider, CASE id % 7 WHEN 0 THEN base || '/tree/main/src/a?x=1'
@@ -19,7 +17,7 @@ u AS (SELECT id, provider, CASE id % 7 WHEN 0 THEN base || '/tree/main/src/a?x=1
                                       WHEN 2 THEN base || '/src/main/docs'
                                       WHEN 3 THEN base || '/tree/main'
                                       WHEN 4 THEN base || '/blob/v1/x/y.py'
-                                      ELSE url END AS url FROM b)"""
+                                      WHEN 5 THEN base || '/issues/3' ELSE url END AS url FROM b)"""
 
 
 def _urls(fx: Fixtures):
@@ -31,19 +29,27 @@ def _urls(fx: Fixtures):
             .when(m == 2, F.concat(base, F.lit("/src/main/docs")))
             .when(m == 3, F.concat(base, F.lit("/tree/main")))
             .when(m == 4, F.concat(base, F.lit("/blob/v1/x/y.py")))
+            .when(m == 5, F.concat(base, F.lit("/issues/3")))
             .otherwise(F.col("url")))
     return r.select("id", "provider", url.alias("url"))
 
 
-@register("c1_resolve_links", views=["fx_repositories"], oracle=_URLS_SQL + f""",
-s AS (SELECT id, provider, url, regexp_replace(url, '/+$', '') AS s FROM u),
-m AS (SELECT *, CASE provider WHEN 'github' THEN '{GH}' WHEN 'gitlab' THEN '{GL}' ELSE '{BB}' END AS rx FROM s),
-r AS (SELECT id, url, provider, regexp_matches(s, rx) AS resolved,
-             CASE WHEN regexp_matches(s, rx) THEN regexp_extract(s, rx, 1)
-                  ELSE concat_ws('/', string_split(s, '/')[-2], string_split(s, '/')[-1]) END AS rp,
-             CASE WHEN regexp_matches(s, rx) THEN regexp_extract(s, rx, 2) ELSE '' END AS fp FROM m)
-SELECT id, url, provider, regexp_replace(rp, '\\.git$', '') AS repo_path, regexp_replace(fp, '/+$', '') AS folder_path,
-       resolved FROM r""")
+@register("c1_resolve_links", views=["fx_repositories"], oracle=_URLS_SQL + """,
+s AS (SELECT *, rtrim(url, '/') AS s,
+             CASE provider WHEN 'github' THEN 'github.com/' WHEN 'gitlab' THEN 'gitlab.com/' ELSE 'bitbucket.org/' END AS host FROM u),
+p AS (SELECT *, CASE WHEN contains(s, host) THEN string_split(split_part(substr(s, strpos(s, host) + length(host)), '?', 1), '/') END AS a FROM s),
+k AS (SELECT *, CASE WHEN provider = 'gitlab' AND list_contains(['tree', 'blob'], a[list_position(a, '-') + 1]) THEN list_position(a, '-') + 1
+                     WHEN provider = 'github' AND list_contains(['tree', 'blob'], a[3]) THEN 3
+                     WHEN provider = 'bitbucket' AND a[3] = 'src' THEN 3 END AS mark FROM p),
+m AS (SELECT *, coalesce(mark < len(a), FALSE) AS marked FROM k),
+r AS (SELECT *, coalesce(a[1] <> '' AND (provider = 'gitlab' OR (a[2] <> '' AND (len(a) = 2 OR marked))), FALSE) AS resolved FROM m)
+SELECT id, url, provider, resolved,
+       regexp_replace(CASE WHEN NOT resolved THEN concat_ws('/', string_split(s, '/')[-2], string_split(s, '/')[-1])
+                           WHEN NOT marked THEN list_aggregate(a, 'string_agg', '/')
+                           ELSE list_aggregate(a[1:(CASE WHEN provider = 'gitlab' THEN mark - 2 ELSE 2 END)], 'string_agg', '/') END,
+                      '\\.git$', '') AS repo_path,
+       rtrim(CASE WHEN resolved AND marked THEN coalesce(list_aggregate(a[mark + 2:], 'string_agg', '/'), '') ELSE '' END, '/') AS folder_path
+FROM r""")
 def c1_resolve_links(spark, sf_dir):
     """Repository URL -> provider, owner/name and folder."""
     out = ops.resolve_links(_urls(Fixtures(spark, sf_dir)), "url", "provider")

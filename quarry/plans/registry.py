@@ -31,7 +31,7 @@ own AS (SELECT f.uri, coalesce(s.user_id, f.first_user) AS owner, s.user_id IS N
         FROM first f LEFT JOIN fx_sources s ON s.uri = f.uri),
 oc AS (SELECT r.*, CASE WHEN o.is_new AND r.req_seq = o.first_seq THEN 'inserted'
                         WHEN r.user_id = o.owner THEN 'updated' ELSE 'conflict' END AS outcome,
-              r.type IN ('git', 'github', 'gitlab', 'bitbucket') AS valid_type
+              r.type IN ('github', 'gitlab', 'bitbucket') AS valid_type
        FROM req r JOIN own o ON o.uri = r.uri)"""
 
 

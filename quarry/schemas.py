@@ -54,6 +54,11 @@ REQUIRED_FIELDS = {
     "EMBEDDING_GENERATED": ["file_id", "source_id"],
 }
 
+# Payload fields that must be there, but may be empty (an empty file has empty content).
+PRESENT_FIELDS = {"STREAMED_FILE": ["content", "repo_name", "url"]}
+# Payload fields that default to a value when they are left out.
+FIELD_DEFAULTS = {"STREAMED_FILE": {"is_deleted": False}}
+
 DLQ = "failedTopic STRING, failedAt BIGINT, error STRING, event STRING"
 WEBHOOK_DELIVERIES = ("delivery_id STRING, provider STRING, source_id STRING, headers MAP<STRING,STRING>, "
                       "body BINARY, received_at TIMESTAMP")

@@ -24,14 +24,15 @@ BASE_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "quarry", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings above; local mode only for tests."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:  # tests and the bench; a cluster sets its own
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -98,6 +99,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is unset (local tests) do we pick a fresh scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="quarry-ckpt-", dir=os.environ.get("QUARRY_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)

@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.paths import glob_to_regex, normalise_glob
+from ..functions.paths import glob_to_regex
 from ..schemas import MANIFEST
 
 
@@ -28,9 +28,17 @@ class _Page(InputPartition):
 
 
 def _compile(globs: str | None):
-    pats = [g.strip() for g in (globs or "").split(",") if g.strip()]
-    return [re.compile(glob_to_regex(g).replace(r"\z", r"\Z")) for g in pats if normalise_glob(g) is not None] or \
-        ([re.compile(r"(?s)^.*\Z")] if pats else [])
+    """One pattern per glob; a glob that matches everything stays one that does."""
+    return [re.compile(glob_to_regex(g.strip()).replace(r"\z", r"\Z")) for g in (globs or "").split(",") if g.strip()]
+
+
+def _lines(stream, piece: int = 1 << 20):
+    """Lines of a byte stream, cut at newlines only; one piece and one line are in memory."""
+    rest = b""
+    while block := stream.read(piece):
+        *whole, rest = (rest + block).split(b"\n")
+        yield from whole
+    yield rest
 
 
 class RepoDumpReader(DataSourceReader):
@@ -57,10 +65,9 @@ class RepoDumpReader(DataSourceReader):
         filesystem, path = pafs.FileSystem.from_uri(partition.path if "://" in partition.path
                                                     else "file://" + partition.path)
         with filesystem.open_input_stream(path) as fh:
-            text = fh.read().decode("utf-8")
-        for line in text.splitlines():
-            if line.strip():
-                yield from self._rows(json.loads(line), inc, exc)
+            for line in _lines(fh):
+                if line.strip():
+                    yield from self._rows(json.loads(line), inc, exc)
 
     @staticmethod
     def _rows(doc: dict, inc, exc):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import EVENT_SCHEMAS, EVENTS_RAW, REQUIRED_FIELDS
+from ..schemas import EVENT_SCHEMAS, EVENTS_RAW, FIELD_DEFAULTS, PRESENT_FIELDS, REQUIRED_FIELDS
 
 DEFAULT_TOPIC = "repo.events"
 
@@ -75,6 +75,12 @@ def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c.cast("string") != "")
 
 
+def _default(event_type: str, field: str) -> Column:
+    value = FIELD_DEFAULTS.get(event_type, {}).get(field)
+    found = F.col("e." + field)
+    return (found if value is None else F.coalesce(found, F.lit(value))).alias(field)
+
+
 def _merge(a: T.DataType, b: T.DataType) -> T.DataType:
     if isinstance(a, T.StructType) and isinstance(b, T.StructType):
         fields = {f.name: f.dataType for f in a.fields}
@@ -105,13 +111,18 @@ def decode_events(raw: DataFrame, types: list[str] | None = None) -> tuple[dict[
     text = F.col("value").cast("string")
     meta = [c for c in raw.columns if c != "value"]
     parsed = (raw.filter(F.col("value").isNotNull() & (F.length(text) > 0))
-              .select(*meta, "value", F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e")))
+              # Behind a generator the parser's result is a column like any other: filters and
+              # projections below are not pushed into it as further parses.
+              .select(*meta, "value", F.inline(F.array(F.struct(
+                  F.from_json(text, schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))))))
     etype = F.coalesce(F.col("e.event_type"), F.col("e.headers.event_type")) if "headers" in schema.fieldNames() \
         else F.col("e.event_type")
     bad_json = F.col("e").isNull() | F.col("e._corrupt").isNotNull()
     error = F.when(bad_json, F.lit("invalid_json")).when(etype.isNull() | ~etype.isin(*types), F.lit("unknown_event_type"))
     for t in types:
         missing = F.lit(None).cast("string")
+        for field in reversed(PRESENT_FIELDS.get(t, [])):
+            missing = F.when(F.col("e." + field).isNull(), F.lit("missing_required:" + field)).otherwise(missing)
         for field in reversed(REQUIRED_FIELDS.get(t, [])):
             missing = F.when(~_nonempty(F.col("e." + field)), F.lit("missing_required:" + field)).otherwise(missing)
         error = error.when(etype == t, missing)
@@ -120,7 +131,7 @@ def decode_events(raw: DataFrame, types: list[str] | None = None) -> tuple[dict[
     for t in types:
         fields = T.StructType.fromDDL(EVENT_SCHEMAS[t]).fieldNames()
         typed[t] = (tagged.filter((F.col("_type") == t) & F.col("error").isNull())
-                    .select(*meta, *[F.col("e." + f).alias(f) for f in fields]))
+                    .select(*meta, *[_default(t, f) for f in fields]))
     rejects = tagged.filter(F.col("error").isNotNull()).select(*meta, "value", "error")
     return typed, rejects
 

@@ -42,7 +42,8 @@ FROM @documents
 VIEWS["fx_snap_old"] = """
 SELECT doc_id, repo_id,
        CASE WHEN doc_id % 7 = 0 THEN concat('gone/', path) ELSE path END AS path,
-       CASE WHEN doc_id % 7 = 0 THEN concat('o', sha) ELSE sha END AS sha, size
+       CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN concat('o', sha) ELSE sha END AS sha,
+       size
 FROM @fx_files
 """
 
@@ -50,8 +51,9 @@ VIEWS["fx_snap_new"] = """
 SELECT doc_id, repo_id,
        CASE WHEN doc_id % 11 = 0 THEN concat('fresh/', path)
             WHEN doc_id % 17 = 0 THEN concat('moved/', path) ELSE path END AS path,
-       CASE WHEN doc_id % 11 = 0 THEN concat('n', sha)
-            WHEN doc_id % 13 = 0 AND doc_id % 17 <> 0 THEN concat('x', sha) ELSE sha END AS sha, size
+       CASE WHEN doc_id % 23 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN concat('n', sha)
+            WHEN doc_id % 13 = 0 AND doc_id % 17 <> 0 THEN concat('x', sha) ELSE sha END AS sha,
+       CASE WHEN doc_id % 46 = 0 THEN size + 1 ELSE size END AS size
 FROM @fx_files
 """
 
@@ -141,7 +143,7 @@ FROM @events
 """
 
 VIEWS["fx_send_log"] = """
-SELECT user_id AS sync_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+SELECT user_id AS sync_id, event_id AS seq,
        CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'skip' ELSE 'ok' END AS outcome
 FROM @events
 """
@@ -218,8 +220,9 @@ FROM @fx_commit_files
 
 VIEWS["fx_file_chunks"] = """
 SELECT conv_id AS file_id, CAST(turn AS int) AS chunk_index,
-       CAST(count(*) OVER (PARTITION BY conv_id) AS int) AS total_chunks, text AS chunk_data
-FROM @conversations
+       CAST(n.total AS int) AS total_chunks, text AS chunk_data
+FROM @conversations c JOIN (SELECT conv_id AS of_conv, count(*) AS total FROM @conversations GROUP BY conv_id) n
+  ON n.of_conv = c.conv_id
 """
 
 VIEWS["fx_chunks"] = """
@@ -290,40 +293,9 @@ def duckdb_with(names: list[str], body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-SPREAD_MIN_BYTES = 1024 * 1024
-
-
-def _input_bytes(df: DataFrame) -> int | None:
-    """Total size of a scan's files from file-system metadata (no data read)."""
-    try:
-        from pyarrow import fs as pafs
-        total = 0
-        for f in df.inputFiles():
-            filesystem, path = pafs.FileSystem.from_uri(f)
-            total += filesystem.get_file_info(path).size or 0
-        return total
-    except Exception:
-        return None
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan spread over at least the cluster's default parallelism.
-
-    A table written as one large row group is read by a single task however many cores
-    there are; such a scan (of more than 1 MB) is round-robin repartitioned once.
-    Scans that already split into enough tasks — the normal case for big tables — and
-    small tables are left untouched.
-    """
-    df = spark.read.parquet(path)
-    try:
-        want = spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan as is
-        return df
-    if have >= want:
-        return df
-    size = _input_bytes(df)
-    return df.repartition(want) if size is None or size >= SPREAD_MIN_BYTES else df
+    """Parquet scan of a whole table."""
+    return spark.read.parquet(path)
 
 
 class Fixtures:

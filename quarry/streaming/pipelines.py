@@ -32,11 +32,12 @@ def start_webhook_stream(deliveries: DataFrame, secrets: DataFrame, repos: DataF
 
 def start_update_stream(records: DataFrame, diffs: DataFrame, blobs: DataFrame, repos: DataFrame,
                         out_path: str, checkpoint: str, dlq_topic: str | None = None,
-                        trigger: dict | None = None, state_path: str | None = None) -> StreamingQuery:
+                        trigger: dict | None = None, state_path: str | None = None,
+                        buckets: int = 1) -> StreamingQuery:
     """L2: REPO_UPDATED records -> landed diff entries for (repo, new commit) -> STREAMED_FILE
     events with increasing offsets -> ``out_path/file_events``; undecodable records ->
     ``out_path/dlq`` in the same micro-batch. With ``state_path`` every batch is also merged
-    into a stored current-state table (only touched repository buckets are rewritten);
+    into a stored current-state table of ``buckets`` folders (only touched ones are rewritten);
     without it ``current_file_state`` folds the written events on read.
 
     ``diffs``: repo_id, new_commit, path, change, old_path (landed compare results).
@@ -60,7 +61,7 @@ def start_update_stream(records: DataFrame, diffs: DataFrame, blobs: DataFrame,
         if state_path:
             spark = batch.sparkSession
             written = spark.read.parquet(f"{out_path}/file_events/batch_id={batch_id}")
-            ev.merge_file_state(spark, state_path, written, f"{out_path}/staging/batch_id={batch_id}")
+            ev.merge_file_state(spark, state_path, written, f"{out_path}/staging/batch_id={batch_id}", buckets)
         write_batch(src.to_dlq(rejects, dlq_topic=dlq_topic).select("key", "value", "topic"), out_path + "/dlq", batch_id)
     return run_handler(records, handle, None, checkpoint, trigger)
 
@@ -73,9 +74,15 @@ def current_file_state(spark, out_path: str, base_state: DataFrame | None = None
 
 def start_polling(commit_logs: DataFrame, out_path: str, checkpoint: str, interval: str = "300 seconds",
                   trigger: dict | None = None, policy: str = "newest") -> StreamingQuery:
-    """Every ``interval``, new landed commits -> change events -> net status per path
-    (per micro-batch) -> ``out_path/changes``."""
+    """Every ``interval``, new landed commits -> change events -> net status per path of the
+    micro-batch, with the order columns of the winning event -> ``out_path/changes``.
+    :func:`current_changes` folds the batches: commits may arrive in any order."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         events = chg.poll_changes(batch)
-        write_batch(chg.net_changes(events, policy=policy), out_path + "/changes", batch_id)
+        write_batch(chg.net_changes(events, policy=policy, keep_order=True), out_path + "/changes", batch_id)
     return run_handler(commit_logs, handle, None, checkpoint, trigger or {"processingTime": interval})
+
+
+def current_changes(spark, out_path: str, policy: str = "newest") -> DataFrame:
+    """Net status per path over all batches that L7 has written."""
+    return chg.net_changes(spark.read.parquet(out_path + "/changes"), policy=policy)

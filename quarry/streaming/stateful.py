@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.constants import DEFAULT_RATE_LIMITS, RATE_LIMIT_EXEMPT_PATHS
 from ..operators.audit import limit_for_path
-from ..operators.events import dedupe_events
+from ..operators.events import event_identity
 from ..operators.scalable import sliding_count
 from .common import run_handler, write_batch
 
@@ -22,7 +21,7 @@ def _limiter_rows(df: DataFrame, limits: dict, client_col: str, ts_col: str, seq
 def start_rate_limit_stream(log: DataFrame, out_path: str, checkpoint: str, state_path: str,
                             limits: dict | None = None, window_secs: int = 60, client_col: str = "client",
                             ts_col: str = "ts", seq_col: str = "seq", trigger: dict | None = None,
-                            bucket_secs: int | None = None) -> StreamingQuery:
+                            bucket_secs: int | None = None, lateness_secs: int = 600) -> StreamingQuery:
     """L3: the sliding-window limiter over a request stream.
 
     Every micro-batch is replayed with the distributed (time-bucketed) sliding count of
@@ -30,10 +29,12 @@ def start_rate_limit_stream(log: DataFrame, out_path: str, checkpoint: str, stat
     by the previous batch. That carried state is a table under ``state_path``, versioned
     by batch id and overwritten on retry, so a re-run batch is idempotent and no key's
     history is ever gathered into one task. Rows of a batch are ordered by (ts, seq);
-    a later batch's rows arrive after all earlier batches' rows.
+    a later batch's rows arrive after all earlier batches' rows. The state reaches ``lateness_secs``
+    further back than the window: rows up to that late are counted exactly, rows beyond it are
+    flagged ``late``, as their count may be too small.
     """
     limits = limits or DEFAULT_RATE_LIMITS
-    w_us = window_secs * 1_000_000
+    w_us, late_us = window_secs * 1_000_000, lateness_secs * 1_000_000
     cols = ["client", "path", "seq", "ts"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -41,10 +42,11 @@ def start_rate_limit_stream(log: DataFrame, out_path: str, checkpoint: str, stat
         cur = _limiter_rows(batch, limits, client_col, ts_col, seq_col).withColumn("_cur", F.lit(True)) \
             .withColumn("_arr", F.struct(F.lit(batch_id).cast("long").alias("b"), F.col("seq")))
         state_schema = cur.select(*cols, "_arr").schema
-        try:
-            prev = spark.read.schema(state_schema).parquet(f"{state_path}/batch_id={batch_id - 1}")
-        except AnalysisException:  # first batch: nothing carried yet
-            prev = spark.createDataFrame([], state_schema)
+        # Only the first batch starts from nothing; a lost state fails the batch.
+        prev = (spark.read.schema(state_schema).parquet(f"{state_path}/batch_id={batch_id - 1}") if batch_id
+                else spark.createDataFrame([], state_schema))
+        seen = prev.agg(F.max(F.unix_micros("ts"))).first()[0]
+        late = F.col("_t") <= F.lit(seen - late_us) if seen is not None else F.lit(False)
         both = prev.withColumn("_cur", F.lit(False)).unionByName(cur.select(*cols, "_arr", "_cur")) \
             .withColumn("_t", F.unix_micros("ts")).persist()
         try:
@@ -56,11 +58,11 @@ def start_rate_limit_stream(log: DataFrame, out_path: str, checkpoint: str, stat
                    .withColumn("rejected", F.col("request_count") > F.col("rate_limit"))
                    .withColumn("remaining", F.when(F.col("rejected"), 0)
                                .otherwise(F.greatest(F.lit(0), F.col("rate_limit") - F.col("request_count"))))
-                   .withColumn("reset", F.floor(F.col("_t") / 1_000_000) + window_secs)
+                   .withColumn("reset", F.floor(F.col("_t") / 1_000_000) + window_secs).withColumn("late", late)
                    .drop("_t", "_cur", "_arr"))
             write_batch(out, out_path, batch_id)
             newest = both.agg(F.max("_t")).first()[0]  # one scalar
-            keep = both if newest is None else both.filter(F.col("_t") > F.lit(newest - w_us))
+            keep = both if newest is None else both.filter(F.col("_t") > F.lit(newest - w_us - late_us))
             keep.select(*cols, "_arr").write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
         finally:
             both.unpersist()
@@ -74,6 +76,25 @@ def latest_status_stream(status: DataFrame, key: str = "job_id") -> DataFrame:
             .select(key, F.col("_l.status").alias("status"), F.col("_l.ts").alias("status_ts"), "transitions"))
 
 
-def dedupe_stream(events: DataFrame, ts_col: str, delay: str = "10 minutes", id_col: str | None = "event_id") -> DataFrame:
-    """At-least-once redeliveries dropped within the watermark delay (bounded state)."""
-    return dedupe_events(events, id_col=id_col, ts_col=ts_col, delay=delay)
+def start_dedupe_stream(events: DataFrame, out_path: str, checkpoint: str, state_path: str, retain_batches: int,
+                        id_col: str | None = "event_id", trigger: dict | None = None) -> StreamingQuery:
+    """At-least-once redeliveries dropped; no event is dropped for being late.
+
+    The identities of each micro-batch are kept under ``state_path``. A batch is de-duplicated in
+    itself and against the ``retain_batches`` batches before it: retention counts arrivals, not
+    event times, and a redelivery after more batches passes. Batches are overwritten on retry.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = event_identity(batch, id_col).dropDuplicates(["_identity"])
+        before = [f"{state_path}/batch_id={b}" for b in range(max(0, batch_id - retain_batches), batch_id)]
+        if before:
+            fresh = fresh.join(spark.read.schema("_identity string").parquet(*before), "_identity", "left_anti")
+        fresh = fresh.persist()
+        try:
+            write_batch(fresh.drop("_identity"), out_path, batch_id)
+            write_batch(fresh.select("_identity"), state_path, batch_id)
+        finally:
+            fresh.unpersist()
+
+    return run_handler(events, handle, None, checkpoint, trigger)

@@ -152,8 +152,9 @@ def test_write_and_read_events_roundtrip(spark):
     from quarry.session import checkpoint_path
     from quarry.sources import events as src
     base = checkpoint_path(spark, "test-events", unique=True)
-    rows = spark.createDataFrame([("STREAMED_FILE", "r1", "a.py", "x", False), ("STREAMED_FILE", "r2", "b.py", "", True)],
-                                 "event_type string, repo_id string, file_path string, content string, is_deleted boolean")
+    rows = spark.createDataFrame([("STREAMED_FILE", "r1", "o/r1", "", "a.py", "x", False), ("STREAMED_FILE", "r2", "o/r2", "", "b.py", "", True)],
+                                 "event_type string, repo_id string, repo_name string, url string, file_path string, "
+                                 "content string, is_deleted boolean")
     rec = src.to_event_records(rows).withColumn("event_type", F.lit("STREAMED_FILE"))
     src.write_events(rec, {"format": "parquet", "path": base + "/log"})
     back = spark.read.parquet(base + "/log")
@@ -240,3 +241,33 @@ def test_read_checkout_binary_files(spark):
     blobs = read_checkout(spark, base, "repo1", glob="*.py")
     got = [(r.path, r.byte_size, r.raw_extension) for r in content_manifest(blobs).collect()]
     assert got == [("src/a.py", 9, "py")]
+
+
+def test_diff_of_null_shas(spark):
+    row = "repo_id string, path string, sha string, size long"
+    old = spark.createDataFrame([("r", "same", None, 1), ("r", "grown", None, 1), ("r", "odd", None, None), ("r", "gone", None, 3),
+                                 ("r", "known", None, 4)], row)
+    new = spark.createDataFrame([("r", "same", None, 1), ("r", "grown", None, 2), ("r", "odd", None, None), ("r", "fresh", None, 3),
+                                 ("r", "known", "s", 4)], row)
+    got = {r.path: r.change for r in changes.diff_snapshots(old, new).collect()}
+    assert got == {"grown": "modified", "odd": "unknown", "gone": "removed", "fresh": "added", "known": "modified"}
+
+
+def test_connector_globs_and_line_ends(spark, tmp_path):
+    import json
+    from quarry.sources.connector import RepoDumpSource
+    entries = [{"path": p, "type": "blob", "sha": "s", "size": 1} for p in ("src/a.py", "b\u2028c.py", "d.png\n")]
+    pages = [{"repo_id": "r", "provider": "github", "page": {"tree": entries}},
+             {"repo_id": "g", "provider": "gitlab", "ref": "main", "page": [{"path": "x.py", "type": "blob", "id": "i"}]},
+             {"repo_id": "b", "provider": "bitbucket", "page": {"values": [{"path": "y.py", "type": "commit_file", "size": 2, "commit": {"hash": "h"}}]}}]
+    (tmp_path / "pages.json").write_text("\n".join(json.dumps(p, ensure_ascii=False) for p in pages))
+    spark.dataSource.register(RepoDumpSource)
+    read = lambda **o: sorted(r.path for r in spark.read.format("repodump").option("path", str(tmp_path)).options(**o).load().collect())
+    assert read(include="src/**/*,**/*") == sorted(["src/a.py", "b\u2028c.py", "d.png\n", "x.py", "y.py"])
+    assert read(exclude="src/**/*,**/*") == []
+    assert read(include="src/**/*") == ["src/a.py"]
+
+
+def test_binary_suffix_is_at_the_very_end(spark):
+    df = spark.createDataFrame([("a.png",), ("a.png\n",)], "path string")
+    assert [r.path for r in paths.drop_binary(df).collect()] == ["a.png\n"]

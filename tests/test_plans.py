@@ -6,11 +6,12 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 STREAMING = re.compile(r"^(l1_webhook_stream|l2_update_stream|l3_rate_limit_stream|l4_latest_status_stream|"
                        r"l6_dedupe_stream|l7_polling_stream|a8_connector_scan)$")
-BATCH = sorted(n for n in E.queries() if not STREAMING.match(n))
+BATCH = sorted(n for n in catalog.queries() if not STREAMING.match(n))
 
 
 def plan_of(spark, name):
@@ -24,7 +25,7 @@ def test_no_cross_or_nested_loop_joins(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-@pytest.mark.parametrize("name", ["d5_commits_since", "h3_top_repositories", "g2_dedupe_kept", "g4_retry_ledger"])
+@pytest.mark.parametrize("name", ["h3_top_repositories", "g2_dedupe_kept", "e7_apply_file_events"])
 def test_top_n_is_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in plan_of(spark, name)
 
@@ -35,7 +36,23 @@ def test_flagship_aggregates_partially(spark):
 
 
 def test_every_job_has_an_oracle_and_a_survey_id():
-    names = set(E.queries())
-    assert names == set(E.oracle_sql())
+    names = set(catalog.queries())
+    assert names == set(catalog.oracle_sql()) and names <= set(E.queries())
     ids = re.compile(r"^(flagship|[a-l]\d+|u1)_")
     assert all(ids.match(n) for n in names), sorted(n for n in names if not ids.match(n))
+
+
+def test_snapshot_diff_shuffles_little(spark):
+    plan = plan_of(spark, "e5_diff_snapshots")
+    assert plan.count("Exchange hashpartitioning") <= 6, plan
+
+
+def test_events_are_parsed_once(spark):
+    for name in ("a5_decode_events", "a5_decode_rejects"):
+        plan = E.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 1, name
+
+
+def test_file_state_moves_no_losing_content(spark):
+    plan = plan_of(spark, "e7_apply_file_events")
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan

@@ -2,34 +2,7 @@
 
 import random
 
-import pytest
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
-from quarry.operators.scalable import ordered_scan, sliding_count
-
-
-@pytest.fixture(scope="module")
-def skewed(spark):
-    random.seed(7)
-    rows = []
-    for i in range(2000):
-        k = "hot" if random.random() < 0.5 else f"k{random.randint(0, 30)}"
-        rows.append((k, random.randint(0, 10 ** 6), i, f"v{i}"))
-    return spark.createDataFrame(rows, "k string, t long, i long, v string")
-
-
-@pytest.mark.parametrize("threshold", [None, 50, 10 ** 9])
-def test_ordered_scan_equals_windows(spark, skewed, threshold):
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
-    try:
-        got = ordered_scan(skewed, ["k"], ["t", "i"], carry=["v"], partitions=11, hot_threshold=threshold)
-        w = Window.partitionBy("k").orderBy("t", "i")
-        want = skewed.select("*", F.row_number().over(w).alias("_ord"), F.lag("v").over(w).alias("prev_v"),
-                             F.lead("v").over(w).alias("next_v"))
-        assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+from quarry.operators.scalable import running_sum, sliding_count
 
 
 def test_sliding_count_brute_force(spark):
@@ -44,12 +17,15 @@ def test_sliding_count_brute_force(spark):
         assert got[s] == want
 
 
-def test_ordered_scan_null_keys(spark):
-    rows = [(None if i % 3 == 0 else "a", i, f"v{i}") for i in range(60)]
-    df = spark.createDataFrame(rows, "k string, t long, v string")
-    got = ordered_scan(df, ["k"], ["t"], carry=["v"], partitions=5, hot_threshold=None)
-    w = Window.partitionBy("k").orderBy("t")
-    want = df.select("*", F.row_number().over(w).alias("_ord"), F.lag("v").over(w).alias("prev_v"),
-                     F.lead("v").over(w).alias("next_v"))
-    key = lambda r: (r.k or "", r.t)
-    assert sorted(got.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+def test_sliding_count_is_linear_in_plan(spark):
+    df = spark.createDataFrame([("a", 1, 1)], "k string, t long, seq long")
+    plan = sliding_count(df, ["k"], "t", 60, "n", arrival="seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan and "unboundedpreceding$(), currentrow$()" in plan
+
+
+def test_running_sum_blocks_stay_bounded_for_sparse_orders(spark):
+    rows = [("a", i * 1_000_000_007, 1) for i in range(5000)] + [("b", i, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    got = {(r.k, r.o): r.s for r in running_sum(df, ["k"], "o", "v", "s", block=64).collect()}
+    assert all(got["a", i * 1_000_000_007] == i + 1 for i in range(5000))
+    assert all(got["b", i] == 2 * (i + 1) for i in range(300))

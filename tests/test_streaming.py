@@ -1,6 +1,8 @@
 """Stream = batch: streaming jobs over several micro-batches and a restart from checkpoint."""
 
 import datetime as dt
+import os
+import pytest
 import time
 
 from pyspark.sql import functions as F
@@ -59,13 +61,17 @@ def test_dedupe_stream_across_batches(spark):
     spark.createDataFrame(rows[4:], schema).coalesce(1).write.parquet(f"{base}/in/b")  # 4, 5 redelivered
     s = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1) \
         .option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    out = stateful.dedupe_stream(s, ts_col="ts", delay="1 day", id_col=None)
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    stateful.start_dedupe_stream(s, f"{base}/out", f"{base}/ckpt", f"{base}/state", retain_batches=5, id_col=None).awaitTermination()
     assert sorted(r.off for r in spark.read.parquet(f"{base}/out").collect()) == list(range(10))
 
 
+def test_identity_keeps_nulls_apart(spark):
+    rows = [(None, "x", 1, False, "c"), ("x", None, 1, False, "c"), ("x", None, 1, False, "c"), ("x", None, 1, None, "c"),
+            ("x", "", 1, False, None), ("x", "", 1, False, "")]
+    df = spark.createDataFrame(rows, "repo_id string, file_path string, off long, is_deleted boolean, content string")
+    assert events.dedupe_events(df, id_col=None).count() == 5
+
+
 def test_handler_errors_go_to_error_hook(spark):
     base = checkpoint_path(spark, "test-handler", unique=True)
     spark.createDataFrame([(1,), (2,)], "x long").write.parquet(f"{base}/in")
@@ -111,3 +117,37 @@ def test_merge_file_state_rewrites_touched_buckets(spark):
     assert live == want
     after = {r.bucket: r.n for r in spark.read.parquet(f"{base}/state").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
     assert sum(after.values()) == sum(before.values()) + 1  # r2/b added, r1/a kept as a tombstone
+
+
+STATE = "repo_id string, file_path string, off long, is_deleted boolean, content string"
+
+
+def test_unreadable_state_fails_the_merge_and_stays(spark):
+    base = checkpoint_path(spark, "test-broken", unique=True)
+    events.write_file_state(spark.createDataFrame([(f"r{i}", "a", 0, False, "v0") for i in range(50)], STATE), f"{base}/state", buckets=1)
+    stray = f"{base}/state/bucket=0/part-stray.parquet".removeprefix("file:")
+    with open(stray, "w") as f:
+        f.write("not parquet")
+    b1 = spark.createDataFrame([("r1", "a", 5, False, "new")], STATE)
+    with pytest.raises(Exception):
+        events.merge_file_state(spark, f"{base}/state", b1, f"{base}/stage", buckets=1)
+    os.rename(stray, f"{base}/stray".removeprefix("file:"))
+    assert events.read_file_state(spark, f"{base}/state").count() == 50
+
+
+def test_events_of_one_offset_and_missing_flag(spark):
+    rows = [("r", "a", 5, True, ""), ("r", "a", 5, False, ""), ("r", "b", 1, None, "kept")]
+    got = events.apply_file_events(None, spark.createDataFrame(rows, STATE)).collect()
+    assert sorted((r.file_path, r.content) for r in got) == [("a", ""), ("b", "kept")]
+
+
+def test_polling_folds_batches_in_any_order(spark):
+    from quarry.streaming import pipelines
+    base = checkpoint_path(spark, "test-poll", unique=True)
+    schema = "repo_id string, commit_seq long, commit_ts timestamp, files array<struct<filename:string,status:string,previous_filename:string,sha:string>>"
+    t = dt.datetime(2024, 1, 1)
+    for seq, status in ((2, "removed"), (1, "added")):  # the newer commit arrives first
+        spark.createDataFrame([("r", seq, t + dt.timedelta(seq), [("p", status, None, "s")])], schema).write.mode("append").parquet(f"{base}/in")
+        s = spark.readStream.schema(schema).parquet(f"{base}/in")
+        pipelines.start_polling(s, f"{base}/out", f"{base}/ckpt", trigger={"availableNow": True}).awaitTermination()
+    assert [(r.path, r.event_type, r.events) for r in pipelines.current_changes(spark, f"{base}/out").collect()] == [("p", "deleted", 2)]
