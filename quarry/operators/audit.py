@@ -219,13 +219,12 @@ def failure_breakdown(failures: DataFrame) -> DataFrame:
 def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, expected_dim: dict | int) -> tuple[DataFrame, DataFrame]:
     """F8: per file — chunks, embedded chunks (distinct), chunks without an embedding;
     per model — vectors and dimension mismatches against the model's declared size."""
-    emb_ids = embeddings.select("chunk_id").distinct()
-    missing = chunks.join(emb_ids, "chunk_id", "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("missing"))
-    embedded = chunks.join(emb_ids, "chunk_id", "left_semi").groupBy("file_id").agg(
-        F.count_distinct("chunk_id").alias("embedded"))
-    per_file = (chunks.groupBy("file_id").agg(F.count_distinct("chunk_id").alias("chunks"))
-                .join(embedded, "file_id", "left").join(missing, "file_id", "left")
-                .na.fill(0, ["embedded", "missing"]))
+    emb_ids = embeddings.select("chunk_id").distinct().withColumn("_there", F.lit(True))
+    # One row per (file, chunk) first: the distinct counts are plain sums then.
+    each = chunks.groupBy("file_id", "chunk_id").agg(F.count(F.lit(1)).alias("_n")).join(emb_ids, "chunk_id", "left")
+    per_file = each.groupBy("file_id").agg(
+        F.count("chunk_id").alias("chunks"), F.count_if("_there").alias("embedded"),
+        F.coalesce(F.sum(F.when(F.col("_there").isNull(), F.col("_n"))), F.lit(0)).alias("missing"))
     if isinstance(expected_dim, int):
         exp = F.lit(expected_dim)
     else:
@@ -236,6 +235,16 @@ def embedding_coverage(chunks: DataFrame, embeddings: DataFrame, expected_dim: d
     return per_file, per_model
 
 
+def embedding_completeness(events: DataFrame) -> DataFrame:
+    """F8: per file, the distinct chunks that embedding events name against the total they declare
+    (``chunk_ids``, ``total_chunks``); the largest total declared counts."""
+    declared = events.groupBy("file_id").agg(F.max("total_chunks").alias("total_chunks"))
+    named = (events.select("file_id", F.explode("chunk_ids").alias("chunk_id")).distinct()
+             .groupBy("file_id").agg(F.count(F.lit(1)).alias("named")))
+    return (declared.join(named, "file_id", "left").withColumn("named", F.coalesce("named", F.lit(0)))
+            .withColumn("complete", F.coalesce(F.col("named") == F.col("total_chunks"), F.lit(False))))
+
+
 def chunk_stats(chunks: DataFrame, keys=("file_id", "chunk_type")) -> DataFrame:
     """per key: chunk count, average quality, largest end line, total and max size."""
     return chunks.groupBy(*keys).agg(

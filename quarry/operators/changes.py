@@ -38,6 +38,8 @@ def poll_changes(commits: DataFrame, path_rule: str = "github") -> DataFrame:
     x = commits.select("*", F.posexplode("files").alias("file_seq", "f")).drop("files")
     status = F.col("f.status")
     ev = F.coalesce(F.try_element_at(_status_map(), status), F.lit("modified"))
+    if path_rule not in ("github", "bitbucket"):
+        raise ValueError(path_rule)
     path = F.col("f.filename") if path_rule == "github" else F.coalesce(F.col("f.filename"), F.col("f.previous_filename"))
     return x.select(
         *[c for c in x.columns if c != "f"],

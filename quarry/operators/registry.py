@@ -84,6 +84,25 @@ def upsert_sources(requests: DataFrame, sources: DataFrame, now) -> tuple[DataFr
     return snapshot, outcomes
 
 
+def repositories_of_sources(requests: DataFrame, outcomes: DataFrame, default_branch: str = "main") -> DataFrame:
+    """J1, repository side: one row per uri whose Git requests were accepted.
+
+    The first accepted request gives owner and provider; the last one gives the name and replaces
+    the source's metadata; a branch named by a request stays until another names one, else it is
+    ``default_branch``. Status is ``pending`` and the source id that of the source row.
+    """
+    ok = outcomes.filter((F.col("outcome") != "conflict") & F.col("valid_type")).select("req_seq")
+    r = requests.join(ok, "req_seq", "left_semi")
+    first = F.min(F.struct("req_seq", "user_id", "type"))
+    last = F.max(F.struct("req_seq", "name", "metadata"))
+    branch = F.max(F.when(F.col("branch").isNotNull() & (F.col("branch") != ""), F.struct("req_seq", "branch")))
+    return (r.groupBy(F.col("uri").alias("url")).agg(first.alias("_f"), last.alias("_l"), branch.alias("_b"))
+            .select("url", F.col("_f.user_id").alias("user_id"), F.col("_f.type").alias("provider"),
+                    F.col("_l.name").alias("name"), F.coalesce("_b.branch", F.lit(default_branch)).alias("branch"),
+                    F.lit("pending").alias("status"), K.uuid5_oid(F.col("url")).alias("source_id"),
+                    F.col("_l.metadata").alias("metadata")))
+
+
 # --------------------------------------------------------------------------- J2
 
 def upsert_repositories(requests: DataFrame, repos: DataFrame, now, mode: str = "suffix") -> tuple[DataFrame, DataFrame]:

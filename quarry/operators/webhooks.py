@@ -79,7 +79,9 @@ def extract_push(deliveries: DataFrame) -> DataFrame:
     The body is parsed once against the union of the three providers' push shapes.
     """
     p = F.col("provider")
-    x = deliveries.withColumn("_b", F.from_json(_body(), PUSH_BODY, {"columnNameOfCorruptRecord": "_corrupt"}))
+    # Behind a generator, so that what is built on the parsed body doesn't parse it again.
+    x = deliveries.select("*", F.inline(F.array(F.struct(
+        F.from_json(_body(), PUSH_BODY, {"columnNameOfCorruptRecord": "_corrupt"}).alias("_b")))))
     b = F.col("_b")
     first = F.try_element_at(b["push"]["changes"], F.lit(1))
     url = (F.when(p == "github", b["repository"]["clone_url"]).when(p == "gitlab", b["project"]["git_http_url"])

@@ -198,6 +198,21 @@ def f8_embedding_coverage(spark, sf_dir):
     return per_file
 
 
+@register("f8_embedding_completeness", views=["fx_chunks"], oracle="""
+WITH t AS (SELECT file_id, count(DISTINCT chunk_id) AS total FROM fx_chunks GROUP BY file_id),
+n AS (SELECT file_id, count(DISTINCT chunk_id) AS named FROM fx_chunks WHERE embedded OR chunk_type <> 'en' GROUP BY file_id)
+SELECT t.file_id, CAST(t.total AS INTEGER) AS total_chunks, coalesce(n.named, 0) AS named,
+       coalesce(n.named, 0) = t.total AS complete FROM t LEFT JOIN n ON n.file_id = t.file_id""")
+def f8_embedding_completeness(spark, sf_dir):
+    """F8: chunks named by embedding events against the files' declared totals; events of one file
+    come per language, and name chunks of other languages or with a vector."""
+    ch = Fixtures(spark, sf_dir).fx_chunks
+    total = ch.groupBy("file_id").agg(F.count_distinct("chunk_id").cast("int").alias("total_chunks"))
+    named = F.collect_list(F.when(F.col("embedded") | (F.col("chunk_type") != "en"), F.col("chunk_id").cast("string")))
+    events = ch.groupBy("file_id", "chunk_type").agg(named.alias("chunk_ids")).join(total, "file_id")
+    return ops.embedding_completeness(events)
+
+
 @register("f8_embedding_dimensions", oracle="""
 SELECT 'm' || CAST(label % 3 AS VARCHAR) AS model, count(*) AS vectors,
        count(*) FILTER (WHERE len(embedding) <> CASE label % 3 WHEN 2 THEN 128 ELSE 64 END) AS dimension_mismatches

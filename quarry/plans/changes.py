@@ -55,6 +55,22 @@ def e1_poll_changes(spark, sf_dir):
     return out.select("repo_id", "commit_seq", "sha", "author", "path", "event_type", "previous_path")
 
 
+@register("e1_poll_changes_bitbucket", views=["fx_commit_files"], oracle=f"""
+SELECT repo_id, commit_seq, 'change ' || CAST(commit_seq AS VARCHAR) AS message,
+       CASE WHEN status = 'removed' THEN coalesce(previous_path, path) ELSE path END AS path, {EV_SQL} AS event_type
+FROM fx_commit_files""")
+def e1_poll_changes_bitbucket(spark, sf_dir):
+    """Bitbucket's rule: the new path, else the old one; the commit message is carried."""
+    commits = _commits(Fixtures(spark, sf_dir)).withColumn(
+        "message", F.concat(F.lit("change "), F.col("commit_seq").cast("string")))
+    # Bitbucket lists a removed file by its old path only.
+    files = F.transform("files", lambda f: F.when(f["status"] == "removed", F.struct(
+        F.lit(None).cast("string").alias("filename"), f["status"].alias("status"),
+        F.coalesce(f["previous_filename"], f["filename"]).alias("previous_filename"), f["sha"].alias("sha"))).otherwise(f))
+    out = ops.poll_changes(commits.withColumn("files", files), path_rule="bitbucket")
+    return out.select("repo_id", "commit_seq", "message", "path", "event_type")
+
+
 def _net(policy):
     def build(spark, sf_dir):
         ev = Fixtures(spark, sf_dir).fx_commit_files.withColumn("event_type", F.coalesce(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import changes as chg
@@ -136,3 +137,103 @@ def l6_dedupe_events(spark, sf_dir):
     delivered = fe.unionByName(fe.filter(F.col("off") % 10 == 0))
     out = ops.dedupe_events(delivered, id_col=None)
     return out.select("repo_id", "file_path", "off", "is_deleted", F.sha2("content", 256).alias("content_sha"))
+
+
+@register("a4_event_sink", views=["fx_file_events"], oracle="""
+SELECT repo_id AS key, 'STREAMED_FILE' AS event_type, count(*) AS events, sum(CAST("off" AS HUGEINT))::DOUBLE AS offsets,
+       TRUE AS in_order FROM fx_file_events GROUP BY repo_id""")
+def a4_event_sink(spark, sf_dir):
+    """A4: records written by the file sink and read back: complete, and in key order within files."""
+    from ..session import checkpoint_path
+    base = checkpoint_path(spark, "a4", unique=True)
+    fe = _file_events(Fixtures(spark, sf_dir))
+    rec = src.to_event_records(fe, value_cols=[*FE_COLS, "off"])
+    src.write_events(rec.withColumn("_off", F.get_json_object("value", "$.off").cast("long")), {"path": base}, order_col="_off")
+    back = spark.read.parquet(base)
+    w = Window.partitionBy("_file").orderBy("_row")
+    placed = back.select("key", "event_type", "_off", F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.row_index").alias("_row"))
+    before = F.lag(F.struct("key", "_off")).over(w)
+    ordered = placed.withColumn("_ok", before.isNull() | (before <= F.struct("key", "_off")))
+    return ordered.groupBy("key", "event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.sum("_off").cast("double").alias("offsets"), F.every("_ok").alias("in_order"))
+
+
+@register("a3_read_events", views=["fx_file_events"], oracle="""
+SELECT repo_id AS key, count(*) AS records, min("off") AS first_offset, max("off") AS last_offset FROM fx_file_events GROUP BY repo_id""")
+def a3_read_events(spark, sf_dir):
+    """A3: the landed event log read through the event source, batch mode."""
+    from ..session import checkpoint_path
+    base = checkpoint_path(spark, "a3", unique=True)
+    _raw(Fixtures(spark, sf_dir)).write.parquet(base)
+    log = src.read_events(spark, {"format": "parquet", "path": base})
+    return log.groupBy("key").agg(F.count(F.lit(1)).alias("records"), F.min("offset").alias("first_offset"),
+                                  F.max("offset").alias("last_offset"))
+
+
+def _typed_log(fx: Fixtures):
+    """Orders as events of the five other types; every 31st lacks a required field."""
+    o, k = fx.orders, F.col("o_orderkey") % 5
+    key = F.col("o_orderkey").cast("string")
+    some = F.when(F.col("o_orderkey") % 31 != 0, key)
+    head = [F.concat(F.lit("e"), key).alias("event_id"), F.lit("2024-01-01T00:00:00Z").alias("timestamp")]
+    name = F.element_at(F.array(*[F.lit(t) for t in OTHER_TYPES]), (k + 1).cast("int"))
+    body = (F.when(k == 0, F.to_json(F.struct(name.alias("event_type"), *head, F.struct(
+                some.alias("repo_id"), F.lit("github").alias("provider"), F.lit("a").alias("old_commit"),
+                F.lit("b").alias("new_commit"), F.lit("c").alias("credential_ref")).alias("payload"))))
+            .when(k == 1, F.to_json(F.struct(name.alias("event_type"), *head, F.struct(
+                key.alias("repo_id"), some.alias("url")).alias("payload"))))
+            .when(k == 2, F.to_json(F.struct(name.alias("event_type"), *head, F.struct(some.alias("repo_id"), F.struct(
+                F.col("o_custkey").alias("files_processed")).alias("stats")).alias("payload"))))
+            .when(k == 3, F.to_json(F.struct(name.alias("event_type"), *head, F.struct(
+                key.alias("repo_id"), some.alias("error_code"), F.lit(True).alias("fatal")).alias("payload"))))
+            .otherwise(F.to_json(F.struct(F.struct(name.alias("event_type"), head[0]).alias("headers"), some.alias("file_id"),
+                                          key.alias("source_id"), F.array(key, key).alias("chunk_ids"), F.lit(2).alias("total_chunks")))))
+    return o.select(key.alias("key"), F.encode(body, "UTF-8").alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"),
+                    F.col("o_orderkey").alias("offset"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp"))
+
+
+OTHER_TYPES = ("REPO_UPDATED", "REPO_INGEST_REQUESTED", "REPO_INGEST_COMPLETED", "REPO_INGEST_FAILED", "EMBEDDING_GENERATED")
+
+
+@register("a5_decode_other_types", oracle="""
+SELECT o_orderkey AS "offset", ['REPO_UPDATED', 'REPO_INGEST_REQUESTED', 'REPO_INGEST_COMPLETED', 'REPO_INGEST_FAILED',
+        'EMBEDDING_GENERATED'][o_orderkey % 5 + 1] AS type, CAST(o_orderkey AS VARCHAR) AS ref,
+       CASE o_orderkey % 5 WHEN 2 THEN o_custkey WHEN 4 THEN 2 END AS number,
+       CASE WHEN o_orderkey % 31 = 0 THEN 'missing_required:' || ['payload.repo_id', 'payload.url', 'payload.repo_id', 'payload.error_code',
+        'file_id'][o_orderkey % 5 + 1] END AS error
+FROM orders""")
+def a5_decode_other_types(spark, sf_dir):
+    """A5: the other five event types, typed rows and rejects side by side."""
+    typed, rejects = src.decode_events(_typed_log(Fixtures(spark, sf_dir)), types=list(OTHER_TYPES))
+    none = F.lit(None).cast("string").alias("error")
+    out = rejects.select("offset", F.element_at(F.array(*[F.lit(t) for t in OTHER_TYPES]), (F.col("offset") % 5 + 1).cast("int")).alias("type"),
+                         F.col("key").alias("ref"),
+                         F.when(F.col("offset") % 5 == 2, F.get_json_object(F.col("value").cast("string"), "$.payload.stats.files_processed").cast("long"))
+                         .when(F.col("offset") % 5 == 4, F.lit(2).cast("long")).alias("number"), "error")
+    for t in OTHER_TYPES:
+        ref = F.col("file_id") if t == "EMBEDDING_GENERATED" else F.col("payload.repo_id")
+        number = {"REPO_INGEST_COMPLETED": lambda: F.col("payload.stats.files_processed"),
+                  "EMBEDDING_GENERATED": lambda: F.size("chunk_ids")}.get(t, lambda: F.lit(None))()
+        out = out.unionByName(typed[t].select("offset", F.lit(t).alias("type"), ref.alias("ref"), number.cast("long").alias("number"), none))
+    return out
+
+
+@register("u1_handler", views=["fx_file_events"], oracle="""
+SELECT repo_id AS key, "off" AS "offset", 'handler refused the batch' AS error FROM fx_file_events""")
+def u1_handler(spark, sf_dir):
+    """A failing handler's micro-batches are written to the dead-letter output, none is skipped."""
+    from ..session import checkpoint_path
+    from ..streaming.common import run_handler, write_batch
+    base = checkpoint_path(spark, "u1", unique=True)
+    _raw(Fixtures(spark, sf_dir)).select("key", "offset").write.parquet(base + "/in")
+
+    def handle(batch, batch_id):
+        raise ValueError("handler refused the batch")
+
+    def on_error(batch, batch_id, error):
+        write_batch(batch.withColumn("error", F.lit(str(error))), base + "/dlq", batch_id)
+
+    stream = spark.readStream.schema("key string, offset long").parquet(base + "/in")
+    run_handler(stream, handle, on_error, base + "/ckpt", {"availableNow": True}).awaitTermination()
+    return spark.read.parquet(base + "/dlq").select("key", "offset", "error")

@@ -314,3 +314,12 @@ def a1_manifest_read(spark, sf_dir):
     base = checkpoint_path(spark, "a1", unique=True)
     listing.repartitionByRange("repo_id", "path").write.mode("overwrite").json(base)
     return read_manifest(spark, base, "github", fmt="json")
+
+
+@register("i2_include_except_exclude", views=["fx_files"], oracle="""
+SELECT repo_id, path FROM fx_files WHERE starts_with(path, 'src/') OR starts_with(path, 'docs/')
+EXCEPT SELECT repo_id, path FROM fx_files WHERE ends_with(path, '.md') OR ends_with(path, '.png')""")
+def i2_include_except_exclude(spark, sf_dir):
+    """Paths of the include globs without those of the exclude globs."""
+    files = Fixtures(spark, sf_dir).fx_files.select("repo_id", "path")
+    return ops.select_paths(files, ["src/**/*", "docs/**/*"], ["*.md", "*.png"]).distinct()

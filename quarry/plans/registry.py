@@ -24,6 +24,46 @@ def d2_repositories_with_sources(spark, sf_dir):
     return out.select("id", "source_id", "source_type", "source_uri", "source_found")
 
 
+UUID_SQL = """substr(md5({x}), 1, 8) || '-' || substr(md5({x}), 9, 4) || '-' || substr(md5({x}), 13, 4) || '-' ||
+          substr(md5({x}), 17, 4) || '-' || substr(md5({x}), 21, 12)"""
+
+
+@register("d2_repositories_with_sources_uuid", views=["fx_repositories", "fx_sources"], oracle=f"""
+WITH s AS (SELECT *, {UUID_SQL.format(x="CAST(id AS VARCHAR)")} AS key FROM fx_sources),
+r AS (SELECT *, CASE WHEN id % 10 <> 0 THEN {UUID_SQL.format(x="CAST(source_id AS VARCHAR)")} END AS key FROM fx_repositories)
+SELECT r.id, s.uri AS source_uri, s.type AS source_type, s.key IS NOT NULL AS source_found
+FROM r LEFT JOIN s ON s.key = r.key""")
+def d2_repositories_with_sources_uuid(spark, sf_dir):
+    """Ids as UUIDs in several spellings (upper case, without dashes, in braces, as a URN); one
+    repository in ten has a source id that is no UUID and joins nothing."""
+    fx = Fixtures(spark, sf_dir)
+    hexed = lambda c: F.md5(F.col(c).cast("string"))
+    dashed = lambda h: F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    h, k = hexed("source_id"), F.col("id") % 10
+    spelled = (F.when(k == 0, F.concat(F.lit("not-"), h)).when(k < 3, h).when(k < 5, F.upper(dashed(h)))
+               .when(k < 7, F.concat(F.lit("{"), dashed(h), F.lit("}"))).when(k < 9, F.concat(F.lit("urn:uuid:"), dashed(h)))
+               .otherwise(F.concat(F.lit(" "), dashed(h))))
+    out = ops.repositories_with_sources(fx.fx_repositories.withColumn("source_id", spelled),
+                                        fx.fx_sources.withColumn("id", dashed(hexed("id"))))
+    return out.select("id", "source_uri", "source_type", "source_found")
+
+
+@register("a7_registry_read", views=["fx_repositories"], oracle="""
+SELECT CAST(id AS VARCHAR) AS id, url, provider, status, CAST(source_id AS VARCHAR) AS source_id, last_sync
+FROM fx_repositories WHERE provider = 'github'""")
+def a7_registry_read(spark, sf_dir):
+    """A registry table landed as parquet and read with its declared schema."""
+    from ..session import checkpoint_path
+    from ..sources.registry import read_registry
+    r = Fixtures(spark, sf_dir).fx_repositories
+    base = checkpoint_path(spark, "a7", unique=True)
+    r.select(F.col("id").cast("string").alias("id"), "user_id", "name", "provider", "url", "branch", "status",
+             F.col("source_id").cast("string").alias("source_id"), F.col("last_sync").cast("timestamp").alias("last_sync")) \
+        .write.parquet(f"{base}/repositories")
+    out = read_registry(spark, base, "repositories").filter(F.col("provider") == "github")
+    return out.select("id", "url", "provider", "status", "source_id", F.col("last_sync").cast("timestamp_ntz").alias("last_sync"))
+
+
 J1_SQL = """
 req AS (SELECT req_seq, user_id, type, uri, name FROM fx_source_requests),
 first AS (SELECT uri, arg_min(user_id, req_seq) AS first_user, min(req_seq) AS first_seq FROM req GROUP BY uri),
@@ -63,6 +103,23 @@ def j1_upsert_sources(spark, sf_dir):
     return snap.select("user_id", "type", "uri", "name", "status", "updated_at", "is_new")
 
 
+@register("j1_upsert_repositories_side", views=["fx_source_requests", "fx_sources"], oracle=f"""
+WITH {J1_SQL.strip()},
+acc AS (SELECT * FROM oc WHERE outcome <> 'conflict' AND valid_type)
+SELECT uri AS url, arg_min(user_id, req_seq) AS user_id, arg_min(type, req_seq) AS provider, arg_max(name, req_seq) AS name,
+       coalesce(arg_max(CASE WHEN req_seq % 4 = 0 THEN 'release' END, req_seq), 'main') AS branch, 'pending' AS status,
+       arg_max('{{"seq":' || CAST(req_seq AS VARCHAR) || '}}', req_seq) AS metadata
+FROM acc GROUP BY uri""")
+def j1_upsert_repositories_side(spark, sf_dir):
+    """The repository rows and metadata that a batch of source requests writes."""
+    fx = Fixtures(spark, sf_dir)
+    req = (fx.fx_source_requests.withColumn("branch", F.when(F.col("req_seq") % 4 == 0, F.lit("release")))
+           .withColumn("metadata", F.concat(F.lit('{"seq":'), F.col("req_seq").cast("string"), F.lit("}"))))
+    _, outcomes = ops.upsert_sources(req, fx.fx_sources, NOW)
+    out = ops.repositories_of_sources(req, outcomes)
+    return out.select("url", "user_id", "provider", "name", "branch", "status", "metadata")
+
+
 def _repo_requests(fx: Fixtures):
     o, c = fx.orders, fx.customer
     j = o.join(c, o["o_custkey"] == c["c_custkey"])
@@ -159,6 +216,39 @@ def j3_cascade_delete(spark, sf_dir):
     return counts
 
 
+LABELS = ("Repository", "File", "Function", "Class", "Vector_Chunk", "Commit", "Branch", "Document", "User")
+
+
+@register("j3_cascade_delete_all", views=["fx_repositories", "fx_sources", "fx_jobs", "fx_chunks"], oracle=f"""
+WITH v AS (SELECT * FROM fx_repositories WHERE in_debt),
+nodes AS (SELECT [{", ".join("'" + x + "'" for x in LABELS)}][p_partkey % 9 + 1] AS label, p_partkey AS node_id,
+                 p_partkey % 700 AS source_id, CASE WHEN p_partkey % 5 = 0 THEN 'other' ELSE 'user_' || CAST(p_partkey % 700 % 8 AS VARCHAR) END AS owner_id
+          FROM part),
+g AS (SELECT DISTINCT id AS group_id, user_id AS owner_id FROM v UNION SELECT DISTINCT source_id, user_id FROM v WHERE source_id IS NOT NULL),
+src AS (SELECT DISTINCT s.id FROM fx_sources s WHERE s.id IN (SELECT source_id FROM v WHERE source_id IS NOT NULL)
+        OR s.uri IN (SELECT url FROM v WHERE source_id IS NULL)),
+nd AS (SELECT n.label FROM nodes n JOIN g ON g.group_id = CASE WHEN n.label = 'Repository' THEN n.node_id ELSE n.source_id END
+       AND g.owner_id = n.owner_id),
+t AS (SELECT 'repositories' AS table_name FROM v UNION ALL SELECT 'sources' FROM src UNION ALL SELECT 'node:' || label FROM nd
+      UNION ALL SELECT 'processing_jobs' FROM fx_jobs WHERE source_id IN (SELECT group_id FROM g)
+      UNION ALL SELECT 'file_metadata' FROM orders WHERE o_custkey IN (SELECT group_id FROM g)
+      UNION ALL SELECT 'chunk_snapshot' FROM fx_chunks WHERE chunk_id IN (SELECT group_id FROM g))
+SELECT table_name, count(*) AS deleted FROM t GROUP BY table_name""")
+def j3_cascade_delete_all(spark, sf_dir):
+    """Nine node labels and three side tables."""
+    fx = Fixtures(spark, sf_dir)
+    p = F.col("p_partkey")
+    nodes = fx.part.select(
+        F.element_at(F.array(*[F.lit(x) for x in LABELS]), (p % 9 + 1).cast("int")).alias("label"), p.alias("node_id"),
+        (p % 700).alias("source_id"), F.when(p % 5 == 0, F.lit("other")).otherwise(
+            F.concat(F.lit("user_"), (p % 700 % 8).cast("string"))).alias("owner_id"))
+    repos = fx.fx_repositories
+    side = {"processing_jobs": fx.fx_jobs, "file_metadata": fx.orders.withColumnRenamed("o_custkey", "source_id"),
+            "chunk_snapshot": fx.fx_chunks.withColumnRenamed("chunk_id", "source_id")}
+    _, counts = ops.cascade_delete(repos.filter("in_debt").select("id"), repos, fx.fx_sources, nodes, side)
+    return counts
+
+
 @register("j4_patch_rows", views=["fx_repositories"], oracle="""
 WITH p AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 5000 THEN c_name END AS name,
                   CASE WHEN c_mktsegment = 'BUILDING' THEN 'paused' END AS status,

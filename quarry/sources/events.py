@@ -67,7 +67,8 @@ def write_events(records: DataFrame, sink: dict, order_col: str | None = None) -
     if "event_type" not in out.columns:
         out = out.withColumn("event_type", F.get_json_object(F.col("value").cast("string"), "$.event_type"))
     order = [c for c in ("key", order_col) if c]
-    (out.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The writer sorts by the folder column unless rows come that way; its sort would undo ours.
+    (out.repartitionByRange(*order).sortWithinPartitions("event_type", *order)
      .write.mode(sink.get("mode", "append")).partitionBy("event_type").format(fmt).save(sink["path"]))
 
 
