@@ -112,40 +112,38 @@ def upsert_repositories(requests: DataFrame, repos: DataFrame, now, mode: str =
     outcomes carry ``delta`` (+1 per insert) for the repo-count ledger.
     """
     now_c = _now(now)
-    req = requests.withColumn("_norm", K.norm_url("url", mode))
-    # The earliest row (created_at, then id in its own type) is the one a request updates.
-    cur = repos.withColumn("_norm", K.norm_url("url", mode))
-    target = (cur.groupBy("user_id", "_norm").agg(F.min(F.struct("created_at", "id")).alias("_t"))
-              .select("user_id", "_norm", F.col("_t.id").cast("string").alias("_target_id")))
-    repos = repos.withColumn("id", F.col("id").cast("string")).withColumn("source_id", F.col("source_id").cast("string"))
-    first = req.groupBy("user_id", "_norm").agg(F.min("req_seq").alias("_first_seq"))
-    r = req.join(target, ["user_id", "_norm"], "left").join(first, ["user_id", "_norm"], "inner")
-    inserted = F.col("_target_id").isNull() & (F.col("req_seq") == F.col("_first_seq"))
+    per = ["user_id", "_norm"]
+    req = requests.withColumn("_norm", K.norm_url("url", mode)).withColumn("source_id", F.col("source_id").cast("string"))
+    # One aggregate per side and key, joined once: the first request (it inserts), the latest
+    # non-empty source id in request order, and the earliest repository (it is updated).
+    named = F.col("source_id").isNotNull() & (F.col("source_id") != "")
+    asked = req.filter(F.col("user_id").isNotNull()).groupBy(*per).agg(
+        F.min(F.struct("req_seq", "name", "provider", "url", "branch", "source_id")).alias("_first"),
+        F.max(F.when(named, F.struct("req_seq", F.col("source_id").alias("sid")))).alias("_s"))
+    target = (repos.groupBy("user_id", K.norm_url("url", mode).alias("_norm"))
+              .agg(F.min(F.struct("created_at", "id")).alias("_t"))
+              .select(*per, F.col("_t.id").cast("string").alias("_target_id")))
+    keyed = asked.join(target, per, "left")
     new_id = K.uuid5_oid(F.concat_ws("|", F.col("user_id"), F.col("_norm")))
-    outcomes = r.select("req_seq", "user_id", "url", F.coalesce(F.col("_target_id").cast("string"), new_id).alias("repository_id"),
-                        F.when(inserted, "inserted").otherwise("updated").alias("outcome"),
-                        F.when(inserted, 1).otherwise(0).alias("delta"),
-                        F.col("_target_id").isNotNull().alias("existing"))
-    # Latest non-empty source id per target, in request order.
-    sid = (r.filter(F.col("source_id").isNotNull() & (F.col("source_id").cast("string") != ""))
-           .groupBy("user_id", "_norm").agg(F.max(F.struct("req_seq", F.col("source_id").cast("string").alias("sid"))).alias("_s")))
-    ins_rows = (r.filter(inserted).join(sid, ["user_id", "_norm"], "left")
-                .select(new_id.alias("id"), "user_id", "name", "provider", "url",
-                        F.coalesce("branch", F.lit("main")).alias("branch"),
-                        F.coalesce(F.col("_s.sid"), F.col("source_id").cast("string")).alias("source_id"),
-                        F.lit("validation_in_progress").alias("status"), now_c.alias("created_at"), now_c.alias("updated_at")))
-    upd = target.join(sid, ["user_id", "_norm"], "left").select(F.col("_target_id").alias("_tid"), F.col("_s.sid").alias("_sid"))
-    touched = target.join(first, ["user_id", "_norm"], "inner").select(F.col("_target_id").alias("_tid2"))
-    base = repos
-    j = (base.join(touched, base["id"] == touched["_tid2"], "left")
-         .join(upd, base["id"] == upd["_tid"], "left"))
-    hit = F.col("_tid2").isNotNull()
-    kept = j.select(*[F.when(hit, F.coalesce(F.col("_sid"), F.col("source_id"))).otherwise(F.col("source_id")).alias(c)
-                      if c == "source_id" else
-                      (F.when(hit, F.lit("validation_in_progress")).otherwise(F.col("status")).alias(c) if c == "status" else
-                       (F.when(hit, now_c).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c)))
-                      for c in base.columns])
-    cols = [c for c in kept.columns if c in ins_rows.columns]
+    inserted = F.col("_target_id").isNull() & (F.col("req_seq") == F.col("_first.req_seq"))
+    outcomes = req.select("req_seq", "url", *per).join(keyed.select(*per, "_first", "_target_id"), per).select(
+        "req_seq", "user_id", "url", F.coalesce("_target_id", new_id).alias("repository_id"),
+        F.when(inserted, "inserted").otherwise("updated").alias("outcome"),
+        F.when(inserted, 1).otherwise(0).alias("delta"), F.col("_target_id").isNotNull().alias("existing"))
+    ins_rows = keyed.filter(F.col("_target_id").isNull()).select(
+        new_id.alias("id"), "user_id", F.col("_first.name").alias("name"), F.col("_first.provider").alias("provider"),
+        F.col("_first.url").alias("url"), F.coalesce("_first.branch", F.lit("main")).alias("branch"),
+        F.coalesce("_s.sid", "_first.source_id").alias("source_id"),
+        F.lit("validation_in_progress").alias("status"), now_c.alias("created_at"), now_c.alias("updated_at"))
+    hits = keyed.filter(F.col("_target_id").isNotNull()).select(F.col("_target_id").alias("_hit"), F.col("_s.sid").alias("_sid"))
+    base = repos.withColumn("id", F.col("id").cast("string")).withColumn("source_id", F.col("source_id").cast("string"))
+    hit = F.col("_hit").isNotNull()
+    changed = {"source_id": F.when(hit, F.coalesce("_sid", "source_id")).otherwise(F.col("source_id")),
+               "status": F.when(hit, F.lit("validation_in_progress")).otherwise(F.col("status"))}
+    if "updated_at" in base.columns:
+        changed["updated_at"] = F.when(hit, now_c).otherwise(F.col("updated_at"))
+    kept = base.join(hits, base["id"] == hits["_hit"], "left").withColumns(changed)
+    cols = [c for c in base.columns if c in ins_rows.columns]
     return kept.select(*cols).unionByName(ins_rows.select(*cols)), outcomes
 
 
