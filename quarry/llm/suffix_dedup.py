@@ -14,7 +14,10 @@ with the same token need to meet, and neighbouring windows that share a token tr
    second leading token, of ``LONG_GRAM`` bytes. Only runs that share this one as well go on.
 3. Their bytes are fetched and dealt out by the second token, and each bucket sorts the windows by
    multikey quicksort (a word of eight bytes at a time, only ties going on to the next word).
-   Windows equal in all bytes form a group; all but the first are repeats.
+   Windows equal in all bytes form a group; all but the first are repeats. A second token that
+   more than ``HOT`` runs share (the edge of a passage in very many documents) would make a bucket
+   without bound: its windows go through step 1 one by one instead, where equal ones may span
+   buckets.
 
 The texts travel compressed. Texts shorter than ``LENGTH`` bytes have no windows.
 """
@@ -38,6 +41,8 @@ GRAM = 32
 LONG_GRAM = 64
 #: Longest run of windows in one record; its text's fingerprint reads five grams.
 RUN = 60
+#: Runs of one second token that are sorted in one bucket.
+HOT = 4096
 #: Windows sorted at once.
 WINDOWS = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -154,7 +159,7 @@ def _identity(docs: DataFrame) -> list[Column]:
             F.crc32(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag")]
 
 
-def _sorted_runs(docs: DataFrame) -> DataFrame:
+def _anchored_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
@@ -162,9 +167,22 @@ def _sorted_runs(docs: DataFrame) -> DataFrame:
             if found is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["token", "text", "doc", "place"])
 
-    runs = docs.select(*_identity(docs), "text").mapInArrow(run, "token long, text long, doc long, place long")
+    return docs.select(*_identity(docs), "text").mapInArrow(run, _RUN)
+
+
+_RUN = "token long, text long, doc long, place long"
+
+
+def _compared(runs: DataFrame, name: str) -> DataFrame:
+    """Runs range-partitioned by sampled splitters, sorted and compared with their neighbours."""
     order = ["token", "text", "doc", "place"]
-    return runs.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = runs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.mapInArrow(_compare, f"kind int, {_RUN}, task int"), name, "zstd")
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    """doc and place of the repeats in the buckets and at their boundaries."""
+    return found.filter(F.col("kind") == REPEAT).select("doc", "place").union(_boundary(found).select("doc", "place"))
 
 
 #: Kinds of rows that a bucket gives: a repeat, a first run among texts of one token, its ends.
@@ -324,6 +342,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+def _single_windows(data, n, begin, count, key, doc, place, tag) -> pa.RecordBatch:
+    """Each window of the runs by itself, under 128 bits of hash over all its bytes."""
+    owner = np.repeat(np.arange(len(begin)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at, both = begin[owner] + nth, []
+    for turn in (0, 1):
+        g = _gram_hashes(data, n + LENGTH - GRAM, turn=turn)
+        both.append(_mix(sum(g[at + k] * _ODD[(turn + i) % 7] for i, k in enumerate((0, 32, 64, LENGTH - GRAM)))))
+    start = (place[owner] >> 32) + nth
+    return pa.RecordBatch.from_arrays(
+        [pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array(doc[owner]),
+         pa.array(_pack(start, np.ones(len(at), np.int64), tag[owner]))], ["token", "text", "doc", "place"])
+
+
 def _run_bytes(data, n, begin, count, key, doc, place, tag) -> pa.RecordBatch:
     """The runs with the bytes of their windows."""
     stop = begin + count + LENGTH - 1
@@ -414,16 +446,20 @@ def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc, tag and spans (start, end) of all windows of ``docs`` that start earlier as well."""
     bound_batches(docs.sparkSession)
-    found = _sorted_runs(docs).mapInArrow(_compare, "kind int, token long, text long, doc long, place long, task int")
-    found = materialize(found, "suffix-runs", "zstd")
-    again = found.filter(F.col("kind") == REPEAT).union(_boundary(found).select(*found.columns))
+    found = _compared(_anchored_runs(docs), "suffix-runs")
+    marks = _repeats(found)
     firsts = found.filter(F.col("kind").isin(FIRST, HEAD)).select("doc", F.col("token").alias("key"), "place")
     runs = _with_texts(docs, firsts, _long_tokens, "key long, doc long, place long")
     runs = materialize(runs.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, runs.schema), "suffix-shared", "zstd")
+    hot = materialize(runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key"), "suffix-hot")
+    if not hot.isEmpty():
+        single = _with_texts(docs, runs.join(hot, "key", "left_semi"), _single_windows, _RUN)
+        marks = marks.union(_repeats(_compared(single, "suffix-windows")))
+        runs = runs.join(hot, "key", "left_anti")
     windows = _with_texts(docs, runs, _run_bytes, "key long, doc long, place long, bytes binary")
     more = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_windows, "doc long, place long")
     start = F.shiftright("place", 32)
-    return (again.select("doc", "place").union(more)
+    return (marks.union(more)
             .select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"),
                     start.cast("int").alias("start"),
                     (start + F.shiftright("place", 24).bitwiseAND(F.lit(127).cast("long")) + LENGTH - 1).cast("int").alias("end")))

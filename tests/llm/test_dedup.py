@@ -80,6 +80,13 @@ def test_op9_hot_text_over_many_buckets(spark, folder):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_op9_hot_second_tokens(spark, folder, monkeypatch):
+    """With a low limit every shared second token takes the way of the hot ones."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    rows = passages()
+    assert spark_repeats(spark, folder, rows) == brute_repeats(rows)
+
+
 def test_op9_keeps_columns(spark, edges):
     out = suffix_dedup.without_repeats(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
