@@ -66,8 +66,8 @@ def l4_latest_status_stream(spark, sf_dir):
     q.awaitTermination()
     # Update mode emits changed rows per batch; the latest batch's row is the current one.
     rows = spark.read.parquet(base + "/out")
-    latest = rows.groupBy("job_id").agg(F.max(F.struct("batch_id", "status", "transitions")).alias("_l"))
-    return latest.select("job_id", F.col("_l.status").alias("status"), F.col("_l.transitions").alias("transitions"))
+    latest = rows.groupBy("job_id").agg(F.max(F.struct("batch_id", "status", "status_ts", "transitions")).alias("_l"))
+    return latest.select("job_id", "_l.status", "_l.status_ts", "_l.transitions")
 
 
 def _landed(spark, rows, part, path, start) -> None:
@@ -177,4 +177,4 @@ _ORACLES["l4_latest_status_stream"] = _ORACLES["g5_job_summary"].replace(
     """SELECT job_id, arg_max(status, (ts, seq, status)) AS status,
        max(ts) FILTER (WHERE status IN ('running', 'processing')) AS started_at,
        max(ts) FILTER (WHERE status IN ('completed', 'failed', 'cancelled')) AS completed_at,
-       count(*) AS transitions""", "SELECT job_id, arg_max(status, (ts, seq, status)) AS status, count(*) AS transitions")
+       count(*) AS transitions""", "SELECT job_id, arg_max(status, (ts, seq, status)) AS status, max(ts) AS status_ts, count(*) AS transitions")
