@@ -24,6 +24,9 @@ def units(text: str) -> list[str]:
     return _LONE.split(text) if _DOUBLE.search(text) else text.split(" ")
 
 
+MARKS = ".,;:!?"
+
+
 class Memory:
     """What a worker remembers of units.
 
@@ -34,7 +37,7 @@ class Memory:
     """
 
     def __init__(self, encode, most: int = 400_000):
-        self.encode, self.most, self.young, self.old = encode, most, {}, {}
+        self.encode, self.most, self.young, self.old, self.mark = encode, most, {}, {}, {}
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The encodings of whole texts, each as the bytes of its units put in a row."""
@@ -47,7 +50,18 @@ class Memory:
         met -= self.young.keys()
         again = met & self.old.keys()
         self.young.update((x, self.old[x]) for x in again)
-        new = list(met - again)
+        met -= again
+        if not self.mark:
+            self.mark = dict(zip(MARKS, self.encode(list(MARKS)), strict=True))
+        new, ended = [], []
+        for x in met:
+            # Letters and the mark after them are two matches of the pattern.
+            of = self.young.get(x[:-1]) if x[-1:] in self.mark else None
+            if of is not None and x[:-1].isalpha():
+                ended.append((x, of + self.mark[x[-1]]))
+            else:
+                new.append(x)
+        self.young.update(ended)
         self.young.update(zip(new, self.encode([" " + x for x in new]), strict=True))
         # First units are cut off from few spellings; they are encoded as they come.
         distinct = list(set(firsts))
