@@ -132,29 +132,30 @@ class Ranks:
 
 #: White space as the pre-tokenizer's library reads it; the other engine's class holds more.
 WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_WORKER: dict[tuple, tuple[Ranks, Memory]] = {}
+_WORKER: dict[tuple, tuple] = {}
 
 
 def _worker(raw: bytes, pattern: str) -> tuple[Ranks, Memory]:
+    """The ranks, kept from task to task, and a new memory of units: what a task remembers goes
+    with it, so workers that serve other operators next start small."""
     key = (hash(raw), pattern)
     if key not in _WORKER:
         import regex
 
-        ranks = Ranks(raw)
         spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-        find = regex.compile(spelled).findall
-        known: dict[str, bytes] = {}
-
-        def encode(texts: list[str]) -> list[bytes]:
-            if len(known) > 200_000:
-                known.clear()
-            cut = [find(t) for t in texts]
-            new = list({p for c in cut for p in c} - known.keys())
-            known.update(zip(new, ranks.encode_pieces([p.encode() for p in new]), strict=True))
-            return [b"".join([known[p] for p in c]) for c in cut]
-
-        _WORKER[key] = ranks, Memory(encode)
-    return _WORKER[key]
+        _WORKER[key] = Ranks(raw), regex.compile(spelled).findall
+    ranks, find = _WORKER[key]
+    known: dict[str, bytes] = {}
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(known) > 100_000:
+            known.clear()
+        cut = [find(t) for t in texts]
+        new = list({p for c in cut for p in c} - known.keys())
+        known.update(zip(new, ranks.encode_pieces([p.encode() for p in new]), strict=True))
+        return [b"".join([known[p] for p in c]) for c in cut]
+
+    return ranks, Memory(encode)
 
 
 def read_ranks(path: str) -> bytes:

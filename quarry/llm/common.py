@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_path
@@ -53,19 +54,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         start, size = 0, 0
-        for i, n in enumerate(col.to_pylist() if pa.types.is_integer(col.type) else _lengths(col)):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
             if size and size + n > limit:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
-
-
-def _lengths(col: pa.Array) -> list[int]:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(col), 0).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def list_array(values, offsets, kind: pa.DataType) -> pa.ListArray:

@@ -209,7 +209,7 @@ def train(labelled: DataFrame, pieces: list[str]) -> Model:
 class Scorer:
     """Word scores remembered in a worker, forgotten when they are more than ``most``."""
 
-    def __init__(self, names: list[str], model: Model, most: int = 300_000):
+    def __init__(self, names: list[str], model: Model, most: int = 200_000):
         self.pieces, self.model, self.most = _pieces(names), model, most
         self.row: dict[str, int] = {}
         self.score = np.zeros((0, len(model.prior)))

@@ -26,11 +26,11 @@ ORC = {
 }
 TOKEN_FILE_SCHEMA = "doc_id long, ids array<int>"
 
-_TOKENIZERS: dict[str, Memory] = {}
+_TOKENIZERS: dict = {}
 
 
 def _memory(path: str) -> Memory:
-    """This worker's tokenizer for the vocabulary file at ``path``."""
+    """A task's memory of units over this worker's tokenizer for the vocabulary at ``path``."""
     if path not in _TOKENIZERS:
         import os
 
@@ -67,8 +67,8 @@ def _memory(path: str) -> Memory:
                     start = end
             return out
 
-        _TOKENIZERS[path] = Memory(encode)
-    return _TOKENIZERS[path]
+        _TOKENIZERS[path] = encode
+    return Memory(_TOKENIZERS[path])
 
 
 def encode_rows(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:

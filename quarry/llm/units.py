@@ -28,7 +28,7 @@ MARKS = ".,;:!?"
 
 
 class Memory:
-    """What a worker remembers of units.
+    """What a task remembers of units.
 
     ``encode(list[str]) -> list[bytes]`` is called for units not remembered. Units live in two
     generations of at most ``most`` each: when the young one is full it becomes the old one, and
@@ -36,7 +36,7 @@ class Memory:
     grow with the vocabulary.
     """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 200_000):
         self.encode, self.most, self.young, self.old, self.mark = encode, most, {}, {}, {}
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
