@@ -458,6 +458,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         runs = runs.join(hot, "key", "left_anti")
     windows = _with_texts(docs, runs, _run_bytes, "key long, doc long, place long, bytes binary")
     more = windows.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_windows, "doc long, place long")
+    # Written, so that the windows' bytes are gone before the texts are shuffled for the cut.
+    more = materialize(more, "suffix-repeats", "zstd")
     start = F.shiftright("place", 32)
     return (marks.union(more)
             .select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"),
