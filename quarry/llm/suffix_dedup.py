@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, bound_batches, materialize, slices
+from .common import bound_batches, materialize, slices
 
 LENGTH = 100
 GRAM = 32
@@ -43,8 +43,9 @@ LONG_GRAM = 64
 RUN = 60
 #: Runs of one second token that are sorted in one bucket.
 HOT = 4096
-#: Windows sorted at once.
-WINDOWS = 1 << 20
+#: Bytes of text hashed at once (some 100 bytes of arrays for each), and windows sorted at once.
+SLICE = 1 << 20
+WINDOWS = 1 << 19
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -161,7 +162,7 @@ def _identity(docs: DataFrame) -> list[Column]:
 
 def _anchored_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             texts = [(t or "").encode() for t in part.column("text").to_pylist()]
             found = _anchored(texts, part.column("doc").to_numpy(), part.column("tag").to_numpy())
             if found is not None:
@@ -259,7 +260,7 @@ def _compressed(docs: DataFrame, *columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             z = [press.compress((t or "").encode()) for t in part.column("text").to_pylist()]
             rest = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in rest], pa.array(z, pa.binary())], [*rest, "z"])
@@ -300,7 +301,7 @@ def _with_texts(docs: DataFrame, runs: DataFrame, step, schema: str) -> DataFram
             for r in zip(*(b.column(c).to_pylist() for c in ("z", "doc", "tag", "keys", "places")), strict=True):
                 part.append(r)
                 size += 4 * len(r[0])
-                if size > SLICE_BYTES:
+                if size > SLICE:
                     yield some(part)
                     part, size = [], 0
             if part:
@@ -490,7 +491,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             z = b.column("z").to_pylist()
             for k, x in enumerate(z):
                 size += 4 * len(x)
-                if size > SLICE_BYTES or k == len(z) - 1:
+                if size > SLICE or k == len(z) - 1:
                     yield _cut(b.slice(at, k + 1 - at), open_)
                     at, size = k + 1, 0
 
