@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,8 +177,13 @@ _RUN = "token long, text long, doc long, place long"
 def _compared(runs: DataFrame, name: str) -> DataFrame:
     """Runs range-partitioned by sampled splitters, sorted and compared with their neighbours."""
     order = ["token", "text", "doc", "place"]
+    # Kept on the executors' disks while the splitters are sampled, else the runs would be made
+    # twice; what a lost executor held is made again.
+    runs = runs.persist(StorageLevel.DISK_ONLY)
     dealt = runs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(dealt.mapInArrow(_compare, f"kind int, {_RUN}, task int"), name, "zstd")
+    found = materialize(dealt.mapInArrow(_compare, f"kind int, {_RUN}, task int"), name, "zstd")
+    runs.unpersist()
+    return found
 
 
 def _repeats(found: DataFrame) -> DataFrame:
@@ -259,7 +264,7 @@ def _compressed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc, tag and the whole text as compressed bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=1)
         for part in slices(batches, limit=SLICE):
             z = [press.compress((t or "").encode()) for t in part.column("text").to_pylist()]
             rest = [c for c in part.schema.names if c != "text"]
