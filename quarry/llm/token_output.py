@@ -26,6 +26,8 @@ ORC = {
 }
 TOKEN_FILE_SCHEMA = "doc_id long, ids array<int>"
 
+#: How byte-level vocabularies write the byte 32; ASCII letters stand for themselves.
+SPACE = "\u0120"
 _TOKENIZERS: dict = {}
 
 
@@ -39,7 +41,7 @@ def _memory(path: str) -> Memory:
 
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True  # their names in a text are ordinary text
-        vocab = own.get_vocab()
+        vocab, merge = own.get_vocab(), own.model.tokenize
         # In a byte-level vocabulary each character of a token's name stands for one byte.
         size = np.ones(max(vocab.values()) + 1, np.int64)
         for name, i in vocab.items():
@@ -49,6 +51,11 @@ def _memory(path: str) -> Memory:
             out: list = [None] * len(texts)
             plain, odd = [], []
             for k, t in enumerate(texts):
+                # Letters after a space are one match of the pre-tokenizer: the library's BPE model
+                # takes them as they are, the space as its sign.
+                if t[:1] == " " and t[1:].isalpha() and t.isascii():
+                    out[k] = np.array([x.id for x in merge(SPACE + t[1:])], np.int32).tobytes()
+                    continue
                 (odd if t[:1] != " " or t[1:2].isspace() or t[-1].isspace() else plain).append(k)
             for k, e in zip(odd, own.encode_batch([texts[k] for k in odd], add_special_tokens=False), strict=True):
                 out[k] = np.array(e.ids, np.int32).tobytes()
