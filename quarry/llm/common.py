@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +46,14 @@ def materialize(df: DataFrame, name: str, compression: str = "none") -> DataFram
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that waits for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU libc has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into zero-copy slices of about ``limit`` bytes of column ``text``.
@@ -61,7 +70,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def list_array(values, offsets, kind: pa.DataType) -> pa.ListArray:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialize, slices
+from .common import bound_batches, give_back, materialize, slices
 
 LENGTH = 100
 GRAM = 32
@@ -311,6 +311,7 @@ def _with_texts(docs: DataFrame, runs: DataFrame, step, schema: str) -> DataFram
                     part, size = [], 0
             if part:
                 yield some(part)
+        give_back()
 
     return pairs.select("z", "doc", "tag", "keys", "places").mapInArrow(run, schema)
 
@@ -447,6 +448,7 @@ def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         windows += int(total[-1] - (total[begin - 1] if begin else 0))
     if kept:
         yield repeats(kept)
+    give_back()
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -499,6 +501,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 if size > SLICE or k == len(z) - 1:
                     yield _cut(b.slice(at, k + 1 - at), open_)
                     at, size = k + 1, 0
+        give_back()
 
     def _cut(part, open_):
         texts = [open_.decompress(x) for x in part.column("z").to_pylist()]
