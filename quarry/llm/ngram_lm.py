@@ -3,17 +3,22 @@
 The model is an interpolated bigram model with absolute discounting over a smoothed unigram:
 P(w | v) = max(c(v, w) - D, 0) / c(v) + D n(v) / c(v) P(w), n(v) the distinct successors of v.
 
-1. Map tasks cut documents into chunks and send each shard, for the chunk's words of that shard,
-   their training counts and their distinct successors with training counts.
-2. A shard owns the words whose hash falls to it. It sums the counts and builds its part of the
+1. A first pass adds up what each word would bring to its shard. The successors of a word that
+   would bring more than ``HOT_ENTRIES`` are split by hash into pieces, which are words of their own
+   to the shards.
+2. Map tasks cut documents into chunks and send each shard, for the chunk's words and pieces of that
+   shard, their training counts and their distinct successors with training counts.
+3. A shard owns the words whose hash falls to it. It sums the counts and builds its part of the
    trie: the words, monotone pointers to their successors, the successors, and the quantised
    discounted probabilities and back-off weights. It answers each chunk with the entries the
    chunk asked for, by successor search.
-3. Each chunk, which travelled along as compact word numbers, adds up its documents' scores.
+4. Each chunk, which travelled along as compact word numbers, adds up the pieces' distinct successors
+   and its documents' scores.
 
 A word's successors are merged within a chunk before they travel, so a word or pair that makes
-up a third of all tokens costs one entry per chunk. Nothing is broadcast or collected; what the
-shards gather are the counts of the whole corpus.
+up a third of all tokens costs one entry per chunk. Collected and sent to all tasks are the hot
+words only, at most one for ``HOT_ENTRIES`` tokens of the corpus; what the shards gather are the
+counts of the whole corpus.
 """
 
 from __future__ import annotations
@@ -35,13 +40,15 @@ from .common import bound_batches, slices
 #: Tokens of a chunk and bytes of text behind a shard. Both bound the memory of a task.
 CHUNK_TOKENS = 1 << 21
 SHARD_BYTES = 24 << 20
+#: Successor entries, over all chunks, of one word (or piece of one) that a shard may have to hold.
+HOT_ENTRIES = 1 << 20
 DISCOUNT = 0.75
 #: log10 probabilities are stored in steps of 1 / STEPS, rounded down; code 0 is "not there".
 STEPS = 4096
 #: Successors are told apart by 40 bits of their hash, words by all 64.
 SUCCESSOR_BITS = 40
 SEGMENT = 1 << 16
-_ROW = "target long, kind int, chunk long, shard int, a binary, b binary, c binary, d binary, e binary, f binary"
+_ROW = "target long, kind int, chunk long, shard int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 STREAM, ASK, ANSWER = 0, 1, 2
 
 
@@ -55,6 +62,11 @@ def _probabilities(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (-(codes.astype(np.float64) - 1) / STEPS), 0.0)
 
 
+def _back_off(distinct: np.ndarray, total: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _codes(np.where(total > 0, DISCOUNT * distinct / total, 1.0))
+
+
 class EliasFano:
     """A monotone sequence in partitioned Elias-Fano code, in one anonymous memory map.
 
@@ -116,16 +128,15 @@ class Trie:
     list begins.
     """
 
-    def __init__(self, n_words: int, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, n_words: int, keys: np.ndarray, counts: np.ndarray, pieces: np.ndarray, whole: np.ndarray):
         word = keys >> SUCCESSOR_BITS
         total = np.bincount(word, counts, n_words)
-        distinct = np.bincount(word, minlength=n_words)
+        total[pieces] = whole  # a piece's probabilities are those of the whole word
+        self.distinct = distinct = np.bincount(word, minlength=n_words)
         self.pointers = EliasFano(np.concatenate([[0], np.cumsum(distinct)]))
         self.successors = EliasFano(keys)
         self.values = _codes((counts - DISCOUNT) / total[word] if len(keys) else np.zeros(0))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(total > 0, DISCOUNT * distinct / total, 1.0)
-        self.back_off = _codes(back)
+        self.back_off = _back_off(distinct, total)
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
         """Quantised probabilities of (word number, successor) keys, ascending; 0 if unseen."""
@@ -141,17 +152,17 @@ def _put(array: np.ndarray) -> bytes:
 
 
 def _get(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(_open.decompress(raw), kind)
+    return np.frombuffer(_open.decompress(raw) if raw is not None else b"", kind)
 
 
 def _row(target, kind, chunk, shard, *parts) -> dict:
     return {"target": target, "kind": kind, "chunk": chunk, "shard": shard,
-            **{n: _put(p) if p is not None else None for n, p in zip("abcdef", [*parts, *[None] * 6], strict=False)}}
+            **{n: _put(p) if p is not None else None for n, p in zip("abcdefg", [*parts, *[None] * 7], strict=False)}}
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
-    names = ["target", "kind", "chunk", "shard", *"abcdef"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
+    names = ["target", "kind", "chunk", "shard", *"abcdefg"]
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
 
@@ -167,12 +178,32 @@ def tokenize(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Cut a partition's documents into chunks: each as a stream row and a request per shard."""
+def _split(hot: np.ndarray, head: np.ndarray, short: np.ndarray, n_names: int) -> np.ndarray:
+    """Each pair's owner: its word's number, or for a hot word that of the piece its successor falls to.
+
+    ``hot`` has a row (word number, pieces, training count) per hot word of the chunk; the pieces
+    are numbered from ``n_names`` on.
+    """
+    if not len(hot):
+        return head
+    n, first = np.zeros(n_names, np.int64), np.zeros(n_names, np.int64)
+    n[hot[:, 0]] = hot[:, 1]
+    first[hot[:, 0]] = n_names + np.cumsum(hot[:, 1]) - hot[:, 1]
+    # High bits of the successor's hash choose the piece: 23 of them leave room for the product.
+    piece = ((short >> np.uint64(SUCCESSOR_BITS - 23)).astype(np.int64) * n[head]) >> 23
+    return np.where(n[head] > 0, first[head] + piece, head)
+
+
+def _by_shard(shard: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The pairs in the order of their owners' shards, and there of their owners."""
+    return np.lexsort((head, shard[head]))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """A partition's documents in chunks: word hashes, tokens, sizes, flags and ids."""
     import xxhash
 
     hash64 = xxhash.xxh64_intdigest
-    part, n_chunks = TaskContext.get().partitionId(), 0
 
     def fresh():
         names = defaultdict()
@@ -182,56 +213,96 @@ def _chunks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Recor
         return names, [], [], []
 
     def close():
-        nonlocal n_chunks
+        return (np.fromiter((hash64(w) for w in names), np.uint64, len(names)), np.concatenate(texts).astype(np.int64),
+                np.array([len(t) for t in texts], np.int64), np.array(flags, np.uint8), np.array(ids, np.int64))
+
+    names, texts, flags, ids = fresh()
+    size = 0
+    for batch in slices(batches):
+        for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
+            words = tokenize(text)
+            texts.append(np.fromiter((*map(names.__getitem__, words), 1), np.uint32, len(words) + 1))
+            flags.append(int(held) | 2 * (doc is None))
+            ids.append(doc or 0)
+            size += len(words) + 1
+            if size >= CHUNK_TOKENS:
+                yield close()
+                names, texts, flags, ids = fresh()
+                size = 0
+    if texts:
+        yield close()
+
+
+_LOAD = "word long, entries long, times long"
+
+
+def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk and word: the successor entries sent for it, and how often training goes on from it."""
+    for vocab, tokens, sizes, flag, _ in _cut(batches):
+        before, key = _pairs(tokens, sizes)
+        entries = np.bincount(np.unique(key) >> 32, minlength=len(vocab))
+        times = np.bincount(before, np.repeat(flag & 1 == 0, sizes), len(vocab)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(vocab.view(np.int64)), pa.array(entries), pa.array(times)],
+                                         ["word", "entries", "times"])
+
+
+def hot_words(docs: DataFrame) -> dict[int, tuple[int, int]]:
+    """Words, by hash, whose successors no shard should hold alone: pieces and training count."""
+    load = (docs.mapInArrow(_load, _LOAD).groupBy("word").agg(F.sum("entries").alias("entries"), F.sum("times").alias("times"))
+            .filter(F.col("entries") > HOT_ENTRIES))
+    return {r["word"] % (1 << 64): (-(-r["entries"] // HOT_ENTRIES), r["times"]) for r in load.collect()}
+
+
+def _spread(chunk: int, shards: int) -> int:
+    """The shard that a chunk's stream passes through."""
+    return ((chunk * 0x9E3779B97F4A7C15) % (1 << 64) >> 32) % shards
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], shards: int,
+            hot: dict[int, tuple[int, int]] | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut a partition's documents into chunks: each as a stream row and a request per shard."""
+    import xxhash
+
+    part = TaskContext.get().partitionId()
+    marked = np.sort(np.fromiter(hot or (), np.uint64))
+    for n_chunks, (vocab, tokens, sizes, flag, ids) in enumerate(_cut(batches)):
         chunk = (part << 24) | n_chunks
-        n_chunks += 1
-        tokens = np.concatenate(texts).astype(np.int64)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        flag = np.array(flags, np.uint8)
-        vocab = np.fromiter((hash64(w) for w in names), np.uint64, len(names))
+        n_names = len(vocab)
+        mine = np.flatnonzero(np.isin(vocab, marked))
+        own = np.array([(i, *hot[h]) for i, h in zip(mine.tolist(), vocab[mine].tolist(), strict=True)], np.int64).reshape(-1, 3)
+        # A chunk asks for every piece of its hot words: all of them make up the distinct successors.
+        pieces = [xxhash.xxh64_intdigest(b"%d %d" % (h, j)) for h, n in zip(vocab[mine].tolist(), own[:, 1].tolist(), strict=True)
+                  for j in range(n)]
+        vocab = np.concatenate([vocab, np.array(pieces, np.uint64)])
         train = np.repeat(flag & 1 == 0, sizes)
         before, key = _pairs(tokens, sizes)
         pairs, which = np.unique(key, return_inverse=True)
         count = np.bincount(which, train, len(pairs)).astype(np.uint32)
-        word_count = np.bincount(tokens, train, len(names)).astype(np.uint32)
+        word_count = np.bincount(tokens, train, len(vocab)).astype(np.uint32)
         shard = (vocab % np.uint64(shards)).astype(np.int64)
-        words = np.argsort(shard, kind="stable")
+        words = np.argsort(shard, kind="stable")  # a shard's pieces come after its words
         word_at = np.searchsorted(shard[words], np.arange(shards + 1))
-        head = pairs >> 32
-        by_shard = np.argsort(shard[head], kind="stable")
-        pair_at = np.searchsorted(shard[head][by_shard], np.arange(shards + 1))
-        successors = np.bincount(head, minlength=len(names)).astype(np.uint32)
         short = vocab[pairs & 0xFFFFFFFF] >> np.uint64(64 - SUCCESSOR_BITS)
-        yield _batch([_row(chunk % shards, STREAM, chunk, -1, np.array(ids, np.int64), flag, sizes.astype(np.int32),
-                           tokens.astype(np.uint32), vocab)])
+        head = _split(own, pairs >> 32, short, n_names)
+        by_shard = _by_shard(shard, head)
+        pair_at = np.searchsorted(shard[head][by_shard], np.arange(shards + 1))
+        successors = np.bincount(head, minlength=len(vocab)).astype(np.uint32)
+        whole = np.repeat(own[:, 2], own[:, 1])
+        yield _batch([_row(_spread(chunk, shards), STREAM, chunk, -1, ids, flag, sizes.astype(np.int32),
+                           tokens.astype(np.uint32), vocab, own if len(own) else None)])
         rows = []
         for s in range(shards):
             w = words[word_at[s]:word_at[s + 1]]
             p = by_shard[pair_at[s]:pair_at[s + 1]]
+            of = whole[w[w >= n_names] - n_names]
             rows.append(_row(s, ASK, chunk, s, vocab[w], word_count[w], successors[w], short[p].astype(np.uint32),
-                             (short[p] >> np.uint64(32)).astype(np.uint8), count[p]))
+                             (short[p] >> np.uint64(32)).astype(np.uint8), count[p], of if len(of) else None))
             if len(rows) == 64:
                 yield _batch(rows)
                 rows = []
         if rows:
             yield _batch(rows)
 
-    names, texts, flags, ids = fresh()
-    size = 0
-    for batch in slices(batches):
-        for doc, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text")), strict=True):
-            words = tokenize(text)
-            texts.append(np.fromiter((*map(names.__getitem__, words), 1), np.uint32, len(words) + 1))
-            flags.append(int(held) | 2 * (doc is None))
-            ids.append(doc or 0)
-            size += len(words) + 1
-            if size >= CHUNK_TOKENS:
-                yield from close()
-                names, texts, flags, ids = fresh()
-                size = 0
-    if texts:
-        yield from close()
-
 
 def _answer(group: pa.Table) -> pa.Table:
     """One shard: sum the counts, build its tries, answer every chunk; streams pass through."""
@@ -250,15 +321,19 @@ def _answer(group: pa.Table) -> pa.Table:
         key = (np.repeat(number, np.concatenate(per_word)) << SUCCESSOR_BITS) | follow
         keys, place = np.unique(key, return_inverse=True)
         times = np.bincount(place, np.concatenate([_get(r["f"], np.uint32) for r in asks]), len(keys))
-        trie = Trie(len(known), keys[times > 0], times[times > 0])
+        whole = [_get(r["g"], np.int64) for r in asks]
+        start = np.cumsum([len(of) for of in word])
+        pieces = [number[e - len(g):e] for e, g in zip(start.tolist(), whole, strict=True)]
+        trie = Trie(len(known), keys[times > 0], times[times > 0], np.concatenate(pieces), np.concatenate(whole))
         code = trie.codes(keys)[place]
         totals = np.array([seen.sum(), (seen > 0).sum()], np.int64)
         w = p = 0
-        for r, of, n in zip(asks, word, per_word, strict=True):
+        for r, of, n, piece in zip(asks, word, per_word, pieces, strict=True):
             mine = number[w:w + len(of)]
             pairs = int(n.sum())
             out.append(_row(r["chunk"], ANSWER, r["chunk"], r["shard"], seen[mine].astype(np.int64),
-                            trie.back_off[mine], code[p:p + pairs], totals))
+                            trie.back_off[mine], code[p:p + pairs], totals,
+                            trie.distinct[piece] if len(piece) else None))
             w, p = w + len(of), p + pairs
     return pa.Table.from_batches([_batch(out)])
 
@@ -279,11 +354,19 @@ def _score(group: pa.Table) -> pa.Table:
     words = np.argsort(shard, kind="stable")
     before, key = _pairs(tokens, sizes)
     pairs, which = np.unique(key, return_inverse=True)
-    by_shard = np.argsort(shard[pairs >> 32], kind="stable")
+    own = _get(stream["f"], np.int64).reshape(-1, 3)
+    n_names = len(vocab) - int(own[:, 1].sum())
+    head = _split(own, pairs >> 32, vocab[pairs & 0xFFFFFFFF] >> np.uint64(64 - SUCCESSOR_BITS), n_names)
+    by_shard = _by_shard(shard, head)
     seen, back, code = np.empty(len(vocab)), np.empty(len(vocab)), np.empty(len(pairs), np.uint16)
     seen[words] = np.concatenate([_get(r["a"], np.int64) for r in answers])
     back[words] = _probabilities(np.concatenate([_get(r["b"], np.uint16) for r in answers]))
     code[by_shard] = np.concatenate([_get(r["c"], np.uint16) for r in answers])
+    if len(own):
+        parts = np.empty(len(vocab), np.int64)
+        parts[words[words >= n_names]] = np.concatenate([_get(r["e"], np.int64) for r in answers])
+        first = np.cumsum(own[:, 1]) - own[:, 1]
+        back[own[:, 0]] = _probabilities(_back_off(np.add.reduceat(parts[n_names:], first), own[:, 2]))
     total, distinct = np.sum([_get(r["d"], np.int64) for r in answers], axis=0).tolist()
     single = (seen + 0.1) / (total + 0.1 * (distinct + 1))
     p = _probabilities(code)[which] + back[before] * single[tokens]
@@ -309,6 +392,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     bound_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(
-        lambda b: _chunks(b, shards), _ROW)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_words(rows))
+    rows = rows.mapInArrow(lambda b: _chunks(b, shards, hot.value), _ROW)
     return rows.groupBy("target").applyInArrow(_answer, _ROW).groupBy("target").applyInArrow(_score, SCORES)

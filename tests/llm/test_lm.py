@@ -94,3 +94,38 @@ def test_elias_fano(n, top):
     assert (values[at[at >= 0]] == wanted[at >= 0]).all()
     if n == 200_000:
         assert len(ef.bytes) < 0.85 * values.nbytes
+
+
+def skewed(n):
+    """Texts in which every other word is the same, and what follows it differs."""
+    return [(i, " ".join(f"the w{(37 * i + k) % 900}" for k in range(60))) for i in range(n)]
+
+
+def test_op4_hot_words_span_shards(spark, folder, docs, monkeypatch):
+    """A word's successors come in pieces to several shards, and the scores stay the very same."""
+    import pyarrow as pa
+    plain = compare(spark, folder, docs)
+    monkeypatch.setattr(ngram_lm, "HOT_ENTRIES", 20)
+    assert compare(spark, folder, docs) == plain
+    texts = skewed(200)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    compare(spark, folder, df)
+    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", 2000)
+    monkeypatch.setattr(ngram_lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("U", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    held = pa.array([False] * len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array([t[0] for t in texts]), held, pa.array([t[1] for t in texts])],
+                                       ["doc_id", "held_out", "text"])
+    from pyspark.sql import functions as F
+    hot = ngram_lm.hot_words(df.withColumn("held_out", F.lit(False)))
+    sent = [r for b in ngram_lm._chunks(iter([batch]), 16, hot) for r in b.to_pylist()]
+    load = [0] * 16
+    for r in sent:
+        if r["kind"] == ngram_lm.ASK:
+            load[r["target"]] += len(ngram_lm._get(r["f"], np.uint32))
+    assert max(load) < 0.2 * sum(load)  # the hot word alone brings half of all
+    assert len({r["target"] for r in sent if r["kind"] == ngram_lm.STREAM}) > 5
+
+
+def test_op4_streams_of_all_partitions_spread():
+    """Chunk ids are partition << 24 | number: their low bits alone would choose few shards."""
+    assert len({ngram_lm._spread(p << 24, 64) for p in range(500)}) > 48
