@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit as ops
@@ -198,6 +199,15 @@ def f8_embedding_coverage(spark, sf_dir):
     return per_file
 
 
+def embedding_events(chunks: DataFrame, ids: int = 1000) -> DataFrame:
+    """Embedding events of files in bounded pieces: a file and language has one for each range of
+    ``ids`` chunk ids, so no event names more than that many chunks."""
+    total = chunks.groupBy("file_id").agg(F.count_distinct("chunk_id").cast("int").alias("total_chunks"))
+    named = F.collect_set(F.when(F.col("embedded") | (F.col("chunk_type") != "en"), F.col("chunk_id").cast("string")))
+    pieces = chunks.groupBy("file_id", "chunk_type", F.expr(f"chunk_id div {ids}").alias("piece"))
+    return pieces.agg(named.alias("chunk_ids")).drop("piece").join(total, "file_id")
+
+
 @register("f8_embedding_completeness", views=["fx_chunks"], oracle="""
 WITH t AS (SELECT file_id, count(DISTINCT chunk_id) AS total FROM fx_chunks GROUP BY file_id),
 n AS (SELECT file_id, count(DISTINCT chunk_id) AS named FROM fx_chunks WHERE embedded OR chunk_type <> 'en' GROUP BY file_id)
@@ -205,12 +215,8 @@ SELECT t.file_id, CAST(t.total AS INTEGER) AS total_chunks, coalesce(n.named, 0)
        coalesce(n.named, 0) = t.total AS complete FROM t LEFT JOIN n ON n.file_id = t.file_id""")
 def f8_embedding_completeness(spark, sf_dir):
     """F8: chunks named by embedding events against the files' declared totals; events of one file
-    come per language, and name chunks of other languages or with a vector."""
-    ch = Fixtures(spark, sf_dir).fx_chunks
-    total = ch.groupBy("file_id").agg(F.count_distinct("chunk_id").cast("int").alias("total_chunks"))
-    named = F.collect_list(F.when(F.col("embedded") | (F.col("chunk_type") != "en"), F.col("chunk_id").cast("string")))
-    events = ch.groupBy("file_id", "chunk_type").agg(named.alias("chunk_ids")).join(total, "file_id")
-    return ops.embedding_completeness(events)
+    come per language and range of ids, and name chunks of other languages or with a vector."""
+    return ops.embedding_completeness(embedding_events(Fixtures(spark, sf_dir).fx_chunks))
 
 
 @register("f8_embedding_dimensions", oracle="""

@@ -56,3 +56,18 @@ def test_events_are_parsed_once(spark):
 def test_file_state_moves_no_losing_content(spark):
     plan = plan_of(spark, "e7_apply_file_events")
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_embedding_events_are_bounded(spark):
+    """No event of the completeness audit gathers a whole file, however many chunks it has."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import audit as ops
+    from quarry.plans import audit
+
+    ids = spark.range(7000).unionByName(spark.range(3000))
+    chunks = ids.select(F.col("id").alias("chunk_id"), F.lit("src0").alias("file_id"), F.lit("en").alias("chunk_type"),
+                        (F.col("id") != 5).alias("embedded"))
+    events = audit.embedding_events(chunks)
+    assert events.agg(F.max(F.size("chunk_ids"))).first()[0] <= 1000
+    assert [tuple(r) for r in ops.embedding_completeness(events).collect()] == [("src0", 7000, 6999, False)]
