@@ -7,9 +7,9 @@ prediction is the language with the largest posterior.
 
 Training is one expectation step: every segmentation of every word of a language's texts counts,
 weighted by its probability under the uniform piece model (forward-backward). The whole labelled
-training set is used. The model has one row per piece and language, whatever the input's size:
-the vocabulary is fixed and languages are labels, of which at most ``MOST_LANGUAGES`` (the most
-frequent) are learned.
+training set and every label in it are used. The model has at most one row per piece and language,
+whatever the input's size, and is kept in blocks of ``AT_ONCE`` languages; a text is scored by block
+after block with a running best and a running sum. The driver holds the labels and one block's counts.
 """
 
 from __future__ import annotations
@@ -24,9 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, slices
+from .common import bound_batches, materialize, slices
 
-MOST_LANGUAGES = 256
+#: Languages that are collected, sent and scored together.
+AT_ONCE = 32
+#: Words times languages that are scored together, and that are remembered.
+SCORED, REMEMBERED = 80_000, 800_000
 #: Letters of a word that are scored together; a longer run is cut into such parts.
 WORD = 32
 LONGEST_PIECE = 16
@@ -151,11 +154,30 @@ def _pieces(names: list[str]) -> Pieces:
     return _WORKER[key]
 
 
+class Block:
+    """Some languages (in code point order), their log priors and their piece counts, without zeros."""
+
+    def __init__(self, languages: list[str], prior: np.ndarray, sums: pa.Table):
+        self.languages, self.prior = languages, prior
+        lang = sums["lang"].combine_chunks().dictionary_encode()
+        place = {x: i for i, x in enumerate(languages)}
+        number = np.array([place[x] for x in lang.dictionary.to_pylist()], np.int32)
+        self.lang = number[lang.indices.to_numpy()]
+        self.piece, self.units = sums["piece"].to_numpy(), sums["units"].to_numpy()
+
+    def prob(self, n: int) -> np.ndarray:
+        """A row per piece, the unknown character's last, and a column per language."""
+        counts = np.zeros((n, len(self.languages)))
+        counts[self.piece, self.lang] = self.units / UNIT
+        prob = (counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * n)
+        return np.vstack([prob, np.full(prob.shape[1], UNKNOWN)])
+
+
 class Model:
-    """Languages (in code point order), log priors and piece probabilities."""
+    """Blocks of languages in code point order, each a broadcast."""
 
-    def __init__(self, languages: list[str], prior: np.ndarray, prob: np.ndarray):
-        self.languages, self.prior, self.prob = languages, prior, prob
+    def __init__(self, blocks: list):
+        self.blocks = blocks
 
 
 def train(labelled: DataFrame, pieces: list[str]) -> Model:
@@ -164,14 +186,24 @@ def train(labelled: DataFrame, pieces: list[str]) -> Model:
     shared = spark.sparkContext.broadcast(pieces)
     schema = "lang string, piece int, units long"
     rows = labelled.select("text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    at_once = AT_ONCE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, met, total = _pieces(shared.value), {}, {}
 
-        def settle() -> None:
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, c in total.items():
+                units = np.rint(c * UNIT).astype(np.int64)
+                at = np.flatnonzero(units)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)),
+                                                  pa.array(units[at])], ["lang", "piece", "units"])
+            total.clear()
+
+        def settle() -> Iterator[pa.RecordBatch]:
             for lang, c in met.items():
+                if len(total) >= at_once and lang not in total:
+                    yield from counted()
                 names = list(c)
                 for width in (8, 16, WORD):  # words of like length together
                     part = [w for w in names if width // 2 * (width > 8) < len(w) <= width]
@@ -183,54 +215,79 @@ def train(labelled: DataFrame, pieces: list[str]) -> Model:
 
         for batch in slices(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if lang in texts:
-                    met.setdefault(lang, Counter()).update(words_of(text))
+                met.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, met.values())) > 200_000:
-                settle()
-        settle()
-        for lang, c in total.items():
-            units = np.rint(c * UNIT).astype(np.int64)
-            at = np.flatnonzero(units)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)),
-                                              pa.array(units[at])], ["lang", "piece", "units"])
+                yield from settle()
+        yield from settle()
+        yield from counted()
 
     bound_batches(spark)
-    # At most one row per language and piece reaches the driver.
-    sums = rows.mapInArrow(count, schema).groupBy("lang", "piece").agg(F.sum("units").alias("units")).toPandas()
+    sums = rows.mapInArrow(count, schema).groupBy("lang", "piece").agg(F.sum("units").alias("units"))
     languages = sorted(texts)
-    place = {x: i for i, x in enumerate(languages)}
-    counts = np.zeros((len(pieces), max(1, len(languages))))
-    counts[sums["piece"].to_numpy(np.int64), sums["lang"].map(place).to_numpy(np.int64)] = sums["units"].to_numpy() / UNIT
-    prob = (counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(pieces))
-    prior = np.log10(np.array([texts[x] for x in languages]) / max(1, sum(texts.values()))) if languages else np.zeros(1)
-    return Model(languages, prior, np.vstack([prob, np.full(prob.shape[1], UNKNOWN)]))
+    if len(languages) > at_once:
+        sums = materialize(sums.repartitionByRange("lang"), "language-pieces")
+    n, blocks = sum(texts.values()), []
+    for k in range(0, len(languages), at_once):
+        some = languages[k:k + at_once]
+        # At most one row per piece and language of the block reaches the driver at a time.
+        part = sums.filter(F.col("lang").between(some[0], some[-1])) if len(languages) > at_once else sums
+        blocks.append(spark.sparkContext.broadcast(
+            Block(some, np.log10(np.array([texts[x] for x in some]) / n), part.toArrow())))
+    return Model(blocks)
 
 
 class Scorer:
-    """Word scores remembered in a worker, forgotten when they are more than ``most``."""
+    """Word scores of one block remembered in a worker, forgotten when they are too many."""
 
-    def __init__(self, names: list[str], model: Model, most: int = 200_000):
-        self.pieces, self.model, self.most = _pieces(names), model, most
+    def __init__(self, names: list[str], block: Block):
+        self.pieces, self.prior = _pieces(names), block.prior
+        self.prob = block.prob(len(names))
         self.row: dict[str, int] = {}
-        self.score = np.zeros((0, len(model.prior)))
+        self.score = np.zeros((0, len(block.prior)))
 
-    def posteriors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Posterior of each language and number of words, per text."""
-        if len(self.row) > self.most:
+    def totals(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text of words: the best language's place and log10 score, and the sum of all relative to it."""
+        width = len(self.prior)
+        if len(self.row) > REMEMBERED // width:
             self.row, self.score = {}, self.score[:0]
-        cut = [words_of(t) for t in texts]
         new = list({w for c in cut for w in c} - self.row.keys())
         new.sort(key=len)
-        parts = [log_words(self.pieces, self.model.prob, new[k:k + 20_000]) for k in range(0, len(new), 20_000)]
+        step = min(20_000, max(1, SCORED // width))
+        parts = [log_words(self.pieces, self.prob, new[k:k + step]) for k in range(0, len(new), step)]
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.score = np.vstack([self.score, *parts])
-        out = np.zeros((len(texts), self.score.shape[1]))
+        best, top, mass = np.zeros(len(cut), np.int64), np.full(len(cut), -np.inf), np.zeros(len(cut))
         for k, c in enumerate(cut):
             if c:
-                total = self.score[np.fromiter(map(self.row.__getitem__, c), np.int64, len(c))].sum(axis=0) + self.model.prior
+                total = self.score[np.fromiter(map(self.row.__getitem__, c), np.int64, len(c))].sum(axis=0) + self.prior
                 e = 10.0 ** np.maximum(total - total.max(), -300)
-                out[k] = e / e.sum()
-        return out, np.array([len(c) for c in cut])
+                best[k], top[k], mass[k] = e.argmax(), total.max(), e.sum()
+        return best, top, mass
+
+
+class Reader:
+    """Predictions of a worker. A single block stays in memory; of several, one at a time does."""
+
+    def __init__(self, names: list[str], model: Model):
+        self.names, self.blocks = names, model.blocks
+        self.only = Scorer(names, self.blocks[0].value) if len(self.blocks) == 1 else None
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and posterior per text."""
+        cut = [words_of(t) for t in texts]
+        name, top, mass = ["und"] * len(cut), np.full(len(cut), -np.inf), np.zeros(len(cut))
+        known = np.array([bool(c) for c in cut], bool) & bool(self.blocks)
+        for shared in self.blocks:
+            block = shared.value
+            best, high, more = (self.only or Scorer(self.names, block)).totals(cut)
+            if self.only is None:
+                vars(shared).pop("_value", None)  # the next use reads it again from the executor's disk
+            both = np.where(known, np.maximum(top, high), 0.0)
+            mass = mass * 10.0 ** np.maximum(top - both, -300) + more * 10.0 ** np.maximum(high - both, -300)
+            for k in np.flatnonzero(known & (high > top)).tolist():
+                name[k] = block.languages[best[k]]
+            top = np.maximum(top, high)
+        return name, np.divide(1.0, mass, out=np.zeros(len(cut)), where=known)
 
 
 def predict(docs: DataFrame, pieces: list[str], model: Model) -> DataFrame:
@@ -241,18 +298,13 @@ def predict(docs: DataFrame, pieces: list[str], model: Model) -> DataFrame:
     point. Rows are independent; an empty table gives none. Columns of these names are replaced.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((pieces, model))
+    shared = spark.sparkContext.broadcast(pieces)
     source = docs.drop("lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, own = shared.value
-        scorer = Scorer(names, own)
+        reader = Reader(shared.value, model)
         for part in slices(batches):
-            post, n = scorer.posteriors(part.column("text").to_pylist())
-            best = post.argmax(axis=1)
-            known = (n > 0) & bool(own.languages)
-            name = [own.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            score = np.where(known, post[np.arange(len(best)), best], 0.0)
+            name, score = reader.predict(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(score)],
                                              [*part.schema.names, "lang_pred", "score"])
 

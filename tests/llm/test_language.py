@@ -78,3 +78,29 @@ def test_op7_edges(spark, edges, folder):
                                         ("x" * 70, ["x" * 32, "x" * 32, "x" * 6])])
 def test_words(text, words):
     assert langid.words_of(text) == words
+
+
+def test_op7_learns_every_label(spark):
+    """No label is left out, however many there are and however rare it is."""
+    pieces = langid.read_pieces(P.path("piece_bpe_32k.model"))
+    rows = [("the house and the garden", f"l{i:03}") for i in range(299)] * 2 + [("zwölf boxkämpfer jagen viktor", "zz")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").coalesce(2), pieces)
+    asked = spark.createDataFrame([("zwölf boxkämpfer jagen",), ("the house and the garden",), ("12",)], "text string")
+    got = {r.text: r for r in langid.predict(asked, pieces, model).collect()}
+    assert got["zwölf boxkämpfer jagen"].lang_pred == "zz" and got["zwölf boxkämpfer jagen"].score > 0.5
+    same = got["the house and the garden"]
+    assert same.lang_pred == "l000" and abs(same.score - 1 / 299) < 1e-4
+    assert got["12"].lang_pred == "und"
+
+
+def test_op7_blocks_give_the_same(spark, monkeypatch):
+    pieces = langid.read_pieces(P.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    run = lambda: {r.doc_id: r for r in langid.predict(docs, pieces, langid.train(docs, pieces)).collect()}
+    whole = run()
+    for size in (1, 3):
+        monkeypatch.setattr(langid, "AT_ONCE", size)
+        got = run()
+        assert got.keys() == whole.keys()
+        for i, r in got.items():
+            assert r.lang_pred == whole[i].lang_pred and abs(r.score - whole[i].score) < 1e-6
