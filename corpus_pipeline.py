@@ -19,9 +19,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from quarry.llm import bpe, langid, mixing, simhash, suffix_dedup  # noqa: E402
 from quarry.session import checkpoint_path, ensure_checkpoint_dir, ship_package  # noqa: E402
 
-#: A document goes if it has no letters or if no language is more likely than all others together.
-LEAST_SCORE = 0.5
-
 
 def _prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
@@ -29,11 +26,11 @@ def _prepare(spark: SparkSession) -> None:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the others go. Null and empty texts have none."""
+    """Documents with a language; the others, which have no letters, go. A short text stays, however
+    evenly its posterior is spread. Null and empty texts have no language."""
     _prepare(spark)
     found = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    told = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)
-    return found.filter(told).select(*docs.columns)
+    return found.filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,3 +128,17 @@ def test_entry_without_the_subpackage():
             "assert q and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert e.oracle_sql()")
     root = C.__file__.rsplit("/", 1)[0]
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_language_stage_keeps_every_document_with_letters(spark, stages):
+    """Also one of a word or two that all languages share: its posterior stays below one half."""
+    from quarry.llm import langid
+
+    _, out = stages
+    before, after = out[0].collect(), Counter(r.doc_id for r in out[1].collect())
+    assert after == Counter(r.doc_id for r in before if langid.words_of(r.text))
+    rows = [(i, t, lang, "src0", len(t)) for i, (t, lang) in enumerate(
+        (t, lang) for t in ("a", "ok", "radio taxi") for lang in ("da", "nb", "nn", "sv"))]
+    short = spark.createDataFrame([*rows, (99, "12", "da", "src0", 2)], out[0].schema)
+    kept = C.identify_language(spark, short, "").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(len(rows)))
