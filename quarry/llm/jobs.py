@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
-from . import (bpe, collision_ann, exact_topk, langid, mixing, ngram_lm, sharding, simhash, suffix_dedup,
-               token_output)
+from . import (bpe, collision_ann, exact_topk, langid, line_dedup, mixing, ngram_lm, sharding, simhash, suffix_dedup,
+               token_output, whitening, zone_clustering)
 from .common import table
 
 
@@ -104,9 +104,81 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of 40 code points that 5 documents hold, but for the last holder."""
+    done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_docs=5, min_chars=40)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), k AS (
+  SELECT doc_id, pos, line,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), spread AS (
+  SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+  SELECT k.doc_id, k.pos, k.line, s.key IS NOT NULL AND k.doc_id <> s.holder AS gone
+  FROM k LEFT JOIN spread s ON s.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 centroids of all vectors of 64 components after 3 rounds, and each vector's nearest."""
+    done = zone_clustering.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, seed=1)
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256)
+    return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _op12_sql(rounds: int = 3) -> str:
+    near = """
+  SELECT vec_id, dims, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.vec_id, v.dims, m.c,
+           list_sum(list_transform(list_zip(v.dims, m.dims), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM v, {centroids} m) GROUP BY vec_id, dims"""
+    steps = ["""v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS dims
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""", """m0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS c, dims FROM v
+  QUALIFY c < 16
+)"""]
+    for i in range(rounds):
+        steps.append(f"a{i} AS ({near.format(centroids=f'm{i}')})")
+        steps.append(f"""m{i + 1} AS (
+  SELECT o.c, coalesce(n.dims, o.dims) AS dims FROM m{i} o LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS dims FROM (
+      SELECT c, i, sum(x) AS s, count(*) AS n
+      FROM (SELECT c, unnest(dims) AS x, generate_subscripts(dims, 1) AS i FROM a{i}) GROUP BY c, i) GROUP BY c
+  ) n ON n.c = o.c
+)""")
+    steps.append(f"a AS ({near.format(centroids=f'm{rounds}')})")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT a.vec_id, a.c AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.dims, ',')) AS centroid_sha256
+FROM a JOIN m{rounds} m ON m.c = a.c"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_source_mixing, op3_token_output, op4_lm_scores, op5_ann, op6_exact_topk, op7_language, op8_sharding,
-        op9_suffix_dedup, op10_simhash)
+        op9_suffix_dedup, op10_simhash, op11_line_dedup, op12_centroids, op13_whitening)
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_topk": OP6_SQL, "op11_line_dedup": OP11_SQL, "op12_centroids": _op12_sql()}
