@@ -76,3 +76,11 @@ def test_empty_table_and_native_plan(odd):
     assert line_dedup.drop_repeated_lines(odd.limit(0)).count() == 0
     plan = line_dedup.drop_repeated_lines(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_hot_lines_in_parts(monkeypatch, docs, odd):
+    monkeypatch.setattr(line_dedup, "HOT", 6)
+    monkeypatch.setattr(line_dedup, "PARTS", 3)
+    for df in (docs, odd):
+        got = Counter(tuple(r) for r in line_dedup.drop_repeated_lines(df).collect())
+        assert got == Counter(brute(rows_of(df)))
