@@ -87,6 +87,58 @@ def test_op9_hot_second_tokens(spark, folder, monkeypatch):
     assert spark_repeats(spark, folder, rows) == brute_repeats(rows)
 
 
+def colliding_pair():
+    """Two texts of 100 bytes, alike from byte 16 on, whose first grams have the same hash."""
+    odd = [int(x) for x in suffix_dedup._ODD]
+    full = (1 << 64) - 1
+    rng = random.Random(3)
+    letters = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789.,-"
+
+    def half(w):  # what a word adds before the next one is added
+        h = w * odd[0] & full
+        return h ^ h >> 31
+
+    a = bytes(rng.choice(letters) for _ in range(16))
+    want = half(int.from_bytes(a[:8], "little")) + int.from_bytes(a[8:], "little") * odd[1]
+    inverse = pow(odd[1], -1, 1 << 64)
+    while True:
+        w = bytes(rng.choice(letters) for _ in range(8))
+        rest = ((want - half(int.from_bytes(w, "little"))) * inverse & full).to_bytes(8, "little")
+        if all(32 <= c < 127 for c in rest):
+            tail = bytes(rng.choice(letters) for _ in range(84))
+            return (a + tail).decode(), (w + rest + tail).decode()
+
+
+def test_op9_colliding_hashes_remove_nothing(spark, folder):
+    a, b = colliding_pair()
+    pad = bytes(200)
+    hashes = [suffix_dedup._gram_hashes(x.encode() + pad, 1)[0] for x in (a, b)]
+    assert a != b and hashes[0] == hashes[1]
+    rows = [(1, a), (2, b), (3, a + b), (4, "x" + b), (5, a[1:] + "y")]
+    assert spark_repeats(spark, folder, rows) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("runs,hot", [(40, 4096), (7, 2)])
+def test_op9_many_buckets(spark, folder, monkeypatch, docs, runs, hot):
+    """Buckets of a few runs: tokens, texts and their first runs span bucket boundaries."""
+    monkeypatch.setattr(suffix_dedup, "BUCKET_RUNS", runs)
+    monkeypatch.setattr(suffix_dedup, "MOST_BUCKETS", 64)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = passages() + [(2 * 10 ** 12 + i, f"{i} {passage[:150 + i % 100]} {i * i}") for i in range(200)]
+    assert spark_repeats(spark, folder, rows) == brute_repeats(rows)
+
+
+def test_bucket_of_compares_all_columns():
+    rng = np.random.default_rng(2)
+    for top in (2, 5, 50):
+        cuts = np.unique(rng.integers(0, top, (20, 4)), axis=0)
+        rows = rng.integers(0, top, (300, 4))
+        got = suffix_dedup.bucket_of(list(cuts.T), list(rows.T))
+        assert got.tolist() == [sum(tuple(c) <= tuple(r) for c in cuts) for r in rows]
+
+
 def test_op9_keeps_columns(spark, edges):
     out = suffix_dedup.without_repeats(edges)
     assert out.columns == edges.columns and out.count() == edges.count()
