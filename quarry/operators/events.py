@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..sources import versioned as V
 
 STREAMED_FILE_COLUMNS = ["event_type", "repo_id", "repo_name", "file_path", "content", "url", "user_id", "is_deleted"]
 
@@ -96,50 +97,35 @@ def dedupe_events(events: DataFrame, id_col: str | None = "event_id") -> DataFra
     return event_identity(events, id_col).dropDuplicates(["_identity"]).drop("_identity")
 
 
-def state_bucket(buckets: int) -> F.Column:
-    """Directory bucket of a file-state row, by repository and path: a large repository spreads
-    over all buckets, and an update rewrites only the buckets of its paths."""
-    return F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(buckets)).cast("int")
+STATE_TABLE, STATE_KEYS = "files", ["repo_id", "file_path"]
 
 
-def write_file_state(state: DataFrame, path: str, buckets: int) -> None:
-    """Store a current-state table in ``buckets`` folders (with an ``is_deleted`` column:
-    deletions are kept as tombstone rows). Choose the count so that a bucket is about 1 GB."""
+def write_file_state(state: DataFrame, path: str, buckets: int) -> int:
+    """Store a current-state table as the next version of the store at ``path`` (with an
+    ``is_deleted`` column: deletions are kept as tombstone rows). Returns the version."""
     if "is_deleted" not in state.columns:
         state = state.withColumn("is_deleted", F.lit(False))
-    (state.withColumn("bucket", state_bucket(buckets))
-     .repartitionByRange("bucket", "repo_id", "file_path")
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    base = V.snapshot(state.sparkSession, path)
+    return V.commit(base, {STATE_TABLE: V.Change(replace=state)}, {STATE_TABLE: STATE_KEYS}, {STATE_TABLE: buckets}).version
 
 
-def read_file_state(spark, path: str) -> DataFrame:
-    """Live files of a stored state table (tombstones filtered out)."""
-    return spark.read.parquet(path).filter(~F.col("is_deleted")).drop("is_deleted", "bucket")
+def read_file_state(spark, path: str, version: int | None = None) -> DataFrame:
+    """Live files of the newest, or a stated, version of a stored state (tombstones filtered out)."""
+    return V.snapshot(spark, path, version).read(STATE_TABLE).filter(~F.col("is_deleted")).drop("is_deleted")
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def merge_file_state(spark, path: str, events: DataFrame, buckets: int, order_col: str = "off",
+                     applied: dict[str, int] | None = None) -> int:
+    """E7 at scale: fold a batch of file events into a stored state, as its next version.
 
-
-def merge_file_state(spark, path: str, events: DataFrame, staging: str, buckets: int,
-                     order_col: str = "off") -> None:
-    """E7 at scale: fold a batch of file events into a stored state table, rewriting
-    only the buckets the batch touches.
-
-    The touched buckets are read (partition pruning on ``bucket``), merged with the events
-    by :func:`apply_file_events` keeping tombstones (so an older, late event can never
-    resurrect a deleted file), staged under ``staging`` and swapped in with a dynamic
-    partition overwrite; untouched buckets are never read or written. Re-running a batch
-    is idempotent: the winner per key does not change. Only a path that does not exist is an
-    empty state; a state that can't be read fails the merge and stays as it is.
+    Only the buckets that the batch touches are read and written anew, by :func:`apply_file_events`
+    with tombstones kept (so an older, late event can't resurrect a deleted file). The version is
+    committed by one rename: readers see the state before or after the batch, never a mix, and a
+    merge that fails leaves the state as it is. ``applied`` names the stream and batch: a batch that
+    is in the state already is not applied again. ``buckets`` counts for a new state. Returns the
+    version.
     """
-    ev = events.withColumn("bucket", state_bucket(buckets))
-    touched = [r[0] for r in ev.select("bucket").distinct().collect()]  # at most ``buckets`` ints
-    if not touched:
-        return
-    cur = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).drop("bucket") if _exists(spark, path) else None
-    merged = apply_file_events(cur, ev.drop("bucket"), order_col=order_col, keep_tombstones=True)
-    merged.withColumn("bucket", state_bucket(buckets)).write.mode("overwrite").parquet(staging)
-    (spark.read.parquet(staging).repartitionByRange("bucket", "repo_id", "file_path").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    fold = lambda rows, new: apply_file_events(rows, new, order_col=order_col, keep_tombstones=True)
+    ev = events.select("repo_id", "file_path", "content", F.col(order_col), F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"))
+    return V.commit(V.snapshot(spark, path), {STATE_TABLE: V.Change(upserts=ev, merge=fold)}, {STATE_TABLE: STATE_KEYS},
+                    {STATE_TABLE: buckets}, applied).version

@@ -48,11 +48,13 @@ def upsert_sources(requests: DataFrame, sources: DataFrame, now) -> tuple[DataFr
     uri known, same user -> ``updated`` (name, status ``pending``, updated_at); uri known,
     other user -> ``conflict`` (no change); uri new -> ``inserted`` by its first requester,
     later requests for it update or conflict the same way. Non-Git types still write but
-    are flagged ``valid_type = false`` (no sync starts). All steps are aggregates and
+    are flagged ``valid_type = false`` (no sync starts). Requests with ``metadata`` replace the
+    source's. All steps are aggregates and
     equi-joins on ``uri`` — no per-uri sort, so a hot uri is reduced map-side.
     Returns (snapshot, outcomes).
     """
     now_c = _now(now)
+    more = ["metadata"] if "metadata" in requests.columns else []
     req = requests.select("req_seq", "user_id", "type", "uri", "name")
     first = req.groupBy("uri").agg(F.min(F.struct("req_seq", "user_id", "type", "name")).alias("_first"))
     existing = sources.select("uri", F.col("user_id").alias("_owner_existing"))
@@ -67,7 +69,9 @@ def upsert_sources(requests: DataFrame, sources: DataFrame, now) -> tuple[DataFr
                         F.col("type").isin(*GIT_SOURCE_TYPES).alias("valid_type"))
     # Final state per uri: the last accepted request wins name/status/updated_at.
     acc = outcomes.filter(F.col("outcome") != "conflict")
-    last = acc.groupBy("uri").agg(F.max(F.struct("req_seq", "name")).alias("_last"),
+    if more:
+        acc = acc.join(requests.select("req_seq", "metadata"), "req_seq")
+    last = acc.groupBy("uri").agg(F.max(F.struct("req_seq", "name", *more)).alias("_last"),
                                   F.max(F.when(F.col("outcome") == "inserted", F.struct("user_id", "type"))).alias("_ins"))
     snap = sources.join(last, "uri", "full_outer")
     touched = F.col("_last").isNotNull()
@@ -80,27 +84,50 @@ def upsert_sources(requests: DataFrame, sources: DataFrame, now) -> tuple[DataFr
         F.when(touched, F.col("_last.name")).otherwise(F.col("name")).alias("name"),
         F.when(touched, F.lit("pending")).otherwise(F.col("status")).alias("status"),
         F.when(touched, now_c).otherwise(F.col("updated_at") if "updated_at" in sources.columns
-                                         else F.lit(None).cast("timestamp")).alias("updated_at"))
+                                         else F.lit(None).cast("timestamp")).alias("updated_at"),
+        *([F.when(touched, F.col("_last.metadata")).otherwise(
+            F.col("metadata") if "metadata" in sources.columns else F.lit(None)).alias("metadata")] if more else []))
     return snapshot, outcomes
 
 
-def repositories_of_sources(requests: DataFrame, outcomes: DataFrame, default_branch: str = "main") -> DataFrame:
-    """J1, repository side: one row per uri whose Git requests were accepted.
+def upsert_repositories_of_sources(requests: DataFrame, outcomes: DataFrame, snapshot: DataFrame, repos: DataFrame,
+                                   now, default_branch: str = "main") -> DataFrame:
+    """J1, repository side: the repository registry after a batch of source-create requests.
 
-    The first accepted request gives owner and provider; the last one gives the name and replaces
-    the source's metadata; a branch named by a request stays until another names one, else it is
-    ``default_branch``. Status is ``pending`` and the source id that of the source row.
+    Accepted requests of a Git type write the repository of their uri, the earliest of those that
+    share it. Without one, the first such request inserts it (owner, provider, name, branch) and
+    later ones rename it and set the branch. With one, the request that inserts the source sets
+    status and source id only; every request that updates the source also sets name and updated_at
+    and resets the branch to its own or ``default_branch``. ``source_id`` is the id of the source row
+    in ``snapshot`` (the sources after the batch), whoever made it. ``repos``: id, user_id, name,
+    provider, url, branch, source_id, status, created_at, updated_at.
     """
-    ok = outcomes.filter((F.col("outcome") != "conflict") & F.col("valid_type")).select("req_seq")
-    r = requests.join(ok, "req_seq", "left_semi")
-    first = F.min(F.struct("req_seq", "user_id", "type"))
-    last = F.max(F.struct("req_seq", "name", "metadata"))
-    branch = F.max(F.when(F.col("branch").isNotNull() & (F.col("branch") != ""), F.struct("req_seq", "branch")))
-    return (r.groupBy(F.col("uri").alias("url")).agg(first.alias("_f"), last.alias("_l"), branch.alias("_b"))
-            .select("url", F.col("_f.user_id").alias("user_id"), F.col("_f.type").alias("provider"),
-                    F.col("_l.name").alias("name"), F.coalesce("_b.branch", F.lit(default_branch)).alias("branch"),
-                    F.lit("pending").alias("status"), K.uuid5_oid(F.col("url")).alias("source_id"),
-                    F.col("_l.metadata").alias("metadata")))
+    now_c = _now(now)
+    ok = outcomes.filter((F.col("outcome") != "conflict") & F.col("valid_type")).select("req_seq", "outcome")
+    r = requests.join(ok, "req_seq").withColumn("branch", F.coalesce(F.nullif("branch", F.lit("")), F.lit(default_branch)))
+    written = F.struct("req_seq", "name", "branch")
+    asked = (r.groupBy(F.col("uri").alias("_uri"))
+             .agg(F.min(F.struct("req_seq", "user_id", "type")).alias("_f"), F.max(written).alias("_last"),
+                  F.max(F.when(F.col("outcome") == "updated", written)).alias("_upd"))
+             .join(snapshot.select(F.col("uri").alias("_uri"), F.col("id").cast("string").alias("_sid")), "_uri"))
+    base = repos.withColumn("id", F.col("id").cast("string")).withColumn("source_id", F.col("source_id").cast("string"))
+    target = base.groupBy(F.col("url").alias("_uri")).agg(F.min(F.struct("created_at", "id")).alias("_t")).select(
+        "_uri", F.col("_t.id").alias("_target"))
+    asked = asked.join(target, "_uri", "left")
+    hits = asked.filter(F.col("_target").isNotNull()).select("_target", "_sid", "_upd")
+    hit, upd = F.col("_target").isNotNull(), F.col("_upd").isNotNull()
+    kept = base.join(hits, base["id"] == hits["_target"], "left").withColumns({
+        "name": F.when(upd, F.col("_upd.name")).otherwise(F.col("name")),
+        "branch": F.when(upd, F.col("_upd.branch")).otherwise(F.col("branch")),
+        "source_id": F.when(hit, F.col("_sid")).otherwise(F.col("source_id")),
+        "status": F.when(hit, F.lit("pending")).otherwise(F.col("status")),
+        "updated_at": F.when(upd, now_c).otherwise(F.col("updated_at"))}).select(*base.columns)
+    new = asked.filter(F.col("_target").isNull()).select(
+        K.uuid5_oid(F.concat(F.lit("repository:"), F.col("_uri"))).alias("id"), F.col("_f.user_id").alias("user_id"),
+        F.col("_last.name").alias("name"), F.col("_f.type").alias("provider"), F.col("_uri").alias("url"),
+        F.col("_last.branch").alias("branch"), F.col("_sid").alias("source_id"), F.lit("pending").alias("status"),
+        now_c.alias("created_at"), now_c.alias("updated_at"))
+    return kept.unionByName(new.select(*base.columns))
 
 
 # --------------------------------------------------------------------------- J2

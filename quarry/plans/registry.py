@@ -103,21 +103,121 @@ def j1_upsert_sources(spark, sf_dir):
     return snap.select("user_id", "type", "uri", "name", "status", "updated_at", "is_new")
 
 
-@register("j1_upsert_repositories_side", views=["fx_source_requests", "fx_sources"], oracle=f"""
-WITH {J1_SQL.strip()},
-acc AS (SELECT * FROM oc WHERE outcome <> 'conflict' AND valid_type)
-SELECT uri AS url, arg_min(user_id, req_seq) AS user_id, arg_min(type, req_seq) AS provider, arg_max(name, req_seq) AS name,
-       coalesce(arg_max(CASE WHEN req_seq % 4 = 0 THEN 'release' END, req_seq), 'main') AS branch, 'pending' AS status,
-       arg_max('{{"seq":' || CAST(req_seq AS VARCHAR) || '}}', req_seq) AS metadata
-FROM acc GROUP BY uri""")
+#: UUIDv5 text of a name whose SHA-1 with the OID name space is ``h``.
+UUID5_SQL = """concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3),
+                  substr('89ab89ab89ab89ab', CAST(('0x' || substr(h, 17, 1)) AS INTEGER) + 1, 1) || substr(h, 18, 3), substr(h, 21, 12))"""
+
+
+def _with_metadata(fx: Fixtures):
+    """Source requests; one in four names a branch, all carry metadata."""
+    return (fx.fx_source_requests.withColumn("branch", F.when(F.col("req_seq") % 4 == 0, F.lit("release")))
+            .withColumn("metadata", F.concat(F.lit('{"seq":'), F.col("req_seq").cast("string"), F.lit("}"))))
+
+
+def _repos_on_sources(fx: Fixtures):
+    """Repositories of every third customer on the uri of its source, some of them held twice, all
+    on a branch of their own."""
+    c, k = fx.customer, F.col("c_custkey")
+    rows = c.filter(k % 3 != 1).withColumn("_n", F.explode(F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return rows.select(
+        F.concat_ws("-", F.lit("r"), k, "_n").alias("id"), F.concat(F.lit("owner_"), (k % 3).cast("string")).alias("user_id"),
+        F.concat(F.lit("repo-"), k).alias("name"), F.lit("github").alias("provider"),
+        F.concat(F.lit("https://host/"), k + F.when(k % 4 == 0, 100000000).otherwise(0)).alias("url"), F.lit("dev").alias("branch"),
+        F.lit(None).cast("string").alias("source_id"), F.lit("active").alias("status"),
+        F.timestamp_seconds(k % 97 - F.col("_n")).alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+J1_REPO_SQL = f"""
+{J1_SQL.strip()},
+repos AS (SELECT 'r-' || c_custkey || '-' || n AS id, 'owner_' || (c_custkey % 3) AS user_id, 'repo-' || c_custkey AS name,
+                 'github' AS provider, 'https://host/' || (c_custkey + CASE WHEN c_custkey % 4 = 0 THEN 100000000 ELSE 0 END) AS url,
+                 'dev' AS branch, NULL AS source_id, 'active' AS status, c_custkey % 97 - n AS created, NULL AS updated
+          FROM customer, (VALUES (0), (1)) t(n) WHERE c_custkey % 3 <> 1 AND (n = 0 OR c_custkey % 5 = 0)),
+acc AS (SELECT *, CASE WHEN req_seq % 4 = 0 THEN 'release' ELSE 'main' END AS br FROM oc WHERE outcome <> 'conflict' AND valid_type),
+ask AS (SELECT uri, arg_min(user_id, req_seq) AS fu, arg_min(type, req_seq) AS ft, arg_max(name, req_seq) AS ln, arg_max(br, req_seq) AS lb,
+               arg_max(name, req_seq) FILTER (WHERE outcome = 'updated') AS un,
+               arg_max(br, req_seq) FILTER (WHERE outcome = 'updated') AS ub FROM acc GROUP BY uri),
+oid AS (SELECT DISTINCT uri, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(uri)) AS h FROM acc),
+srcid AS (SELECT o.uri, coalesce(CAST(s.id AS VARCHAR), {{uuid}}) AS sid FROM oid o LEFT JOIN fx_sources s ON s.uri = o.uri),
+tgt AS (SELECT url, arg_min(id, (created, id)) AS target FROM repos GROUP BY url),
+kept AS (SELECT r.user_id, coalesce(a.un, r.name) AS name, r.provider, r.url, coalesce(a.ub, r.branch) AS branch,
+                i.sid AS source_id, CASE WHEN t.target IS NOT NULL THEN 'pending' ELSE r.status END AS status,
+                a.un IS NOT NULL AS stamped, FALSE AS is_new
+         FROM repos r LEFT JOIN (SELECT target, url FROM tgt WHERE url IN (SELECT uri FROM ask)) t ON t.target = r.id
+         LEFT JOIN ask a ON a.uri = t.url LEFT JOIN srcid i ON i.uri = t.url),
+ins AS (SELECT a.fu, a.ln, a.ft, a.uri, a.lb, i.sid, 'pending', TRUE, TRUE FROM ask a JOIN srcid i ON i.uri = a.uri
+        WHERE a.uri NOT IN (SELECT url FROM repos))
+SELECT * FROM kept UNION ALL SELECT * FROM ins"""
+
+
+@register("j1_upsert_repositories_side", views=["fx_source_requests", "fx_sources"], oracle="WITH " + J1_REPO_SQL.format(uuid=UUID5_SQL))
 def j1_upsert_repositories_side(spark, sf_dir):
-    """The repository rows and metadata that a batch of source requests writes."""
+    """The repository registry after a batch of source requests: rows inserted, existing ones
+    claimed by their source, renamed and put back to a branch."""
+    fx = Fixtures(spark, sf_dir)
+    req = _with_metadata(fx)
+    snapshot, outcomes = ops.upsert_sources(req, fx.fx_sources, NOW)
+    out = ops.upsert_repositories_of_sources(req, outcomes, snapshot, _repos_on_sources(fx), NOW)
+    return out.select("user_id", "name", "provider", "url", "branch", "source_id", "status",
+                      F.col("updated_at").isNotNull().alias("stamped"), (~F.col("id").startswith("r-")).alias("is_new"))
+
+
+@register("j1_source_metadata", views=["fx_source_requests", "fx_sources"], oracle=f"""
+WITH {J1_SQL.strip()}
+SELECT uri, '{{"seq":' || CAST(max(req_seq) AS VARCHAR) || '}}' AS metadata FROM oc WHERE outcome <> 'conflict' GROUP BY uri""")
+def j1_source_metadata(spark, sf_dir):
+    """The metadata that a batch of source requests leaves at the sources it touches."""
+    fx = Fixtures(spark, sf_dir)
+    snapshot, _ = ops.upsert_sources(_with_metadata(fx), fx.fx_sources, NOW)
+    return snapshot.filter("metadata IS NOT NULL").select("uri", "metadata")
+
+
+@register("j_registry_versions", views=["fx_source_requests", "fx_sources"], oracle="WITH " + J1_REPO_SQL.format(uuid=UUID5_SQL).replace(
+    "\nSELECT * FROM kept UNION ALL SELECT * FROM ins", """,
+repos2 AS (SELECT * FROM kept UNION ALL SELECT * FROM ins),
+touched AS (SELECT DISTINCT uri FROM oc WHERE outcome <> 'conflict'),
+sid2 AS (SELECT DISTINCT uri, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(uri)) AS h FROM touched),
+sources2 AS (SELECT CAST(id AS VARCHAR) AS id, uri, uri IN (SELECT uri FROM touched) AS pending FROM fx_sources
+             UNION ALL SELECT """ + UUID5_SQL + """, uri, TRUE FROM sid2 WHERE uri NOT IN (SELECT uri FROM fx_sources)),
+gone AS (SELECT * FROM repos2 WHERE user_id = 'owner_2'),
+sources3 AS (SELECT * FROM sources2 WHERE id NOT IN (SELECT source_id FROM gone WHERE source_id IS NOT NULL)
+             AND uri NOT IN (SELECT url FROM gone WHERE source_id IS NULL))
+SELECT 1 AS version, 'sources' AS table_name, count(*) AS n, 0::BIGINT AS pending FROM fx_sources
+UNION ALL SELECT 1, 'repositories', count(*), 0 FROM repos
+UNION ALL SELECT 2, 'sources', count(*), count(*) FILTER (WHERE pending) FROM sources2
+UNION ALL SELECT 2, 'repositories', count(*), count(*) FILTER (WHERE status = 'pending') FROM repos2
+UNION ALL SELECT 3, 'sources', count(*), count(*) FILTER (WHERE pending) FROM sources3
+UNION ALL SELECT 3, 'repositories', count(*), count(*) FILTER (WHERE status = 'pending') FROM repos2 WHERE user_id <> 'owner_2'"""))
+def j_registry_versions(spark, sf_dir):
+    """J1 and J3 as versions of a store: sources and repositories change in one commit each, and a
+    reader of an earlier version still sees that one."""
+    from ..session import checkpoint_path
+    from ..sources import versioned as V
     fx = Fixtures(spark, sf_dir)
-    req = (fx.fx_source_requests.withColumn("branch", F.when(F.col("req_seq") % 4 == 0, F.lit("release")))
-           .withColumn("metadata", F.concat(F.lit('{"seq":'), F.col("req_seq").cast("string"), F.lit("}"))))
-    _, outcomes = ops.upsert_sources(req, fx.fx_sources, NOW)
-    out = ops.repositories_of_sources(req, outcomes)
-    return out.select("url", "user_id", "provider", "name", "branch", "status", "metadata")
+    path, n = checkpoint_path(spark, "registry", unique=True), {"sources": 4, "repositories": 4}
+    keys = {"sources": ["uri"], "repositories": ["id"]}
+    none = F.lit(None)
+    sources = fx.fx_sources.select(F.col("id").cast("string").alias("id"), "user_id", "type", "uri", "name", "status",
+                                   none.cast("timestamp").alias("updated_at"), none.cast("string").alias("metadata"))
+    v1 = V.commit(V.snapshot(spark, path), {"sources": V.Change(replace=sources), "repositories": V.Change(
+        replace=_repos_on_sources(fx))}, keys, n)
+    req = _with_metadata(fx)
+    after, outcomes = ops.upsert_sources(req, v1.read("sources"), NOW)
+    repos = ops.upsert_repositories_of_sources(req, outcomes, after, v1.read("repositories"), NOW)
+    v2 = V.commit(v1, {"sources": V.Change(upserts=after.filter("updated_at IS NOT NULL")),
+                       "repositories": V.Change(upserts=repos.filter("status = 'pending'"))}, keys, n)
+    victims = v2.read("repositories").filter("user_id = 'owner_2'").select("id")
+    nodes = spark.createDataFrame([], "label string, node_id string, source_id string, owner_id string")
+    left, _ = ops.cascade_delete(victims, v2.read("repositories"), v2.read("sources"), nodes)
+    gone = {t: v2.read(t).join(left[t].select("id"), "id", "left_anti").select(*keys[t]) for t in keys}
+    v3 = V.commit(v2, {t: V.Change(deletes=gone[t]) for t in keys}, keys, n)
+    counts = [V.snapshot(spark, path, v.version).read(t).agg(
+        F.lit(v.version).alias("version"), F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("status") == "pending").alias("pending")) for v in (v1, v2, v3) for t in keys]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def _repo_requests(fx: Fixtures):

@@ -23,13 +23,6 @@ from .catalog import _ORACLES, register
 STATE_BUCKETS = 8
 
 
-def _spread(spark):
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:
-        return None
-
-
 def _scratch(spark, name):
     return checkpoint_path(spark, name, unique=True)
 
@@ -39,17 +32,41 @@ def _same_oracle(name: str, batch_name: str) -> None:
     _ORACLES[name] = _ORACLES[batch_name]
 
 
-@register("l3_rate_limit_stream")
+#: The limiter job's lateness bound; rows come up to half of it late.
+LATENESS = 86400
+
+
+@register("l3_rate_limit_stream", views=["fx_access_log"], oracle=f"""
+WITH x AS (SELECT *, epoch_us(ts) AS t FROM fx_access_log),
+b AS (SELECT min(t) AS lo, max(t) - min(t) + 1 AS span FROM x),
+d AS (SELECT x.*, (t - lo) * 3 // span AS third, lo + ((t - lo) * 3 // span + 1) * span // 3 - t AS ahead FROM x, b),
+r AS (SELECT *, third + CASE WHEN third < 2 AND seq % 2 = 0 AND ahead <= {LATENESS // 2 * 1000000} THEN 1 ELSE 0 END AS part,
+             replace(path, '/', '_') AS k FROM d WHERE path NOT IN ('/health', '/metrics', '/status')),
+c AS (SELECT a.seq, a.client, a.path, a.t, count(*) AS request_count
+      FROM r a JOIN r o ON o.client = a.client AND o.k = a.k AND o.t <= a.t AND o.t > a.t - {audit_plans.WINDOW * 1000000}
+           AND o.part <= a.part AND (o.t < a.t OR (o.part, o.seq) <= (a.part, a.seq))
+      GROUP BY ALL),
+l AS (SELECT *, CASE WHEN contains(path, '/search') THEN 4 WHEN contains(path, '/sources') THEN 6
+                     WHEN contains(path, '/sync') THEN 3 ELSE 5 END AS rate_limit FROM c)
+SELECT seq, client, path, request_count, rate_limit, request_count > rate_limit AS rejected,
+       CASE WHEN request_count > rate_limit THEN 0 ELSE greatest(0, rate_limit - request_count) END AS remaining,
+       CAST(floor(t / 1000000) AS BIGINT) + {audit_plans.WINDOW} AS reset, FALSE AS late FROM l""")
 def l3_rate_limit_stream(spark, sf_dir):
-    """Keyed-state limiter over the events table as a stream; equals g1_rate_limit_audit."""
-    fx = Fixtures(spark, sf_dir)
-    log = fx.derive("fx_access_log", events=read_table_stream(spark, sf_dir, "events", partitions=_spread(spark)))
+    """The limiter over three deliveries of the log, every other row of a delivery's end coming with
+    the next one: a row counts what has arrived by its delivery, whatever its time."""
+    log = Fixtures(spark, sf_dir).fx_access_log
     base = _scratch(spark, "l3")
-    q = st.start_rate_limit_stream(log, base + "/out", base + "/ckpt", base + "/state", audit_plans.LIMITS,
-                                   audit_plans.WINDOW, trigger={"availableNow": True}, bucket_secs=86400)
-    q.awaitTermination()
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = log.agg(F.min(t), F.max(t)).first()
+    span = (hi or 0) - (lo or 0) + 1
+    third = F.floor((t - lo) * 3 / span)
+    ahead = F.lit(lo) + F.floor((third + 1) * span / 3) - t
+    part = third + F.when((third < 2) & (F.col("seq") % 2 == 0) & (ahead <= LATENESS // 2 * 1_000_000), 1).otherwise(0)
+    _landed(spark, log, part, base + "/log", lambda rows: st.start_rate_limit_stream(
+        rows, base + "/out", base + "/ckpt", base + "/state", audit_plans.LIMITS, audit_plans.WINDOW, trigger={"availableNow": True},
+        bucket_secs=86400, lateness_secs=LATENESS))
     return spark.read.parquet(base + "/out").select("seq", "client", "path", "request_count", "rate_limit",
-                                                    "rejected", "remaining", "reset")
+                                                    "rejected", "remaining", "reset", "late")
 
 
 @register("l4_latest_status_stream")
@@ -93,14 +110,16 @@ def l6_dedupe_stream(spark, sf_dir):
 
 @register("l1_webhook_stream")
 def l1_webhook_stream(spark, sf_dir):
-    """Webhook deliveries (derived from the events table, as a stream) -> REPO_UPDATED."""
+    """Webhook deliveries (derived from the events table) landed three times -> REPO_UPDATED."""
     fx = Fixtures(spark, sf_dir)
-    hooks = fx.derive("fx_webhooks", events=read_table_stream(spark, sf_dir, "events", partitions=_spread(spark)))
-    deliveries, secrets = hook_plans._deliveries(fx, hooks)
     base = _scratch(spark, "l1")
-    q = pipe.start_webhook_stream(deliveries, secrets, fx.fx_hook_repos, fx.fx_credentials, base + "/out",
-                                  base + "/ckpt", hook_plans.NOW, {"availableNow": True})
-    q.awaitTermination()
+
+    def start(events):
+        deliveries, secrets = hook_plans._deliveries(fx, fx.derive("fx_webhooks", events=events))
+        return pipe.start_webhook_stream(deliveries, secrets, fx.fx_hook_repos, fx.fx_credentials, base + "/out",
+                                         base + "/ckpt", hook_plans.NOW, {"availableNow": True})
+
+    _landed(spark, fx.events, F.xxhash64("event_id"), base + "/events", start)
     ev = spark.read.parquet(base + "/out/events")
     return ev.select("event_type", "event_id", "payload.repo_id", "payload.provider", "payload.branch",
                      "payload.old_commit", "payload.new_commit", "payload.update_type")
@@ -111,43 +130,48 @@ SELECT n.repo_id, n.path AS file_path, sha256(d.text) AS content_sha
 FROM fx_snap_new n JOIN documents d ON d.doc_id = n.doc_id WHERE NOT {binary}""".format(
     binary=__import__("quarry.plans.sqlbits", fromlist=["is_binary"]).is_binary("n.path")))
 def l2_update_stream(spark, sf_dir):
-    """One REPO_UPDATED per repository (old -> new snapshot) streamed from a landed topic;
-    applying the emitted file events to the old snapshot's state yields the new snapshot."""
+    """Two REPO_UPDATED per repository (old -> mid -> new snapshot), landed in three deliveries so
+    that the later update often comes first; the stored state ends at the new snapshot."""
+    from ..functions.paths import is_binary
+    from ..operators import events as ev_ops
     fx = Fixtures(spark, sf_dir)
     base = _scratch(spark, "l2")
-    repos = fx.fx_snap_new.select("repo_id").distinct()
-    n = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("bigint")
-    env = repos.select(F.lit("REPO_UPDATED").alias("event_type"),
-                       F.sha2(F.concat(F.lit("upd:"), "repo_id"), 256).alias("event_id"),
-                       F.lit("2024-01-01T00:00:00+00:00").alias("timestamp"), F.lit(None).cast("string").alias("correlation_id"),
-                       F.struct(F.col("repo_id"), F.concat(F.lit("https://github.com/org/"), "repo_id").alias("url"),
-                                F.lit("main").alias("branch"), F.lit("github").alias("provider"),
-                                F.lit("old").alias("old_commit"), F.lit("new").alias("new_commit"),
-                                F.lit("ref").alias("credential_ref"), F.lit("push").alias("update_type")).alias("payload"),
-                       n.alias("offset"))
-    rec = src.to_event_records(env.withColumn("rk", F.col("payload.repo_id")), key_col="rk",
-                               value_cols=["event_type", "event_id", "timestamp", "correlation_id", "payload"])
-    rec = (rec.join(env.select(F.col("payload.repo_id").alias("key"), "offset"), "key")
-           .select("key", F.encode("value", "UTF-8").alias("value"), "topic", F.lit(0).alias("partition"), "offset",
-                   F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp")))
-    rec.write.mode("overwrite").parquet(base + "/topic")
-    records = src.read_events(spark, {"format": "parquet", "path": base + "/topic"}, streaming=True)
+    old, new = fx.fx_snap_old, fx.fx_snap_new
+    d = F.col("doc_id")
+    # Between the two snapshots: every fifth file has another content, even ones are still as they
+    # were, and every ninth has a copy that goes again.
+    mid = (new.filter(d % 5 == 0).withColumn("sha", F.concat(F.lit("m"), F.coalesce("sha", F.lit(""))))
+           .unionByName(old.filter((d % 5 != 0) & (d % 2 == 0))).unionByName(new.filter((d % 5 != 0) & (d % 2 != 0)))
+           .unionByName(new.filter(d % 9 == 0).withColumns({"path": F.concat(F.lit("tmp/"), "path"), "sha": F.concat(F.lit("t"), F.coalesce("sha", F.lit("")))})))
     # Compare results are landed once; micro-batches read them instead of comparing again.
-    chg.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new).withColumn("new_commit", F.lit("new")) \
-        .write.mode("overwrite").parquet(base + "/diffs")
+    for a, b, commit in ((old, mid, "mid"), (mid, new, "new")):
+        chg.diff_snapshots(a, b).withColumn("new_commit", F.lit(commit)).write.mode("append").parquet(base + "/diffs")
     diffs = spark.read.parquet(base + "/diffs")
-    blobs = (fx.fx_snap_new.select("doc_id", "repo_id", "path").join(fx.documents.select("doc_id", "text"), "doc_id")
-             .select("repo_id", F.lit("new").alias("commit"), "path", F.encode("text", "UTF-8").alias("content")))
-    from ..functions.paths import is_binary
-    from ..operators import events as ev_ops
-    old = (fx.fx_snap_old.filter(~is_binary("path")).select("doc_id", "repo_id", F.col("path").alias("file_path"))
-           .join(fx.documents.select("doc_id", "text"), "doc_id")
-           .select("repo_id", "file_path", F.col("text").alias("content"), F.lit(-1).cast("bigint").alias("off")))
-    ev_ops.write_file_state(old, base + "/state", STATE_BUCKETS)
-    q = pipe.start_update_stream(records, diffs, blobs, event_plans._repos_for(fx.fx_snap_new), base + "/out",
-                                 base + "/ckpt", trigger={"availableNow": True}, state_path=base + "/state",
-                                 buckets=STATE_BUCKETS)
-    q.awaitTermination()
+    texts = fx.documents.select("doc_id", "text")
+    blob = lambda snap, commit, text: (snap.select("doc_id", "repo_id", "path").join(texts, "doc_id")
+                                       .select("repo_id", F.lit(commit).alias("commit"), "path", F.encode(text, "UTF-8").alias("content")))
+    changed = F.when((d % 5 == 0) & ~F.col("path").startswith("tmp/"), F.concat("text", F.lit(" mid"))).otherwise(F.col("text"))
+    blobs = blob(mid, "mid", changed).unionByName(blob(new, "new", F.col("text")))
+    n = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("bigint")
+    steps = F.explode(F.array(F.struct(F.lit("old").alias("a"), F.lit("mid").alias("b"), F.lit(0).alias("k")),
+                              F.struct(F.lit("mid").alias("a"), F.lit("new").alias("b"), F.lit(1).alias("k")))).alias("s")
+    env = new.select("repo_id").distinct().select("repo_id", n.alias("n"), steps).select(
+        F.lit("REPO_UPDATED").alias("event_type"), F.sha2(F.concat(F.lit("upd:"), "repo_id", "s.b"), 256).alias("event_id"),
+        F.lit("2024-01-01T00:00:00+00:00").alias("timestamp"), F.lit(None).cast("string").alias("correlation_id"),
+        F.struct(F.col("repo_id"), F.concat(F.lit("https://github.com/org/"), "repo_id").alias("url"),
+                 F.lit("main").alias("branch"), F.lit("github").alias("provider"),
+                 F.col("s.a").alias("old_commit"), F.col("s.b").alias("new_commit"),
+                 F.lit("ref").alias("credential_ref"), F.lit("push").alias("update_type")).alias("payload"),
+        (2 * F.col("n") + F.col("s.k")).alias("offset"))
+    value = F.to_json(F.struct("event_type", "event_id", "timestamp", "correlation_id", "payload"))
+    rec = env.select(F.col("payload.repo_id").alias("key"), F.encode(value, "UTF-8").alias("value"), F.lit(src.DEFAULT_TOPIC).alias("topic"),
+                     F.lit(0).alias("partition"), "offset", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("timestamp"))
+    state = (old.filter(~is_binary("path")).select("doc_id", "repo_id", F.col("path").alias("file_path"))
+             .join(texts, "doc_id").select("repo_id", "file_path", F.col("text").alias("content"), F.lit(-1).cast("bigint").alias("off")))
+    ev_ops.write_file_state(state, base + "/state", STATE_BUCKETS)
+    _landed(spark, rec, F.xxhash64("offset"), base + "/topic", lambda records: pipe.start_update_stream(
+        records, diffs, blobs, event_plans._repos_for(new), base + "/out", base + "/ckpt", trigger={"availableNow": True},
+        state_path=base + "/state", buckets=STATE_BUCKETS))
     state = ev_ops.read_file_state(spark, base + "/state")
     return state.select("repo_id", "file_path", F.sha2("content", 256).alias("content_sha"))
 
@@ -170,7 +194,6 @@ def l7_polling_stream(spark, sf_dir):
     return pipe.current_changes(spark, base + "/out").select("repo_id", "path", "event_type", "events")
 
 
-_same_oracle("l3_rate_limit_stream", "g1_rate_limit_audit")
 _same_oracle("l6_dedupe_stream", "l6_dedupe_events")
 _same_oracle("l1_webhook_stream", "l1_webhook_updates")
 _ORACLES["l4_latest_status_stream"] = _ORACLES["g5_job_summary"].replace(

@@ -37,7 +37,8 @@ def start_update_stream(records: DataFrame, diffs: DataFrame, blobs: DataFrame,
     """L2: REPO_UPDATED records -> landed diff entries for (repo, new commit) -> STREAMED_FILE
     events with increasing offsets -> ``out_path/file_events``; undecodable records ->
     ``out_path/dlq`` in the same micro-batch. With ``state_path`` every batch is also merged
-    into a stored current-state table of ``buckets`` folders (only touched ones are rewritten);
+    into a stored current-state table of ``buckets`` (only touched ones are rewritten, as a new
+    version that records the batch);
     without it ``current_file_state`` folds the written events on read.
 
     ``diffs``: repo_id, new_commit, path, change, old_path (landed compare results).
@@ -61,7 +62,7 @@ def start_update_stream(records: DataFrame, diffs: DataFrame, blobs: DataFrame,
         if state_path:
             spark = batch.sparkSession
             written = spark.read.parquet(f"{out_path}/file_events/batch_id={batch_id}")
-            ev.merge_file_state(spark, state_path, written, f"{out_path}/staging/batch_id={batch_id}", buckets)
+            ev.merge_file_state(spark, state_path, written, buckets, applied={"updates": batch_id})
         write_batch(src.to_dlq(rejects, dlq_topic=dlq_topic).select("key", "value", "topic"), out_path + "/dlq", batch_id)
     return run_handler(records, handle, None, checkpoint, trigger)
 

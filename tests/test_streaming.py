@@ -100,41 +100,6 @@ def test_file_state_two_batches_equal_one(spark):
     assert sorted((r.file_path, r.content) for r in one.collect()) == [("b", "b2"), ("c", "c1")]
 
 
-def test_merge_file_state_rewrites_touched_buckets(spark):
-    base = checkpoint_path(spark, "test-state", unique=True)
-    schema = "repo_id string, file_path string, off long, is_deleted boolean, content string"
-    start = spark.createDataFrame([(f"r{i}", "a", 0, False, "v0") for i in range(20)], schema)
-    events.write_file_state(start.drop("is_deleted"), f"{base}/state", buckets=8)
-    before = {r.bucket: r.n for r in spark.read.parquet(f"{base}/state").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    b1 = spark.createDataFrame([("r1", "a", 5, True, ""), ("r2", "b", 5, False, "new")], schema)
-    events.merge_file_state(spark, f"{base}/state", b1, f"{base}/stage1", buckets=8)
-    late = spark.createDataFrame([("r1", "a", 3, False, "stale")], schema)  # older than the tombstone
-    events.merge_file_state(spark, f"{base}/state", late, f"{base}/stage2", buckets=8)
-    events.merge_file_state(spark, f"{base}/state", b1, f"{base}/stage3", buckets=8)  # re-run: no change
-    live = {(r.repo_id, r.file_path): r.content for r in events.read_file_state(spark, f"{base}/state").collect()}
-    want = {(f"r{i}", "a"): "v0" for i in range(20) if i != 1}
-    want[("r2", "b")] = "new"
-    assert live == want
-    after = {r.bucket: r.n for r in spark.read.parquet(f"{base}/state").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    assert sum(after.values()) == sum(before.values()) + 1  # r2/b added, r1/a kept as a tombstone
-
-
-STATE = "repo_id string, file_path string, off long, is_deleted boolean, content string"
-
-
-def test_unreadable_state_fails_the_merge_and_stays(spark):
-    base = checkpoint_path(spark, "test-broken", unique=True)
-    events.write_file_state(spark.createDataFrame([(f"r{i}", "a", 0, False, "v0") for i in range(50)], STATE), f"{base}/state", buckets=1)
-    stray = f"{base}/state/bucket=0/part-stray.parquet".removeprefix("file:")
-    with open(stray, "w") as f:
-        f.write("not parquet")
-    b1 = spark.createDataFrame([("r1", "a", 5, False, "new")], STATE)
-    with pytest.raises(Exception):
-        events.merge_file_state(spark, f"{base}/state", b1, f"{base}/stage", buckets=1)
-    os.rename(stray, f"{base}/stray".removeprefix("file:"))
-    assert events.read_file_state(spark, f"{base}/state").count() == 50
-
-
 def test_events_of_one_offset_and_missing_flag(spark):
     rows = [("r", "a", 5, True, ""), ("r", "a", 5, False, ""), ("r", "b", 1, None, "kept")]
     got = events.apply_file_events(None, spark.createDataFrame(rows, STATE)).collect()
