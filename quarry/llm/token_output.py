@@ -9,117 +9,256 @@ stripes and row groups by metadata, and whole-table readers take stripes in para
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, list_array, materialize, slices
-from .units import Memory
 
 ORC = {
     "compression": "zstd", "orc.stripe.size": str(8 << 20), "orc.create.index": "true",
     "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
-TOKEN_FILE_SCHEMA = "doc_id long, ids array<int>"
+TOKEN_FILE_SCHEMA = "doc_id long, place long, ids array<int>"
 
-#: How byte-level vocabularies write the byte 32; ASCII letters stand for themselves.
-SPACE = "\u0120"
-_TOKENIZERS: dict = {}
+#: Bytes of text encoded at once: the more, the more often its units repeat.
+BATCH_BYTES = 12 << 20
+#: Units after which a generation of the memory is full (a batch's may come on top).
+REMEMBERED = 250_000
+#: Marks that a word may end in (" " and "" aren't).
+MARKS = frozenset(".,;:!?")
+_ID = attrgetter("id")
+_WORD, _MARKED = re.compile(rb" ?[A-Za-z]+").fullmatch, re.compile(rb" ?[A-Za-z]+[.,;:!?]").fullmatch
+_ENCODERS: dict = {}
 
 
-def _memory(path: str) -> Memory:
-    """A task's memory of units over this worker's tokenizer for the vocabulary at ``path``."""
-    if path not in _TOKENIZERS:
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: printable ones as themselves, the others, in
+    turn, as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+def _white_space() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes that may end white space before a cut, the ones before them if not ASCII, and bytes that
+    may begin white space after it. Every white space of Unicode is among them, and some others."""
+    ends, second, begins = (np.zeros(256, bool) for _ in range(3))
+    for c in map(chr, range(0x3001)):
+        if c.isspace():
+            raw = c.encode()
+            begins[raw[0]] = True
+            if len(raw) == 1:
+                ends[raw[0]] = True
+            else:
+                second[raw[-2]] = True
+    return ends, second, begins
+
+
+_ENDS, _SECOND, _BEGINS = _white_space()
+
+
+def cut_units(data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where the units of some texts begin, and the end of all.
+
+    The pre-tokenizer lets a token begin with a space and never go on over one: a space between two
+    characters that aren't white space always begins a match, so what lies between two such spaces
+    is encoded by itself. Some of them are left out (next to rare non-ASCII characters), which only
+    makes longer units. ``data`` holds the texts in a row, text i from bounds[i] to bounds[i + 1];
+    texts marked in ``whole`` are one unit. Empty texts have none.
+    """
+    n = len(data)
+    begin = np.zeros(n + 1, bool)
+    if n > 2:
+        space = np.flatnonzero(data[1:-1] == 32) + 1
+        before, after = data[space - 1], data[space + 1]
+        far = data[np.maximum(space - 2, 0)]
+        solid = ~_ENDS[before] & ~((before >= 128) & _SECOND[far]) & ~_BEGINS[after]
+        begin[space[solid]] = True
+        # The character after a text's last space is another text's.
+        last = bounds[1:-1][bounds[1:-1] > 0] - 1
+        begin[last] = False
+    for i in np.flatnonzero(whole):
+        begin[bounds[i]:bounds[i + 1]] = False
+    begin[bounds] = True
+    return np.flatnonzero(begin)
+
+
+class Encoder:
+    """A worker's tokenizer with the units that it has met.
+
+    Units live in two generations: a young one of ``REMEMBERED`` or more becomes the old one, and old units that are met again move back. Frequent units stay, rare ones go, and memory
+    doesn't grow with the texts.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True  # their names in a text are ordinary text
-        vocab, merge = own.get_vocab(), own.model.tokenize
+        self.own = Tokenizer.from_file(path)
+        self.added = [x.content for x in self.own.get_added_tokens_decoder().values()]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
         # In a byte-level vocabulary each character of a token's name stands for one byte.
-        size = np.ones(max(vocab.values()) + 1, np.int64)
+        vocab = self.own.get_vocab()
+        self.size = np.ones(max(vocab.values()) + 1, np.int64)
         for name, i in vocab.items():
-            size[i] = len(name)
-
-        def encode(texts: list[str]) -> list[bytes]:
-            out: list = [None] * len(texts)
-            plain, odd = [], []
-            for k, t in enumerate(texts):
-                # Letters after a space are one match of the pre-tokenizer: the library's BPE model
-                # takes them as they are, the space as its sign.
-                if t[:1] == " " and t[1:].isalpha() and t.isascii():
-                    out[k] = np.array([x.id for x in merge(SPACE + t[1:])], np.int32).tobytes()
-                    continue
-                (odd if t[:1] != " " or t[1:2].isspace() or t[-1].isspace() else plain).append(k)
-            for k, e in zip(odd, own.encode_batch([texts[k] for k in odd], add_special_tokens=False), strict=True):
-                out[k] = np.array(e.ids, np.int32).tobytes()
-            # Units with a space before them, put in a row, are one text; one call encodes many,
-            # and the bytes that each id covers tell where a unit's ids end.
-            for at in range(0, len(plain), 2000):
-                part = plain[at:at + 2000]
-                some = [texts[k] for k in part]
-                row = "".join(some)
-                ids = np.array(own.encode_batch_fast([row], add_special_tokens=False)[0].ids, np.int32)
-                long = [*map(len, some if row.isascii() else map(str.encode, some))]
-                ends = np.searchsorted(np.cumsum(size[ids]), np.cumsum(long), "left") + 1
-                raw, start = ids.tobytes(), 0
-                for k, end in zip(part, (4 * ends).tolist(), strict=True):
-                    out[k] = raw[start:end]
-                    start = end
-            return out
-
-        _TOKENIZERS[path] = encode
-    return Memory(_TOKENIZERS[path])
+            self.size[i] = len(name)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each text, encoded by the library by itself, as little-endian 32-bit ids."""
+        out: list = [None] * len(texts)
+        merge, letters, rows, odd = self.own.model.tokenize, self.letters, [], []
+        known: dict[bytes, bytes] = {}
+        space, young, old = letters[32], self.young.get, self.old.get
+
+        def merged(name: str) -> bytes:
+            return array("i", map(_ID, merge(name))).tobytes()
+
+        def stem(raw: bytes, name: str | None = None) -> bytes:
+            """A word before its mark: met before, or encoded now."""
+            ids = young(raw) or old(raw) or known.get(raw)
+            if ids is None:
+                ids = known[raw] = merged(raw.decode().replace(" ", space) if name is None else name)
+            return ids
+
+        for k, raw in enumerate(texts):
+            # Letters, with a space before them, are one match of the pre-tokenizer, and a mark after
+            # them is another: the library's BPE model takes them as they are.
+            if _WORD(raw):
+                out[k] = merged(raw.decode().replace(" ", space))
+                continue
+            if _MARKED(raw):
+                out[k] = stem(raw[:-1]) + stem(raw[-1:])
+                continue
+            t = raw.decode()
+            body = t[1:] if t[:1] == " " else t
+            if body.isalpha() and max(body) < "\u0250":
+                out[k] = merged("".join([letters[b] for b in raw]))
+            elif body[-1:] in MARKS and body[:-1].isalpha() and max(body) < "\u0250":
+                out[k] = stem(raw[:-1], "".join([letters[b] for b in raw[:-1]])) + stem(raw[-1:])
+            elif t[:1] == " " and not t[1:2].isspace() and not t[-1].isspace() and not any(a in t for a in self.added):
+                rows.append(k)
+            else:
+                odd.append(k)
+        for k, e in zip(odd, self.own.encode_batch([texts[k].decode() for k in odd], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.int32).tobytes()
+        # Units with a space before them, put in a row, are one text; one call encodes many, and the
+        # bytes that each id covers tell where a unit's ids end.
+        for at in range(0, len(rows), 2000):
+            part = rows[at:at + 2000]
+            ids = np.array(self.own.encode_batch_fast([b"".join([texts[k] for k in part]).decode()], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(texts[k]) for k in part]), "left") + 1
+            raw, start = ids.tobytes(), 0
+            for k, end in zip(part, (4 * ends).tolist(), strict=True):
+                out[k] = raw[start:end]
+                start = end
+        return out
+
+    def units(self, met: list[bytes]) -> list[bytes]:
+        """The ids of distinct units, remembered or encoded now."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        get, back = self.young.get, self.old.get
+        out = [get(x) or back(x) for x in met]
+        new = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(new, self.encode([met[k] for k in new]), strict=True):
+            out[k] = ids
+        self.young.update(zip(met, out, strict=True))
+        return out
+
+    def texts(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts, ``end_id`` after each, in a row; and where each text's begin."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        bounds = ends - ends[0]
+        named = np.zeros(len(column), bool)
+        for a in self.added:  # the units of a text that names an added token aren't independent
+            named |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
+        begin = cut_units(data, bounds, named)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = units.dictionary_encode()
+        found = [*self.units(coded.dictionary.to_pylist()), array("i", [end_id]).tobytes()]
+        long = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.int32)
+        # The unit after a text's last one is the end.
+        which = np.insert(coded.indices.to_numpy(), np.searchsorted(begin[:-1], bounds[1:]), len(found) - 1)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(long)])), pa.array(flat))
+        ids = lists.take(pa.array(which)).flatten().to_numpy()
+        total = np.concatenate([[0], np.cumsum(long[which])])
+        last = np.searchsorted(begin[:-1], bounds[1:]) + np.arange(1, len(column) + 1)
+        return ids, np.concatenate([[0], total[last]])
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def encode_rows(rows: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and ids (the text's, then ``end_id``) of ``rows``, in their order."""
+    """doc_id, place and ids (the text's, then ``end_id``) of ``rows``, in their order.
+
+    Texts are encoded as the library does by itself: names of added tokens, special ones too, are
+    these tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, end = _memory(vocabulary), np.array([end_id], np.int32).tobytes()
-        for part in slices(batches):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            raw = [x + end for x in memory.encode_texts(texts)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
-            ids = list_array(np.frombuffer(b"".join(raw), np.int32), offsets, pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), ids], ["doc_id", "ids"])
+        encoder = _encoder(vocabulary)
+        for part in slices(batches, limit=BATCH_BYTES):
+            ids, offsets = encoder.texts(part.column("text"), end_id)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("place"),
+                                              list_array(ids, offsets, pa.int32())], ["doc_id", "place", "ids"])
 
     bound_batches(rows.sparkSession)
-    return rows.select("doc_id", "text").mapInArrow(run, TOKEN_FILE_SCHEMA)
+    return rows.select("doc_id", "place", "text").mapInArrow(run, TOKEN_FILE_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Encode every document of ``docs`` and write the token files to the folder ``path``.
 
     A null or empty text has the end id only. Rows that repeat a doc_id are written one by one,
-    in the order they are read; a null doc_id comes first. An empty table writes no rows. Only
-    doc_id and text are read, whatever else the table holds. The texts are ordered before they
+    in the order they are read, which ``place`` keeps; a null doc_id comes first. An empty table
+    writes no rows. Only doc_id and text are read, whatever else the table holds. The texts are ordered before they
     are encoded, so that sampling the range bounds encodes nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
-                       F.monotonically_increasing_id().alias("_place"))
-    placed = rows.repartitionByRange("doc_id", "_place").sortWithinPartitions("doc_id", "_place")
+                       F.monotonically_increasing_id().alias("place"))
+    placed = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     encode_rows(placed, vocabulary, end_id).write.options(**ORC).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id and ids from the token files; with ``doc_ids`` only these documents, the filter
+    """doc_id, place and ids from the token files; with ``doc_ids`` only these documents, the filter
     reaching the stripes' statistics and Bloom filters."""
     found = spark.read.schema(TOKEN_FILE_SCHEMA).orc(path)
     return found if doc_ids is None else found.filter(F.col("doc_id").isin([int(i) for i in doc_ids]))
 
 
+def file_number(name: Column) -> Column:
+    """Place of a written file among its folder's: the task's number, then the file's within the task."""
+    part = lambda pattern: F.coalesce(F.regexp_extract(name, pattern, 1).try_cast("long"), F.lit(0))
+    return part(r"^part-(\d+)") * F.lit(1_000_000).cast("long") + part(r"-c(\d+)\.")
+
+
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, read back from the files.
 
-    ``start`` counts the ids of all documents before it: a file's total is added to those of the
-    files before it (one row per file meets in one task), then a running sum within the file.
+    ``start`` counts the ids of all documents before it in the files: a file's total is added to
+    those of the files before it (one row per file meets in one task), then a running sum within the
+    file, in the order of its rows. Files are ordered by the numbers in their names.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +267,15 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
             crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()),
-                 b.column("file")], ["doc_id", "n_tokens", "ids_crc32", "file"])
+                [b.column("doc_id"), b.column("place"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()),
+                 b.column("file")], ["doc_id", "place", "n_tokens", "ids_crc32", "file"])
 
     bound_batches(spark)
-    rows = read_tokens(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
-    rows = materialize(rows.mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long, file string"), "token-rows")
+    rows = read_tokens(spark, path).select("doc_id", "place", "ids", file_number(F.col("_metadata.file_name")).alias("file"))
+    rows = materialize(rows.mapInArrow(digest, "doc_id long, place long, n_tokens long, ids_crc32 long, file long"), "token-rows")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     files = (rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
              .select(F.col("file").alias("_f"), F.coalesce(F.sum("_n").over(before(Window.orderBy("file"))), F.lit(0)).alias("_o")))
-    inside = F.sum("n_tokens").over(before(Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32")))
+    inside = F.sum("n_tokens").over(before(Window.partitionBy("file").orderBy("doc_id", "place")))
     return (rows.withColumn("_i", F.coalesce(inside, F.lit(0))).join(files, F.col("file") == F.col("_f"))
             .select("doc_id", (F.col("_o") + F.col("_i")).alias("start"), "n_tokens", "ids_crc32"))

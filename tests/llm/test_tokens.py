@@ -59,7 +59,6 @@ def brute_op3(df):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     return [(r.doc_id, [*own.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in df.collect()]
 
 
@@ -73,6 +72,51 @@ def test_op3_equals_library(spark, edges, docs, folder):
         assert sorted(map(tuple, got)) == want
 
 
+def test_op3_special_tokens_as_the_library_takes_them(spark, folder):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a <|endoftext|><|endoftext|>b", "<|endoftext", "x  <|endoftext|>  y",
+             "plain words, other words.", "<|padding|> <|ENDOFTEXT|>", "ünïcode wörds, ôther wörds! été? ﬁ ǅ ª º"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, start = [], 0
+    for i, ids in brute_op3(df):
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert 50256 in brute_op3(df)[0][1]
+    assert sorted(map(tuple, jobs.op3_token_output(spark, folder(documents=df)).collect())) == want
+
+
+def test_op3_every_code_point(spark, folder):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(f"a{c}{c}1{c} {c}b {c}, {c}" for c in points[i:i + 500]) for i in range(0, len(points), 500)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(8)
+    want = {i: zlib.crc32(np.array(ids, "<u4").tobytes()) for i, ids in brute_op3(df)}
+    got = {r.doc_id: r.ids_crc32 for r in jobs.op3_token_output(spark, folder(documents=df)).collect()}
+    assert [i for i in want if got[i] != want[i]] == []
+
+
+def test_op3_start_follows_the_files(spark, tmp_path):
+    """Rows that share a doc_id: start is the place of that very row in the files."""
+    texts = ["one two three four five six", "one", "one two three"] * 40
+    df = spark.createDataFrame([(5 if i % 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    path = str(tmp_path / "repeats")
+    token_output.write_tokens(df, path, P.path("byte_bpe_50k.json"), 2)
+    rows = []
+    for f in sorted((tmp_path / "repeats").glob("part-*.orc")):
+        rows += spark.read.orc(str(f)).collect()  # small files: one partition, so in file order
+    want, start = [], 0
+    for r in rows:
+        want.append((r.doc_id, start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())))
+        start += len(r.ids)
+    assert sorted(map(tuple, token_output.token_index(spark, path).collect())) == sorted(want)
+
+
+def test_file_numbers(spark):
+    names = ["part-00002-ab-c000.zstd.orc", "part-10000-ab-c000.zstd.orc", "part-100000-ab-c000.zstd.orc", "part-100000-ab-c001.zstd.orc",
+             "part-10001-ab-c000.zstd.orc"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(token_output.file_number(df.n)).collect()]
+    assert got == [names[0], names[1], names[4], names[2], names[3]]
+
+
 def test_op3_repeated_and_null_ids(spark, edges, folder):
     got = sorted(jobs.op3_token_output(spark, folder(documents=edges)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 4, 5, 5, 5, 7, 8, 9, 10, 11, 12]
