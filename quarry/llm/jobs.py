@@ -29,7 +29,8 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to a mix of 150 % of all words, sources weighing 3, 1, 2."""
     plan = mixing.mix_decisions(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=1.5, most=2.0)
     each = plan.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    copies = F.col("copies") + F.when(F.col("_row") <= F.col("extra"), 1).otherwise(0)
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

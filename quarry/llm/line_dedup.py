@@ -17,9 +17,8 @@ from .common import materialize
 
 #: White space as a line's key strips it.
 SPACE = " \t\n\x0b\x0c\r"
-#: Lines that this many documents hold are met in parts, not in one task.
-HOT = 4096
-PARTS = 256
+#: A key with more than this part of all lines is not met in one task.
+HOT_PARTS = 1024
 
 
 def line_key(line: Column) -> Column:
@@ -51,22 +50,18 @@ def dropped_places(lines: DataFrame, min_docs: int) -> DataFrame:
 
     Documents are made distinct per key before they are counted: first by (key, document), so a
     line that a third of all documents hold is spread over all tasks, then as partial counts. Back
-    at the lines, keys that ``HOT`` documents hold are met in ``PARTS`` parts, by document; the
-    table of these keys is at most PARTS / HOT of the lines long. The other keys are met whole.
+    at the lines, keys with more than a ``HOT_PARTS``-th of all lines, of which there are at most
+    ``HOT_PARTS``, are sent to every task; the others are met by key, and none of them is large.
     """
     spread = (lines.select("key", "doc_id").distinct()
               .groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder"))
               .filter(F.col("n") >= min_docs))
     spread = materialize(spread, "line-spread")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
-    hot = spread.filter(F.col("n") >= HOT).select("key", "n", F.col("holder").alias("hot_holder"), parts.alias("part"))
-    met = (lines.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int"))
-           .join(hot, ["key", "part"], "left"))
-    gone_hot = met.filter(F.col("n").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("hot_holder")))
-    cold = spread.filter(F.col("n") < HOT).select("key", "holder")
-    gone_cold = (met.filter(F.col("n").isNull()).select("key", "doc_id", "row", "pos")
-                 .join(cold, "key").filter(~F.col("doc_id").eqNullSafe(F.col("holder"))))
-    gone = gone_hot.select("doc_id", "row", "pos").union(gone_cold.select("doc_id", "row", "pos"))
+    large = F.col("n") > lines.count() / HOT_PARTS
+    hot = F.broadcast(spread.filter(large).select("key", "holder"))
+    cold = spread.filter(~large).select("key", "holder")
+    met = lines.join(hot, "key").unionByName(lines.join(hot, "key", "left_anti").join(cold, "key"))
+    gone = met.filter(~F.col("doc_id").eqNullSafe(F.col("holder")))
     return gone.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("dropped"))
 
 

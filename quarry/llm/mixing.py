@@ -5,8 +5,9 @@ more with the fractional probability left. These fractions are rounded in pairs:
 exchange word mass, in a random direction whose odds keep both expectations, until one of them is
 integral. Every exchange keeps the source's expected words exactly, so a block of documents ends
 with at most one fractional document. The residuals of all blocks form the next, smaller level of
-a tree; the last one of a source is drawn by itself. The source's words therefore miss the target
-by less than one document.
+a tree; the last one of a source is drawn by itself. Of m rows that are alike, floor(p m) are taken
+and one stands in the tree with what is left. The source's words therefore miss the target by less
+than one row's.
 
 All draws are hashes of the seed and the documents: running again gives the same mix.
 """
@@ -102,12 +103,13 @@ def _fold(units: Column, seed: int) -> Column:
 
 def mix_decisions(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5,
                   most: float = 2.0, seed: int = 7) -> DataFrame:
-    """Copies of each document: source, doc_id, size, m, source_size, target, copies.
+    """Copies of each document: source, doc_id, size, m, source_size, target, copies, extra.
 
-    One row per distinct (source, doc_id, size); ``m`` counts the rows it stands for, which all
-    get the same ``copies``. Sizes are word counts, null texts have none. A null source is a
-    source (the last one), a null doc_id an id. Documents without words take nothing from the
-    target; they get floor(x) or one copy more, by a draw of their own. Empty table: no rows.
+    One row per distinct (source, doc_id, size); ``m`` counts the rows it stands for. Each of them
+    is taken ``copies`` times, and ``extra`` of them once more. Sizes are word counts, null texts
+    have none. A null source is a source (the last one), a null doc_id an id. Documents without
+    words take nothing from the target; they get floor(x) or one copy more, by a draw of their own.
+    Empty table: no rows.
     """
     units = (docs.select("source", "doc_id", word_count(F.col("text")).alias("size"))
              .groupBy("source", "doc_id", "size").agg(F.count(F.lit(1)).alias("m")))
@@ -117,11 +119,14 @@ def mix_decisions(docs: DataFrame, weights: list[float] = (3, 1, 2), share: floa
     whole = F.floor(F.col("x") + EPS)
     part = F.greatest(F.col("x") - whole, F.lit(0.0))
     units = (units.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-             .select("sid", "doc_id", "size", "m", (F.col("size") * F.col("m")).cast("double").alias("mass"),
-                     "n_units", whole.cast("int").alias("whole"),
-                     F.when(part < EPS, 0.0).otherwise(part).alias("p")))
+             .select("sid", "doc_id", "size", "m", F.col("size").cast("double").alias("mass"),
+                     "n_units", whole.cast("int").alias("whole"), (part * F.col("m")).alias("rows")))
+    # Of m rows alike this many are taken once more for sure; one takes part with the rest.
+    sure = F.floor(F.col("rows") + EPS)
+    left = F.col("rows") - F.col("sure")
+    units = units.withColumn("sure", sure).withColumn("p", F.when(left < EPS, 0.0).otherwise(left)).drop("rows")
     # Structs sort by their fields in turn: the largest word mass first.
-    unit = F.struct((-F.col("mass")).alias("order"), "doc_id", "size", "m", "mass", "whole", "p")
+    unit = F.struct((-F.col("mass")).alias("order"), "doc_id", "size", "m", "mass", "whole", "sure", "p")
     fixed = (F.col("size") == 0) | (F.col("p") == 0)
     alone = units.filter(fixed).select("sid", unit.alias("u"))
     level, n, parts = units.filter(~fixed).select("sid", "n_units", unit.alias("u")), largest, []
@@ -140,18 +145,45 @@ def mix_decisions(docs: DataFrame, weights: list[float] = (3, 1, 2), share: floa
         if n <= 1:
             break
     done = reduce(DataFrame.unionByName, [alone, level.select("sid", "u"), *parts])
-    taken = F.col("u.whole") + F.when(_draw(seed + 99, F.col("u.doc_id"), F.col("u.size")) < F.col("u.p"), 1).otherwise(0)
+    drawn = F.when(_draw(seed + 99, F.col("u.doc_id"), F.col("u.size")) < F.col("u.p"), 1).otherwise(0)
     return (done.join(sources, "sid")
-            .select("source", "u.doc_id", "u.size", "u.m", "source_size", "target", taken.cast("long").alias("copies")))
+            .select("source", "u.doc_id", "u.size", "u.m", "source_size", "target",
+                    F.col("u.whole").cast("long").alias("copies"), (F.col("u.sure") + drawn).cast("long").alias("extra")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, columns unchanged."""
+    """The mix itself: the rows of ``docs``, each as often as it is taken, columns unchanged.
+
+    Which of the rows alike in (source, doc_id, size) are taken once more goes by their order in the
+    input: they are counted per input partition, the partitions' counts are added up, and each row
+    is numbered within its partition, so that a row that makes up the whole table is no one task's.
+    """
     plan = mix_decisions(docs, **options).select(
         F.col("source").alias("_q_source"), F.col("doc_id").alias("_q_id"), F.col("size").alias("_q_size"),
-        F.col("copies").alias("_q_copies"))
-    on = (F.col("source").eqNullSafe(F.col("_q_source")) & F.col("doc_id").eqNullSafe(F.col("_q_id"))
-          & (word_count(F.col("text")) == F.col("_q_size")))
-    return (docs.join(plan.filter("_q_copies > 0"), on)
-            .withColumn("_q_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_q_copies"))))
+        F.col("m").alias("_q_m"), F.col("copies").alias("_q_copies"), F.col("extra").alias("_q_extra"))
+    plan = materialize(plan, "mix-plan")
+    on = lambda d, size: (d["source"].eqNullSafe(F.col("_q_source")) & d["doc_id"].eqNullSafe(F.col("_q_id"))
+                          & (size == F.col("_q_size")))
+    met = docs.join(plan.filter("_q_copies + _q_extra > 0"), on(docs, word_count(docs["text"])))
+    parted = (F.col("_q_m") > 1) & (F.col("_q_extra") > 0) & (F.col("_q_extra") < F.col("_q_m"))
+    alone = met.filter(~parted).withColumn("_q_times", F.col("_q_copies") + F.when(F.col("_q_extra") > 0, 1).otherwise(0))
+    some = plan.filter(parted)
+    parts = [alone.select(*docs.columns, "_q_times")]
+    if not some.isEmpty():
+        row = F.monotonically_increasing_id()
+        rows = docs.withColumn("_q_row", row)
+        rows = rows.join(some, on(rows, word_count(rows["text"])))
+        rows = rows.withColumn("_q_part", F.shiftright("_q_row", 33))
+        key = ["_q_source", "_q_id", "_q_size"]
+        before = Window.partitionBy(*key).orderBy("_q_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = (rows.groupBy(*key, "_q_part").agg(F.count(F.lit(1)).alias("_q_n"))
+                   .withColumn("_q_before", F.coalesce(F.sum("_q_n").over(before), F.lit(0)))
+                   .select(*[F.col(c).alias(f"{c}_") for c in [*key, "_q_part"]], "_q_before"))
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*key, "_q_part"]]
+        inside = F.row_number().over(Window.partitionBy(*key, "_q_part").orderBy("_q_row"))
+        numbered = rows.withColumn("_q_inside", inside).join(offsets, same)
+        more = F.when(F.col("_q_before") + F.col("_q_inside") <= F.col("_q_extra"), 1).otherwise(0)
+        parts.append(numbered.withColumn("_q_times", F.col("_q_copies") + more).select(*docs.columns, "_q_times"))
+    taken = reduce(DataFrame.unionByName, parts).filter(F.col("_q_times") > 0)
+    return (taken.withColumn("_q_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_q_times"))))
             .select(*docs.columns))

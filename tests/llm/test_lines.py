@@ -78,9 +78,9 @@ def test_empty_table_and_native_plan(odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_hot_lines_in_parts(monkeypatch, docs, odd):
-    monkeypatch.setattr(line_dedup, "HOT", 6)
-    monkeypatch.setattr(line_dedup, "PARTS", 3)
+@pytest.mark.parametrize("parts", [1, 20, 10 ** 9])
+def test_hot_and_other_lines(monkeypatch, docs, odd, parts):
+    monkeypatch.setattr(line_dedup, "HOT_PARTS", parts)
     for df in (docs, odd):
         got = Counter(tuple(r) for r in line_dedup.drop_repeated_lines(df).collect())
         assert got == Counter(brute(rows_of(df)))
