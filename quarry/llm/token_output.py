@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, list_array, materialize, slices
 
 ORC = {
-    "compression": "zstd", "orc.stripe.size": str(8 << 20), "orc.create.index": "true",
+    "compression": "lz4", "orc.stripe.size": str(8 << 20), "orc.create.index": "true",
     "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01",
 }
 TOKEN_FILE_SCHEMA = "doc_id long, place long, ids array<int>"
@@ -36,7 +36,10 @@ REMEMBERED = 250_000
 #: Marks that a word may end in (" " and "" aren't).
 MARKS = frozenset(".,;:!?")
 _ID = attrgetter("id")
-_WORD, _MARKED = re.compile(rb" ?[A-Za-z]+").fullmatch, re.compile(rb" ?[A-Za-z]+[.,;:!?]").fullmatch
+_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
+#: Printable ASCII without the apostrophe (which begins matches of its own), and its matches.
+_PLAIN = re.compile(rb" ?[!-&(-~]+").fullmatch
+_PIECES = re.compile(rb" ?[A-Za-z]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+").findall
 _ENCODERS: dict = {}
 
 
@@ -122,25 +125,26 @@ class Encoder:
         merge, letters, rows, odd = self.own.model.tokenize, self.letters, [], []
         known: dict[bytes, bytes] = {}
         space, young, old = letters[32], self.young.get, self.old.get
+        added = [a.encode() for a in self.added]
 
         def merged(name: str) -> bytes:
             return array("i", map(_ID, merge(name))).tobytes()
 
         def stem(raw: bytes, name: str | None = None) -> bytes:
-            """A word before its mark: met before, or encoded now."""
+            """A part of a unit: met before, or encoded now."""
             ids = young(raw) or old(raw) or known.get(raw)
             if ids is None:
                 ids = known[raw] = merged(raw.decode().replace(" ", space) if name is None else name)
             return ids
 
         for k, raw in enumerate(texts):
-            # Letters, with a space before them, are one match of the pre-tokenizer, and a mark after
-            # them is another: the library's BPE model takes them as they are.
+            # Letters, digits or marks, with a space before them, are one match of the pre-tokenizer
+            # each: the library's BPE model takes them as they are.
             if _WORD(raw):
                 out[k] = merged(raw.decode().replace(" ", space))
                 continue
-            if _MARKED(raw):
-                out[k] = stem(raw[:-1]) + stem(raw[-1:])
+            if _PLAIN(raw) and not any(a in raw for a in added):
+                out[k] = b"".join(map(stem, _PIECES(raw)))
                 continue
             t = raw.decode()
             body = t[1:] if t[:1] == " " else t
@@ -148,7 +152,7 @@ class Encoder:
                 out[k] = merged("".join([letters[b] for b in raw]))
             elif body[-1:] in MARKS and body[:-1].isalpha() and max(body) < "\u0250":
                 out[k] = stem(raw[:-1], "".join([letters[b] for b in raw[:-1]])) + stem(raw[-1:])
-            elif t[:1] == " " and not t[1:2].isspace() and not t[-1].isspace() and not any(a in t for a in self.added):
+            elif t[:1] == " " and t[1:2].strip() and t[-1].strip() and not any(a in t for a in self.added):
                 rows.append(k)
             else:
                 odd.append(k)
