@@ -28,9 +28,14 @@ def norm_url(url, mode: str = "suffix") -> Column:
     raise ValueError(mode)
 
 
+#: What Python's str.strip() removes: the characters for which str.isspace() holds (fixed values).
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+               "\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def py_strip(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(WHITE_SPACE))
 
 
 def _hyphenate(hex32: Column) -> Column:

@@ -29,6 +29,52 @@ def commits_since(commits: DataFrame, watermarks: DataFrame, newest: int | None
     return j.withColumn("recent_rank", F.row_number().over(w)).filter(F.col("recent_rank") <= newest)
 
 
+#: Folders of a commit log per day, by repository.
+LOG_BUCKETS = 16
+
+
+def _log_bucket(key, buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _log_day(ts, grain: str) -> F.Column:
+    return F.to_date(F.date_trunc(grain, ts))
+
+
+def land_commits(commits: DataFrame, path: str, key: str = "repo_id", ts_col: str = "commit_ts",
+                 grain: str = "day", buckets: int = LOG_BUCKETS) -> None:
+    """Append commits to the log at ``path``: a folder per commit day (or week, month, ...) and bucket
+    of repositories, so that a sync reads the days and buckets it needs. A repository's days spread
+    over many files, a day's repositories over the buckets. Commits without a time are in the day
+    null. ``grain`` and ``buckets`` are the log's: the same for every landing and reading."""
+    out = commits.withColumn("log_day", _log_day(ts_col, grain)).withColumn("log_bucket", _log_bucket(key, buckets))
+    (out.repartitionByRange("log_day", "log_bucket", key).sortWithinPartitions("log_day", "log_bucket", key)
+     .write.mode("append").partitionBy("log_day", "log_bucket").parquet(path))
+
+
+def commits_since_log(spark, path: str, watermarks: DataFrame, key: str = "repo_id", ts_col: str = "commit_ts",
+                      grain: str = "day", buckets: int = LOG_BUCKETS) -> DataFrame:
+    """D5 over a partitioned log: as :func:`commits_since`, for the repositories of ``watermarks``.
+
+    The days and buckets that hold commits are listed, those before the oldest watermark of their
+    bucket left out, and the rest is joined to the log on its partition columns: a dynamic filter
+    that keeps the scan from opening older days. Repositories without a watermark need all days of
+    their bucket. The table of folders is broadcast: it has a row per folder of the log, which is a
+    listing that the scan's own planning holds as well.
+    """
+    log = spark.read.parquet(path)
+    wm = watermarks.select(F.col(key), "last_sync")
+    need = wm.groupBy(_log_bucket(key, buckets).alias("nb")).agg(F.min(_log_day("last_sync", grain)).alias("oldest"),
+                                                                 F.bool_or(F.col("last_sync").isNull()).alias("every"))
+    # Partition columns only: answered from the folders' names.
+    folders = log.select("log_day", "log_bucket").distinct().select(F.col("log_day").alias("nd"), F.col("log_bucket").alias("fb"))
+    some = (folders.join(need, F.col("fb") == F.col("nb"))
+            .filter(F.col("every") | (F.col("nd") >= F.col("oldest"))).select("nd", "nb"))
+    recent = log.join(F.broadcast(some), F.col("log_day").eqNullSafe(F.col("nd")) & (F.col("log_bucket") == F.col("nb")))
+    j = recent.drop("nd", "nb", "log_day", "log_bucket").join(wm, key)
+    return j.filter(F.col("last_sync").isNull() | (F.col(ts_col) >= F.col("last_sync")))
+
+
 def poll_changes(commits: DataFrame, path_rule: str = "github") -> DataFrame:
     """Explode each commit's ``files`` into change events.
 
@@ -155,13 +201,16 @@ def diff_snapshots(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("rep
                        F.when(moved, F.col("_old")).alias("old_path"), "sha")
 
 
+#: What a file's change may be.
+CHANGES = ["added", "modified", "removed", "renamed", "unknown"]
+
+
 def change_summary(diff: DataFrame, keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:
-    """Counts of added / modified / removed (and renamed) per key.
+    """Counts of added / modified / removed / renamed / unknown per key.
 
     ``pivot`` with the value list given up front: one aggregation, no extra distinct job.
     """
-    return (diff.groupBy(*keys).pivot("change", ["added", "modified", "removed", "renamed"])
-            .count().na.fill(0, ["added", "modified", "removed", "renamed"]))
+    return (diff.groupBy(*keys).pivot("change", CHANGES).count().na.fill(0, CHANGES))
 
 
 def latest_commits(commits: DataFrame, keys: tuple[str, ...] = ("repo_id", "branch"),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions.constants import CODE_EXTENSIONS, DOCUMENT_EXTENSIONS, VENDOR_DIRS
+from ..functions.globset import glob_set
 
 
 def file_type(ext_col) -> F.Column:
@@ -63,29 +64,29 @@ def select_paths(manifest: DataFrame, include: list[str] | None = None,
     return manifest.filter(P.glob_select(F.col(path_col), include, exclude))
 
 
-def _alternation(globs) -> str | None:
-    """One anchored Java regex matching any of ``globs`` (None: no usable pattern)."""
-    if globs is None:
-        return None
-    rx = [P.glob_to_regex(g.strip()) for g in globs if g is not None and g.strip()]
-    return "|".join(f"(?:{r})" for r in rx) if rx else None
+GLOB_SET = "all boolean, head string, tail string, inner string, other string"
 
 
-def _alternation_series(col: pd.Series) -> pd.Series:
-    return col.map(_alternation)
+def _glob_sets(col: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([glob_set(globs) for globs in col], columns=["all", "head", "tail", "inner", "other"])
 
 
-def _patterns_to_regex(patterns_df: DataFrame) -> DataFrame:
-    """Per source: one include and one exclude regex (each an alternation of its globs).
+def _patterns_to_sets(patterns_df: DataFrame) -> DataFrame:
+    """Per source: the include and the exclude globs, each as a set of tries (see ``glob_set``).
 
-    Runs on the (small) pattern table only — Arrow batches of sources, never per file.
-    A single pattern per source and side lets each ``regexp_like`` reuse its compiled
-    pattern across the consecutive files of a repository.
+    Runs on the (small) pattern table only, Arrow batches of sources, never per file. A source's
+    patterns are compiled once for its consecutive files.
     """
-    to_rx = F.pandas_udf(_alternation_series, "string")
-    return (patterns_df
-            .withColumn("include_rx", to_rx(F.col("include_patterns")))
-            .withColumn("exclude_rx", to_rx(F.col("exclude_patterns"))))
+    sets = F.pandas_udf(_glob_sets, GLOB_SET)
+    no_globs = lambda c: F.size(F.filter(F.coalesce(F.col(c), F.array()), lambda g: g.isNotNull() & (F.trim(g) != ""))) == 0
+    return (patterns_df.withColumn("_any", no_globs("include_patterns"))
+            .withColumn("_inc", sets(F.col("include_patterns"))).withColumn("_exc", sets(F.col("exclude_patterns"))))
+
+
+def _in_set(path: Column, s: Column) -> Column:
+    finds = lambda text, name: F.coalesce(F.regexp_like(text, s[name]), F.lit(False))
+    return (F.coalesce(s["all"], F.lit(False)) | finds(path, "head") | finds(F.reverse(path), "tail")
+            | finds(path, "inner") | finds(path, "other"))
 
 
 def select_paths_by_source(manifest: DataFrame, patterns: DataFrame, key: str = "repo_id",
@@ -93,15 +94,15 @@ def select_paths_by_source(manifest: DataFrame, patterns: DataFrame, key: str =
     """B4 (per-source globs): ``patterns`` has ``key, include_patterns, exclude_patterns``.
 
     Empty / all-blank include lists mean "everything"; exclude lists default to none
-    (the "all-blank exclude becomes exclude-everything" defect is not kept). The pattern
+    (the "all-blank exclude becomes exclude-everything" defect is not kept). All globs of a source
+    and side are one set of tries, so a path's cost hardly grows with the globs. The pattern
     table is one row per source and is joined on ``key``; Catalyst broadcasts it only
     when its estimated size is under the configured threshold.
     """
-    rx = _patterns_to_regex(patterns).select(key, "include_rx", "exclude_rx")
+    rx = _patterns_to_sets(patterns).select(key, "_any", "_inc", "_exc")
     p = F.col(path_col)
-    keep = ((F.col("include_rx").isNull() | F.regexp_like(p, F.col("include_rx"))) &
-            ~F.coalesce(F.regexp_like(p, F.col("exclude_rx")), F.lit(False)))
-    return manifest.join(rx, key, "left").filter(keep).drop("include_rx", "exclude_rx")
+    keep = F.coalesce(F.col("_any"), F.lit(True)) | _in_set(p, F.col("_inc"))
+    return manifest.join(rx, key, "left").filter(keep & ~_in_set(p, F.col("_exc"))).drop("_any", "_inc", "_exc")
 
 
 def scope_to_folder(manifest: DataFrame, folder: str | None, path_col: str = "path") -> DataFrame:

@@ -242,9 +242,8 @@ def _errors(*checks: tuple[Column, str]) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(msg)) for c, msg in checks]), lambda x: x.isNotNull())
 
 
-def _clean_patterns(col: str, default_all: bool) -> Column:
-    stripped = F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")), lambda x: K.py_strip(x))
-    kept = F.filter(stripped, lambda x: x.isNotNull() & (x != ""))
+def _cleaned(stripped: str, default_all: bool) -> Column:
+    kept = F.filter(F.col(stripped), lambda x: x.isNotNull() & (x != ""))
     return F.when(F.size(kept) > 0, kept).otherwise(
         F.array(F.lit("**/*")) if default_all else F.array().cast("array<string>"))
 
@@ -269,39 +268,41 @@ def validate_sources(requests: DataFrame) -> DataFrame:
     chars, blanks dropped, include defaults to ``**/*``, exclude to none; credentials:
     known keys must be strings of <= 10000 chars.
     """
-    name, t = F.col("name"), F.lower(F.col("type"))
-    is_git = t.isin("github", "gitlab", "bitbucket")
-    uri = K.py_strip(F.col("uri"))
-    m = F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?", 0)
-    scheme = F.lower(F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    netloc = F.regexp_extract(uri, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    branch = K.py_strip(F.col("branch"))
-    inc = F.coalesce(F.col("include_patterns"), F.array().cast("array<string>"))
-    exc = F.coalesce(F.col("exclude_patterns"), F.array().cast("array<string>"))
-    too_long = lambda a: F.exists(a, lambda x: F.length(K.py_strip(x)) > MAX_PATTERN_LENGTH)
+    empty = F.array().cast("array<string>")
     creds = F.col("credentials") if "credentials" in requests.columns else F.lit(None).cast("map<string,string>")
+    # Used many times below: columns of their own, computed once a row.
+    r = requests.withColumns({
+        "_uri": K.py_strip("uri"), "_branch": K.py_strip("branch"), "_name": K.py_strip("name"),
+        "_git": F.lower(F.col("type")).isin("github", "gitlab", "bitbucket"),
+        "_inc": F.transform(F.coalesce(F.col("include_patterns"), empty), K.py_strip),
+        "_exc": F.transform(F.coalesce(F.col("exclude_patterns"), empty), K.py_strip)})
+    r = r.withColumn("_url", F.when(F.col("_git"), F.struct(
+        F.lower(F.regexp_extract("_uri", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)).alias("scheme"),
+        F.regexp_extract("_uri", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1).alias("netloc"))))
+    is_git, uri, branch = F.col("_git"), F.col("_uri"), F.col("_branch")
+    scheme, netloc = F.col("_url.scheme"), F.col("_url.netloc")
+    too_long = lambda a: F.exists(a, lambda x: F.length(x) > MAX_PATTERN_LENGTH)
     bad_cred = F.exists(F.map_entries(F.coalesce(creds, F.create_map().cast("map<string,string>"))),
                         lambda e: e["key"].isin(*CREDENTIAL_KEYS) & (e["value"].isNull() |
                                                                      (F.length(e["value"]) > MAX_CREDENTIAL_LENGTH)))
+    there = F.col("branch").isNotNull()
     errs = _errors(
-        (name.isNull() | (F.length(K.py_strip(name)) == 0), "name_required"),
-        (F.coalesce(F.length(name) > MAX_NAME_LENGTH, F.lit(False)), "name_too_long"),
-        (is_git & ((scheme == "") | (netloc == "") | (m == "")), "invalid_url"),
+        (F.col("name").isNull() | (F.col("_name") == ""), "name_required"),
+        (F.coalesce(F.length("name") > MAX_NAME_LENGTH, F.lit(False)), "name_too_long"),
+        (is_git & (uri.isNull() | (scheme == "") | (netloc == "")), "invalid_url"),
         (is_git & (scheme != "") & (netloc != "") & ~scheme.isin("http", "https"), "url_scheme"),
         (~is_git & (uri.isNull() | (uri == "")), "uri_required"),
-        (is_git & F.col("branch").isNotNull() & (F.length(branch) > MAX_BRANCH_LENGTH), "branch_too_long"),
-        (is_git & F.col("branch").isNotNull() & ~F.coalesce(branch.rlike(BRANCH_PATTERN), F.lit(False)),
-         "branch_invalid"),
-        (too_long(inc), "include_pattern_too_long"),
-        (too_long(exc), "exclude_pattern_too_long"),
+        (is_git & there & (F.length(branch) > MAX_BRANCH_LENGTH), "branch_too_long"),
+        (is_git & there & ~F.coalesce(branch.rlike(BRANCH_PATTERN), F.lit(False)), "branch_invalid"),
+        (too_long(F.col("_inc")), "include_pattern_too_long"),
+        (too_long(F.col("_exc")), "exclude_pattern_too_long"),
         (bad_cred, "invalid_credentials"),
         *_source_id_checks(requests),
     )
-    return requests.withColumns({
-        "errors": errs, "first_error": F.try_element_at(errs, F.lit(1)),
-        "clean_uri": uri, "clean_branch": F.when(is_git & (branch != ""), branch),
-        "clean_include": _clean_patterns("include_patterns", True),
-        "clean_exclude": _clean_patterns("exclude_patterns", False)})
+    out = r.withColumns({"errors": errs, "clean_uri": uri, "clean_branch": F.when(is_git & (branch != ""), branch),
+                         "clean_include": _cleaned("_inc", True), "clean_exclude": _cleaned("_exc", False)})
+    return out.withColumn("first_error", F.try_element_at("errors", F.lit(1))).select(
+        *requests.columns, "errors", "first_error", "clean_uri", "clean_branch", "clean_include", "clean_exclude")
 
 
 def validate_paths(files: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:

@@ -153,6 +153,33 @@ def f4_duration_histogram(spark, sf_dir):
     return ops.duration_histogram(Fixtures(spark, sf_dir).fx_jobs, "source_type", "duration_s", [50000.0, 150000.0, 300000.0])
 
 
+RANKS = [0.1, 0.5, 0.9, 0.99]
+
+
+@register("f4_duration_quantiles", views=["fx_jobs"], oracle=f"""
+SELECT source_type, unnest({RANKS}) AS rank, count(*) AS n, TRUE AS direct_within, TRUE AS merged_within FROM fx_jobs GROUP BY source_type""")
+def f4_duration_quantiles(spark, sf_dir):
+    """duration quantiles per source type from sketches stored per day and source type, and from
+    sketches made at once; true if the exact rank of what each gives is within the stated error."""
+    from ..session import checkpoint_path
+    jobs = Fixtures(spark, sf_dir).fx_jobs
+    base = checkpoint_path(spark, "f4", unique=True)
+    daily = ops.value_sketches(jobs.withColumn("day", F.to_date("created_at")), ["day", "source_type"], "duration_s")
+    daily.write.parquet(base)
+    merged = ops.merge_sketches(spark.read.parquet(base), ["source_type"])
+    both = (ops.sketch_quantiles(merged, RANKS).withColumnRenamed("quantile", "merged")
+            .join(ops.sketch_quantiles(ops.value_sketches(jobs, ["source_type"], "duration_s"), RANKS)
+                  .withColumnRenamed("quantile", "direct"), ["source_type", "rank", "n"]))
+    # Exact ranks: a row per job and asked rank, counted.
+    met = jobs.select("source_type", F.col("duration_s").cast("double").alias("v")).join(both, "source_type")
+    ranked = met.groupBy("source_type", "rank", "n").agg(*[
+        F.struct((F.count_if(F.col("v") < F.col(c)) / F.count(F.lit(1))).alias("lo"),
+                 (F.count_if(F.col("v") <= F.col(c)) / F.count(F.lit(1))).alias("hi")).alias(c) for c in ("direct", "merged")])
+    near = lambda c: ((F.col(f"{c}.lo") <= F.col("rank") + ops.SKETCH_RANK_ERROR)
+                      & (F.col(f"{c}.hi") >= F.col("rank") - ops.SKETCH_RANK_ERROR))
+    return ranked.select("source_type", "rank", "n", near("direct").alias("direct_within"), near("merged").alias("merged_within"))
+
+
 @register("f5_request_metrics", views=["fx_access_log"], oracle="""
 SELECT method, path, status, count(*) AS requests, CAST(grouping(method, path, status) AS INTEGER) AS level
 FROM fx_access_log GROUP BY CUBE (method, path, status)""")

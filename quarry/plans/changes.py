@@ -46,6 +46,23 @@ def d5_commits_since(spark, sf_dir):
     return ops.commits_since(commits, wm).select("repo_id", "commit_seq", "commit_ts")
 
 
+@register("d5_commits_since_log", views=["fx_commit_files"], oracle=f"""
+WITH c AS (SELECT DISTINCT repo_id, commit_seq, commit_ts FROM fx_commit_files), {WM_SQL}
+SELECT c.repo_id, c.commit_seq, c.commit_ts FROM c JOIN wm ON wm.repo_id = c.repo_id
+WHERE wm.last_sync >= TIMESTAMP '1998-01-01' AND c.commit_ts >= wm.last_sync""")
+def d5_commits_since_log(spark, sf_dir):
+    """Commits since the watermarks of lately synced repositories, from a log laid out by day."""
+    from ..session import checkpoint_path
+    path = checkpoint_path(spark, "d5-log", unique=True)
+    commits = Fixtures(spark, sf_dir).fx_commit_files.select("repo_id", "commit_seq", "commit_ts").distinct()
+    log = {"grain": "month", "buckets": 4}  # the tables' commits are spread thinly over seven years
+    ops.land_commits(commits, path, **log)
+    wm = commits.select("repo_id").distinct().select("repo_id", _watermarks_expr().alias("last_sync")).filter(
+        "last_sync >= TIMESTAMP '1998-01-01'")
+    out = ops.commits_since_log(spark, path, wm, **log)
+    return out.select("repo_id", "commit_seq", "commit_ts")
+
+
 @register("e1_poll_changes", views=["fx_commit_files"], oracle=f"""
 SELECT repo_id, commit_seq, commit_sha AS sha, author, path, {EV_SQL} AS event_type, previous_path
 FROM fx_commit_files""")
@@ -199,10 +216,11 @@ def e5_diff_snapshots(spark, sf_dir):
 @register("e9_change_summary", views=["fx_snap_old", "fx_snap_new"], oracle=f"""
 WITH {DIFF_SQL.strip()}
 SELECT repo_id, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'modified') AS modified,
-       count(*) FILTER (WHERE change = 'removed') AS removed, count(*) FILTER (WHERE change = 'renamed') AS renamed
+       count(*) FILTER (WHERE change = 'removed') AS removed, count(*) FILTER (WHERE change = 'renamed') AS renamed,
+       count(*) FILTER (WHERE change = 'unknown') AS unknown
 FROM d GROUP BY repo_id""")
 def e9_change_summary(spark, sf_dir):
-    """Added / modified / removed / renamed counts per repository."""
+    """Added / modified / removed / renamed / unknown counts per repository."""
     fx = Fixtures(spark, sf_dir)
     return ops.change_summary(ops.diff_snapshots(fx.fx_snap_old, fx.fx_snap_new))
 

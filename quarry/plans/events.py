@@ -159,6 +159,36 @@ def a4_event_sink(spark, sf_dir):
         F.count(F.lit(1)).alias("events"), F.sum("_off").cast("double").alias("offsets"), F.every("_ok").alias("in_order"))
 
 
+@register("a4_committed_sink", views=["fx_file_events"], oracle=f"""
+SELECT 'repo.events' AS topic, repo_id AS key, count(*) AS records FROM fx_file_events GROUP BY repo_id
+UNION ALL SELECT 'repo.events.dlq', key, count(*) FROM ({REJECT_SQL}) GROUP BY key""")
+def a4_committed_sink(spark, sf_dir):
+    """Records and dead letters written as committed batches: one is written twice under the
+    same name, one fails in the middle; each is there once or not at all."""
+    from pyspark.errors import PySparkException
+
+    from ..session import checkpoint_path
+    from ..sources.committed import CommittedSink, read_committed
+    base = checkpoint_path(spark, "a4-committed", unique=True)
+    spark.dataSource.register(CommittedSink)
+    raw = _raw(Fixtures(spark, sf_dir))
+    _, rejects = src.decode_events(raw, types=["STREAMED_FILE"])
+    good = raw.select("topic", "key", "offset")
+    dead = src.to_dlq(rejects, now_ms=0).select("topic", "key", F.lit(None).cast("long").alias("offset"))
+    put = lambda df, batch: df.write.format("committed").option("path", base).option("batch", batch).mode("append").save()
+    put(good.filter("offset % 2 = 0"), "even")
+    put(dead, "dead")
+    put(dead, "dead")
+    try:
+        broken = F.when(F.col("offset") % 1000 == 1, F.raise_error(F.lit("record refused"))).otherwise(F.col("topic"))
+        put(good.withColumn("topic", broken), "broken")
+    except PySparkException as error:
+        if "record refused" not in str(error):
+            raise
+    put(good.filter("offset % 2 <> 0"), "odd")
+    return read_committed(spark, base, good.schema).groupBy("topic", "key").agg(F.count(F.lit(1)).alias("records"))
+
+
 @register("a3_read_events", views=["fx_file_events"], oracle="""
 SELECT repo_id AS key, count(*) AS records, min("off") AS first_offset, max("off") AS last_offset FROM fx_file_events GROUP BY repo_id""")
 def a3_read_events(spark, sf_dir):

@@ -270,33 +270,72 @@ def f11_extension_inventory(spark, sf_dir):
     return ops.extension_inventory(Fixtures(spark, sf_dir).fx_files)
 
 
-@register("a8_connector_scan", views=["fx_files"], oracle="""
-SELECT repo_id, 'github' AS provider, path, 'file' AS entry_type, sha, size, CAST(NULL AS VARCHAR) AS ref
-FROM fx_files WHERE (starts_with(path, 'src/') OR starts_with(path, 'docs/')) AND NOT regexp_matches(path, '\\.md$')""")
+A8_SQL = """
+k AS (SELECT *, CAST(regexp_extract(repo_id, '(\\d+)$', 1) AS INT) % 3 AS n FROM fx_files),
+rows AS (SELECT repo_id, CASE n WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' ELSE 'bitbucket' END AS provider, path, 'file' AS entry_type,
+                CASE WHEN n < 2 THEN sha END AS sha, CASE WHEN n <> 1 THEN size END AS size,
+                CASE n WHEN 0 THEN NULL WHEN 1 THEN 'main' ELSE substr(sha, 1, 12) END AS ref FROM k)"""
+
+
+def _land_pages(fx: Fixtures, base: str, pages_per_file: int = 50) -> None:
+    """Landed pages of up to 100 entries as JSON lines: GitHub trees (with directories), GitLab lists
+    and Bitbucket values, by repository; a big repository spans several files."""
+    f = fx.fx_files
+    n = F.regexp_extract("repo_id", r"(\d+)$", 1).cast("int") % 3
+    blob = F.struct("path", F.when(n == 2, "commit_file").otherwise("blob").alias("type"), F.when(n == 0, F.col("sha")).alias("sha"),
+                    F.when(n == 1, F.col("sha")).alias("id"), F.when(n != 1, F.col("size")).alias("size"),
+                    F.when(n == 2, F.struct(F.substring("sha", 1, 12).alias("hash"))).alias("commit"))
+    folder = F.struct(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"), F.when(n == 2, "commit_directory").otherwise("tree").alias("type"))
+    entries = (f.select("repo_id", "doc_id", n.alias("n"), F.to_json(blob).alias("e"))
+               .unionByName(f.select("repo_id", "doc_id", n.alias("n"), F.to_json(folder).alias("e"))))
+    pages = (entries.withColumn("page_no", F.floor(F.col("doc_id") / 50)).groupBy("repo_id", "n", "page_no")
+             .agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("e")), ","), F.lit("]")).alias("list")))
+    page = (F.when(F.col("n") == 0, F.concat(F.lit('{"tree":'), "list", F.lit("}")))
+            .when(F.col("n") == 1, F.col("list")).otherwise(F.concat(F.lit('{"values":'), "list", F.lit("}"))))
+    provider = F.element_at(F.array(F.lit("github"), F.lit("gitlab"), F.lit("bitbucket")), F.col("n") + 1)
+    ref = F.when(F.col("n") == 1, F.lit(',"ref":"main"')).otherwise(F.lit(""))
+    value = F.concat(F.lit('{"repo_id":"'), "repo_id", F.lit('","provider":"'), provider, F.lit('"'), ref, F.lit(',"page":'), page, F.lit("}"))
+    pages.select("repo_id", "page_no", value.alias("value")).repartitionByRange("repo_id", "page_no").select("value") \
+        .write.mode("overwrite").text(base)
+
+
+@register("a8_connector_scan", views=["fx_files"], oracle=f"""
+WITH {A8_SQL.strip()}
+SELECT * FROM rows WHERE (starts_with(path, 'src/') OR starts_with(path, 'docs/')) AND NOT regexp_matches(path, '\\.md$')""")
 def a8_connector_scan(spark, sf_dir):
-    """Landed GitHub tree pages (100 entries each, with directory entries) read through the
-    Python data source with include ``src/**/*,docs/**/*`` and exclude ``*.md``."""
+    """Landed pages of three providers read through the Python data source, in byte ranges of 64 kB,
+    with include ``src/**/*,docs/**/*`` and exclude ``*.md``; filters are pushed into it."""
     from ..session import checkpoint_path
     from ..sources.connector import RepoDumpSource
-    fx = Fixtures(spark, sf_dir)
     base = checkpoint_path(spark, "a8", unique=True)
-    f = fx.fx_files
-    entries = (f.select("repo_id", "doc_id", F.struct("path", F.lit("blob").alias("type"), "sha", "size").alias("e"))
-               .unionByName(f.select("repo_id", "doc_id", F.struct(
-                   F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"), F.lit("tree").alias("type"),
-                   F.lit(None).cast("string").alias("sha"), F.lit(None).cast("bigint").alias("size")).alias("e"))))
-    pages = (entries.withColumn("page_no", F.floor(F.col("doc_id") / 50))
-             .groupBy("repo_id", "page_no").agg(F.collect_list("e").alias("tree")))
-    docs = pages.select("repo_id", "page_no", F.to_json(F.struct(
-        "repo_id", F.lit("github").alias("provider"), F.struct("tree").alias("page"))).alias("value"))
-    # Landed pages as JSON lines, clustered by repository (and page, so a big repository
-    # spans several files) into a few files.
-    docs.repartitionByRange("repo_id", "page_no").select("value").write.mode("overwrite").text(base + "/landed")
+    _land_pages(Fixtures(spark, sf_dir), base + "/landed")
     spark.dataSource.register(RepoDumpSource)
-    return (spark.read.format("repodump").option("path", base + "/landed")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return (spark.read.format("repodump").option("path", base + "/landed").option("split_bytes", 65536)
             .option("include", "src/**/*,docs/**/*").option("exclude", "*.md").load())
 
 
+@register("a8_connector_stream", views=["fx_files"], oracle=f"""
+WITH {A8_SQL.strip()}
+SELECT * FROM rows""")
+def a8_connector_stream(spark, sf_dir):
+    """The same pages landed twice over and read as a stream that stops in between: the first files,
+    and after a restart what has come since; every line once."""
+    from ..session import checkpoint_path
+    from ..sources.connector import RepoDumpSource
+    base = checkpoint_path(spark, "a8-stream", unique=True)
+    _land_pages(Fixtures(spark, sf_dir), base + "/pages")
+    spark.dataSource.register(RepoDumpSource)
+    pages = spark.read.text(base + "/pages")
+    for k in range(2):
+        part = pages.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == k)
+        part.repartitionByRange("value").write.text(f"{base}/landed/{k}")
+        (spark.readStream.format("repodump").option("path", base + "/landed").option("split_bytes", 65536).load()
+         .writeStream.format("parquet").option("path", base + "/out").option("checkpointLocation", base + "/ckpt")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(base + "/out")
+
+
 @register("a1_manifest_read", views=["fx_files"], oracle="""
 SELECT repo_id, 'github' AS provider, path, 'file' AS entry_type, sha, size, CAST(NULL AS VARCHAR) AS ref FROM fx_files""")
 def a1_manifest_read(spark, sf_dir):

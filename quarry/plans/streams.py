@@ -12,14 +12,13 @@ from ..sources import events as src
 from ..sources.fixtures import Fixtures
 from ..streaming import pipelines as pipe
 from ..streaming import stateful as st
-from ..streaming.common import read_table_stream, run_handler, write_batch
 from . import audit as audit_plans
 from . import events as event_plans
 from . import webhooks as hook_plans
 from .catalog import _ORACLES, register
 
 
-#: Folders of the state table in the L2 job; results don't depend on it.
+#: Buckets of the state in the L2, L4 and L5 jobs; results don't depend on it.
 STATE_BUCKETS = 8
 
 
@@ -71,43 +70,57 @@ def l3_rate_limit_stream(spark, sf_dir):
 
 @register("l4_latest_status_stream")
 def l4_latest_status_stream(spark, sf_dir):
-    """Update-mode latest status per job over the line-item table as a stream."""
-    fx = Fixtures(spark, sf_dir)
-    status = fx.derive("fx_job_status_events", lineitem=read_table_stream(spark, sf_dir, "lineitem", partitions=_spread(spark)))
-    agg = st.latest_status_stream(status)
+    """Latest status per job over the job events, landed in three deliveries out of order."""
+    status = Fixtures(spark, sf_dir).fx_job_status_events.select("job_id", "ts", "seq", "status")
     base = _scratch(spark, "l4")
+    _landed(spark, status, F.col("seq"), base + "/events", lambda rows: st.start_status_stream(
+        rows, base + "/out", base + "/ckpt", buckets=STATE_BUCKETS))
+    return st.current_status(spark, base + "/out")
+
 
-    def handle(df, batch_id):
-        write_batch(df.withColumn("batch_id", F.lit(batch_id)), base + "/out", batch_id)
-    q = run_handler(agg, handle, None, base + "/ckpt", {"availableNow": True}, output_mode="update")
-    q.awaitTermination()
-    # Update mode emits changed rows per batch; the latest batch's row is the current one.
-    rows = spark.read.parquet(base + "/out")
-    latest = rows.groupBy("job_id").agg(F.max(F.struct("batch_id", "status", "status_ts", "transitions")).alias("_l"))
-    return latest.select("job_id", "_l.status", "_l.status_ts", "_l.transitions")
-
-
-def _landed(spark, rows, part, path, start) -> None:
-    """Land ``rows`` in three deliveries (by ``part`` modulo 3, so each mixes old and new rows) and
-    let the stream catch up after each: at least three micro-batches, rows out of order."""
-    for k in range(3):
-        rows.filter(F.pmod(part, F.lit(3)) == k).write.mode("append").parquet(path)
+def _landed(spark, rows, part, path, start, deliveries: int = 3) -> None:
+    """Land ``rows`` in some deliveries (by ``part`` modulo their number, so each mixes old and new
+    rows) and let the stream catch up after each: as many micro-batches, rows out of order."""
+    for k in range(deliveries):
+        rows.filter(F.pmod(part, F.lit(deliveries)) == k).write.mode("append").parquet(path)
         start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
 @register("l6_dedupe_stream")
 def l6_dedupe_stream(spark, sf_dir):
-    """Redelivered file events (every tenth twice, in another delivery) de-duplicated as a stream."""
+    """Redelivered file events (every tenth twice, in another delivery) de-duplicated as a stream of
+    four deliveries."""
     fe = Fixtures(spark, sf_dir).fx_file_events
     again = fe.filter(F.col("off") % 10 == 0).withColumn("_part", F.col("off") + 1)
     rows = fe.withColumn("_part", F.col("off")).unionByName(again)
     base = _scratch(spark, "l6")
     _landed(spark, rows, F.col("_part"), base + "/topic", lambda ev: st.start_dedupe_stream(
-        ev.drop("_part"), base + "/out", base + "/ckpt", base + "/state", retain_batches=1000, id_col=None))
+        ev.drop("_part"), base + "/out", base + "/ckpt", id_col=None), deliveries=4)
     out = spark.read.parquet(base + "/out")
     return out.select("repo_id", "file_path", "off", "is_deleted", F.sha2("content", 256).alias("content_sha"))
 
 
+@register("l5_reassemble_stream")
+def l5_reassemble_stream(spark, sf_dir):
+    """File chunks (some lost, some twice) landed out of order in three deliveries, and a heartbeat
+    long after: files are written as they complete, the others when they are given up."""
+    chunks = audit_plans._chunks(Fixtures(spark, sf_dir))
+    base = _scratch(spark, "l5")
+    day = lambda k: F.timestamp_seconds(F.lit(86_400 * k))
+    part = F.pmod(F.xxhash64("file_id", "chunk_index"), F.lit(3))
+    rows = chunks.withColumn("_part", part).withColumn("arrived", F.timestamp_seconds(86_400 * (part + 1)))
+
+    def start(landed):
+        return st.start_reassembly_stream(landed.drop("_part"), base + "/out", base + "/ckpt", "arrived", give_up_secs=10 * 86_400,
+                                          buckets=STATE_BUCKETS)
+
+    _landed(spark, rows, F.col("_part"), base + "/chunks", start)
+    beat = rows.limit(0).unionByName(spark.range(1).select(F.lit(3).alias("_part"), day(100).alias("arrived")), allowMissingColumns=True)
+    beat.write.mode("append").parquet(base + "/chunks")
+    start(spark.readStream.schema(rows.schema).parquet(base + "/chunks")).awaitTermination()
+    return st.reassembled(spark, base + "/out")[0]
+
+
 @register("l1_webhook_stream")
 def l1_webhook_stream(spark, sf_dir):
     """Webhook deliveries (derived from the events table) landed three times -> REPO_UPDATED."""
@@ -196,6 +209,7 @@ def l7_polling_stream(spark, sf_dir):
 
 _same_oracle("l6_dedupe_stream", "l6_dedupe_events")
 _same_oracle("l1_webhook_stream", "l1_webhook_updates")
+_same_oracle("l5_reassemble_stream", "l5_reassemble_files")
 _ORACLES["l4_latest_status_stream"] = _ORACLES["g5_job_summary"].replace(
     """SELECT job_id, arg_max(status, (ts, seq, status)) AS status,
        max(ts) FILTER (WHERE status IN ('running', 'processing')) AS started_at,

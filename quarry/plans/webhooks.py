@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
+from ..operators import contains
 from ..operators import webhooks as ops
 from ..sources.fixtures import Fixtures
 from .catalog import register
@@ -148,6 +149,41 @@ def d1_match_repositories(spark, sf_dir):
     return ops.annotate_matches(good, fx.fx_hook_repos).select("delivery_id", "repository_id", "match")
 
 
+ODD_URL_SQL = """CASE delivery_id % 9 WHEN 0 THEN repo_url WHEN 1 THEN regexp_replace(repo_url, '[0-9]+', '_')
+  WHEN 2 THEN replace(repo_url, '/org/', '%/') WHEN 3 THEN upper(repo_url) WHEN 4 THEN regexp_replace(repo_url, '^https://', '')
+  WHEN 5 THEN 'r' || (delivery_id % 300) || '/' WHEN 6 THEN CASE WHEN delivery_id % 2 = 0 THEN '_%' ELSE repeat('_', 70) END
+  WHEN 7 THEN 'https://' ELSE repo_url || 'x' END"""
+
+
+def _odd_urls(pushes):
+    """Pushed URLs in shapes that only a contains match finds: shortened, with wildcards, in capitals."""
+    k, url = F.col("delivery_id") % 9, F.col("repo_url")
+    return pushes.withColumn("repo_url", F.when(k == 0, url).when(k == 1, F.regexp_replace(url, "[0-9]+", "_"))
+                             .when(k == 2, F.replace(url, F.lit("/org/"), F.lit("%/"))).when(k == 3, F.upper(url))
+                             .when(k == 4, F.regexp_replace(url, "^https://", ""))
+                             .when(k == 5, F.concat(F.lit("r"), F.col("delivery_id") % 300, F.lit("/")))
+                             .when(k == 6, F.when(F.col("delivery_id") % 2 == 0, F.lit("_%")).otherwise(F.repeat(F.lit("_"), 70)))
+                             .when(k == 7, F.lit("https://")).otherwise(F.concat(url, F.lit("x"))))
+
+
+@register("d1_match_contains", views=["fx_webhooks", "fx_hook_repos"], oracle=f"""
+WITH {EXTRACT_SQL.strip()},
+g AS (SELECT delivery_id, {ODD_URL_SQL} AS repo_url FROM xr WHERE reject_reason IS NULL),
+u AS (SELECT DISTINCT repo_url, lower(regexp_replace(regexp_replace(repo_url, '/+$', ''), '[.git]+$', '')) AS needle FROM g),
+ex AS (SELECT url, arg_min(id, (created_at, id)) AS best FROM fx_hook_repos GROUP BY url),
+d AS (SELECT url, arg_min(id, (created_at, id)) AS id, min((created_at, id)) AS o FROM fx_hook_repos GROUP BY url),
+w AS (SELECT u.repo_url, arg_min(d.id, d.o) AS best FROM u JOIN d ON d.url ILIKE '%' || u.needle || '%' GROUP BY u.repo_url)
+SELECT g.delivery_id, coalesce(ex.best, w.best) AS repository_id,
+       CASE WHEN ex.best IS NOT NULL THEN 'exact' WHEN w.best IS NOT NULL THEN 'contains' END AS "match"
+FROM g LEFT JOIN ex ON ex.url = g.repo_url LEFT JOIN w ON w.repo_url = g.repo_url""")
+def d1_match_contains(spark, sf_dir):
+    """Pushed URLs matched as they are, else to the earliest repository whose URL contains them."""
+    fx = Fixtures(spark, sf_dir)
+    d, _ = _deliveries(fx)
+    good = _odd_urls(ops.extract_push(d).filter(F.col("reject_reason").isNull()))
+    return contains.annotate_contains(good, fx.fx_hook_repos).select("delivery_id", "repository_id", "match")
+
+
 @register("d3_credential_audit", views=["fx_hook_repos", "fx_credentials"], oracle=f"""
 SELECT r.id, r.provider,
   CASE WHEN c.repo_id IS NULL THEN 'missing'

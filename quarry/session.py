@@ -19,6 +19,8 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The connector (A8) applies filters itself.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # Broadcast only below a fixed, known bound; everything above is a shuffle join.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }

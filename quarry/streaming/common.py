@@ -1,28 +1,13 @@
-"""Stream sources and the foreachBatch handler surface."""
+"""The foreachBatch handler surface."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, schema=None,
-                      max_files_per_trigger: int | None = None, partitions: int | None = None) -> DataFrame:
-    """File stream over ``<folder>/<name>.parquet`` (and any later files of that name).
-
-    ``partitions`` spreads each micro-batch round-robin when its files are few and large
-    (one row group is one task otherwise)."""
-    if schema is None:
-        schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.parquet(folder)
-    return df.repartition(partitions) if partitions else df
-
-
 def with_trigger(writer: DataStreamWriter, trigger: dict | None) -> DataStreamWriter:
     """``{"availableNow": True}`` (tests, catch-up) or ``{"processingTime": "300 seconds"}``."""
     t = trigger or {"availableNow": True}
