@@ -228,9 +228,9 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
 def sketch_quantiles(sketches: DataFrame, ranks: list[float]) -> DataFrame:
     """One row per key and rank: ``rank``, ``n``, ``quantile``, whose true rank is within
     ``SKETCH_RANK_ERROR`` of the one asked for."""
-    each = F.explode(F.array(*[F.lit(float(r)) for r in ranks])).alias("rank")
-    rows = sketches.select("*", each)
-    return rows.withColumn("quantile", F.kll_sketch_get_quantile_double("sketch", F.col("rank"))).drop("sketch")
+    each = F.array(*[F.struct(F.lit(float(r)).alias("rank"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(r))).alias("quantile"))
+                     for r in ranks])
+    return sketches.select(*[c for c in sketches.columns if c != "sketch"], F.inline(each))
 
 
 def request_metrics(access_log: DataFrame) -> DataFrame:

@@ -64,14 +64,18 @@ def commits_since_log(spark, path: str, watermarks: DataFrame, key: str = "repo_
     """
     log = spark.read.parquet(path)
     wm = watermarks.select(F.col(key), "last_sync")
-    need = wm.groupBy(_log_bucket(key, buckets).alias("nb")).agg(F.min(_log_day("last_sync", grain)).alias("oldest"),
-                                                                 F.bool_or(F.col("last_sync").isNull()).alias("every"))
+    need = wm.groupBy(_log_bucket(key, buckets).alias("nb")).agg(F.min(F.coalesce(
+        _log_day("last_sync", grain), F.lit("0001-01-01").cast("date"))).alias("oldest"))
     # Partition columns only: answered from the folders' names.
     folders = log.select("log_day", "log_bucket").distinct().select(F.col("log_day").alias("nd"), F.col("log_bucket").alias("fb"))
-    some = (folders.join(need, F.col("fb") == F.col("nb"))
-            .filter(F.col("every") | (F.col("nd") >= F.col("oldest"))).select("nd", "nb"))
-    recent = log.join(F.broadcast(some), F.col("log_day").eqNullSafe(F.col("nd")) & (F.col("log_bucket") == F.col("nb")))
-    j = recent.drop("nd", "nb", "log_day", "log_bucket").join(wm, key)
+    # The condition stands above an aggregate, where it stays a filter of its own: a reason for the
+    # optimizer to prune the log by it.
+    some = (folders.join(need, F.col("fb") == F.col("nb")).groupBy("nd", "nb")
+            .agg(F.max(F.datediff("nd", "oldest")).alias("ahead")).filter("ahead >= 0").select("nd", "nb"))
+    recent = log.join(F.broadcast(some), (F.col("log_day") == F.col("nd")) & (F.col("log_bucket") == F.col("nb")))
+    undated = log.filter(F.col("log_day").isNull())  # wanted by repositories without a watermark only
+    both = recent.select(*[c for c in log.columns if c not in ("log_day", "log_bucket")]).unionByName(undated.drop("log_day", "log_bucket"))
+    j = both.join(wm, key)
     return j.filter(F.col("last_sync").isNull() | (F.col(ts_col) >= F.col("last_sync")))
 
 

@@ -74,8 +74,7 @@ def _glob_sets(col: pd.Series) -> pd.DataFrame:
 def _patterns_to_sets(patterns_df: DataFrame) -> DataFrame:
     """Per source: the include and the exclude globs, each as a set of tries (see ``glob_set``).
 
-    Runs on the (small) pattern table only, Arrow batches of sources, never per file. A source's
-    patterns are compiled once for its consecutive files.
+    Runs on the (small) pattern table only, Arrow batches of sources, never per file.
     """
     sets = F.pandas_udf(_glob_sets, GLOB_SET)
     no_globs = lambda c: F.size(F.filter(F.coalesce(F.col(c), F.array()), lambda g: g.isNotNull() & (F.trim(g) != ""))) == 0
@@ -84,7 +83,8 @@ def _patterns_to_sets(patterns_df: DataFrame) -> DataFrame:
 
 
 def _in_set(path: Column, s: Column) -> Column:
-    finds = lambda text, name: F.coalesce(F.regexp_like(text, s[name]), F.lit(False))
+    # regexp_instr keeps the last pattern compiled; a regexp_like with a column compiles it per row.
+    finds = lambda text, name: F.coalesce(F.regexp_instr(text, s[name]) > 0, F.lit(False))
     return (F.coalesce(s["all"], F.lit(False)) | finds(path, "head") | finds(F.reverse(path), "tail")
             | finds(path, "inner") | finds(path, "other"))
 

@@ -304,13 +304,12 @@ WITH {A8_SQL.strip()}
 SELECT * FROM rows WHERE (starts_with(path, 'src/') OR starts_with(path, 'docs/')) AND NOT regexp_matches(path, '\\.md$')""")
 def a8_connector_scan(spark, sf_dir):
     """Landed pages of three providers read through the Python data source, in byte ranges of 64 kB,
-    with include ``src/**/*,docs/**/*`` and exclude ``*.md``; filters are pushed into it."""
+    with include ``src/**/*,docs/**/*`` and exclude ``*.md``."""
     from ..session import checkpoint_path
     from ..sources.connector import RepoDumpSource
     base = checkpoint_path(spark, "a8", unique=True)
     _land_pages(Fixtures(spark, sf_dir), base + "/landed")
     spark.dataSource.register(RepoDumpSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return (spark.read.format("repodump").option("path", base + "/landed").option("split_bytes", 65536)
             .option("include", "src/**/*,docs/**/*").option("exclude", "*.md").load())
 

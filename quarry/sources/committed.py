@@ -2,7 +2,7 @@
 
 Tasks write their records to files of their own and report the names; the driver commits a batch by
 putting one manifest, named after the batch, in its place. Readers take the files that manifests
-name, so rows of failed or running jobs are never seen. A batch that is written again (a retried
+name, so rows of failed or running jobs are never seen (``sweep`` deletes what they leave). A batch that is written again (a retried
 micro-batch, or a batch job with the same ``batch`` option) finds its manifest and leaves it: one copy.
 
     spark.dataSource.register(CommittedSink)
@@ -125,6 +125,21 @@ class CommittedSink(DataSource):
         return StreamWriter(self.options)
 
 
+def sweep(path: str, older_than_secs: float = 86_400) -> list[str]:
+    """Delete data files that no commit names and that are older than any job still running: what
+    killed tasks and drivers left behind."""
+    import time
+
+    from pyarrow import fs as pafs
+    filesystem, at = _file_system(path)
+    named = {f for c in commits(path) for f in c["files"]}
+    gone = [i for i in filesystem.get_file_info(pafs.FileSelector(f"{at}/data", allow_not_found=True))
+            if f"data/{i.base_name}" not in named and (i.mtime_ns or 0) / 1e9 < time.time() - older_than_secs]
+    for i in gone:
+        filesystem.delete_file(i.path)
+    return sorted(i.base_name for i in gone)
+
+
 def commits(path: str) -> list[dict]:
     """The committed batches: batch, files and rows, by name."""
     from pyarrow import fs as pafs

@@ -4,8 +4,8 @@ Each line of a landed file is one API response page (GitHub ``{"tree": [...]}``,
 Bitbucket ``{"values": [...]}``) wrapped as ``{"repo_id", "provider", "ref", "page"}``. The batch
 reader cuts every file into byte ranges of ``split_bytes``; a range reads the lines that begin in it,
 so a large file is read by many tasks and a page is bounded by the provider's page size. Rows are
-unified manifest entries of files; include / exclude globs and pushed filters are applied before
-they leave Python.
+unified manifest entries of files; include / exclude globs, and with the option ``pushdown`` (and
+``spark.sql.python.filterPushdown.enabled``) filters as well, are applied before they leave Python.
 
     spark.dataSource.register(RepoDumpSource)
     spark.read.format("repodump").option("path", folder).option("include", "src/**/*").load()
@@ -156,6 +156,17 @@ class _Pages:
 
 
 class RepoDumpReader(_Pages, DataSourceReader):
+    def partitions(self):
+        return [r for name, size in _files(self.root) for r in _splits(name, 0, size, self.split)]
+
+    def read(self, partition: _Range):
+        yield from self.rows(partition)
+
+
+class FilteringReader(RepoDumpReader):
+    """With the option ``pushdown``. Spark keeps a relation's planned reader, filters and all, and may
+    use it for the relation's next query: load a relation anew for each filter."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Equality on repo_id, provider, ref and path, and prefixes of path, are applied here; the
         others are Spark's."""
@@ -170,12 +181,6 @@ class RepoDumpReader(_Pages, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self):
-        return [r for name, size in _files(self.root) for r in _splits(name, 0, size, self.split)]
-
-    def read(self, partition: _Range):
-        yield from self.rows(partition)
-
 
 class RepoDumpStreamReader(_Pages, DataSourceStreamReader):
     def initialOffset(self) -> dict:
@@ -227,7 +232,8 @@ class RepoDumpSource(DataSource):
         return MANIFEST
 
     def reader(self, schema):
-        return RepoDumpReader(self.options)
+        pushdown = str(self.options.get("pushdown", "false")).lower() == "true"
+        return FilteringReader(self.options) if pushdown else RepoDumpReader(self.options)
 
     def streamReader(self, schema):
         return RepoDumpStreamReader(self.options)
