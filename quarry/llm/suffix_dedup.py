@@ -62,7 +62,7 @@ SAMPLE_DOCS = 4096
 SAMPLE_RUNS = 1 << 18
 #: Bytes of text hashed at once (some 60 bytes of arrays for each), and windows sorted at once.
 SLICE = 1 << 18
-WINDOWS = 1 << 19
+WINDOWS = 1 << 18
 #: Parts over which the runs of a token with very many texts are spread.
 SPREAD = 256
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -301,6 +301,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(held[0]):
             yield firsts(*held, True)
         yield rows(TAIL, *[np.array([x]) for x in last])
+    give_back()
 
 
 def _boundary(found: DataFrame) -> DataFrame:
@@ -408,6 +409,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, like_before = b.slice(len(key) - 1), bool(left[-1])
     if held is not None and (like_before or held.column("place")[0].as_py() & WIDE):
         yield held
+    give_back()
 
 
 def _single_windows(cuts: list[np.ndarray] | None):

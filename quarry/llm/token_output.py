@@ -30,7 +30,7 @@ ORC = {
 TOKEN_FILE_SCHEMA = "doc_id long, place long, ids array<int>"
 
 #: Bytes of text encoded at once: the more, the more often its units repeat.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 10 << 20
 #: Units after which a generation of the memory is full (a batch's may come on top).
 REMEMBERED = 250_000
 #: Marks that a word may end in (" " and "" aren't).
@@ -170,16 +170,24 @@ class Encoder:
                 start = end
         return out
 
-    def units(self, met: list[bytes]) -> list[bytes]:
-        """The ids of distinct units, remembered or encoded now."""
+    def units(self, met: list[bytes], times: np.ndarray) -> list[bytes]:
+        """The ids of distinct units, remembered or encoded now. Units met once are not remembered."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        get, back = self.young.get, self.old.get
-        out = [get(x) or back(x) for x in met]
-        new = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(new, self.encode([met[k] for k in new]), strict=True):
+        young, back = self.young, self.old.get
+        out = [*map(young.get, met)]
+        new = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            ids = back(met[k])
+            if ids is None:
+                new.append(k)
+            else:
+                out[k] = young[met[k]] = ids
+        again = (times[new] > 1).tolist()
+        for k, ids, often in zip(new, self.encode([met[k] for k in new]), again, strict=True):
             out[k] = ids
-        self.young.update(zip(met, out, strict=True))
+            if often:
+                young[met[k]] = ids
         return out
 
     def texts(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +202,8 @@ class Encoder:
         begin = cut_units(data, bounds, named)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))])
         coded = units.dictionary_encode()
-        found = [*self.units(coded.dictionary.to_pylist()), array("i", [end_id]).tobytes()]
+        times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+        found = [*self.units(coded.dictionary.to_pylist(), times), array("i", [end_id]).tobytes()]
         long = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.int32)
         # The unit after a text's last one is the end.
