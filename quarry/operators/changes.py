@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import COMMIT_STATUS_TO_EVENT
+from ..session import checkpoint_path
 
 
 def _status_map() -> F.Column:
@@ -68,10 +69,12 @@ def commits_since_log(spark, path: str, watermarks: DataFrame, key: str = "repo_
         _log_day("last_sync", grain), F.lit("0001-01-01").cast("date"))).alias("oldest"))
     # Partition columns only: answered from the folders' names.
     folders = log.select("log_day", "log_bucket").distinct().select(F.col("log_day").alias("nd"), F.col("log_bucket").alias("fb"))
-    # The condition stands above an aggregate, where it stays a filter of its own: a reason for the
-    # optimizer to prune the log by it.
-    some = (folders.join(need, F.col("fb") == F.col("nb")).groupBy("nd", "nb")
-            .agg(F.max(F.datediff("nd", "oldest")).alias("ahead")).filter("ahead >= 0").select("nd", "nb"))
+    # A written table with the condition read off it: a plain scan and filter, which the optimizer
+    # takes as a reason to prune the log, and whose broadcast the scan's filter uses again.
+    listed = checkpoint_path(spark, "log-folders", unique=True)
+    (folders.join(need, F.col("fb") == F.col("nb")).select("nd", "nb", F.datediff("nd", "oldest").alias("ahead"))
+     .write.parquet(listed))
+    some = spark.read.parquet(listed).filter("ahead >= 0").select("nd", "nb")
     recent = log.join(F.broadcast(some), (F.col("log_day") == F.col("nd")) & (F.col("log_bucket") == F.col("nb")))
     undated = log.filter(F.col("log_day").isNull())  # wanted by repositories without a watermark only
     both = recent.select(*[c for c in log.columns if c not in ("log_day", "log_bucket")]).unionByName(undated.drop("log_day", "log_bucket"))

@@ -174,7 +174,7 @@ def test_commit_log_reads_fewer_files_for_newer_watermarks(spark):
         assert "dynamicpruning" in df._jdf.queryExecution().optimizedPlan().toString()
         assert {r.commit_seq for r in df.collect()} == {s for _, s, t in rows if t and t >= t0 + dt.timedelta(days=day)}
         opened.append(scanned(df))
-    assert opened[0] > 2 * opened[1] > 4 * opened[2] > 0
+    assert opened[0] > 1.9 * opened[1] > 6 * opened[2] > 0
     unsynced = spark.createDataFrame([("r0", None)], "repo_id string, last_sync timestamp")
     assert changes.commits_since_log(spark, path, unsynced, buckets=2).count() == 33  # the one without a time, too
 
