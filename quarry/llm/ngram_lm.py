@@ -1,24 +1,30 @@
 """Language-model scores from sharded Elias-Fano n-gram tries.
 
-The model is an interpolated bigram model with absolute discounting over a smoothed unigram:
-P(w | v) = max(c(v, w) - D, 0) / c(v) + D n(v) / c(v) P(w), n(v) the distinct successors of v.
-
-1. A first pass adds up what each word would bring to its shard. The successors of a word that
-   would bring more than ``HOT_ENTRIES`` are split by hash into pieces, which are words of their own
-   to the shards.
-2. Map tasks cut documents into chunks and send each shard, for the chunk's words and pieces of that
-   shard, their training counts and their distinct successors with training counts.
-3. A shard owns the words whose hash falls to it. It sums the counts and builds its part of the
-   trie: the words, monotone pointers to their successors, the successors, and the quantised
-   discounted probabilities and back-off weights. It answers each chunk with the entries the
-   chunk asked for, by successor search.
-4. Each chunk, which travelled along as compact word numbers, adds up the pieces' distinct successors
-   and its documents' scores.
-
-A word's successors are merged within a chunk before they travel, so a word or pair that makes
-up a third of all tokens costs one entry per chunk. Collected and sent to all tasks are the hot
-words only, at most one for ``HOT_ENTRIES`` tokens of the corpus; what the shards gather are the
-counts of the whole corpus.
+The model is an interpolated trigram model with absolute discounting over a smoothed unigram:
+P(w | v) = max(c(v, w) - D, 0) / c(v) + D n(v) / c(v) P(w), n(v) the distinct successors of v, and
+P(w | u, v) the same over c(u, v, w), c(u, v), n(u, v) and P(w | v).
+
+1. A first pass adds up what each word brings to its shard. The most frequent words, at most
+   ``COMMON`` of them, get numbers that all tasks know. A word that brings more than ``HOT_ENTRIES``
+   is split into pieces, which are words of their own to the shards: by the word before it for
+   trigrams, by the word after it for bigrams.
+2. Map tasks cut documents into chunks and send each shard, for the chunk's words v of that shard,
+   the words u before them and the words w after both, with training counts: a tree v, u, w.
+3. A shard owns a range of word hashes. It sums the counts and builds its trie: for each word the
+   words after it (bigrams) and before it (contexts), for each context the words after it, written
+   by their place among the bigrams of v, so that numbers are small. Each level is a list of lists in
+   Elias-Fano code with monotone pointers; quantised probabilities and back-off weights lie beside.
+   The shard answers each chunk with the entries it asked for, by successor search within the
+   pointers' range.
+4. Each chunk, which travels along as compact word numbers, scores its documents.
+
+Chunks don't send a row to every shard: words go to at most ``FAN`` ranges of hashes at a time. If
+there are more shards, relays in between take the rows of a range in batches and cut each batch into
+rows for the narrower ranges, and put the answers together on the way back. A chunk's rows don't
+grow with the corpus, so all rows together grow like it.
+
+Collected and sent to all tasks are the common and the hot words only, the latter at most one for
+``HOT_ENTRIES`` tokens of the corpus; what the shards gather are the counts of the whole corpus.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ import math
 import mmap
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +42,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, give_back, materialize, slices
+from .elias_fano import Lists
 
 #: Tokens of a chunk and bytes of text behind a shard. Both bound the memory of a task.
-CHUNK_TOKENS = 1 << 21
-SHARD_BYTES = 24 << 20
-#: Successor entries, over all chunks, of one word (or piece of one) that a shard may have to hold.
+CHUNK_TOKENS = 1 << 20
+SHARD_BYTES = 12 << 20
+#: Trigram entries, over all chunks, of one word (or piece of one) that a shard may have to hold.
 HOT_ENTRIES = 1 << 20
+#: Words with numbers of their own, and how often a word is there at least to be looked at.
+COMMON = 65_000
+SEEN = 16
+#: Ranges of hashes that a chunk's words, or a relay's batch of rows, go to at a time.
+FAN = 1024
+#: Rows of a relay's batch: as many as it may send on, so that relays don't multiply rows.
+RELAY_ROWS = FAN
 DISCOUNT = 0.75
 #: log10 probabilities are stored in steps of 1 / STEPS, rounded down; code 0 is "not there".
 STEPS = 4096
-#: Successors are told apart by 40 bits of their hash, words by all 64.
-SUCCESSOR_BITS = 40
-SEGMENT = 1 << 16
-_ROW = "target long, kind int, chunk long, shard int, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+#: Words beside a word are told apart by 40 bits of their hash (common ones by number), words v by 64.
+SHORT_BITS = 40
+_RARE = 0xFFFF
+_BINARY = "abcdefghij"
+_ROW = "target long, kind int, chunk long, part long, " + ", ".join(f"{c} binary" for c in _BINARY)
 STREAM, ASK, ANSWER = 0, 1, 2
 
 
@@ -67,136 +83,160 @@ def _back_off(distinct: np.ndarray, total: np.ndarray) -> np.ndarray:
         return _codes(np.where(total > 0, DISCOUNT * distinct / total, 1.0))
 
 
-class EliasFano:
-    """A monotone sequence in partitioned Elias-Fano code, in one anonymous memory map.
+def _in_map(array: np.ndarray) -> np.ndarray:
+    """A copy in an anonymous memory map."""
+    m = mmap.mmap(-1, max(1, array.nbytes))
+    m.write(array.tobytes())
+    return np.frombuffer(m, array.dtype, len(array))
 
-    A segment stores, relative to its first value, the low bits of each value side by side and
-    the high bits as gaps in unary.
-    """
 
-    def __init__(self, values: np.ndarray):
-        self.n = len(values)
-        self.first = values[::SEGMENT].copy()
-        parts, self.layout, at = [], [], 0
-        for s in range(0, self.n, SEGMENT):
-            v = (values[s:s + SEGMENT] - values[s]).astype(np.uint64)
-            low = max(0, int(math.log2((int(v[-1]) + 1) / len(v)))) if v[-1] else 0
-            high = (v >> np.uint64(low)).astype(np.int64)
-            unary = np.zeros(int(high[-1]) + len(v), bool)
-            unary[high + np.arange(len(v))] = True
-            lows = np.unpackbits(v.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, count=low, bitorder="little")
-            a, b = np.packbits(lows).tobytes(), np.packbits(unary).tobytes()
-            parts += [a, b]
-            self.layout.append((at, len(a), len(b), len(v), low))
-            at += len(a) + len(b)
-        self.map = mmap.mmap(-1, max(1, at))
-        self.map.write(b"".join(parts))
-        self.bytes = np.frombuffer(self.map, np.uint8)
-
-    def segment(self, k: int) -> np.ndarray:
-        at, a, b, n, low = self.layout[k]
-        lows = np.unpackbits(self.bytes[at:at + a], count=n * low).reshape(n, low)
-        wide = np.zeros((n, 64), np.uint8)
-        wide[:, :low] = lows
-        value = np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel()
-        high = np.flatnonzero(np.unpackbits(self.bytes[at + a:at + a + b]))[:n] - np.arange(n)
-        return (value + (high.astype(np.uint64) << np.uint64(low))).astype(np.int64) + self.first[k]
-
-    def all(self) -> np.ndarray:
-        return np.concatenate([self.segment(k) for k in range(len(self.layout))]) if self.n else np.zeros(0, np.int64)
-
-    def find(self, wanted: np.ndarray) -> np.ndarray:
-        """The place of each of the ascending ``wanted`` values, or -1: its successor, if equal."""
-        out = np.full(len(wanted), -1, np.int64)
-        if not self.n:
-            return out
-        cut = np.searchsorted(wanted, self.first)
-        for k, (s, e) in enumerate(zip(cut, np.append(cut[1:], len(wanted)), strict=True)):
-            if s < e:
-                values = self.segment(k)
-                at = np.searchsorted(values, wanted[s:e])
-                ok = values[np.minimum(at, len(values) - 1)] == wanted[s:e]
-                out[s:e] = np.where(ok, k * SEGMENT + at, -1)
-        return out
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two numbers below 2^31 as one that sorts by both."""
+    return (a << 32) | b
 
 
 class Trie:
-    """Two levels for one shard: words, and their successors in training.
+    """One shard's levels.
 
-    Words are numbered by their hashes' order. A successor is stored relative to its word's
-    number, so one monotone sequence holds all successor lists; ``pointers`` says where each
-    list begins.
+    ``words`` to ``after`` (bigrams): the numbers of the words after each word, with the codes of
+    their discounted probabilities. ``before`` (contexts): the numbers of the words before it, with
+    back-off codes. ``third`` (trigrams): for each context the words after both, by their place in the
+    word's list of ``after``.
     """
 
-    def __init__(self, n_words: int, keys: np.ndarray, counts: np.ndarray, pieces: np.ndarray, whole: np.ndarray):
-        word = keys >> SUCCESSOR_BITS
-        total = np.bincount(word, counts, n_words)
-        total[pieces] = whole  # a piece's probabilities are those of the whole word
-        self.distinct = distinct = np.bincount(word, minlength=n_words)
-        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(distinct)]))
-        self.successors = EliasFano(keys)
-        self.values = _codes((counts - DISCOUNT) / total[word] if len(keys) else np.zeros(0))
-        self.back_off = _back_off(distinct, total)
-
-    def codes(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised probabilities of (word number, successor) keys, ascending; 0 if unseen."""
-        at = self.successors.find(keys)
-        return np.where(at < 0, 0, self.values[np.maximum(at, 0)] if len(self.values) else 0).astype(np.uint16)
+    def __init__(self, n_words: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, whole: np.ndarray):
+        """Trigrams (word number, number before, number after; distinct) with training counts.
+        ``whole`` is a word's count where it is a piece of one, else -1."""
+        pairs, at = np.unique(_pair(v, w), return_inverse=True)
+        times = np.bincount(at, count, len(pairs))
+        pv = pairs >> 32
+        self.distinct = np.bincount(pv, minlength=n_words)
+        total = np.bincount(pv, times, n_words)
+        total = np.where(whole >= 0, whole, total)
+        self.after = Lists(self.distinct, pairs & 0xFFFFFFFF)
+        self.after_code = _in_map(_codes((times - DISCOUNT) / total[pv] if len(pv) else np.zeros(0)))
+        self.back_off = _in_map(_back_off(self.distinct, total))
+        contexts, of = np.unique(_pair(v, u), return_inverse=True)
+        self.before = Lists(np.bincount(contexts >> 32, minlength=n_words), contexts & 0xFFFFFFFF)
+        # The place of w among the bigrams of v is small and tells it apart in the context's list.
+        rank = at - (np.cumsum(self.distinct) - self.distinct)[v]
+        order = np.argsort(_pair(of, rank))
+        sizes = np.bincount(of, minlength=len(contexts))
+        total = np.bincount(of, count, len(contexts))
+        self.third = Lists(sizes, rank[order])
+        self.third_code = _in_map(_codes(((count - DISCOUNT) / total[of])[order] if len(of) else np.zeros(0)))
+        self.context_back_off = _in_map(_back_off(sizes, total))
+
+    def contexts(self, v: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context number (-1: unseen) and back-off code of (word before, word) pairs."""
+        at, _ = self.before.find(v, u)
+        code = self.context_back_off[np.maximum(at, 0)] if len(self.context_back_off) else np.zeros(len(at), np.uint16)
+        return at, np.where(at >= 0, code, _codes(np.ones(1))[0]).astype(np.uint16)
+
+    def codes(self, v: np.ndarray, w: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bigram and trigram codes of words after (context, word) pairs; 0 if unseen."""
+        second, third = np.zeros(len(v), np.uint16), np.zeros(len(v), np.uint16)
+        at, begin = self.after.find(v, w)
+        seen = np.flatnonzero(at >= 0)
+        second[seen] = self.after_code[at[seen]]
+        seen = seen[context[seen] >= 0]
+        place, _ = self.third.find(context[seen], (at - begin)[seen])
+        third[seen[place >= 0]] = self.third_code[place[place >= 0]]
+        return second, third
 
 
 _press, _open = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
-def _put(array: np.ndarray) -> bytes:
-    return _press.compress(np.ascontiguousarray(array).tobytes())
+def _put(array: np.ndarray | None) -> bytes | None:
+    return None if array is None else _press.compress(np.ascontiguousarray(array).tobytes())
 
 
-def _get(raw: bytes, kind) -> np.ndarray:
+def _get(raw: bytes | None, kind) -> np.ndarray:
     return np.frombuffer(_open.decompress(raw) if raw is not None else b"", kind)
 
 
-def _row(target, kind, chunk, shard, *parts) -> dict:
-    return {"target": target, "kind": kind, "chunk": chunk, "shard": shard,
-            **{n: _put(p) if p is not None else None for n, p in zip("abcdefg", [*parts, *[None] * 7], strict=False)}}
+def _row(target, kind, chunk, part, *parts) -> tuple:
+    return (target, kind, chunk, part, *map(_put, parts), *[None] * (len(_BINARY) - len(parts)))
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
-    names = ["target", "kind", "chunk", "shard", *"abcdefg"]
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * len(_BINARY)]
+    names = ["target", "kind", "chunk", "part", *_BINARY]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray):
-    """The word before each token (number 0 at a text's start) and each token, as one key."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[np.cumsum(sizes) - sizes] = 0
-    return before, (before << 32) | tokens
+def _put_short(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of common words as 16 bits each; the others' 40 bits beside, in two parts."""
+    rare = ids > _RARE
+    rest = ids[rare] - _RARE - 1
+    return np.where(rare, _RARE, ids).astype(np.uint16), rest.astype(np.uint32), (rest >> 32).astype(np.uint8)
 
 
-def tokenize(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
+def _get_short(few: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    ids = few.astype(np.int64)
+    ids[few == _RARE] = (low.astype(np.int64) | (high.astype(np.int64) << 32)) + _RARE + 1
+    return ids
 
 
-def _split(hot: np.ndarray, head: np.ndarray, short: np.ndarray, n_names: int) -> np.ndarray:
-    """Each pair's owner: its word's number, or for a hot word that of the piece its successor falls to.
+@dataclass
+class Ask:
+    """What is asked of a range of words: the tree v, u, w with counts, words in the order of hashes.
 
-    ``hot`` has a row (word number, pieces, training count) per hot word of the chunk; the pieces
-    are numbered from ``n_names`` on.
-    """
-    if not len(hot):
-        return head
-    n, first = np.zeros(n_names, np.int64), np.zeros(n_names, np.int64)
-    n[hot[:, 0]] = hot[:, 1]
-    first[hot[:, 0]] = n_names + np.cumsum(hot[:, 1]) - hot[:, 1]
-    # High bits of the successor's hash choose the piece: 23 of them leave room for the product.
-    piece = ((short >> np.uint64(SUCCESSOR_BITS - 23)).astype(np.int64) * n[head]) >> 23
-    return np.where(n[head] > 0, first[head] + piece, head)
+    ``pieces``: how many of the words each chunk in it has, in turn."""
+
+    vocab: np.ndarray     # hash of each word v
+    seen: np.ndarray      # how often it is a token of training
+    whole: np.ndarray     # of a piece: the whole word's count as a context, else -1
+    n_before: np.ndarray  # words u before each v
+    n_after: np.ndarray   # words w after each (u, v)
+    before: np.ndarray    # u of each context
+    after: np.ndarray     # w of each trigram
+    count: np.ndarray     # in training
+    pieces: np.ndarray
+
+    def put(self) -> tuple:
+        few, low, high = _put_short(np.concatenate([self.before, self.after]))
+        whole = self.whole if (self.whole >= 0).any() else None
+        return (self.vocab, self.seen.astype(np.uint32), whole, self.n_before.astype(np.uint32), self.n_after.astype(np.uint32),
+                few, low, high, self.count.astype(np.uint32), self.pieces.astype(np.int64))
+
+    @classmethod
+    def get(cls, row: dict) -> Ask:
+        vocab, n_after = _get(row["a"], np.uint64), _get(row["e"], np.uint32).astype(np.int64)
+        short = _get_short(_get(row["f"], np.uint16), _get(row["g"], np.uint32), _get(row["h"], np.uint8))
+        whole = _get(row["c"], np.int64) if row["c"] is not None else np.full(len(vocab), -1)
+        return cls(vocab, _get(row["b"], np.uint32).astype(np.int64), whole, _get(row["d"], np.uint32).astype(np.int64), n_after,
+                   short[:len(n_after)], short[len(n_after):], _get(row["i"], np.uint32).astype(np.int64), _get(row["j"], np.int64))
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's contexts, and each context's trigrams, begin and the last ones end."""
+        return _starts(self.n_before), _starts(self.n_after)
+
+    def part(self, x: int, y: int, starts) -> Ask:
+        """The words x to y, as one piece."""
+        c, t = starts
+        a, b = c[x], c[y]
+        return Ask(self.vocab[x:y], self.seen[x:y], self.whole[x:y], self.n_before[x:y], self.n_after[a:b], self.before[a:b],
+                   self.after[t[a]:t[b]], self.count[t[a]:t[b]], np.array([y - x]))
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def _by_shard(shard: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """The pairs in the order of their owners' shards, and there of their owners."""
-    return np.lexsort((head, shard[head]))
+def _joined(asks: list[Ask]) -> Ask:
+    return Ask(*[np.concatenate([getattr(a, f.name) for a in asks]) for f in fields(Ask)])
+
+
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range, of so many equal ones, that a hash falls to."""
+    return (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def tokenize(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -233,108 +273,273 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield close()
 
 
-_LOAD = "word long, entries long, times long"
+def _befores(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that (number 0 before a text's start)."""
+    first = np.cumsum(sizes) - sizes
+    v = np.concatenate([[0], tokens[:-1]])
+    v[first] = 0
+    u = np.concatenate([[0], v[:-1]])
+    u[first] = 0
+    return u, v
 
 
-def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk and word: the successor entries sent for it, and how often training goes on from it."""
-    for vocab, tokens, sizes, flag, _ in _cut(batches):
-        before, key = _pairs(tokens, sizes)
-        entries = np.bincount(np.unique(key) >> 32, minlength=len(vocab))
-        times = np.bincount(before, np.repeat(flag & 1 == 0, sizes), len(vocab)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(vocab.view(np.int64)), pa.array(entries), pa.array(times)],
-                                         ["word", "entries", "times"])
+def _tree(u: np.ndarray, v: np.ndarray, w: np.ndarray):
+    """Distinct (v, u) and (v, u, w) in that order: contexts (v, u), trigrams (context, w), and each
+    token's context and trigram."""
+    contexts, c = np.unique(_pair(v, u), return_inverse=True)
+    trigrams, t = np.unique(_pair(c, w), return_inverse=True)
+    return contexts, trigrams, c, t
 
 
-def hot_words(docs: DataFrame) -> dict[int, tuple[int, int]]:
-    """Words, by hash, whose successors no shard should hold alone: pieces and training count."""
-    load = (docs.mapInArrow(_load, _LOAD).groupBy("word").agg(F.sum("entries").alias("entries"), F.sum("times").alias("times"))
-            .filter(F.col("entries") > HOT_ENTRIES))
-    return {r["word"] % (1 << 64): (-(-r["entries"] // HOT_ENTRIES), r["times"]) for r in load.collect()}
+_LOAD = "word long, entries long, times long, seen long"
 
 
-def _spread(chunk: int, shards: int) -> int:
-    """The shard that a chunk's stream passes through."""
-    return ((chunk * 0x9E3779B97F4A7C15) % (1 << 64) >> 32) % shards
+def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk and word: the trigrams sent for it, how often training goes on from it, and how
+    often it is a token."""
+    for vocab, tokens, sizes, flag, _ in _cut(batches):
+        u, v = _befores(tokens, sizes)
+        contexts, trigrams, _, _ = _tree(u, v, tokens)
+        entries = np.bincount((contexts >> 32)[trigrams >> 32], minlength=len(vocab))
+        times = np.bincount(v, np.repeat(flag & 1 == 0, sizes), len(vocab)).astype(np.int64)
+        seen = np.bincount(tokens, minlength=len(vocab))
+        often = np.flatnonzero(entries + seen > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(vocab.view(np.int64)[often]), pa.array(entries[often]), pa.array(times[often]),
+                                          pa.array(seen[often])], ["word", "entries", "times", "seen"])
+    give_back()
+
+
+def special_words(docs: DataFrame) -> tuple[dict[int, tuple[int, int]], np.ndarray]:
+    """Hot words, by hash, with pieces and training count as a context; and the common words' hashes,
+    most frequent first."""
+    sums = [F.sum(c).alias(c) for c in ("entries", "times", "seen")]
+    load = docs.mapInArrow(_load, _LOAD).groupBy("word").agg(*sums).filter((F.col("seen") >= SEEN) | (F.col("entries") > HOT_ENTRIES))
+    load = materialize(load, "lm-words")
+    hot = {r["word"] % (1 << 64): (-(-r["entries"] // HOT_ENTRIES), r["times"])
+           for r in load.filter(F.col("entries") > HOT_ENTRIES).collect()}
+    common = load.orderBy(F.desc("seen"), "word").limit(COMMON).select("word").toArrow().column("word").to_numpy()
+    return hot, common.view(np.uint64)
+
+
+def _piece_hash(word: int, kind: str, nth: int) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(f"{word} {kind} {nth}")
 
-def _chunks(batches: Iterator[pa.RecordBatch], shards: int,
-            hot: dict[int, tuple[int, int]] | None = None) -> Iterator[pa.RecordBatch]:
-    """Cut a partition's documents into chunks: each as a stream row and a request per shard."""
-    import xxhash
 
+def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndarray, hot, common: np.ndarray):
+    """A chunk's question, and how its tokens find their answers.
+
+    Returns the Ask (words by hash), and per token its place in the answers: word of the token, word
+    before (its back-off), context, trigram for the trigram code, and trigram for the bigram code; and
+    for hot words before a token, which of the chunk's hot words, else -1, with their answers' places.
+    """
+    train = np.repeat(flag & 1 == 0, sizes)
+    u, v = _befores(tokens, sizes)
+    n = len(vocab)
+    rank = np.searchsorted(common[1], vocab)
+    known = common[1][np.minimum(rank, len(common[1]) - 1)] == vocab if len(common[1]) else np.zeros(n, bool)
+    short = (vocab >> np.uint64(64 - SHORT_BITS)).astype(np.int64) + _RARE + 1
+    if len(common[1]):
+        short = np.where(known, common[0][np.minimum(rank, len(common[1]) - 1)], short)
+    mine = np.flatnonzero(np.isin(vocab, np.fromiter(hot, np.uint64, len(hot))))
+    pieces, names, whole = np.zeros(n, np.int64), [vocab], [np.full(n, -1)]
+    first_u, first_w = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    at = n
+    for i in mine.tolist():
+        k, times = hot[int(vocab[i])]
+        pieces[i], first_u[i], first_w[i] = k, at, at + k
+        names.append(np.array([_piece_hash(int(vocab[i]), kind, j) for kind in "uw" for j in range(k)], np.uint64))
+        whole += [np.full(k, -1), np.full(k, times)]
+        at += 2 * k
+    names, whole = np.concatenate(names), np.concatenate(whole)
+    # A hot word's trigrams go by the word before it, its bigrams by the word after it, under words
+    # of their own; the latter have one context, number 0, that is none.
+    spread = (vocab >> np.uint64(20)) & np.uint64(0x7FFFFFFF)
+    split = pieces[v] > 0
+    owner = np.where(split, first_u[v] + (spread[u].astype(np.int64) * pieces[v] >> 31), v)
+    again = np.flatnonzero(split)
+    owner2 = first_w[v[again]] + (spread[tokens[again]].astype(np.int64) * pieces[v[again]] >> 31)
+    contexts, trigrams, c, t = _tree(np.concatenate([u, np.zeros(len(again), np.int64)]), np.concatenate([owner, owner2]),
+                                     np.concatenate([tokens, tokens[again]]))
+    count = np.bincount(t, np.concatenate([train, train[again]]), len(trigrams)).astype(np.int64)
+    # From the order of the chunk's numbers to that of hashes.
+    order = np.argsort(names, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    by = np.argsort(place[contexts >> 32], kind="stable")
+    c_place = np.empty(len(contexts), np.int64)
+    c_place[by] = np.arange(len(contexts))
+    t_by = np.argsort(c_place[trigrams >> 32], kind="stable")
+    t_place = np.empty(len(trigrams), np.int64)
+    t_place[t_by] = np.arange(len(trigrams))
+    n_before = np.bincount(place[contexts >> 32], minlength=len(names))
+    n_after = np.bincount(c_place[trigrams >> 32], minlength=len(contexts))
+    seen = np.zeros(len(names), np.int64)
+    seen[:n] = np.bincount(tokens, train, n)
+    ask = Ask(names[order], seen[order], whole[order], n_before, n_after, short[(contexts & 0xFFFFFFFF)[by]],
+              short[(trigrams & 0xFFFFFFFF)[t_by]], count[t_by], np.array([len(names)]))
+    second = t_place[t[:len(tokens)]]
+    second[again] = t_place[t[len(tokens):]]
+    groups = [(place[first_w[i]:first_w[i] + pieces[i]], hot[int(vocab[i])][1]) for i in mine.tolist()]
+    which = np.full(n, -1)
+    which[mine] = np.arange(len(mine))
+    return ask, (place[tokens], place[v], c_place[c[:len(tokens)]], t_place[t[:len(tokens)]], second), which[v], groups
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], ranges: int, hot, common) -> Iterator[pa.RecordBatch]:
+    """Cut a partition's documents into chunks: each as a stream row and an ask per range of words."""
     part = TaskContext.get().partitionId()
-    marked = np.sort(np.fromiter(hot or (), np.uint64))
     for n_chunks, (vocab, tokens, sizes, flag, ids) in enumerate(_cut(batches)):
         chunk = (part << 24) | n_chunks
-        n_names = len(vocab)
-        mine = np.flatnonzero(np.isin(vocab, marked))
-        own = np.array([(i, *hot[h]) for i, h in zip(mine.tolist(), vocab[mine].tolist(), strict=True)], np.int64).reshape(-1, 3)
-        # A chunk asks for every piece of its hot words: all of them make up the distinct successors.
-        pieces = [xxhash.xxh64_intdigest(b"%d %d" % (h, j)) for h, n in zip(vocab[mine].tolist(), own[:, 1].tolist(), strict=True)
-                  for j in range(n)]
-        vocab = np.concatenate([vocab, np.array(pieces, np.uint64)])
-        train = np.repeat(flag & 1 == 0, sizes)
-        before, key = _pairs(tokens, sizes)
-        pairs, which = np.unique(key, return_inverse=True)
-        count = np.bincount(which, train, len(pairs)).astype(np.uint32)
-        word_count = np.bincount(tokens, train, len(vocab)).astype(np.uint32)
-        shard = (vocab % np.uint64(shards)).astype(np.int64)
-        words = np.argsort(shard, kind="stable")  # a shard's pieces come after its words
-        word_at = np.searchsorted(shard[words], np.arange(shards + 1))
-        short = vocab[pairs & 0xFFFFFFFF] >> np.uint64(64 - SUCCESSOR_BITS)
-        head = _split(own, pairs >> 32, short, n_names)
-        by_shard = _by_shard(shard, head)
-        pair_at = np.searchsorted(shard[head][by_shard], np.arange(shards + 1))
-        successors = np.bincount(head, minlength=len(vocab)).astype(np.uint32)
-        whole = np.repeat(own[:, 2], own[:, 1])
-        yield _batch([_row(_spread(chunk, shards), STREAM, chunk, -1, ids, flag, sizes.astype(np.int32),
-                           tokens.astype(np.uint32), vocab, own if len(own) else None)])
-        rows = []
-        for s in range(shards):
-            w = words[word_at[s]:word_at[s + 1]]
-            p = by_shard[pair_at[s]:pair_at[s + 1]]
-            of = whole[w[w >= n_names] - n_names]
-            rows.append(_row(s, ASK, chunk, s, vocab[w], word_count[w], successors[w], short[p].astype(np.uint32),
-                             (short[p] >> np.uint64(32)).astype(np.uint8), count[p], of if len(of) else None))
+        ask, _, _, _ = _ask(vocab, tokens, sizes, flag, hot, common)
+        yield _batch([_row(chunk, STREAM, chunk, -1, ids, flag, sizes.astype(np.int32), tokens.astype(np.uint32), vocab)])
+        cut, starts, rows = np.searchsorted(_range_of(ask.vocab, ranges), np.arange(ranges + 1)), ask.starts(), []
+        for r in range(ranges):
+            if cut[r] < cut[r + 1]:
+                rows.append(_row(r, ASK, chunk, r, *ask.part(cut[r], cut[r + 1], starts).put()))
+            if len(rows) == 64:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
+    give_back()
+
+
+def _relay(batches: Iterator[pa.RecordBatch], finer: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Asks of one range in batches, each cut for the ``finer`` ranges within it (of ``ranges`` in
+    all). Gives the rows onward, and for each batch a row that says where its answers go back to."""
+    task, n = TaskContext.get().partitionId(), 0
+
+    def send(held: list[dict]):
+        nonlocal n
+        batch, n = (1 << 62) | (task << 32) | n, n + 1
+        # A row from another relay holds pieces of several chunks, each in the order of hashes.
+        whole = [Ask.get(r) for r in held]
+        asks = []
+        for a in whole:
+            edges, at = _starts(a.pieces).tolist(), a.starts()
+            asks += [a.part(x, y, at) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        cuts = [_range_of(a.vocab, ranges) for a in asks]
+        first = (int(next(c for c in cuts if len(c))[0]) // finer) * finer
+        edges = [np.searchsorted(c, np.arange(first, first + finer + 1)) for c in cuts]
+        starts = [a.starts() for a in asks]
+        rows = [_row(batch, STREAM, batch, -1, np.array([[r["chunk"], r["part"]] for r in held]),
+                     np.array([len(a.pieces) for a in whole]))]
+        for k in range(finer):
+            parts = [a.part(e[k], e[k + 1], s) for a, e, s in zip(asks, edges, starts, strict=True)]
+            if sum(len(p.vocab) for p in parts):
+                rows.append(_row(first + k, ASK, batch, first + k, *_joined(parts).put()))
             if len(rows) == 64:
                 yield _batch(rows)
                 rows = []
-        if rows:
-            yield _batch(rows)
+        yield _batch(rows)
+
+    held, target = [], None
+    for b in batches:
+        for r in b.to_pylist():
+            if held and (r["target"] != target or len(held) == RELAY_ROWS):
+                yield from send(held)
+                held = []
+            target = r["target"]
+            held.append(r)
+    if held:
+        yield from send(held)
+    give_back()
+
+
+def _back(group: pa.Table) -> pa.Table:
+    """A relay's batch of answers as answers for the rows that were asked."""
+    rows = group.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
+    to = _get(rows[0]["a"], np.int64).reshape(-1, 2)
+    answers = [Answer.get(r) for r in rows[1:]]
+    cuts = [a.cut() for a in answers]
+    out, k = [], 0
+    for (chunk, part), n in zip(to.tolist(), _get(rows[0]["b"], np.int64).tolist(), strict=True):
+        pieces = [_answers([a.part(i, c) for a, c in zip(answers, cuts, strict=True)]) for i in range(k, k + n)]
+        out.append(_row(chunk, ANSWER, chunk, part, *_side_by_side(pieces).put()))
+        k += n
+    return pa.Table.from_batches([_batch(out)])
+
+
+@dataclass
+class Answer:
+    """Answers in the order asked: per word its count, back-off code and distinct successors, per
+    context a back-off code, per trigram the codes of both orders. The sizes tell whose they are."""
+
+    seen: np.ndarray
+    back: np.ndarray
+    distinct: np.ndarray
+    context: np.ndarray
+    second: np.ndarray
+    third: np.ndarray
+    pieces: np.ndarray   # words, contexts and trigrams of each piece
+    totals: np.ndarray   # tokens and distinct words of the shards
+
+    def put(self) -> tuple:
+        return (self.seen, self.back, self.distinct, self.context, self.second, self.third, self.pieces, self.totals)
+
+    @classmethod
+    def get(cls, row: dict) -> Answer:
+        kinds = (np.int64, np.uint16, np.int64, np.uint16, np.uint16, np.uint16, np.int64, np.int64)
+        got = [_get(row[c], k) for c, k in zip("abcdefgh", kinds, strict=True)]
+        got[6], got[7] = got[6].reshape(-1, 3), got[7].reshape(-1, 3)
+        return cls(*got)
+
+    def cut(self) -> np.ndarray:
+        return np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.pieces, axis=0)])
+
+    def part(self, i: int, cut: np.ndarray) -> Answer:
+        (a, b, c), (x, y, z) = cut[i].tolist(), cut[i + 1].tolist()
+        return Answer(self.seen[a:x], self.back[a:x], self.distinct[a:x], self.context[b:y], self.second[c:z], self.third[c:z],
+                      self.pieces[i:i + 1], self.totals)
+
+
+def _side_by_side(parts: list[Answer]) -> Answer:
+    whole = Answer(*[np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Answer)])
+    whole.totals = np.unique(whole.totals, axis=0)
+    return whole
+
+
+def _answers(parts: list[Answer]) -> Answer:
+    """Answers put in a row, as one piece."""
+    whole = _side_by_side(parts)
+    whole.pieces = whole.pieces.sum(axis=0, keepdims=True)
+    return whole
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """One shard: sum the counts, build its tries, answer every chunk; streams pass through."""
-    rows = group.sort_by([("kind", "ascending"), ("chunk", "ascending")]).to_pylist()
-    out = [r | {"target": r["chunk"]} for r in rows if r["kind"] == STREAM]
-    asks = [r for r in rows if r["kind"] == ASK]
-    if asks:
-        word = [_get(r["a"], np.uint64) for r in asks]
-        per_word = [_get(r["c"], np.uint32) for r in asks]
-        known, number = np.unique(np.concatenate(word), return_inverse=True)
-        if len(known) >= 1 << (63 - SUCCESSOR_BITS):
-            raise ValueError("too many words in a shard; lower SHARD_BYTES")
-        seen = np.bincount(number, np.concatenate([_get(r["b"], np.uint32) for r in asks]), len(known))
-        follow = np.concatenate([_get(r["d"], np.uint32) for r in asks]).astype(np.int64)
-        follow |= np.concatenate([_get(r["e"], np.uint8) for r in asks]).astype(np.int64) << 32
-        key = (np.repeat(number, np.concatenate(per_word)) << SUCCESSOR_BITS) | follow
-        keys, place = np.unique(key, return_inverse=True)
-        times = np.bincount(place, np.concatenate([_get(r["f"], np.uint32) for r in asks]), len(keys))
-        whole = [_get(r["g"], np.int64) for r in asks]
-        start = np.cumsum([len(of) for of in word])
-        pieces = [number[e - len(g):e] for e, g in zip(start.tolist(), whole, strict=True)]
-        trie = Trie(len(known), keys[times > 0], times[times > 0], np.concatenate(pieces), np.concatenate(whole))
-        code = trie.codes(keys)[place]
-        totals = np.array([seen.sum(), (seen > 0).sum()], np.int64)
-        w = p = 0
-        for r, of, n, piece in zip(asks, word, per_word, pieces, strict=True):
-            mine = number[w:w + len(of)]
-            pairs = int(n.sum())
-            out.append(_row(r["chunk"], ANSWER, r["chunk"], r["shard"], seen[mine].astype(np.int64),
-                            trie.back_off[mine], code[p:p + pairs], totals,
-                            trie.distinct[piece] if len(piece) else None))
-            w, p = w + len(of), p + pairs
+    """One shard: sum the counts, build its trie, answer every row."""
+    rows = group.sort_by([("chunk", "ascending")]).to_pylist()
+    shard = rows[0]["target"]
+    asks = [Ask.get(r) for r in rows]
+    whole = _joined(asks)
+    known, number = np.unique(whole.vocab, return_inverse=True)
+    seen = np.bincount(number, whole.seen, len(known)).astype(np.int64)
+    of_word = np.full(len(known), -1)
+    of_word[number] = np.maximum(of_word[number], whole.whole)
+    v = np.repeat(number, whole.n_before)                 # of each context
+    _, ids = np.unique(np.concatenate([whole.before, whole.after]), return_inverse=True)
+    u, w = ids[:len(whole.before)], ids[len(whole.before):]
+    contexts, c = np.unique(_pair(v, u), return_inverse=True)
+    keys, t = np.unique(_pair(np.repeat(c, whole.n_after), w), return_inverse=True)
+    count = np.bincount(t, whole.count, len(keys))
+    kv, ku = (contexts >> 32)[keys >> 32], (contexts & 0xFFFFFFFF)[keys >> 32]
+    kw, there = keys & 0xFFFFFFFF, count > 0
+    trie = Trie(len(known), kv[there], ku[there], kw[there], count[there], of_word)
+    place, context_code = trie.contexts(contexts >> 32, contexts & 0xFFFFFFFF)
+    second, third = trie.codes(kv, kw, place[keys >> 32])
+    answer = Answer(seen[number], trie.back_off[number], trie.distinct[number], context_code[c], second[t], third[t], None,
+                    np.array([[shard, seen.sum(), (seen > 0).sum()]]))
+    out, w0, c0, t0 = [], 0, 0, 0
+    for r, a in zip(rows, asks, strict=True):
+        c_at, t_at = a.starts()
+        w1, c1, t1 = w0 + len(a.vocab), c0 + len(a.n_after), t0 + len(a.after)
+        edges = _starts(a.pieces)
+        pieces = np.stack([np.diff(edges), np.diff(c_at[edges]), np.diff(t_at[c_at[edges]])], axis=1)
+        mine = Answer(answer.seen[w0:w1], answer.back[w0:w1], answer.distinct[w0:w1], answer.context[c0:c1], answer.second[t0:t1],
+                      answer.third[t0:t1], pieces, answer.totals)
+        out.append(_row(r["chunk"], ANSWER, r["chunk"], r["part"], *mine.put()))
+        w0, c0, t0 = w1, c1, t1
     return pa.Table.from_batches([_batch(out)])
 
 
@@ -342,44 +547,53 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "base_score double, score double")
 
 
-def _score(group: pa.Table) -> pa.Table:
-    """One chunk with the answers of all shards: its documents' scores."""
-    rows = group.to_pylist()
-    stream = next(r for r in rows if r["kind"] == STREAM)
-    answers = sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: r["shard"])
+def _score(group: pa.Table, hot, common, total: int, distinct: int) -> pa.Table:
+    """One chunk with its answers: its documents' scores."""
+    rows = group.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
+    stream = rows[0]
     flag, sizes = _get(stream["b"], np.uint8), _get(stream["c"], np.int32).astype(np.int64)
     tokens, vocab = _get(stream["d"], np.uint32).astype(np.int64), _get(stream["e"], np.uint64)
-    shards = len(answers)
-    shard = (vocab % np.uint64(shards)).astype(np.int64)
-    words = np.argsort(shard, kind="stable")
-    before, key = _pairs(tokens, sizes)
-    pairs, which = np.unique(key, return_inverse=True)
-    own = _get(stream["f"], np.int64).reshape(-1, 3)
-    n_names = len(vocab) - int(own[:, 1].sum())
-    head = _split(own, pairs >> 32, vocab[pairs & 0xFFFFFFFF] >> np.uint64(64 - SUCCESSOR_BITS), n_names)
-    by_shard = _by_shard(shard, head)
-    seen, back, code = np.empty(len(vocab)), np.empty(len(vocab)), np.empty(len(pairs), np.uint16)
-    seen[words] = np.concatenate([_get(r["a"], np.int64) for r in answers])
-    back[words] = _probabilities(np.concatenate([_get(r["b"], np.uint16) for r in answers]))
-    code[by_shard] = np.concatenate([_get(r["c"], np.uint16) for r in answers])
-    if len(own):
-        parts = np.empty(len(vocab), np.int64)
-        parts[words[words >= n_names]] = np.concatenate([_get(r["e"], np.int64) for r in answers])
-        first = np.cumsum(own[:, 1]) - own[:, 1]
-        back[own[:, 0]] = _probabilities(_back_off(np.add.reduceat(parts[n_names:], first), own[:, 2]))
-    total, distinct = np.sum([_get(r["d"], np.int64) for r in answers], axis=0).tolist()
+    _, (word, before, context, third, second), hot_before, groups = _ask(vocab, tokens, sizes, flag, hot, common)
+    a = _answers([Answer.get(r) for r in rows[1:]])
+    back = _probabilities(a.back)[before]
+    if groups:
+        # A hot word's distinct successors are those of all its pieces.
+        own = np.array([_probabilities(_back_off(np.array([a.distinct[at].sum()]), np.array([times])))[0] for at, times in groups])
+        back = np.where(hot_before >= 0, own[np.maximum(hot_before, 0)], back)
+    seen = a.seen[word]
     single = (seen + 0.1) / (total + 0.1 * (distinct + 1))
-    p = _probabilities(code)[which] + back[before] * single[tokens]
+    double = _probabilities(a.second[second]) + back * single
+    p = _probabilities(a.third[third]) + _probabilities(a.context[context]) * double
     at = np.cumsum(sizes) - sizes
     return pa.table({
         "doc_id": pa.array(_get(stream["a"], np.int64), mask=(flag & 2) > 0),
         "held_out": pa.array((flag & 1) > 0), "n_tokens": pa.array(sizes),
-        "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64)[tokens], at)),
+        "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), at)),
         "train_tokens": pa.array(np.full(len(sizes), total, np.int64)),
-        "base_score": pa.array(np.add.reduceat(np.log10(single)[tokens], at)),
+        "base_score": pa.array(np.add.reduceat(np.log10(single), at)),
         "score": pa.array(np.add.reduceat(np.log10(p), at))})
 
 
+def _levels(shards: int, fan: int) -> list[int]:
+    """Ranges of hashes at each hop: each at most ``fan`` times as many as before, the last one the shards."""
+    hops = max(1, math.ceil(math.log(max(shards, 2), fan) - 1e-9))
+    step = math.ceil(shards ** (1 / hops))
+    return [step ** (k + 1) for k in range(hops)] if hops > 1 else [shards]
+
+
+def exchange(asks: DataFrame, levels: list[int]) -> DataFrame:
+    """Asks of the first level's ranges -> answers, through relays and shards."""
+    if len(levels) == 1:
+        return asks.groupBy("target").applyInArrow(_answer, _ROW)
+    finer, ranges = levels[1] // levels[0], levels[1]
+    # Relays read whole batches again on the way back: they are written once.
+    dealt = asks.repartition("target").sortWithinPartitions("target", "chunk")
+    sent = materialize(dealt.mapInArrow(lambda b: _relay(b, finer, ranges), _ROW), "lm-relay", "none")
+    answers = exchange(sent.filter(F.col("kind") == ASK), levels[1:])
+    back = sent.filter(F.col("kind") == STREAM).unionByName(answers)
+    return back.groupBy("target").applyInArrow(_back, _ROW)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, held_out, text), learning from those not held out.
 
@@ -391,8 +605,30 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     bound_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = max(1, math.ceil(size / SHARD_BYTES))
+    levels = _levels(max(1, math.ceil(size / SHARD_BYTES)), FAN)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    hot = docs.sparkSession.sparkContext.broadcast(hot_words(rows))
-    rows = rows.mapInArrow(lambda b: _chunks(b, shards, hot.value), _ROW)
-    return rows.groupBy("target").applyInArrow(_answer, _ROW).groupBy("target").applyInArrow(_score, SCORES)
+    hot, common = special_words(rows)
+    order = np.argsort(common)
+    known = docs.sparkSession.sparkContext.broadcast((hot, (order.astype(np.int64), common[order])))
+    sent = rows.mapInArrow(lambda b: _chunks(b, levels[0], *known.value), _ROW)
+    # Chunks are cut once: asks and streams are read from the same table.
+    sent = materialize(sent, "lm-chunks")
+    answers = materialize(exchange(sent.filter(F.col("kind") == ASK), levels), "lm-answers")
+    # Training tokens and distinct words of all shards: a row per answer, few numbers each.
+    totals = _totals(answers).first()
+    n, v = int(totals["n"] or 0), int(totals["v"] or 0)
+    met = sent.filter(F.col("kind") == STREAM).unionByName(answers)
+    return met.groupBy("target").applyInArrow(lambda g: _score(g, *known.value, n, v), SCORES)
+
+
+def _totals(answers: DataFrame) -> DataFrame:
+    """n tokens of training and v distinct words: the totals of every shard, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {tuple(t) for raw in b.column("h").to_pylist() for t in _get(raw, np.int64).reshape(-1, 3).tolist()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))],
+                                             ["shard", "n", "v"])
+
+    each = answers.select("h").mapInArrow(run, "shard long, n long, v long").distinct()
+    return each.agg(F.sum("n").alias("n"), F.sum("v").alias("v"))

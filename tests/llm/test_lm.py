@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import jobs, ngram_lm
+from quarry.llm.elias_fano import EliasFano, Lists
 
 
 def brute(rows):
@@ -15,23 +16,26 @@ def brute(rows):
         words = (text or "").encode().lower().split()
         held = zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
         tokens.append((i, held, [*words, b"\0end"]))
-    c1, c2 = Counter(), defaultdict(Counter)
+    c1, c2, c3 = Counter(), defaultdict(Counter), defaultdict(Counter)
     for _, held, t in tokens:
         if not held:
             c1.update(t)
-            for a, b in zip([b"\0start", *t], t):
-                c2[a][b] += 1
-    n, v = sum(c1.values()), len(c1)
+            before = [b"\0start", b"\0start", *t]
+            for u, v, w in zip(before, before[1:], t):
+                c2[v][w] += 1
+                c3[u, v][w] += 1
+    total2, total3 = {k: sum(x.values()) for k, x in c2.items()}, {k: sum(x.values()) for k, x in c3.items()}
+    n, v_ = sum(c1.values()), len(c1)
     out = []
     for i, held, t in tokens:
         base = score = known = 0
-        for a, b in zip([b"\0start", *t], t):
-            single = (c1[b] + 0.1) / (n + 0.1 * (v + 1))
-            total = sum(c2[a].values())
-            p = single
-            if total:
-                p = max(c2[a][b] - 0.75, 0) / total + 0.75 * len(c2[a]) / total * single
-            base, score, known = base + math.log10(single), score + math.log10(p), known + (c1[b] > 0)
+        before = [b"\0start", b"\0start", *t]
+        for u, v, w in zip(before, before[1:], t):
+            p = single = (c1[w] + 0.1) / (n + 0.1 * (v_ + 1))
+            for counts, totals, key in ((c2, total2, v), (c3, total3, (u, v))):
+                if key in totals:
+                    p = max(counts[key][w] - 0.75, 0) / totals[key] + 0.75 * len(counts[key]) / totals[key] * p
+            base, score, known = base + math.log10(single), score + math.log10(p), known + (c1[w] > 0)
         out.append((i, held, len(t), known, n, base, score))
     return out
 
@@ -44,7 +48,7 @@ def compare(spark, folder, df):
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert math.isclose(g[5], w[5], rel_tol=1e-9)
-        assert abs(g[6] - w[6]) <= g[2] / ngram_lm.STEPS + 1e-9  # the stored probabilities are rounded down
+        assert abs(g[6] - w[6]) <= 2 * g[2] / ngram_lm.STEPS + 1e-9  # the stored probabilities are rounded down
     return got
 
 
@@ -55,45 +59,102 @@ def test_op4_equals_brute_force(spark, folder, docs, edges):
     compare(spark, folder, edges)
 
 
-def test_op4_many_shards_and_chunks(spark, folder, docs, monkeypatch):
-    """The same scores whatever the chunks and shards (local workers are forked: they see the patch
-    only as an argument, so the functions are called directly)."""
-    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", 5000)
-    monkeypatch.setattr(ngram_lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("U", (), {"partitionId": staticmethod(lambda: 3)}))}))
+def one_task(rows, monkeypatch, fan, shard_bytes, hot=None, chunk_tokens=5000):
+    """All steps on one machine, with small chunks and shards (Spark's workers don't see patches)."""
     import pyarrow as pa
-    rows = [(r.doc_id, r.text) for r in docs.limit(80).select("doc_id", "text").collect()]
+    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", chunk_tokens)
+    monkeypatch.setattr(ngram_lm, "RELAY_ROWS", min(fan, 40))
+    monkeypatch.setattr(ngram_lm, "SEEN", 2)
+    monkeypatch.setattr(ngram_lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("U", (), {"partitionId": staticmethod(lambda: 3)}))}))
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(held), pa.array([r[1] for r in rows])],
                                        ["doc_id", "held_out", "text"])
-    sent = pa.Table.from_batches(list(ngram_lm._chunks(iter([batch]), 7)))
-    answers = pa.concat_tables([ngram_lm._answer(sent.filter(pa.compute.equal(sent["target"], s))) for s in range(7)])
-    chunks = pa.compute.unique(answers["target"]).to_pylist()
-    assert len(chunks) > 3
-    got = [r for c in chunks for r in ngram_lm._score(answers.filter(pa.compute.equal(answers["target"], c))).to_pylist()]
+    load = defaultdict(lambda: [0, 0, 0])
+    for b in ngram_lm._load(iter([batch])):
+        for r in b.to_pylist():
+            load[r["word"] % (1 << 64)] = [x + y for x, y in zip(load[r["word"] % (1 << 64)], (r["entries"], r["times"], r["seen"]))]
+    hot = {w: (-(-e // hot), t) for w, (e, t, _) in load.items() if hot and e > hot}
+    common = np.array(sorted(load, key=lambda w: -load[w][2])[:200], np.uint64)
+    order = np.argsort(common)
+    known = (hot, (order.astype(np.int64), common[order]))
+    levels = ngram_lm._levels(max(1, math.ceil(sum(len((t or "").encode()) for _, t in rows) / shard_bytes)), fan)
+    table = lambda batches: pa.Table.from_batches(list(batches))
+    by = lambda t, k="target": [t.filter(pa.compute.equal(t[k], x)) for x in sorted(pa.compute.unique(t[k]).to_pylist())]
+    kind = lambda t, k: t.filter(pa.compute.equal(t["kind"], k))
+    sent = table(ngram_lm._chunks(iter([batch]), levels[0], *known))
+    asked = []
+
+    def exchange(asks, levels):
+        asked.append(asks.num_rows)
+        if len(levels) == 1:
+            return pa.concat_tables([ngram_lm._answer(g) for g in by(asks)])
+        relayed = table(ngram_lm._relay(iter(asks.sort_by([("target", "ascending"), ("chunk", "ascending")]).to_batches()),
+                                        levels[1] // levels[0], levels[1]))
+        answers = exchange(kind(relayed, ngram_lm.ASK), levels[1:])
+        return pa.concat_tables([ngram_lm._back(g) for g in by(pa.concat_tables([kind(relayed, ngram_lm.STREAM), answers]))])
+
+    answers = exchange(kind(sent, ngram_lm.ASK), levels)
+    totals = {tuple(x) for raw in answers["h"].to_pylist() for x in ngram_lm._get(raw, np.int64).reshape(-1, 3).tolist()}
+    n, v = sum(t[1] for t in totals), sum(t[2] for t in totals)
+    got = [r for g in by(pa.concat_tables([kind(sent, ngram_lm.STREAM), answers])) for r in ngram_lm._score(g, *known, n, v).to_pylist()]
     want = {w[0]: w for w in brute(rows)}
     assert len(got) == len(want)
     for g in got:
         w = want[g["doc_id"]]
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == w[2:5]
-        assert math.isclose(g["base_score"], w[5], rel_tol=1e-9) and abs(g["score"] - w[6]) <= w[2] / ngram_lm.STEPS + 1e-9
+        assert math.isclose(g["base_score"], w[5], rel_tol=1e-9) and abs(g["score"] - w[6]) <= 2 * w[2] / ngram_lm.STEPS + 1e-9
+    return levels, asked, sent, hot
+
+
+@pytest.mark.parametrize("fan,shard_bytes", [(1024, 1 << 30), (1024, 5000), (8, 5000), (3, 5000)])
+def test_op4_many_shards_chunks_and_relays(docs, monkeypatch, fan, shard_bytes):
+    rows = [(r.doc_id, r.text) for r in docs.limit(80).select("doc_id", "text").collect()]
+    levels, asked, _, _ = one_task(rows, monkeypatch, fan, shard_bytes)
+    assert len(levels) == (1 if fan == 1024 else 2 if fan == 8 else 4) and len(asked) == len(levels)
+
+
+def test_op4_requests_grow_like_the_corpus(monkeypatch):
+    """Twice and four times the documents: the rows asked grow as much, not as the square."""
+    import random
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(120))
+    rows = [(i, text()) for i in range(400)]
+    counts = []
+    for n in (100, 200, 400):
+        _, asked, _, _ = one_task(rows[:n], monkeypatch, 6, 1500, chunk_tokens=500)
+        counts.append(sum(asked))
+    assert counts[1] < 2.6 * counts[0] and counts[2] < 2.6 * counts[1]
 
 
 def test_op4_empty(spark, docs, folder):
     assert jobs.op4_lm_scores(spark, folder(documents=docs.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (5, 3), (1000, 1 << 50), (200_000, 1 << 62), (150_000, 200_000)])
+@pytest.mark.parametrize("n,top", [(0, 1), (1, 1), (5, 3), (1000, 1 << 50), (200_000, 1 << 55), (150_000, 200_000), (3000, 10)])
 def test_elias_fano(n, top):
     rng = np.random.default_rng(n)
     values = np.sort(rng.integers(0, top, n))
-    ef = ngram_lm.EliasFano(values)
-    assert (ef.all() == values).all()
-    wanted = np.sort(np.concatenate([values[::3], rng.integers(0, top, 50)]))
-    at = ef.find(wanted)
-    assert ((at >= 0) == np.isin(wanted, values)).all()
-    assert (values[at[at >= 0]] == wanted[at >= 0]).all()
+    ef = EliasFano(values)
+    assert (ef.get(np.arange(n)) == values).all()
+    wanted = np.concatenate([values[::3], rng.integers(0, top, 500), [top + 5, 0]])
+    first = np.searchsorted(values, wanted)
+    there = np.isin(wanted, values)
+    assert (ef.find(wanted) == np.where(there, first, -1)).all()
     if n == 200_000:
-        assert len(ef.bytes) < 0.85 * values.nbytes
+        assert len(ef.map) < 0.85 * values.nbytes
+
+
+def test_lists_look_within_their_range():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 6, 2000)
+    lists = [np.sort(rng.choice(50, k, replace=False)) for k in sizes]
+    both = Lists(sizes, np.concatenate(lists))
+    which, number = rng.integers(0, 2000, 20_000), rng.integers(0, 50, 20_000)
+    at, begin = both.find(which, number)
+    starts = np.cumsum(sizes) - sizes
+    for k, x, a, b in zip(which.tolist(), number.tolist(), at.tolist(), begin.tolist()):
+        place = np.flatnonzero(lists[k] == x)
+        assert b == starts[k] and a == (b + place[0] if len(place) else -1)
 
 
 def skewed(n):
@@ -102,30 +163,33 @@ def skewed(n):
 
 
 def test_op4_hot_words_span_shards(spark, folder, docs, monkeypatch):
-    """A word's successors come in pieces to several shards, and the scores stay the very same."""
-    import pyarrow as pa
+    """A word's trigrams and bigrams come in pieces to several shards; the scores stay the same."""
     plain = compare(spark, folder, docs)
-    monkeypatch.setattr(ngram_lm, "HOT_ENTRIES", 20)
-    assert compare(spark, folder, docs) == plain
+    monkeypatch.setattr(ngram_lm, "HOT_ENTRIES", 50)
+    split = compare(spark, folder, docs)
+    for a, b in zip(plain, split):
+        assert a[:6] == b[:6] and math.isclose(a[6], b[6], rel_tol=1e-12, abs_tol=1e-9)
     texts = skewed(200)
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    compare(spark, folder, df)
-    monkeypatch.setattr(ngram_lm, "CHUNK_TOKENS", 2000)
-    monkeypatch.setattr(ngram_lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("U", (), {"partitionId": staticmethod(lambda: 3)}))}))
-    held = pa.array([False] * len(texts))
-    batch = pa.RecordBatch.from_arrays([pa.array([t[0] for t in texts]), held, pa.array([t[1] for t in texts])],
-                                       ["doc_id", "held_out", "text"])
-    from pyspark.sql import functions as F
-    hot = ngram_lm.hot_words(df.withColumn("held_out", F.lit(False)))
-    sent = [r for b in ngram_lm._chunks(iter([batch]), 16, hot) for r in b.to_pylist()]
-    load = [0] * 16
-    for r in sent:
+    compare(spark, folder, spark.createDataFrame(texts, "doc_id long, text string"))
+    _, _, sent, hot = one_task(texts, monkeypatch, 1024, 3000, hot=300, chunk_tokens=2000)
+    assert hot
+    load = Counter()
+    for r in sent.to_pylist():
         if r["kind"] == ngram_lm.ASK:
-            load[r["target"]] += len(ngram_lm._get(r["f"], np.uint32))
-    assert max(load) < 0.2 * sum(load)  # the hot word alone brings half of all
-    assert len({r["target"] for r in sent if r["kind"] == ngram_lm.STREAM}) > 5
-
-
-def test_op4_streams_of_all_partitions_spread():
-    """Chunk ids are partition << 24 | number: their low bits alone would choose few shards."""
-    assert len({ngram_lm._spread(p << 24, 64) for p in range(500)}) > 48
+            load[r["target"]] += len(ngram_lm._get(r["i"], np.uint32))
+    assert max(load.values()) < 0.25 * sum(load.values())  # the hot word alone brings half of all
+
+
+def test_op4_tells_documents_that_occur_twice(spark, folder):
+    """A held-out document whose copy is learned from scores far above its unigram score."""
+    import random
+    rng = random.Random(9)
+    words = [f"v{k}" for k in range(400)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(80))
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    kept = [i for i in range(4000) if i not in set(held)]
+    copies = [text() for _ in range(40)]
+    rows = [*zip(held[:40], copies), *zip(kept[:40], copies), *[(i, text()) for i in (*held[40:120], *kept[40:1200])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in jobs.op4_lm_scores(spark, folder(documents=df)).collect()}
+    assert min(gain[i] for i in held[:40]) > max(gain[i] for i in held[40:120]) + 0.5
