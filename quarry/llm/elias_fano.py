@@ -13,7 +13,7 @@ import mmap
 import numpy as np
 
 #: Every ``SAMPLE``-th one and zero of the unary bits has its position stored.
-SAMPLE = 16
+SAMPLE = 8
 _PACK = 1 << 16
 
 
@@ -104,7 +104,7 @@ class EliasFano:
         at[later] = _select(self.high, self.zero_at, bucket[later] - 1, _ALL) + 1
         i = at - bucket
         todo = np.arange(len(some))
-        while len(todo):
+        for _ in range(3):  # most buckets hold few elements: these are looked at one by one
             bit = at[todo]
             one = (self.high[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             todo = todo[one]
@@ -112,8 +112,20 @@ class EliasFano:
             hit = low == x[todo]
             out[some[todo[hit]]] = i[todo[hit]]
             todo = todo[low < x[todo]]
+            if not len(todo):
+                return out
             at[todo] += 1
             i[todo] += 1
+        # The others by halves, up to the bucket's own zero.
+        lo, want = i[todo], x[todo]
+        hi = end = _select(self.high, self.zero_at, bucket[todo], _ALL) - bucket[todo]
+        while (lo < hi).any():
+            mid = (lo + hi) >> 1
+            right = (lo < hi) & (self._low(np.minimum(mid, self.n - 1)) < want)
+            lo, hi = np.where(right, mid + 1, lo), np.where(right, hi, np.minimum(mid, hi))
+        there = np.flatnonzero(lo < end)
+        there = there[self._low(lo[there]) == want[there]]
+        out[some[todo[there]]] = lo[there]
         return out
 
 
@@ -132,9 +144,15 @@ class Lists:
 
     def find(self, which: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of ``number`` in the list ``which``, among all, or -1; and where the list begins."""
-        begin, end = self.pointers.get(which), self.pointers.get(which + 1)
-        base = np.zeros(len(which), np.int64)
+        if not len(which):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # A list asked for many times in a row is looked up once.
+        new = np.concatenate([[True], which[1:] != which[:-1]])
+        lists, run = which[new], np.cumsum(new) - 1
+        begin, end = self.pointers.get(lists), self.pointers.get(lists + 1)
+        base = np.zeros(len(lists), np.int64)
         later = np.flatnonzero(begin > 0)
         base[later] = self.values.get(begin[later] - 1) + 1
+        begin, end, base = begin[run], end[run], base[run]
         at = self.values.find(base + number)
         return np.where((at >= begin) & (at < end), at, -1), begin

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import bound_batches, give_back, materialize, slices
@@ -273,6 +273,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield close()
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut a partition's documents into chunks: ids, flags, sizes, word numbers and words. Frequent
+    words get small numbers, so most tokens take two bytes."""
+    part = TaskContext.get().partitionId()
+    for n, (vocab, tokens, sizes, flag, ids) in enumerate(_cut(batches)):
+        chunk = (part << 24) | n
+        order = np.argsort(-np.bincount(tokens, minlength=len(vocab))[2:], kind="stable") + 2
+        new = np.empty(len(vocab), np.int64)
+        new[:2], new[order] = (0, 1), np.arange(2, len(vocab))
+        few, low, _ = _put_short(new[tokens])
+        yield _batch([_row(chunk, STREAM, chunk, -1, ids, flag, sizes.astype(np.int32), few, low,
+                           np.concatenate([vocab[:2], vocab[order]]))])
+    give_back()
+
+
+def _chunk(row: dict) -> tuple:
+    """Words, tokens, sizes, flags and ids of a chunk."""
+    low = _get(row["e"], np.uint32)
+    tokens = _get_short(_get(row["d"], np.uint16), low, np.zeros(len(low), np.uint8))
+    return (_get(row["f"], np.uint64), tokens, _get(row["c"], np.int32).astype(np.int64), _get(row["b"], np.uint8),
+            _get(row["a"], np.int64))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        for row in b.to_pylist():
+            yield row["chunk"], _chunk(row)
+
+
 def _befores(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word before each token and the one before that (number 0 before a text's start)."""
     first = np.cumsum(sizes) - sizes
@@ -291,34 +320,44 @@ def _tree(u: np.ndarray, v: np.ndarray, w: np.ndarray):
     return contexts, trigrams, c, t
 
 
-_LOAD = "word long, entries long, times long, seen long"
+_LOAD = "word long, contexts long, times long, seen long, train long"
 
 
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk and word: the trigrams sent for it, how often training goes on from it, and how
-    often it is a token."""
-    for vocab, tokens, sizes, flag, _ in _cut(batches):
-        u, v = _befores(tokens, sizes)
-        contexts, trigrams, _, _ = _tree(u, v, tokens)
-        entries = np.bincount((contexts >> 32)[trigrams >> 32], minlength=len(vocab))
-        times = np.bincount(v, np.repeat(flag & 1 == 0, sizes), len(vocab)).astype(np.int64)
-        seen = np.bincount(tokens, minlength=len(vocab))
-        often = np.flatnonzero(entries + seen > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(vocab.view(np.int64)[often]), pa.array(entries[often]), pa.array(times[often]),
-                                          pa.array(seen[often])], ["word", "entries", "times", "seen"])
+    """Per chunk and word: how often it stands before a token (no more trigrams are sent for it), how
+    often so in training, and how often it is a token, and a token of training."""
+    for _, (vocab, tokens, sizes, flag, _) in _read(batches):
+        _, v = _befores(tokens, sizes)
+        train = np.repeat(flag & 1 == 0, sizes)
+        n = len(vocab)
+        cols = [np.bincount(v, minlength=n), np.bincount(v, train, n), np.bincount(tokens, minlength=n), np.bincount(tokens, train, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(vocab.view(np.int64)), *[pa.array(c.astype(np.int64)) for c in cols]],
+                                         ["word", "contexts", "times", "seen", "train"])
     give_back()
 
 
-def special_words(docs: DataFrame) -> tuple[dict[int, tuple[int, int]], np.ndarray]:
-    """Hot words, by hash, with pieces and training count as a context; and the common words' hashes,
-    most frequent first."""
-    sums = [F.sum(c).alias(c) for c in ("entries", "times", "seen")]
-    load = docs.mapInArrow(_load, _LOAD).groupBy("word").agg(*sums).filter((F.col("seen") >= SEEN) | (F.col("entries") > HOT_ENTRIES))
-    load = materialize(load, "lm-words")
-    hot = {r["word"] % (1 << 64): (-(-r["entries"] // HOT_ENTRIES), r["times"])
-           for r in load.filter(F.col("entries") > HOT_ENTRIES).collect()}
-    common = load.orderBy(F.desc("seen"), "word").limit(COMMON).select("word").toArrow().column("word").to_numpy()
-    return hot, common.view(np.uint64)
+@dataclass
+class Known:
+    """What all tasks know: hot words by hash, with pieces and training count as a context; the common
+    words' hashes in order, and their numbers; tokens and distinct words of training."""
+
+    hot: dict[int, tuple[int, int]]
+    common: tuple[np.ndarray, np.ndarray]
+    tokens: int
+    distinct: int
+
+
+def special_words(chunks: DataFrame) -> Known:
+    sums = [F.sum(c).alias(c) for c in ("contexts", "times", "seen", "train")]
+    totals = Observation()
+    words = chunks.mapInArrow(_load, _LOAD).groupBy("word").agg(*sums).observe(
+        totals, F.sum("train").alias("tokens"), F.count_if(F.col("train") > 0).alias("distinct"))
+    words = materialize(words.filter((F.col("seen") >= SEEN) | (F.col("contexts") > HOT_ENTRIES)), "lm-words")
+    hot = {r["word"] % (1 << 64): (-(-r["contexts"] // HOT_ENTRIES), r["times"])
+           for r in words.filter(F.col("contexts") > HOT_ENTRIES).collect()}
+    common = words.orderBy(F.desc("seen"), "word").limit(COMMON).select("word").toArrow().column("word").to_numpy().view(np.uint64)
+    order = np.argsort(common)
+    return Known(hot, (order.astype(np.int64), common[order]), int(totals.get["tokens"] or 0), int(totals.get["distinct"] or 0))
 
 
 def _piece_hash(word: int, kind: str, nth: int) -> int:
@@ -327,7 +366,7 @@ def _piece_hash(word: int, kind: str, nth: int) -> int:
     return xxhash.xxh64_intdigest(f"{word} {kind} {nth}")
 
 
-def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndarray, hot, common: np.ndarray):
+def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndarray, known: Known):
     """A chunk's question, and how its tokens find their answers.
 
     Returns the Ask (words by hash), and per token its place in the answers: word of the token, word
@@ -337,11 +376,11 @@ def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndar
     train = np.repeat(flag & 1 == 0, sizes)
     u, v = _befores(tokens, sizes)
     n = len(vocab)
-    rank = np.searchsorted(common[1], vocab)
-    known = common[1][np.minimum(rank, len(common[1]) - 1)] == vocab if len(common[1]) else np.zeros(n, bool)
+    hot, (number, common) = known.hot, known.common
     short = (vocab >> np.uint64(64 - SHORT_BITS)).astype(np.int64) + _RARE + 1
-    if len(common[1]):
-        short = np.where(known, common[0][np.minimum(rank, len(common[1]) - 1)], short)
+    if len(common):
+        rank = np.minimum(np.searchsorted(common, vocab), len(common) - 1)
+        short = np.where(common[rank] == vocab, number[rank], short)
     mine = np.flatnonzero(np.isin(vocab, np.fromiter(hot, np.uint64, len(hot))))
     pieces, names, whole = np.zeros(n, np.int64), [vocab], [np.full(n, -1)]
     first_u, first_w = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -387,13 +426,10 @@ def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndar
     return ask, (place[tokens], place[v], c_place[c[:len(tokens)]], t_place[t[:len(tokens)]], second), which[v], groups
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], ranges: int, hot, common) -> Iterator[pa.RecordBatch]:
-    """Cut a partition's documents into chunks: each as a stream row and an ask per range of words."""
-    part = TaskContext.get().partitionId()
-    for n_chunks, (vocab, tokens, sizes, flag, ids) in enumerate(_cut(batches)):
-        chunk = (part << 24) | n_chunks
-        ask, _, _, _ = _ask(vocab, tokens, sizes, flag, hot, common)
-        yield _batch([_row(chunk, STREAM, chunk, -1, ids, flag, sizes.astype(np.int32), tokens.astype(np.uint32), vocab)])
+def _asks(batches: Iterator[pa.RecordBatch], ranges: int, known: Known) -> Iterator[pa.RecordBatch]:
+    """A partition's chunks as asks: a row per chunk and range of words."""
+    for chunk, (vocab, tokens, sizes, flag, _) in _read(batches):
+        ask = _ask(vocab, tokens, sizes, flag, known)[0]
         cut, starts, rows = np.searchsorted(_range_of(ask.vocab, ranges), np.arange(ranges + 1)), ask.starts(), []
         for r in range(ranges):
             if cut[r] < cut[r + 1]:
@@ -473,16 +509,15 @@ class Answer:
     second: np.ndarray
     third: np.ndarray
     pieces: np.ndarray   # words, contexts and trigrams of each piece
-    totals: np.ndarray   # tokens and distinct words of the shards
 
     def put(self) -> tuple:
-        return (self.seen, self.back, self.distinct, self.context, self.second, self.third, self.pieces, self.totals)
+        return (self.seen, self.back, self.distinct, self.context, self.second, self.third, self.pieces)
 
     @classmethod
     def get(cls, row: dict) -> Answer:
-        kinds = (np.int64, np.uint16, np.int64, np.uint16, np.uint16, np.uint16, np.int64, np.int64)
-        got = [_get(row[c], k) for c, k in zip("abcdefgh", kinds, strict=True)]
-        got[6], got[7] = got[6].reshape(-1, 3), got[7].reshape(-1, 3)
+        kinds = (np.int64, np.uint16, np.int64, np.uint16, np.uint16, np.uint16, np.int64)
+        got = [_get(row[c], k) for c, k in zip("abcdefg", kinds, strict=True)]
+        got[6] = got[6].reshape(-1, 3)
         return cls(*got)
 
     def cut(self) -> np.ndarray:
@@ -491,13 +526,11 @@ class Answer:
     def part(self, i: int, cut: np.ndarray) -> Answer:
         (a, b, c), (x, y, z) = cut[i].tolist(), cut[i + 1].tolist()
         return Answer(self.seen[a:x], self.back[a:x], self.distinct[a:x], self.context[b:y], self.second[c:z], self.third[c:z],
-                      self.pieces[i:i + 1], self.totals)
+                      self.pieces[i:i + 1])
 
 
 def _side_by_side(parts: list[Answer]) -> Answer:
-    whole = Answer(*[np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Answer)])
-    whole.totals = np.unique(whole.totals, axis=0)
-    return whole
+    return Answer(*[np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Answer)])
 
 
 def _answers(parts: list[Answer]) -> Answer:
@@ -510,7 +543,6 @@ def _answers(parts: list[Answer]) -> Answer:
 def _answer(group: pa.Table) -> pa.Table:
     """One shard: sum the counts, build its trie, answer every row."""
     rows = group.sort_by([("chunk", "ascending")]).to_pylist()
-    shard = rows[0]["target"]
     asks = [Ask.get(r) for r in rows]
     whole = _joined(asks)
     known, number = np.unique(whole.vocab, return_inverse=True)
@@ -528,8 +560,7 @@ def _answer(group: pa.Table) -> pa.Table:
     trie = Trie(len(known), kv[there], ku[there], kw[there], count[there], of_word)
     place, context_code = trie.contexts(contexts >> 32, contexts & 0xFFFFFFFF)
     second, third = trie.codes(kv, kw, place[keys >> 32])
-    answer = Answer(seen[number], trie.back_off[number], trie.distinct[number], context_code[c], second[t], third[t], None,
-                    np.array([[shard, seen.sum(), (seen > 0).sum()]]))
+    answer = Answer(seen[number], trie.back_off[number], trie.distinct[number], context_code[c], second[t], third[t], None)
     out, w0, c0, t0 = [], 0, 0, 0
     for r, a in zip(rows, asks, strict=True):
         c_at, t_at = a.starts()
@@ -537,7 +568,7 @@ def _answer(group: pa.Table) -> pa.Table:
         edges = _starts(a.pieces)
         pieces = np.stack([np.diff(edges), np.diff(c_at[edges]), np.diff(t_at[c_at[edges]])], axis=1)
         mine = Answer(answer.seen[w0:w1], answer.back[w0:w1], answer.distinct[w0:w1], answer.context[c0:c1], answer.second[t0:t1],
-                      answer.third[t0:t1], pieces, answer.totals)
+                      answer.third[t0:t1], pieces)
         out.append(_row(r["chunk"], ANSWER, r["chunk"], r["part"], *mine.put()))
         w0, c0, t0 = w1, c1, t1
     return pa.Table.from_batches([_batch(out)])
@@ -547,13 +578,12 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
           "base_score double, score double")
 
 
-def _score(group: pa.Table, hot, common, total: int, distinct: int) -> pa.Table:
+def _score(group: pa.Table, known: Known) -> pa.Table:
     """One chunk with its answers: its documents' scores."""
     rows = group.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
-    stream = rows[0]
-    flag, sizes = _get(stream["b"], np.uint8), _get(stream["c"], np.int32).astype(np.int64)
-    tokens, vocab = _get(stream["d"], np.uint32).astype(np.int64), _get(stream["e"], np.uint64)
-    _, (word, before, context, third, second), hot_before, groups = _ask(vocab, tokens, sizes, flag, hot, common)
+    stream, total, distinct = rows[0], known.tokens, known.distinct
+    vocab, tokens, sizes, flag, ids = _chunk(stream)
+    _, (word, before, context, third, second), hot_before, groups = _ask(vocab, tokens, sizes, flag, known)
     a = _answers([Answer.get(r) for r in rows[1:]])
     back = _probabilities(a.back)[before]
     if groups:
@@ -566,7 +596,7 @@ def _score(group: pa.Table, hot, common, total: int, distinct: int) -> pa.Table:
     p = _probabilities(a.third[third]) + _probabilities(a.context[context]) * double
     at = np.cumsum(sizes) - sizes
     return pa.table({
-        "doc_id": pa.array(_get(stream["a"], np.int64), mask=(flag & 2) > 0),
+        "doc_id": pa.array(ids, mask=(flag & 2) > 0),
         "held_out": pa.array((flag & 1) > 0), "n_tokens": pa.array(sizes),
         "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), at)),
         "train_tokens": pa.array(np.full(len(sizes), total, np.int64)),
@@ -607,28 +637,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     levels = _levels(max(1, math.ceil(size / SHARD_BYTES)), FAN)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    hot, common = special_words(rows)
-    order = np.argsort(common)
-    known = docs.sparkSession.sparkContext.broadcast((hot, (order.astype(np.int64), common[order])))
-    sent = rows.mapInArrow(lambda b: _chunks(b, levels[0], *known.value), _ROW)
-    # Chunks are cut once: asks and streams are read from the same table.
-    sent = materialize(sent, "lm-chunks")
-    answers = materialize(exchange(sent.filter(F.col("kind") == ASK), levels), "lm-answers")
-    # Training tokens and distinct words of all shards: a row per answer, few numbers each.
-    totals = _totals(answers).first()
-    n, v = int(totals["n"] or 0), int(totals["v"] or 0)
-    met = sent.filter(F.col("kind") == STREAM).unionByName(answers)
-    return met.groupBy("target").applyInArrow(lambda g: _score(g, *known.value, n, v), SCORES)
-
-
-def _totals(answers: DataFrame) -> DataFrame:
-    """n tokens of training and v distinct words: the totals of every shard, once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = {tuple(t) for raw in b.column("h").to_pylist() for t in _get(raw, np.int64).reshape(-1, 3).tolist()}
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))],
-                                             ["shard", "n", "v"])
-
-    each = answers.select("h").mapInArrow(run, "shard long, n long, v long").distinct()
-    return each.agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    # The texts are read once; all else works on the written chunks.
+    chunks = materialize(rows.mapInArrow(_chunks, _ROW), "lm-chunks")
+    known = docs.sparkSession.sparkContext.broadcast(special_words(chunks))
+    answers = exchange(chunks.mapInArrow(lambda b: _asks(b, levels[0], known.value), _ROW), levels)
+    return chunks.unionByName(answers).groupBy("target").applyInArrow(lambda g: _score(g, known.value), SCORES)

@@ -69,19 +69,21 @@ def one_task(rows, monkeypatch, fan, shard_bytes, hot=None, chunk_tokens=5000):
     held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
     batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array(held), pa.array([r[1] for r in rows])],
                                        ["doc_id", "held_out", "text"])
-    load = defaultdict(lambda: [0, 0, 0])
-    for b in ngram_lm._load(iter([batch])):
+    load = defaultdict(lambda: np.zeros(4, np.int64))
+    table = lambda batches: pa.Table.from_batches(list(batches))
+    streams = table(ngram_lm._chunks(iter([batch])))
+    for b in ngram_lm._load(iter(streams.to_batches())):
         for r in b.to_pylist():
-            load[r["word"] % (1 << 64)] = [x + y for x, y in zip(load[r["word"] % (1 << 64)], (r["entries"], r["times"], r["seen"]))]
-    hot = {w: (-(-e // hot), t) for w, (e, t, _) in load.items() if hot and e > hot}
+            load[r["word"] % (1 << 64)] += np.array([r["contexts"], r["times"], r["seen"], r["train"]])
+    hot = {w: (-(-int(x[0]) // hot), int(x[1])) for w, x in load.items() if hot and x[0] > hot}
     common = np.array(sorted(load, key=lambda w: -load[w][2])[:200], np.uint64)
     order = np.argsort(common)
-    known = (hot, (order.astype(np.int64), common[order]))
+    known = ngram_lm.Known(hot, (order.astype(np.int64), common[order]), sum(int(x[3]) for x in load.values()),
+                           sum(bool(x[3] > 0) for x in load.values()))
     levels = ngram_lm._levels(max(1, math.ceil(sum(len((t or "").encode()) for _, t in rows) / shard_bytes)), fan)
-    table = lambda batches: pa.Table.from_batches(list(batches))
     by = lambda t, k="target": [t.filter(pa.compute.equal(t[k], x)) for x in sorted(pa.compute.unique(t[k]).to_pylist())]
     kind = lambda t, k: t.filter(pa.compute.equal(t["kind"], k))
-    sent = table(ngram_lm._chunks(iter([batch]), levels[0], *known))
+    sent = table(ngram_lm._asks(iter(streams.to_batches()), levels[0], known))
     asked = []
 
     def exchange(asks, levels):
@@ -93,10 +95,8 @@ def one_task(rows, monkeypatch, fan, shard_bytes, hot=None, chunk_tokens=5000):
         answers = exchange(kind(relayed, ngram_lm.ASK), levels[1:])
         return pa.concat_tables([ngram_lm._back(g) for g in by(pa.concat_tables([kind(relayed, ngram_lm.STREAM), answers]))])
 
-    answers = exchange(kind(sent, ngram_lm.ASK), levels)
-    totals = {tuple(x) for raw in answers["h"].to_pylist() for x in ngram_lm._get(raw, np.int64).reshape(-1, 3).tolist()}
-    n, v = sum(t[1] for t in totals), sum(t[2] for t in totals)
-    got = [r for g in by(pa.concat_tables([kind(sent, ngram_lm.STREAM), answers])) for r in ngram_lm._score(g, *known, n, v).to_pylist()]
+    answers = exchange(sent, levels)
+    got = [r for g in by(pa.concat_tables([streams, answers])) for r in ngram_lm._score(g, known).to_pylist()]
     want = {w[0]: w for w in brute(rows)}
     assert len(got) == len(want)
     for g in got:
