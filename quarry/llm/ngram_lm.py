@@ -47,7 +47,7 @@ from .elias_fano import Lists
 
 #: Tokens of a chunk and bytes of text behind a shard. Both bound the memory of a task.
 CHUNK_TOKENS = 1 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 #: Trigram entries, over all chunks, of one word (or piece of one) that a shard may have to hold.
 HOT_ENTRIES = 1 << 20
 #: Words with numbers of their own, and how often a word is there at least to be looked at.
@@ -169,14 +169,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _put_short(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of common words as 16 bits each; the others' 40 bits beside, in two parts."""
-    rare = ids > _RARE
-    rest = ids[rare] - _RARE - 1
+    rare = ids >= _RARE
+    rest = ids[rare] - _RARE
     return np.where(rare, _RARE, ids).astype(np.uint16), rest.astype(np.uint32), (rest >> 32).astype(np.uint8)
 
 
 def _get_short(few: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     ids = few.astype(np.int64)
-    ids[few == _RARE] = (low.astype(np.int64) | (high.astype(np.int64) << 32)) + _RARE + 1
+    ids[few == _RARE] = (low.astype(np.int64) | (high.astype(np.int64) << 32)) + _RARE
     return ids
 
 
@@ -377,7 +377,7 @@ def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndar
     u, v = _befores(tokens, sizes)
     n = len(vocab)
     hot, (number, common) = known.hot, known.common
-    short = (vocab >> np.uint64(64 - SHORT_BITS)).astype(np.int64) + _RARE + 1
+    short = (vocab >> np.uint64(64 - SHORT_BITS)).astype(np.int64) + _RARE
     if len(common):
         rank = np.minimum(np.searchsorted(common, vocab), len(common) - 1)
         short = np.where(common[rank] == vocab, number[rank], short)

@@ -193,3 +193,8 @@ def test_op4_tells_documents_that_occur_twice(spark, folder):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     gain = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in jobs.op4_lm_scores(spark, folder(documents=df)).collect()}
     assert min(gain[i] for i in held[:40]) > max(gain[i] for i in held[40:120]) + 0.5
+
+
+def test_short_numbers_round_trip():
+    ids = np.concatenate([np.arange(65_500, 65_600), [0, 1 << 32, (1 << 40) + 65_534, 5]])
+    assert (ngram_lm._get_short(*ngram_lm._put_short(ids)) == ids).all()
