@@ -49,7 +49,7 @@ from .elias_fano import Lists
 CHUNK_TOKENS = 1 << 20
 SHARD_BYTES = 6 << 20
 #: Trigram entries, over all chunks, of one word (or piece of one) that a shard may have to hold.
-HOT_ENTRIES = 1 << 20
+HOT_ENTRIES = 1 << 18
 #: Words with numbers of their own, and how often a word is there at least to be looked at.
 COMMON = 65_000
 SEEN = 16
@@ -199,16 +199,20 @@ class Ask:
     def put(self) -> tuple:
         few, low, high = _put_short(np.concatenate([self.before, self.after]))
         whole = self.whole if (self.whole >= 0).any() else None
-        return (self.vocab, self.seen.astype(np.uint32), whole, self.n_before.astype(np.uint32), self.n_after.astype(np.uint32),
+        # Hashes in order are close together: the steps between them are shorter.
+        steps = np.diff(self.vocab, prepend=np.uint64(0)) if len(self.pieces) == 1 else self.vocab
+        return (steps, self.seen.astype(np.uint32), whole, self.n_before.astype(np.uint32), self.n_after.astype(np.uint32),
                 few, low, high, self.count.astype(np.uint32), self.pieces.astype(np.int64))
 
     @classmethod
     def get(cls, row: dict) -> Ask:
-        vocab, n_after = _get(row["a"], np.uint64), _get(row["e"], np.uint32).astype(np.int64)
+        vocab, n_after, pieces = _get(row["a"], np.uint64), _get(row["e"], np.uint32).astype(np.int64), _get(row["j"], np.int64)
+        if len(pieces) == 1:
+            vocab = np.cumsum(vocab, dtype=np.uint64)
         short = _get_short(_get(row["f"], np.uint16), _get(row["g"], np.uint32), _get(row["h"], np.uint8))
         whole = _get(row["c"], np.int64) if row["c"] is not None else np.full(len(vocab), -1)
         return cls(vocab, _get(row["b"], np.uint32).astype(np.int64), whole, _get(row["d"], np.uint32).astype(np.int64), n_after,
-                   short[:len(n_after)], short[len(n_after):], _get(row["i"], np.uint32).astype(np.int64), _get(row["j"], np.int64))
+                   short[:len(n_after)], short[len(n_after):], _get(row["i"], np.uint32).astype(np.int64), pieces)
 
     def starts(self) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's contexts, and each context's trigrams, begin and the last ones end."""
@@ -356,7 +360,9 @@ def special_words(chunks: DataFrame) -> Known:
     hot = {r["word"] % (1 << 64): (-(-r["contexts"] // HOT_ENTRIES), r["times"])
            for r in words.filter(F.col("contexts") > HOT_ENTRIES).collect()}
     common = words.orderBy(F.desc("seen"), "word").limit(COMMON).select("word").toArrow().column("word").to_numpy().view(np.uint64)
-    order = np.argsort(common)
+    spark, order = chunks.sparkSession, np.argsort(common)
+    del words
+    spark.sparkContext._jvm.System.gc()  # the counts' shuffle is not needed any more, see materialize
     return Known(hot, (order.astype(np.int64), common[order]), int(totals.get["tokens"] or 0), int(totals.get["distinct"] or 0))
 
 
