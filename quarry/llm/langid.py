@@ -2,8 +2,8 @@
 
 A language is a distribution over the pieces of a fixed public vocabulary. The probability of a
 word is the sum, over all ways to cut it into pieces, of the product of the pieces' probabilities;
-a forward pass over the word's characters computes it. A text's words are independent, and the
-prediction is the language with the largest posterior.
+a forward pass over the word's characters computes it, whatever the word's length. A text's words are
+independent, and the prediction is the language with the largest posterior.
 
 Training is one expectation step: every segmentation of every word of a language's texts counts,
 weighted by its probability under the uniform piece model (forward-backward). The whole labelled
@@ -14,7 +14,9 @@ after block with a running best and a running sum. The driver holds the labels a
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from .common import bound_batches, materialize, slices
 AT_ONCE = 32
 #: Words times languages that are scored together, and that are remembered.
 SCORED, REMEMBERED = 80_000, 800_000
-#: Letters of a word that are scored together; a longer run is cut into such parts.
+#: Words up to this long are scored side by side, longer ones (of scripts without spaces) by themselves.
 WORD = 32
 LONGEST_PIECE = 16
 #: Characters that begin no piece: the same small probability in every language.
@@ -39,25 +41,33 @@ SMOOTH = 0.5
 #: Expected counts travel as integers of this unit, so that sums don't depend on their order.
 UNIT = 4096
 MARK = "▁"
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """Combining marks as ranges of a character class: vowel signs and accents of the letter before."""
+    points = [c for c in range(0x300, 0x20000) if unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    ends = [k for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+    starts = [0, *[k + 1 for k in ends[:-1]]]
+    return "".join(f"{chr(points[x])}-{chr(points[y])}" for x, y in zip(starts, ends, strict=True))
+
+
+_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_marks()}])*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower case, in parts of at most ``WORD`` characters."""
-    found = _LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > WORD for w in found):
-        found = [w[i:i + WORD] for w in found for i in range(0, len(w), WORD)]
-    return found
+    """Runs of letters and the marks on them, lower case."""
+    return _LETTERS.findall(text.lower()) if text else []
 
 
 def read_pieces(path: str) -> list[str]:
-    """The vocabulary's pieces of letters, with or without the word mark, in its own order."""
+    """The vocabulary's pieces of letters and marks, with or without the word mark, in its own order."""
     from sentencepiece import SentencePieceProcessor
 
     own = SentencePieceProcessor(model_file=path)
     names = [own.id_to_piece(i) for i in range(own.get_piece_size())]
-    keep = (p for p in names if p.removeprefix(MARK).isalpha() and len(p) <= LONGEST_PIECE or p == MARK)
+    whole = lambda p: bool(p) and (_LETTERS.fullmatch(p) is not None or all(unicodedata.category(c)[0] in "LM" for c in p))
+    keep = (p for p in names if whole(p.removeprefix(MARK)) and len(p) <= LONGEST_PIECE or p == MARK)
     return list(dict.fromkeys(keep))
 
 
@@ -126,6 +136,52 @@ def log_words(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarray:
     return np.log10(np.maximum(alpha[size, np.arange(len(words))], 1e-300))
 
 
+def _steps(pieces: Pieces, word: str) -> list[list[tuple[int, int]]]:
+    """For each place of one word: length and piece of every occurrence that begins there."""
+    size, _, found = pieces.matches([word])
+    out: list[list[tuple[int, int]]] = [[] for _ in range(int(size[0]))]
+    for i, length, _, piece in found:
+        out[i].append((length, int(piece[0])))
+    return out
+
+
+def log_word(pieces: Pieces, prob: np.ndarray, word: str) -> np.ndarray:
+    """:func:`log_words` of one word of any length: the forward values of the next places only,
+    scaled as they fall."""
+    ahead, scale = np.zeros((LONGEST_PIECE + 1, prob.shape[1])), np.zeros(prob.shape[1])
+    ahead[0] = 1
+    for i, here in enumerate(_steps(pieces, word)):
+        for length, piece in here:
+            ahead[length] += ahead[0] * prob[piece]
+        ahead[:-1] = ahead[1:]
+        ahead[-1] = 0
+        if i % 8 == 7:
+            top = np.maximum(ahead.max(axis=0), 1e-300)
+            ahead /= top
+            scale += np.log10(top)
+    return np.log10(np.maximum(ahead[0], 1e-300)) + scale
+
+
+def expected_counts_of(pieces: Pieces, word: str) -> np.ndarray:
+    """:func:`expected_counts` of one word of any length, with logarithms."""
+    steps, price = _steps(pieces, word), (math.log(1.0 / pieces.n), math.log(UNKNOWN))
+    n = len(steps)
+    cost = lambda piece: price[piece == pieces.n]
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0.0
+    for i, here in enumerate(steps):
+        for length, piece in here:
+            alpha[i + length] = np.logaddexp(alpha[i + length], alpha[i] + cost(piece))
+    for i in range(n - 1, -1, -1):
+        for length, piece in steps[i]:
+            beta[i] = np.logaddexp(beta[i], beta[i + length] + cost(piece))
+    out = np.zeros(pieces.n + 1)
+    for i, here in enumerate(steps):
+        for length, piece in here:
+            out[piece] += math.exp(alpha[i] + cost(piece) + beta[i + length] - alpha[n])
+    return out[:-1]
+
+
 def expected_counts(pieces: Pieces, words: list[str], times: np.ndarray) -> np.ndarray:
     """Expected occurrences of each piece when all pieces are equally likely (forward-backward)."""
     size, width, found = pieces.matches(words)
@@ -211,6 +267,8 @@ def train(labelled: DataFrame, pieces: list[str]) -> Model:
                         some = part[k:k + 20_000]
                         times = np.fromiter(map(c.__getitem__, some), np.float64, len(some))
                         total[lang] = total.get(lang, 0) + expected_counts(own, some, times)
+                for w in (w for w in names if len(w) > WORD):
+                    total[lang] = total.get(lang, 0) + c[w] * expected_counts_of(own, w)
             met.clear()
 
         for batch in slices(batches):
@@ -250,8 +308,10 @@ class Scorer:
         width = len(self.prior)
         if len(self.row) > REMEMBERED // width:
             self.row, self.score = {}, self.score[:0]
-        new = list({w for c in cut for w in c} - self.row.keys())
-        new.sort(key=len)
+        met = {w for c in cut for w in c} - self.row.keys()
+        # Long words are not remembered.
+        long = {w: log_word(self.pieces, self.prob, w) for w in met if len(w) > WORD}
+        new = sorted(met - long.keys(), key=len)
         step = min(20_000, max(1, SCORED // width))
         parts = [log_words(self.pieces, self.prob, new[k:k + step]) for k in range(0, len(new), step)]
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
@@ -259,7 +319,11 @@ class Scorer:
         best, top, mass = np.zeros(len(cut), np.int64), np.full(len(cut), -np.inf), np.zeros(len(cut))
         for k, c in enumerate(cut):
             if c:
-                total = self.score[np.fromiter(map(self.row.__getitem__, c), np.int64, len(c))].sum(axis=0) + self.prior
+                short = [w for w in c if w not in long] if long else c
+                total = self.score[np.fromiter(map(self.row.__getitem__, short), np.int64, len(short))].sum(axis=0) + self.prior
+                for w in c if len(short) < len(c) else ():
+                    if w in long:
+                        total = total + long[w]
                 e = 10.0 ** np.maximum(total - total.max(), -300)
                 best[k], top[k], mass[k] = e.argmax(), total.max(), e.sum()
         return best, top, mass
