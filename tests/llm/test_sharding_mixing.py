@@ -129,3 +129,48 @@ def test_native_plans(spark, docs):
     for df in (mixing.mix(docs), sharding.document_shards(docs, 24)):
         plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def spark_hash(*values):
+    """xxhash64 of (value, bytes) pairs as Spark chains it: nulls change nothing."""
+    import xxhash
+    h = 42
+    for value, size in values:
+        if value is not None:
+            h = xxhash.xxh64_intdigest(value.to_bytes(size, "little", signed=True), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("bucket_rows", [50_000, 40])
+def test_op8_equals_a_plain_permutation(spark, folder, edges, docs, monkeypatch, bucket_rows):
+    """Every row's shard and slot, by a Feistel network of its own."""
+    import math
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
+    seed = 20_260_101
+    for df in (edges, docs):
+        raw = [(r.text or "").encode() for r in df.collect()]
+        ids = [r.doc_id for r in df.collect()]
+        rows = [(i, len(t) + 8, zlib.crc32(t)) for i, t in zip(ids, raw)]
+        n = len(rows)
+        buckets = max(1, math.ceil(n / bucket_rows))
+        order = sorted(rows, key=lambda r: (spark_hash((seed, 4), (r[0], 8), (r[1], 8), (r[2], 8)) % buckets, r[0] is not None, r))
+        a = math.isqrt(n - 1) + 1
+        b = math.ceil(n / a)
+
+        def once(p):
+            x, y = divmod(p, b)
+            for k in range(sharding.ROUNDS):
+                if k % 2 == 0:
+                    x = (x + spark_hash((seed, 8), (k, 4), (y, 8)) % a) % a
+                else:
+                    y = (y + spark_hash((seed, 8), (k, 4), (x, 8)) % b) % b
+            return x * b + y
+
+        want = []
+        for p, (i, size, crc) in enumerate(order):
+            p = once(p)
+            while p >= n:
+                p = once(p)
+            want.append((i, size, crc, p % 24, p // 24))
+        got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in jobs.op8_sharding(spark, folder(documents=df)).collect()]
+        assert Counter(got) == Counter(want)
