@@ -172,7 +172,7 @@ def j1_source_metadata(spark, sf_dir):
     return snapshot.filter("metadata IS NOT NULL").select("uri", "metadata")
 
 
-@register("j_registry_versions", views=["fx_source_requests", "fx_sources"], oracle="WITH " + J1_REPO_SQL.format(uuid=UUID5_SQL).replace(
+@register("j1_registry_versions", views=["fx_source_requests", "fx_sources"], oracle="WITH " + J1_REPO_SQL.format(uuid=UUID5_SQL).replace(
     "\nSELECT * FROM kept UNION ALL SELECT * FROM ins", """,
 repos2 AS (SELECT * FROM kept UNION ALL SELECT * FROM ins),
 touched AS (SELECT DISTINCT uri FROM oc WHERE outcome <> 'conflict'),
@@ -188,7 +188,7 @@ UNION ALL SELECT 2, 'sources', count(*), count(*) FILTER (WHERE pending) FROM so
 UNION ALL SELECT 2, 'repositories', count(*), count(*) FILTER (WHERE status = 'pending') FROM repos2
 UNION ALL SELECT 3, 'sources', count(*), count(*) FILTER (WHERE pending) FROM sources3
 UNION ALL SELECT 3, 'repositories', count(*), count(*) FILTER (WHERE status = 'pending') FROM repos2 WHERE user_id <> 'owner_2'"""))
-def j_registry_versions(spark, sf_dir):
+def j1_registry_versions(spark, sf_dir):
     """J1 and J3 as versions of a store: sources and repositories change in one commit each, and a
     reader of an earlier version still sees that one."""
     from ..session import checkpoint_path

@@ -1,8 +1,6 @@
 """Stream = batch: streaming jobs over several micro-batches and a restart from checkpoint."""
 
 import datetime as dt
-import os
-import pytest
 import time
 
 from pyspark.sql import functions as F
@@ -61,7 +59,7 @@ def test_dedupe_stream_across_batches(spark):
     spark.createDataFrame(rows[4:], schema).coalesce(1).write.parquet(f"{base}/in/b")  # 4, 5 redelivered
     s = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1) \
         .option("recursiveFileLookup", "true").parquet(f"{base}/in")
-    stateful.start_dedupe_stream(s, f"{base}/out", f"{base}/ckpt", f"{base}/state", retain_batches=5, id_col=None).awaitTermination()
+    stateful.start_dedupe_stream(s, f"{base}/out", f"{base}/ckpt", id_col=None).awaitTermination()
     assert sorted(r.off for r in spark.read.parquet(f"{base}/out").collect()) == list(range(10))
 
 
@@ -100,6 +98,9 @@ def test_file_state_two_batches_equal_one(spark):
     assert sorted((r.file_path, r.content) for r in one.collect()) == [("b", "b2"), ("c", "c1")]
 
 
+STATE = "repo_id string, file_path string, off long, is_deleted boolean, content string"
+
+
 def test_events_of_one_offset_and_missing_flag(spark):
     rows = [("r", "a", 5, True, ""), ("r", "a", 5, False, ""), ("r", "b", 1, None, "kept")]
     got = events.apply_file_events(None, spark.createDataFrame(rows, STATE)).collect()
