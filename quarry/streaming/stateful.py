@@ -86,8 +86,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 @contextmanager
 def _settings(spark: SparkSession, **conf: str):
-    """Session settings for the queries started within."""
-    names = {k: "spark.sql.streaming." + k.replace("__", ".") for k in conf}
+    """Session settings (below ``spark.sql``) for the queries started within."""
+    names = {k: "spark.sql." + k.replace("__", ".") for k in conf}
     before = {n: spark.conf.get(n, None) for n in names.values()}
     for k, n in names.items():
         spark.conf.set(n, conf[k])
@@ -98,10 +98,14 @@ def _settings(spark: SparkSession, **conf: str):
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def _on_disk(spark: SparkSession, empty_batches: bool = True):
-    """State in RocksDB, not in executor heap; a batch's commit uploads its changes, not the state."""
-    return _settings(spark, stateStore__providerClass=ROCKSDB, stateStore__rocksdb__changelogCheckpointing__enabled="true",
-                     noDataMicroBatches__enabled=str(empty_batches).lower())
+def _on_disk(spark: SparkSession, empty_batches: bool = True, groups: int | None = None):
+    """State in RocksDB, not in executor heap; a batch's commit uploads its changes, not the state. A
+    query that knows how many ``groups`` it keeps needs no more partitions than these."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _settings(spark, streaming__stateStore__providerClass=ROCKSDB,
+                     streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+                     streaming__noDataMicroBatches__enabled=str(empty_batches).lower(),
+                     shuffle__partitions=str(min(partitions, groups or partitions)))
 
 
 def _packed(table: pd.DataFrame) -> bytes:
@@ -197,7 +201,7 @@ def start_status_stream(status: DataFrame, out_path: str, checkpoint: str, key:
     # Timers of processing time ask for another batch without end, so a run that catches up and stops
     # has batches with data only; timers then fire in the next one.
     stops = bool((trigger or {"availableNow": True}).keys() & {"availableNow", "once"})
-    with _on_disk(status.sparkSession, empty_batches=not stops):
+    with _on_disk(status.sparkSession, empty_batches=not stops, groups=buckets):
         return run_handler(latest, lambda df, batch_id: write_batch(df, out_path, batch_id), None, checkpoint, trigger,
                            output_mode="update")
 
@@ -308,7 +312,7 @@ def start_reassembly_stream(chunks: DataFrame, out_path: str, checkpoint: str, a
             .applyInPandasWithState(fold, schema, T.StructType.fromDDL("files binary, open binary"), "append",
                                     GroupStateTimeout.EventTimeTimeout))
     done = done.select("kind", _as_key(F.col("file"), kind).alias("file_id"), *schema.fieldNames()[2:])
-    with _on_disk(chunks.sparkSession):
+    with _on_disk(chunks.sparkSession, groups=buckets):
         return run_handler(done, lambda df, batch_id: write_batch(df, out_path, batch_id), None, checkpoint, trigger)
 
 
