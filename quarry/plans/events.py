@@ -235,18 +235,15 @@ SELECT o_orderkey AS "offset", ['REPO_UPDATED', 'REPO_INGEST_REQUESTED', 'REPO_I
 FROM orders""")
 def a5_decode_other_types(spark, sf_dir):
     """A5: the other five event types, typed rows and rejects side by side."""
-    typed, rejects = src.decode_events(_typed_log(Fixtures(spark, sf_dir)), types=list(OTHER_TYPES))
-    none = F.lit(None).cast("string").alias("error")
-    out = rejects.select("offset", F.element_at(F.array(*[F.lit(t) for t in OTHER_TYPES]), (F.col("offset") % 5 + 1).cast("int")).alias("type"),
-                         F.col("key").alias("ref"),
-                         F.when(F.col("offset") % 5 == 2, F.get_json_object(F.col("value").cast("string"), "$.payload.stats.files_processed").cast("long"))
-                         .when(F.col("offset") % 5 == 4, F.lit(2).cast("long")).alias("number"), "error")
-    for t in OTHER_TYPES:
-        ref = F.col("file_id") if t == "EMBEDDING_GENERATED" else F.col("payload.repo_id")
-        number = {"REPO_INGEST_COMPLETED": lambda: F.col("payload.stats.files_processed"),
-                  "EMBEDDING_GENERATED": lambda: F.size("chunk_ids")}.get(t, lambda: F.lit(None))()
-        out = out.unionByName(typed[t].select("offset", F.lit(t).alias("type"), ref.alias("ref"), number.cast("long").alias("number"), none))
-    return out
+    log = src.decode_events(_typed_log(Fixtures(spark, sf_dir)), types=list(OTHER_TYPES), split=False)
+    kind, bad, turn = F.col("event_type"), F.col("error").isNotNull(), F.col("offset") % 5
+    named = F.element_at(F.array(*[F.lit(t) for t in OTHER_TYPES]), (turn + 1).cast("int"))
+    processed = F.get_json_object(F.col("value").cast("string"), "$.payload.stats.files_processed").cast("long")
+    number = (F.when(bad & (turn == 2), processed).when(bad & (turn == 4), F.lit(2).cast("long")).when(bad, F.lit(None))
+              .when(kind == "REPO_INGEST_COMPLETED", F.col("event.payload.stats.files_processed").cast("long"))
+              .when(kind == "EMBEDDING_GENERATED", F.size("event.chunk_ids").cast("long")))
+    ref = F.when(bad, F.col("key")).when(kind == "EMBEDDING_GENERATED", F.col("event.file_id")).otherwise(F.col("event.payload.repo_id"))
+    return log.select("offset", F.when(bad, named).otherwise(kind).alias("type"), ref.alias("ref"), number.alias("number"), "error")
 
 
 @register("u1_handler", views=["fx_file_events"], oracle="""

@@ -76,10 +76,14 @@ def _nonempty(c: Column) -> Column:
     return c.isNotNull() & (c.cast("string") != "")
 
 
-def _default(event_type: str, field: str) -> Column:
-    value = FIELD_DEFAULTS.get(event_type, {}).get(field)
+def _defaulted(types: list[str], field: str) -> Column:
+    """A field of the parsed event, or the default that its type has for it."""
     found = F.col("e." + field)
-    return (found if value is None else F.coalesce(found, F.lit(value))).alias(field)
+    for t in types:
+        value = FIELD_DEFAULTS.get(t, {}).get(field)
+        if value is not None:
+            found = F.when(F.col("_type") == t, F.coalesce("e." + field, F.lit(value))).otherwise(found)
+    return found.alias(field)
 
 
 def _merge(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -99,13 +103,17 @@ def union_schema(types: list[str]) -> T.StructType:
     return out
 
 
-def decode_events(raw: DataFrame, types: list[str] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """A5: bytes -> JSON -> one typed DataFrame per ``event_type``, plus rejects.
+def decode_events(raw: DataFrame, types: list[str] | None = None, split: bool = True):
+    """A5: bytes -> JSON -> one typed DataFrame per ``event_type``, plus rejects: (typed, rejects).
 
     Each record is parsed once, against the union of the event schemas, with a
     corrupt-record column for malformed JSON. Empty values are skipped (not rejected).
     Rejects carry ``error`` in {invalid_json, unknown_event_type, missing_required:<field>}
     and the raw record, so they can go to the dead-letter sink in the same micro-batch.
+
+    Each of these frames reads and parses the log for itself. Who needs several takes one frame of
+    all records (``split=False``): the raw columns, ``event_type`` and ``error`` (null: accepted) and
+    ``event``, a struct of the fields of all types.
     """
     types = types or list(EVENT_SCHEMAS)
     schema = union_schema(types).add("_corrupt", T.StringType())
@@ -128,11 +136,14 @@ def decode_events(raw: DataFrame, types: list[str] | None = None) -> tuple[dict[
             missing = F.when(~_nonempty(F.col("e." + field)), F.lit("missing_required:" + field)).otherwise(missing)
         error = error.when(etype == t, missing)
     tagged = parsed.withColumn("_type", etype).withColumn("error", error)
+    if not split:
+        event = F.struct(*[_defaulted(types, f) for f in union_schema(types).fieldNames()])
+        return tagged.select(*meta, "value", F.col("_type").alias("event_type"), "error", event.alias("event"))
     typed: dict[str, DataFrame] = {}
     for t in types:
         fields = T.StructType.fromDDL(EVENT_SCHEMAS[t]).fieldNames()
         typed[t] = (tagged.filter((F.col("_type") == t) & F.col("error").isNull())
-                    .select(*meta, *[_default(t, f) for f in fields]))
+                    .select(*meta, *[_defaulted([t], f) for f in fields]))
     rejects = tagged.filter(F.col("error").isNotNull()).select(*meta, "value", "error")
     return typed, rejects
 
