@@ -15,8 +15,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,9 +175,16 @@ def commit(base: Snapshot, changes: dict[str, Change], keys: dict[str, list[str]
     for name, change in changes.items():
         old = tables.get(name)
         own_keys, n = (old["keys"], old["buckets"]) if old else (keys[name], buckets[name])
-        rows, touched = _changed(base, name, change, own_keys, n)
-        folder = f"data/{name}-{base.version + 1}-{uuid.uuid4().hex[:12]}"
-        written = _write_buckets(rows, base.path, folder, own_keys, n)
+        # Read several times below, and again by the sample for the ranges: made once.
+        kept_once = {k: d.persist(StorageLevel.MEMORY_AND_DISK) for k in ("upserts", "deletes")
+                     if (d := getattr(change, k)) is not None and d.storageLevel == StorageLevel.NONE}
+        try:
+            rows, touched = _changed(base, name, replace(change, **kept_once), own_keys, n)
+            folder = f"data/{name}-{base.version + 1}-{uuid.uuid4().hex[:12]}"
+            written = _write_buckets(rows, base.path, folder, own_keys, n)
+        finally:
+            for d in kept_once.values():
+                d.unpersist()
         kept = {} if touched is None else {b: f for b, f in old["folders"].items() if int(b) not in touched}
         schema = rows.schema.jsonValue() if touched is None else old["schema"]
         tables[name] = {"schema": schema, "keys": own_keys, "buckets": n, "folders": {**kept, **written}}
