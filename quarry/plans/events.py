@@ -152,7 +152,7 @@ def a4_event_sink(spark, sf_dir):
     back = spark.read.parquet(base)
     w = Window.partitionBy("_file").orderBy("_row")
     placed = back.select("key", "event_type", "_off", F.col("_metadata.file_path").alias("_file"),
-                         F.col("_metadata.row_index").alias("_row"))
+                         F.col("_metadata.row_index").alias("_row")).repartition(max(1, len(back.inputFiles())), "_file")
     before = F.lag(F.struct("key", "_off")).over(w)
     ordered = placed.withColumn("_ok", before.isNull() | (before <= F.struct("key", "_off")))
     return ordered.groupBy("key", "event_type").agg(

@@ -56,7 +56,8 @@ def write_events(records: DataFrame, sink: dict, order_col: str | None = None) -
     Kafka keeps per-key order through the record key (the producer partitions by it).
     For files, records are range-partitioned on (key, ``order_col``) and sorted, so one
     repository's events stay ordered and contiguous while a hot repository is still
-    spread over several writer tasks.
+    spread over several writer tasks: about one for each ``sink['task_mb']`` MB of values (64), so
+    that a task's sort doesn't grow with the log.
     """
     fmt = sink.get("format", "parquet")
     if fmt == "kafka":
@@ -64,11 +65,13 @@ def write_events(records: DataFrame, sink: dict, order_col: str | None = None) -
          .option("kafka.bootstrap.servers", sink["bootstrap_servers"]).save())
         return
     out = records
+    volume = records.agg(F.sum(F.octet_length("value").cast("long"))).first()[0] or 0
+    tasks = max(1, -(-volume // (sink.get("task_mb", 64) * 1_000_000)))
     if "event_type" not in out.columns:
         out = out.withColumn("event_type", F.get_json_object(F.col("value").cast("string"), "$.event_type"))
     order = [c for c in ("key", order_col) if c]
     # The writer sorts by the folder column unless rows come that way; its sort would undo ours.
-    (out.repartitionByRange(*order).sortWithinPartitions("event_type", *order)
+    (out.repartitionByRange(tasks, *order).sortWithinPartitions("event_type", *order)
      .write.mode(sink.get("mode", "append")).partitionBy("event_type").format(fmt).save(sink["path"]))
 
 
