@@ -20,6 +20,8 @@ from .catalog import _ORACLES, register
 
 #: Buckets of the state in the L2, L4 and L5 jobs; results don't depend on it.
 STATE_BUCKETS = 8
+#: L4 has more when there are more events than this a bucket.
+EVENTS_A_BUCKET = 200_000
 
 
 def _scratch(spark, name):
@@ -73,8 +75,9 @@ def l4_latest_status_stream(spark, sf_dir):
     """Latest status per job over the job events, landed in three deliveries out of order."""
     status = Fixtures(spark, sf_dir).fx_job_status_events.select("job_id", "ts", "seq", "status")
     base = _scratch(spark, "l4")
+    buckets = max(STATE_BUCKETS, -(-status.count() // EVENTS_A_BUCKET))
     _landed(spark, status, F.col("seq"), base + "/events", lambda rows: st.start_status_stream(
-        rows, base + "/out", base + "/ckpt", buckets=STATE_BUCKETS))
+        rows, base + "/out", base + "/ckpt", buckets=buckets))
     return st.current_status(spark, base + "/out")
 
 
