@@ -5,6 +5,7 @@ The oracle is the batch job's SQL: stream and batch must agree."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import changes as chg
 from ..session import checkpoint_path
@@ -81,11 +82,19 @@ def l4_latest_status_stream(spark, sf_dir):
     return st.current_status(spark, base + "/out")
 
 
-def _landed(spark, rows, part, path, start, deliveries: int = 3) -> None:
+def _landed(spark, rows, part, path, start, deliveries: int = 3, derived: bool = False) -> None:
     """Land ``rows`` in some deliveries (by ``part`` modulo their number, so each mixes old and new
-    rows) and let the stream catch up after each: as many micro-batches, rows out of order."""
+    rows) and let the stream catch up after each: as many micro-batches, rows out of order.
+    ``derived`` rows, which take joins to make, are made once and kept by delivery beside ``path``."""
+    which = F.pmod(part, F.lit(deliveries))
+    if derived:
+        dealt = path + "-dealt"
+        rows.withColumn("_delivery", which).write.partitionBy("_delivery").parquet(dealt)
+        made = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_delivery", T.IntegerType())])).parquet(dealt)
+    else:
+        made = rows.withColumn("_delivery", which)
     for k in range(deliveries):
-        rows.filter(F.pmod(part, F.lit(deliveries)) == k).write.mode("append").parquet(path)
+        made.filter(F.col("_delivery") == k).drop("_delivery").write.mode("append").parquet(path)
         start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
@@ -94,11 +103,11 @@ def l6_dedupe_stream(spark, sf_dir):
     """Redelivered file events (every tenth twice, in another delivery) de-duplicated as a stream of
     four deliveries."""
     fe = Fixtures(spark, sf_dir).fx_file_events
-    again = fe.filter(F.col("off") % 10 == 0).withColumn("_part", F.col("off") + 1)
-    rows = fe.withColumn("_part", F.col("off")).unionByName(again)
+    off = F.col("off")
+    rows = fe.withColumn("_part", F.explode(F.when(off % 10 == 0, F.array(off, off + 1)).otherwise(F.array(off))))
     base = _scratch(spark, "l6")
     _landed(spark, rows, F.col("_part"), base + "/topic", lambda ev: st.start_dedupe_stream(
-        ev.drop("_part"), base + "/out", base + "/ckpt", id_col=None), deliveries=4)
+        ev.drop("_part"), base + "/out", base + "/ckpt", id_col=None), deliveries=4, derived=True)
     out = spark.read.parquet(base + "/out")
     return out.select("repo_id", "file_path", "off", "is_deleted", F.sha2("content", 256).alias("content_sha"))
 
@@ -117,7 +126,7 @@ def l5_reassemble_stream(spark, sf_dir):
         return st.start_reassembly_stream(landed.drop("_part"), base + "/out", base + "/ckpt", "arrived", give_up_secs=10 * 86_400,
                                           buckets=STATE_BUCKETS)
 
-    _landed(spark, rows, F.col("_part"), base + "/chunks", start)
+    _landed(spark, rows, F.col("_part"), base + "/chunks", start, derived=True)
     beat = rows.limit(0).unionByName(spark.range(1).select(F.lit(3).alias("_part"), day(100).alias("arrived")), allowMissingColumns=True)
     beat.write.mode("append").parquet(base + "/chunks")
     start(spark.readStream.schema(rows.schema).parquet(base + "/chunks")).awaitTermination()
@@ -130,6 +139,7 @@ def l1_webhook_stream(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     base = _scratch(spark, "l1")
 
+
     def start(events):
         deliveries, secrets = hook_plans._deliveries(fx, fx.derive("fx_webhooks", events=events))
         return pipe.start_webhook_stream(deliveries, secrets, fx.fx_hook_repos, fx.fx_credentials, base + "/out",
@@ -206,7 +216,7 @@ def l7_polling_stream(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     base = _scratch(spark, "l7")
     _landed(spark, change_plans._commits(fx), F.col("commit_seq"), base + "/commits", lambda commits: pipe.start_polling(
-        commits, base + "/out", base + "/ckpt", trigger={"availableNow": True}))
+        commits, base + "/out", base + "/ckpt", trigger={"availableNow": True}), derived=True)
     return pipe.current_changes(spark, base + "/out").select("repo_id", "path", "event_type", "events")
 
 
