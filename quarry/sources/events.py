@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,7 +68,7 @@ def write_events(records: DataFrame, sink: dict, order_col: str | None = None) -
         return
     out = records
     volume = records.agg(F.sum(F.octet_length("value").cast("long"))).first()[0] or 0
-    tasks = max(1, -(-volume // (sink.get("task_mb", 64) * 1_000_000)))
+    tasks = max(1, math.ceil(volume / (sink.get("task_mb", 64) * 1_000_000)))
     if "event_type" not in out.columns:
         out = out.withColumn("event_type", F.get_json_object(F.col("value").cast("string"), "$.event_type"))
     order = [c for c in ("key", order_col) if c]
