@@ -15,6 +15,8 @@ import numpy as np
 #: Every ``SAMPLE``-th one and zero of the unary bits has its position stored.
 SAMPLE = 8
 _PACK = 1 << 16
+#: Numbers looked for at a time: what a search holds beside its result doesn't grow with their number.
+_SEARCH = 1 << 15
 
 
 def _words_at(data: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -144,8 +146,13 @@ class Lists:
 
     def find(self, which: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of ``number`` in the list ``which``, among all, or -1; and where the list begins."""
-        if not len(which):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, begin = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
+        for s in range(0, len(which), _SEARCH):
+            part = slice(s, s + _SEARCH)
+            at[part], begin[part] = self._find(which[part].astype(np.int64), number[part].astype(np.int64))
+        return at, begin
+
+    def _find(self, which: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # A list asked for many times in a row is looked up once.
         new = np.concatenate([[True], which[1:] != which[:-1]])
         lists, run = which[new], np.cumsum(new) - 1

@@ -92,7 +92,21 @@ def _in_map(array: np.ndarray) -> np.ndarray:
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Two numbers below 2^31 as one that sorts by both."""
-    return (a << 32) | b
+    out = a.astype(np.int64)
+    out <<= 32
+    out |= b
+    return out
+
+
+def _halves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of some pairs, four bytes each."""
+    return (pairs >> 32).astype(np.int32), pairs.astype(np.int32)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and each value's place among them, four bytes each."""
+    found, at = np.unique(values, return_inverse=True)
+    return found, at.astype(np.int32)
 
 
 class Trie:
@@ -107,22 +121,28 @@ class Trie:
     def __init__(self, n_words: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, count: np.ndarray, whole: np.ndarray):
         """Trigrams (word number, number before, number after; distinct) with training counts.
         ``whole`` is a word's count where it is a piece of one, else -1."""
-        pairs, at = np.unique(_pair(v, w), return_inverse=True)
+        pairs, at = _distinct(_pair(v, w))
         times = np.bincount(at, count, len(pairs))
-        pv = pairs >> 32
+        pv, pw = _halves(pairs)
+        del pairs
         self.distinct = np.bincount(pv, minlength=n_words)
         total = np.bincount(pv, times, n_words)
         total = np.where(whole >= 0, whole, total)
-        self.after = Lists(self.distinct, pairs & 0xFFFFFFFF)
+        self.after = Lists(self.distinct, pw)
         self.after_code = _in_map(_codes((times - DISCOUNT) / total[pv] if len(pv) else np.zeros(0)))
+        del times, pv, pw
         self.back_off = _in_map(_back_off(self.distinct, total))
-        contexts, of = np.unique(_pair(v, u), return_inverse=True)
-        self.before = Lists(np.bincount(contexts >> 32, minlength=n_words), contexts & 0xFFFFFFFF)
+        contexts, of = _distinct(_pair(v, u))
+        cv, cu = _halves(contexts)
+        self.before = Lists(np.bincount(cv, minlength=n_words), cu)
+        n = len(contexts)
+        del contexts, cv, cu
         # The place of w among the bigrams of v is small and tells it apart in the context's list.
-        rank = at - (np.cumsum(self.distinct) - self.distinct)[v]
-        order = np.argsort(_pair(of, rank))
-        sizes = np.bincount(of, minlength=len(contexts))
-        total = np.bincount(of, count, len(contexts))
+        rank = (at - (np.cumsum(self.distinct) - self.distinct)[v]).astype(np.int32)
+        del at
+        order = np.argsort(_pair(of, rank)).astype(np.int32)
+        sizes = np.bincount(of, minlength=n)
+        total = np.bincount(of, count, n)
         self.third = Lists(sizes, rank[order])
         self.third_code = _in_map(_codes(((count - DISCOUNT) / total[of])[order] if len(of) else np.zeros(0)))
         self.context_back_off = _in_map(_back_off(sizes, total))
@@ -149,11 +169,22 @@ _press, _open = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _put(array: np.ndarray | None) -> bytes | None:
-    return None if array is None else _press.compress(np.ascontiguousarray(array).tobytes())
+    """Compressed. Of longer numbers all first bytes stand before all second ones: these are alike."""
+    if array is None:
+        return None
+    array = np.ascontiguousarray(array).ravel()
+    if array.itemsize > 2:
+        array = array.view(np.uint8).reshape(-1, array.itemsize).T
+    return _press.compress(array.tobytes())
 
 
 def _get(raw: bytes | None, kind) -> np.ndarray:
-    return np.frombuffer(_open.decompress(raw) if raw is not None else b"", kind)
+    if raw is None:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    if size <= 2:
+        return np.frombuffer(_open.decompress(raw), kind)
+    return np.ascontiguousarray(np.frombuffer(_open.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def _row(target, kind, chunk, part, *parts) -> tuple:
@@ -198,6 +229,8 @@ class Ask:
 
     def put(self) -> tuple:
         few, low, high = _put_short(np.concatenate([self.before, self.after]))
+        n = len(self.before)
+        few[:n] = np.diff(few[:n], prepend=np.uint16(0))
         whole = self.whole if (self.whole >= 0).any() else None
         # Hashes in order are close together: the steps between them are shorter.
         steps = np.diff(self.vocab, prepend=np.uint64(0)) if len(self.pieces) == 1 else self.vocab
@@ -209,15 +242,24 @@ class Ask:
         vocab, n_after, pieces = _get(row["a"], np.uint64), _get(row["e"], np.uint32).astype(np.int64), _get(row["j"], np.int64)
         if len(pieces) == 1:
             vocab = np.cumsum(vocab, dtype=np.uint64)
-        short = _get_short(_get(row["f"], np.uint16), _get(row["g"], np.uint32), _get(row["h"], np.uint8))
+        few, n_before = _get(row["f"], np.uint16), _get(row["d"], np.uint32).astype(np.int64)
+        few = few.copy()
+        few[:len(n_after)] = np.cumsum(few[:len(n_after)], dtype=np.uint16)
+        short = _get_short(few, _get(row["g"], np.uint32), _get(row["h"], np.uint8))
         whole = _get(row["c"], np.int64) if row["c"] is not None else np.full(len(vocab), -1)
-        return cls(vocab, _get(row["b"], np.uint32).astype(np.int64), whole, _get(row["d"], np.uint32).astype(np.int64), n_after,
+        return cls(vocab, _get(row["b"], np.uint32).astype(np.int64), whole, n_before, n_after,
                    short[:len(n_after)], short[len(n_after):], _get(row["i"], np.uint32).astype(np.int64), pieces)
 
     def starts(self) -> tuple[np.ndarray, np.ndarray]:
         """Where each word's contexts, and each context's trigrams, begin and the last ones end."""
         return _starts(self.n_before), _starts(self.n_after)
 
+    def sizes(self) -> np.ndarray:
+        """Words, contexts and trigrams of each piece."""
+        c_at, t_at = self.starts()
+        edges = _starts(self.pieces)
+        return np.stack([np.diff(edges), np.diff(c_at[edges]), np.diff(t_at[c_at[edges]])], axis=1)
+
     def part(self, x: int, y: int, starts) -> Ask:
         """The words x to y, as one piece."""
         c, t = starts
@@ -319,8 +361,8 @@ def _befores(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _tree(u: np.ndarray, v: np.ndarray, w: np.ndarray):
     """Distinct (v, u) and (v, u, w) in that order: contexts (v, u), trigrams (context, w), and each
     token's context and trigram."""
-    contexts, c = np.unique(_pair(v, u), return_inverse=True)
-    trigrams, t = np.unique(_pair(c, w), return_inverse=True)
+    contexts, c = _distinct(_pair(v, u))
+    trigrams, t = _distinct(_pair(c, w))
     return contexts, trigrams, c, t
 
 
@@ -412,7 +454,9 @@ def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndar
     order = np.argsort(names, kind="stable")
     place = np.empty(len(names), np.int64)
     place[order] = np.arange(len(names))
-    by = np.argsort(place[contexts >> 32], kind="stable")
+    rank = np.empty(n, np.int64)  # a word's contexts by the numbers sent: the steps between them are small
+    rank[np.argsort(short, kind="stable")] = np.arange(n)
+    by = np.argsort(_pair(place[contexts >> 32], rank[contexts & 0xFFFFFFFF]))
     c_place = np.empty(len(contexts), np.int64)
     c_place[by] = np.arange(len(contexts))
     t_by = np.argsort(c_place[trigrams >> 32], kind="stable")
@@ -505,8 +549,9 @@ def _back(group: pa.Table) -> pa.Table:
 
 @dataclass
 class Answer:
-    """Answers in the order asked: per word its count, back-off code and distinct successors, per
-    context a back-off code, per trigram the codes of both orders. The sizes tell whose they are."""
+    """Answers in the order asked: per word its count, back-off code and, if it is a piece of one,
+    distinct successors, per context a back-off code, per trigram the codes of both orders. The sizes
+    tell whose they are."""
 
     seen: np.ndarray
     back: np.ndarray
@@ -548,34 +593,44 @@ def _answers(parts: list[Answer]) -> Answer:
 
 def _answer(group: pa.Table) -> pa.Table:
     """One shard: sum the counts, build its trie, answer every row."""
-    rows = group.sort_by([("chunk", "ascending")]).to_pylist()
-    asks = [Ask.get(r) for r in rows]
+    heads, asks = [], []
+    for r in group.sort_by([("chunk", "ascending")]).to_pylist():
+        asks.append(Ask.get(r))
+        heads.append((r["chunk"], r["part"], asks[-1].sizes()))
     whole = _joined(asks)
-    known, number = np.unique(whole.vocab, return_inverse=True)
+    # A shard's arrays are let go as soon as what is made of them is there.
+    del asks, r
+    known, number = _distinct(whole.vocab)
     seen = np.bincount(number, whole.seen, len(known)).astype(np.int64)
     of_word = np.full(len(known), -1)
     of_word[number] = np.maximum(of_word[number], whole.whole)
-    v = np.repeat(number, whole.n_before)                 # of each context
-    _, ids = np.unique(np.concatenate([whole.before, whole.after]), return_inverse=True)
-    u, w = ids[:len(whole.before)], ids[len(whole.before):]
-    contexts, c = np.unique(_pair(v, u), return_inverse=True)
-    keys, t = np.unique(_pair(np.repeat(c, whole.n_after), w), return_inverse=True)
+    n = len(whole.before)
+    ids = _distinct(np.concatenate([whole.before, whole.after]))[1]
+    whole.vocab = whole.before = whole.after = None
+    contexts, c = _distinct(_pair(np.repeat(number, whole.n_before), ids[:n]))
+    keys, t = _distinct(_pair(np.repeat(c, whole.n_after), ids[n:]))
+    del ids
     count = np.bincount(t, whole.count, len(keys))
-    kv, ku = (contexts >> 32)[keys >> 32], (contexts & 0xFFFFFFFF)[keys >> 32]
-    kw, there = keys & 0xFFFFFFFF, count > 0
-    trie = Trie(len(known), kv[there], ku[there], kw[there], count[there], of_word)
-    place, context_code = trie.contexts(contexts >> 32, contexts & 0xFFFFFFFF)
-    second, third = trie.codes(kv, kw, place[keys >> 32])
-    answer = Answer(seen[number], trie.back_off[number], trie.distinct[number], context_code[c], second[t], third[t], None)
+    whole = None
+    cv, cu = _halves(contexts)
+    kc, kw = _halves(keys)
+    del contexts, keys
+    there = count > 0
+    tc = kc[there]
+    trie = Trie(len(known), cv[tc], cu[tc], kw[there], count[there], of_word)
+    del count, there, tc
+    place, context_code = trie.contexts(cv, cu)
+    second, third = trie.codes(cv[kc], kw, place[kc])
+    distinct = np.where(of_word >= 0, trie.distinct, 0)
+    answer = Answer(seen[number], trie.back_off[number], distinct[number], context_code[c], second[t], third[t], None)
+    del cv, cu, kc, kw, place, trie, number, c, t
     out, w0, c0, t0 = [], 0, 0, 0
-    for r, a in zip(rows, asks, strict=True):
-        c_at, t_at = a.starts()
-        w1, c1, t1 = w0 + len(a.vocab), c0 + len(a.n_after), t0 + len(a.after)
-        edges = _starts(a.pieces)
-        pieces = np.stack([np.diff(edges), np.diff(c_at[edges]), np.diff(t_at[c_at[edges]])], axis=1)
+    for chunk, part, pieces in heads:
+        words, befores, afters = pieces.sum(axis=0).tolist()
+        w1, c1, t1 = w0 + words, c0 + befores, t0 + afters
         mine = Answer(answer.seen[w0:w1], answer.back[w0:w1], answer.distinct[w0:w1], answer.context[c0:c1], answer.second[t0:t1],
                       answer.third[t0:t1], pieces)
-        out.append(_row(r["chunk"], ANSWER, r["chunk"], r["part"], *mine.put()))
+        out.append(_row(chunk, ANSWER, chunk, part, *mine.put()))
         w0, c0, t0 = w1, c1, t1
     return pa.Table.from_batches([_batch(out)])
 
@@ -646,5 +701,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     # The texts are read once; all else works on the written chunks.
     chunks = materialize(rows.mapInArrow(_chunks, _ROW), "lm-chunks")
     known = docs.sparkSession.sparkContext.broadcast(special_words(chunks))
-    answers = exchange(chunks.mapInArrow(lambda b: _asks(b, levels[0], known.value), _ROW), levels)
+    # Written, so that the questions' shuffle can go before the chunks are shuffled to their answers.
+    answers = materialize(exchange(chunks.mapInArrow(lambda b: _asks(b, levels[0], known.value), _ROW), levels), "lm-answers")
     return chunks.unionByName(answers).groupBy("target").applyInArrow(lambda g: _score(g, known.value), SCORES)

@@ -198,3 +198,30 @@ def test_op4_tells_documents_that_occur_twice(spark, folder):
 def test_short_numbers_round_trip():
     ids = np.concatenate([np.arange(65_500, 65_600), [0, 1 << 32, (1 << 40) + 65_534, 5]])
     assert (ngram_lm._get_short(*ngram_lm._put_short(ids)) == ids).all()
+
+
+def test_a_shard_holds_few_bytes_for_each_entry():
+    """What a shard's step holds at most, beside its rows, is bounded by its entries."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n, words = 300_000, 40_000
+    rows = []
+    for chunk in range(4):
+        sizes = np.full(words, n // 4 // words + 1)
+        befores = int(sizes.sum())
+        after = rng.integers(0, 1 << 40, befores)
+        ask = ngram_lm.Ask(np.sort(rng.integers(0, 1 << 63, words)).astype(np.uint64), np.ones(words, np.int64), np.full(words, -1), sizes,
+                           np.ones(befores, np.int64), rng.integers(0, 65_000, befores), after, np.ones(befores, np.int64), np.array([words]))
+        rows.append(ngram_lm._row(0, ngram_lm.ASK, chunk, 0, *ask.put()))
+    entries = 4 * befores
+    table = pa.Table.from_batches([ngram_lm._batch(rows)])
+    tracemalloc.start()
+    try:
+        ngram_lm._answer(table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 230 * entries, peak / entries
