@@ -5,11 +5,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keys as K
 
 
 
+#: Tasks that rows of one shared key are dealt over, at most.
+DEALS = 4096
+
+
+def _with_row(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_row``, a number made of the row's own values, to deal rows by."""
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    return rows.withColumn("_row", F.xxhash64(*plain) if plain else F.lit(0).cast("long"))
+
+
+def _join_dealt(rows: DataFrame, other: DataFrame, key: str, other_key: str, shared: Column, deals: Column) -> DataFrame:
+    """Left join on ``key`` = ``other_key``. Rows with the ``shared`` key are dealt over many tasks by
+    ``_row``, not sent to the one task of that key; ``deals``: the numbers that each row of ``other`` is there for."""
+    left = rows.withColumn("_deal", F.when(shared, F.pmod("_row", F.lit(DEALS))).otherwise(F.lit(0).cast("long")))
+    right = other.withColumn("_other_deal", F.explode(deals))
+    on = (left[key] == right[other_key]) & (left["_deal"] == right["_other_deal"])
+    return left.join(right, on, "left").drop("_deal", "_other_deal")
+
+
+def _join_nullable(rows: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
+    """Left join where many rows have no key; these match nothing."""
+    none = F.array().cast("array<bigint>")
+    deals = F.when(F.col(other_key).isNotNull(), F.array(F.lit(0).cast("long"))).otherwise(none)
+    return _join_dealt(rows, other, key, other_key, F.col(key).isNull(), deals)
+
+
 def _header(name: str) -> Column:
     return F.try_element_at(F.col("headers"), F.lit(name))
 
@@ -117,18 +144,21 @@ def annotate_matches(pushes: DataFrame, repos: DataFrame, url_col: str = "repo_u
     """Push -> ``repository_id`` and ``match`` (exact | normalized | null).
 
     An exact URL match wins, else the normalised URL key (suffix mode); ties go to the
-    earliest ``order``. Each repository side is first reduced to one candidate per key
+    earliest ``order``. Pushes without a URL match no URL and are dealt over all tasks. Each repository side is first reduced to one candidate per key
     (a partial aggregate), so a URL registered by many users never multiplies the pushes.
     """
     cand = F.struct(*[F.col(c) for c in order], F.col("id").alias("_id"))
     exact = (repos.groupBy(F.col("url").alias("_exact_url")).agg(F.min(cand).alias("_exact")))
     normed = (repos.withColumn("_norm", K.norm_url("url")).groupBy("_norm").agg(F.min(cand).alias("_nbest")))
-    j = (pushes.join(exact, pushes[url_col] == exact["_exact_url"], "left")
-         .withColumn("_norm", K.norm_url(url_col))
-         .join(normed, "_norm", "left"))
+    normed = normed.withColumnRenamed("_norm", "_norm_key")
+    rows = pushes if "_row" in pushes.columns else _with_row(pushes)
+    j = _join_nullable(rows, exact, url_col, "_exact_url").withColumn("_norm", K.norm_url(url_col))
+    # Pushes without a URL share the empty key.
+    some = F.when(F.col("_norm_key") == "", F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long")))
+    j = _join_dealt(j, normed, "_norm", "_norm_key", F.col("_norm") == "", some.otherwise(F.array(F.lit(0).cast("long"))))
     rid = F.coalesce(F.col("_exact._id"), F.col("_nbest._id"))
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_nbest").isNotNull(), "normalized")
-    return j.withColumn("repository_id", rid).withColumn("match", how).drop("_exact_url", "_exact", "_nbest", "_norm")
+    return j.withColumn("repository_id", rid).withColumn("match", how).drop("_exact_url", "_exact", "_nbest", "_norm", "_norm_key", *(["_row"] if rows is not pushes else []))
 
 
 def credential_audit(repos: DataFrame, creds: DataFrame, now: Column | str, key: str = "repo_id") -> DataFrame:
@@ -171,10 +201,12 @@ def webhook_outcomes(deliveries: DataFrame, secrets: DataFrame, repos: DataFrame
     early = (F.when(~F.col("authentic"), F.col("auth_reason"))
               .when(F.col("push_status") == "ignored", F.lit("ignored"))
               .when(F.col("reject_reason").isNotNull(), F.col("reject_reason")))
-    x = x.withColumn("_early", early).withColumn("_match_url", F.when(F.col("_early").isNull(), F.col("repo_url")))
+    x = _with_row(x).withColumn("_early", early).withColumn("_match_url", F.when(F.col("_early").isNull(), F.col("repo_url")))
     m = annotate_matches(x, repos, url_col="_match_url")
     c = creds.select(F.col("repo_id").alias("_crid"), F.col("provider").alias("_cprov"), F.col("expires_at").alias("_cexp"))
-    j = m.join(c, m["repository_id"] == c["_crid"], "left")
+    # Whoever is rejected before needs no credential.
+    m = m.withColumn("_cred_key", F.when(F.col("_early").isNull(), F.col("repository_id")))
+    j = _join_nullable(m, c, "_cred_key", "_crid")
     now_c = F.lit(now).cast("timestamp") if isinstance(now, str) else now
     cred = (F.when(F.col("_crid").isNull(), "missing")
              .when(F.col("_cexp").isNotNull() & (F.col("_cexp") < now_c), "expired")
@@ -183,7 +215,7 @@ def webhook_outcomes(deliveries: DataFrame, secrets: DataFrame, repos: DataFrame
     reason = (F.when(F.col("_early").isNotNull(), F.col("_early"))
                .when(F.col("repository_id").isNull(), F.lit("repository_not_found"))
                .when(cred != "ok", F.concat(F.lit("credential_"), cred)))
-    return j.withColumn("reason", reason).drop("_early", "_match_url", "_crid", "_cprov", "_cexp")
+    return j.withColumn("reason", reason).drop("_early", "_match_url", "_crid", "_cprov", "_cexp", "_cred_key", "_row")
 
 
 def webhook_updates(deliveries: DataFrame, secrets: DataFrame, repos: DataFrame, creds: DataFrame,

@@ -138,10 +138,12 @@ def l1_webhook_stream(spark, sf_dir):
     """Webhook deliveries (derived from the events table) landed three times -> REPO_UPDATED."""
     fx = Fixtures(spark, sf_dir)
     base = _scratch(spark, "l1")
-
+    # One row a source, looked for in all events once, not in each micro-batch.
+    hook_plans._secrets(fx).write.parquet(base + "/secrets")
+    secrets = spark.read.parquet(base + "/secrets")
 
     def start(events):
-        deliveries, secrets = hook_plans._deliveries(fx, fx.derive("fx_webhooks", events=events))
+        deliveries, _ = hook_plans._deliveries(fx, fx.derive("fx_webhooks", events=events), secrets)
         return pipe.start_webhook_stream(deliveries, secrets, fx.fx_hook_repos, fx.fx_credentials, base + "/out",
                                          base + "/ckpt", hook_plans.NOW, {"availableNow": True})
 

@@ -40,9 +40,9 @@ def _secrets(fx: Fixtures):
         .otherwise(F.concat(F.lit("sec-"), F.col("source_id"))).alias("secret"))
 
 
-def _deliveries(fx: Fixtures, hooks=None):
+def _deliveries(fx: Fixtures, hooks=None, secrets=None):
     """Deliveries with provider headers; one in 13 (and all without a secret) signed with a wrong key."""
-    secrets = _secrets(fx)
+    secrets = _secrets(fx) if secrets is None else secrets
     # Pads are computed once per source (for its secret and for the wrong key), not per delivery.
     si, so = K.hmac_pads(F.encode("secret", "UTF-8"))
     wi, wo = K.hmac_pads(F.encode(F.lit("wrong"), "UTF-8"))

@@ -20,7 +20,9 @@ def start_webhook_stream(deliveries: DataFrame, secrets: DataFrame, repos: DataF
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Two outputs from one micro-batch: the per-delivery outcome (authentication,
         # parsing, matching) is computed once and kept for the second write.
-        outcome = wh.webhook_outcomes(batch, secrets, repos, creds, now).persist()
+        # What neither output needs, bodies above all, is not kept nor sent through the joins.
+        outcome = wh.webhook_outcomes(batch, secrets, repos, creds, now).select(
+            "delivery_id", "received_at", "provider", "repository_id", "repo_url", "branch", "old_commit", "new_commit", "reason").persist()
         try:
             write_batch(wh.repo_updated_events(outcome.filter(F.col("reason").isNull())), out_path + "/events", batch_id)
             write_batch(outcome.filter(F.col("reason").isNotNull()).select("delivery_id", "reason"),

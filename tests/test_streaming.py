@@ -117,3 +117,35 @@ def test_polling_folds_batches_in_any_order(spark):
         s = spark.readStream.schema(schema).parquet(f"{base}/in")
         pipelines.start_polling(s, f"{base}/out", f"{base}/ckpt", trigger={"availableNow": True}).awaitTermination()
     assert [(r.path, r.event_type, r.events) for r in pipelines.current_changes(spark, f"{base}/out").collect()] == [("p", "deleted", 2)]
+
+
+def test_webhooks_without_a_key_are_dealt_over_the_tasks(spark):
+    """Deliveries that match nothing have null join keys: no task may get them all."""
+    from quarry.operators import webhooks
+
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n) for n in names}
+    url = F.concat(F.lit("https://github.com/org/r"), F.col("id") % 100)
+    body = F.concat(F.lit('{"ref":"refs/heads/main","before":"'), F.repeat(F.lit("a"), 40), F.lit('","after":"'), F.repeat(F.lit("b"), 40),
+                    F.lit('","repository":{"clone_url":"'), url, F.lit('"}}'))
+    # Every tenth delivery has a secret, and no URL is in the table but for the empty ones.
+    rows = spark.range(4000).select(
+        F.col("id").alias("delivery_id"), F.lit("gitlab").alias("provider"), F.concat(F.lit("s"), F.col("id") % 10).alias("source_id"),
+        F.create_map(F.lit("x-gitlab-token"), F.lit("k")).alias("headers"), F.encode(body, "UTF-8").alias("body"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("received_at"))
+    secrets = spark.range(10).select(F.concat(F.lit("s"), "id").alias("source_id"), F.when(F.col("id") == 0, F.lit("k")).alias("secret"))
+    repos = spark.createDataFrame([(7, "", 1), (8, None, 2), (9, "https://github.com/org/other", 3)], "id long, url string, created_at long")
+    creds = spark.createDataFrame([(9, "github", None), (None, "github", None)], "repo_id long, provider string, expires_at timestamp")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        out = webhooks.webhook_outcomes(rows, secrets, repos, creds, "2024-01-15 00:00:00")
+        assert not [c for c in out.columns if c.startswith("_")]
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 1000, sizes
+        # As before, those without a URL meet a repository with an empty one; the reason comes first.
+        assert {(r.reason, r.repository_id) for r in out.select("reason", "repository_id").distinct().collect()} == {("no_secret", 7), ("ignored", 7)}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
