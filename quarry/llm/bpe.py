@@ -26,7 +26,9 @@ from .units import Memory
 
 NONE = np.iinfo(np.int64).max
 #: Leaves of all trees that are merged side by side.
-LEAVES = 1 << 20
+LEAVES = 1 << 18
+#: Bytes of text that are encoded and decoded together.
+PART_BYTES = 1 << 20
 
 
 class Ranks:
@@ -179,7 +181,7 @@ def encode_decode(docs: DataFrame, ranks: bytes, pattern: str, column: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memory = _worker(shared.value, pattern)
-        for part in slices(batches, column):
+        for part in slices(batches, column, PART_BYTES):
             raw = memory.encode_texts([t or "" for t in part.column(column).to_pylist()])
             flat = np.frombuffer(b"".join(raw), np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])

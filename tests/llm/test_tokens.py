@@ -133,3 +133,25 @@ def test_op3_reads_single_documents(spark, docs, tmp_path):
     empty = str(tmp_path / "none")
     token_output.write_tokens(docs.limit(0), empty, P.path("byte_bpe_50k.json"), 2)
     assert token_output.token_index(spark, empty).count() == 0
+
+
+def test_merging_many_pieces_holds_few_bytes():
+    """Trees are merged in blocks: a worker's memory for them doesn't grow with the pieces, and is small."""
+    import tracemalloc
+
+    import numpy as np
+    import public_tokenizers
+
+    from quarry.llm import bpe
+
+    ranks = bpe.Ranks(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    raw = np.random.default_rng(1).integers(97, 123, (130_000, 8)).astype(np.uint8).tobytes()
+    pieces = [raw[i:i + 8] for i in range(0, len(raw), 8)]
+    tracemalloc.start()
+    try:
+        ids = ranks.encode_pieces(pieces)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [ranks.decode(np.frombuffer(x, np.int32).tolist()) for x in ids[:500]] == pieces[:500]
+    assert peak < 70e6, peak
