@@ -13,7 +13,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,10 @@ TOKEN_FILE_SCHEMA = "doc_id long, place long, ids array<int>"
 BATCH_BYTES = 10 << 20
 #: Units after which a generation of the memory is full (a batch's may come on top).
 REMEMBERED = 250_000
-#: Marks that a word may end in (" " and "" aren't).
-MARKS = frozenset(".,;:!?")
-_ID = attrgetter("id")
-_WORD = re.compile(rb" ?[A-Za-z]+").fullmatch
-#: Printable ASCII without the apostrophe (which begins matches of its own), and its matches.
-_PLAIN = re.compile(rb" ?[!-&(-~]+").fullmatch
-_PIECES = re.compile(rb" ?[A-Za-z]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+").findall
+#: ASCII units that are one match of the pre-tokenizer. An apostrophe may begin matches of its own.
+_ONE = re.compile(rb" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)|\n").fullmatch
+#: Units that are encoded in one call.
+TOGETHER = 4000
 _ENCODERS: dict = {}
 
 
@@ -67,6 +63,38 @@ def _white_space() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _ENDS, _SECOND, _BEGINS = _white_space()
+_LETTER, _DIGIT, _MARK, _LINE = 1, 2, 3, 4
+
+
+def _ascii_kinds() -> np.ndarray:
+    """Kinds of the bytes that are characters; 0: white space, the apostrophe, and what isn't ASCII."""
+    kinds = np.zeros(256, np.uint8)
+    for c in map(chr, range(33, 127)):
+        if c != "'":
+            kinds[ord(c)] = _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _MARK
+    kinds[10] = _LINE
+    return kinds
+
+
+_KINDS = _ascii_kinds()
+
+
+def _match_starts(data: np.ndarray) -> np.ndarray:
+    """Places where the kind of character changes, so that a match begins whatever is around it.
+
+    No match holds letters and digits, or either and marks, but for an apostrophe with letters behind
+    it. A line's end between two such characters is a match of its own. Letters are the ASCII ones
+    and U+00C0 to U+023F without the signs for times and divided by.
+    """
+    kind = _KINDS[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC8))
+    lead = lead[~((data[lead] == 0xC3) & np.isin(data[lead + 1], (0x97, 0xB7)))]
+    kind[lead] = kind[lead + 1] = _LETTER
+    left, right = kind[:-1], kind[1:]
+    change = np.flatnonzero((left != right) & (left > 0) & (right > 0) & (left < _LINE) & (right < _LINE)) + 1
+    line = np.flatnonzero(kind[1:-1] == _LINE) + 1
+    line = line[np.isin(kind[line - 1], (_LETTER, _DIGIT, _MARK)) & np.isin(kind[line + 1], (_LETTER, _DIGIT, _MARK))]
+    return np.concatenate([change, line, line + 1])
 
 
 def cut_units(data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -74,8 +102,8 @@ def cut_units(data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.nda
 
     The pre-tokenizer lets a token begin with a space and never go on over one: a space between two
     characters that aren't white space always begins a match, so what lies between two such spaces
-    is encoded by itself. Some of them are left out (next to rare non-ASCII characters), which only
-    makes longer units. ``data`` holds the texts in a row, text i from bounds[i] to bounds[i + 1];
+    is encoded by itself. So it is between characters of different kinds. Some places are left out
+    (next to rare non-ASCII characters), which only makes longer units. ``data`` holds the texts in a row, text i from bounds[i] to bounds[i + 1];
     texts marked in ``whole`` are one unit. Empty texts have none.
     """
     n = len(data)
@@ -89,6 +117,7 @@ def cut_units(data: np.ndarray, bounds: np.ndarray, whole: np.ndarray) -> np.nda
         # The character after a text's last space is another text's.
         last = bounds[1:-1][bounds[1:-1] > 0] - 1
         begin[last] = False
+        begin[_match_starts(data)] = True
     for i in np.flatnonzero(whole):
         begin[bounds[i]:bounds[i + 1]] = False
     begin[bounds] = True
@@ -106,9 +135,12 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.own = Tokenizer.from_file(path)
+        # The same model for matches that are cut already, one in a line.
+        self.model = Tokenizer(self.own.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self.added = [x.content for x in self.own.get_added_tokens_decoder().values()]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -119,58 +151,47 @@ class Encoder:
         for name, i in vocab.items():
             self.size[i] = len(name)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text, encoded by the library by itself, as little-endian 32-bit ids."""
+    def encode(self, texts: list[bytes], named: bool) -> list[bytes]:
+        """Each unit, encoded by the library by itself, as little-endian 32-bit ids. ``named``: whether
+        some may name an added token."""
         out: list = [None] * len(texts)
-        merge, letters, rows, odd = self.own.model.tokenize, self.letters, [], []
-        known: dict[bytes, bytes] = {}
-        space, young, old = letters[32], self.young.get, self.old.get
+        letters, ones, names, rows, odd = self.letters, [], [], [], []
+        space, line = letters[32], letters[10]
         added = [a.encode() for a in self.added]
-
-        def merged(name: str) -> bytes:
-            return array("i", map(_ID, merge(name))).tobytes()
-
-        def stem(raw: bytes, name: str | None = None) -> bytes:
-            """A part of a unit: met before, or encoded now."""
-            ids = young(raw) or old(raw) or known.get(raw)
-            if ids is None:
-                ids = known[raw] = merged(raw.decode().replace(" ", space) if name is None else name)
-            return ids
-
         for k, raw in enumerate(texts):
-            # Letters, digits or marks, with a space before them, are one match of the pre-tokenizer
-            # each: the library's BPE model takes them as they are.
-            if _WORD(raw):
-                out[k] = merged(raw.decode().replace(" ", space))
-                continue
-            if _PLAIN(raw) and not any(a in raw for a in added):
-                out[k] = b"".join(map(stem, _PIECES(raw)))
-                continue
-            t = raw.decode()
-            body = t[1:] if t[:1] == " " else t
-            if body.isalpha() and max(body) < "\u0250":
-                out[k] = merged("".join([letters[b] for b in raw]))
-            elif body[-1:] in MARKS and body[:-1].isalpha() and max(body) < "\u0250":
-                out[k] = stem(raw[:-1], "".join([letters[b] for b in raw[:-1]])) + stem(raw[-1:])
-            elif t[:1] == " " and t[1:2].strip() and t[-1].strip() and not any(a in t for a in self.added):
-                rows.append(k)
-            else:
+            if named and any(a in raw for a in added):
                 odd.append(k)
+            elif _ONE(raw):
+                ones.append(k)
+                names.append(raw.decode().replace(" ", space).replace("\n", line))
+            else:
+                t = raw.decode()
+                body = t[1:] if t[:1] == " " else t
+                if body.isalpha() and max(body) < "\u0250":
+                    ones.append(k)
+                    names.append(raw.decode("latin-1").translate(letters))
+                elif t[:1] == " " and t[1:2].strip() and t[-1].strip():
+                    rows.append(k)
+                else:
+                    odd.append(k)
         for k, e in zip(odd, self.own.encode_batch([texts[k].decode() for k in odd], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.int32).tobytes()
-        # Units with a space before them, put in a row, are one text; one call encodes many, and the
-        # bytes that each id covers tell where a unit's ids end.
-        for at in range(0, len(rows), 2000):
-            part = rows[at:at + 2000]
-            ids = np.array(self.own.encode_batch_fast([b"".join([texts[k] for k in part]).decode()], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(texts[k]) for k in part]), "left") + 1
-            raw, start = ids.tobytes(), 0
-            for k, end in zip(part, (4 * ends).tolist(), strict=True):
-                out[k] = raw[start:end]
-                start = end
+        # Many units, put in a row, are one text: units with a space before them as they are, and those
+        # that are one match line by line. The bytes that each id covers tell where a unit's ids end.
+        for which, tokenizer, text in (
+                (rows, self.own, lambda x, y: b"".join([texts[k] for k in rows[x:y]]).decode()),
+                (ones, self.model, lambda x, y: "\n".join(names[x:y]))):
+            for at in range(0, len(which), TOGETHER):
+                part = which[at:at + TOGETHER]
+                ids = np.array(tokenizer.encode_batch_fast([text(at, at + TOGETHER)], add_special_tokens=False)[0].ids, np.int32)
+                ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(texts[k]) for k in part]), "left") + 1
+                raw, start = ids.tobytes(), 0
+                for k, end in zip(part, (4 * ends).tolist(), strict=True):
+                    out[k] = raw[start:end]
+                    start = end
         return out
 
-    def units(self, met: list[bytes], times: np.ndarray) -> list[bytes]:
+    def units(self, met: list[bytes], times: np.ndarray, named: bool) -> list[bytes]:
         """The ids of distinct units, remembered or encoded now. Units met once are not remembered."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
@@ -184,7 +205,7 @@ class Encoder:
             else:
                 out[k] = young[met[k]] = ids
         again = (times[new] > 1).tolist()
-        for k, ids, often in zip(new, self.encode([met[k] for k in new]), again, strict=True):
+        for k, ids, often in zip(new, self.encode([met[k] for k in new], named), again, strict=True):
             out[k] = ids
             if often:
                 young[met[k]] = ids
@@ -203,7 +224,7 @@ class Encoder:
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(np.ascontiguousarray(data))])
         coded = units.dictionary_encode()
         times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-        found = [*self.units(coded.dictionary.to_pylist(), times), array("i", [end_id]).tobytes()]
+        found = [*self.units(coded.dictionary.to_pylist(), times, bool(named.any())), array("i", [end_id]).tobytes()]
         long = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.int32)
         # The unit after a text's last one is the end.

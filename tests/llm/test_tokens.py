@@ -93,6 +93,38 @@ def test_op3_every_code_point(spark, folder):
     assert [i for i in want if got[i] != want[i]] == []
 
 
+def test_op3_encodes_words_and_marks_apart():
+    """A word is encoded once, whatever marks and lines' ends stand beside it."""
+    import pyarrow as pa
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(200)]
+    column = pa.array([f"{a}{m} {b}.\n{a}{m}" for m in (",", "!!", ";", "$$$", ".)", "") for a, b in zip(words, words[1:], strict=False)])
+    own, asked = token_output.Encoder(P.path("byte_bpe_50k.json")), []
+    encode = own.encode
+    own.encode = lambda units, *more: asked.extend(units) or encode(units, *more)
+    ids, at = own.texts(column, 2)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [
+        [*own.own.encode(t, add_special_tokens=False).ids, 2] for t in column.to_pylist()]
+    assert len(asked) < 3 * len(words), len(asked)
+
+
+def test_op3_units_are_independent():
+    """Texts of all kinds of characters, the ones that may not be cut at among them."""
+    import random
+
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    marks = ["a", "s", "t", "ll", "Zé", "ß", "×", "÷", "ÿ", "\u023f", "\u0240", "ª", "中", "e\u0301", "1", "²", "Ⅷ", "'", "'s", "’", ".", ",", "!!",
+             "\\", "`", " ", " ", " ", "  ", "\n", "\n", "\r\n", "\t", "\x1c", "\xa0", "\u2028", "\x00", "🙂", "<|endoftext|>"]
+    texts = ["".join(draw.choices(marks, weights=[1] * (len(marks) - 1) + [0.05], k=draw.randrange(25))) for _ in range(20_000)]
+    own = token_output.Encoder(P.path("byte_bpe_50k.json"))
+    for some in (texts[:7], texts[7:12_000], texts[12_000:]):
+        ids, at = own.texts(pa.array(some), 2)
+        want = [e.ids for e in own.own.encode_batch(some, add_special_tokens=False)]
+        assert [t for t, a, b, w in zip(some, at[:-1], at[1:], want, strict=True) if ids[a:b].tolist() != [*w, 2]] == []
+
+
 def test_op3_start_follows_the_files(spark, tmp_path):
     """Rows that share a doc_id: start is the place of that very row in the files."""
     texts = ["one two three four five six", "one", "one two three"] * 40
