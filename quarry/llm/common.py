@@ -46,6 +46,24 @@ def materialize(df: DataFrame, name: str, compression: str = "none") -> DataFram
     return out
 
 
+def materialize_by(df: DataFrame, name: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """As ``materialize``, in buckets by ``column``; read back as any files, and by buckets: then what
+    is grouped by ``column`` is read in place and not shuffled. As many buckets as a shuffle has
+    partitions.
+
+    Buckets need a table; its name goes at once, its files stay in the checkpoint folder.
+    """
+    spark = df.sparkSession
+    path = checkpoint_path(spark, name, unique=True)
+    named = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.option("compression", "none").option("path", path).bucketBy(buckets, column).saveAsTable(named, format="parquet")
+    by_bucket = spark.table(named)
+    spark.sql(f"DROP TABLE {named}")
+    spark.sparkContext._jvm.System.gc()  # see materialize
+    return spark.read.schema(df.schema).parquet(path), by_bucket
+
+
 def give_back() -> None:
     """Return freed memory to the system, so that a worker that waits for its next task is small."""
     pa.default_memory_pool().release_unused()

@@ -12,8 +12,10 @@ import mmap
 
 import numpy as np
 
-#: Every ``SAMPLE``-th one and zero of the unary bits has its position stored.
-SAMPLE = 8
+#: Every ``SAMPLE``-th one and zero of the unary bits has its position stored: a power of two.
+SAMPLE = 4
+_SHIFT = SAMPLE.bit_length() - 1
+_57 = np.uint64((1 << 57) - 1)
 _PACK = 1 << 16
 #: Numbers looked for at a time: what a search holds beside its result doesn't grow with their number.
 _SEARCH = 1 << 15
@@ -26,27 +28,24 @@ def _words_at(data: np.ndarray, byte: np.ndarray) -> np.ndarray:
 
 def _select(data: np.ndarray, samples: np.ndarray, nth: np.ndarray, flip: np.uint64) -> np.ndarray:
     """Position of the ``nth`` one (or zero, if ``flip`` has all bits set) of the unary bits."""
-    at = samples[nth // SAMPLE].astype(np.int64)
-    left = nth % SAMPLE  # ones still to pass; the sampled one itself is the first
-    out = np.empty(len(nth), np.int64)
-    todo = np.arange(len(nth))
+    at = samples[nth >> _SHIFT].astype(np.int64)
+    left = (nth & (SAMPLE - 1)).astype(np.uint8)  # ones still to pass; the sampled one itself is the first
+    out, todo = np.empty(len(nth), np.int64), np.arange(len(nth))
     while len(todo):
-        shift = (at & 7).astype(np.uint64)
-        word = (_words_at(data, at >> 3) ^ flip) >> shift  # 57 bits or more
-        word &= np.uint64((1 << 57) - 1)
-        there = np.bitwise_count(word).astype(np.int64)
-        done = there > left
-        if done.any():
-            w, r = word[done], left[done]
-            for _ in range(SAMPLE - 1):
-                go = r > 0
-                if not go.any():
-                    break
-                w = np.where(go, w & (w - np.uint64(1)), w)
-                r = r - go
-            lowest = w & (~w + np.uint64(1))
-            out[todo[done]] = at[done] + np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)
-        more = ~done
+        word = _words_at(data, at >> 3) ^ flip
+        word >>= (at & 7).astype(np.uint64)  # 57 bits or more
+        word &= _57
+        there = np.bitwise_count(word)
+        more = there <= left
+        some = more.any()
+        w, r = (word[~more], left[~more]) if some else (word, left)
+        for k in range(int(r.max(initial=0))):
+            w &= w - (r > k)  # without its lowest one, where there are ones to pass
+        found = np.bitwise_count(w ^ (w - np.uint64(1)))  # the lowest one and the zeros below it
+        if not some:
+            out[todo] = at + found - 1
+            break
+        out[todo[~more]] = at[~more] + found - 1
         todo, at, left = todo[more], at[more] + 57, (left - there)[more]
     return out
 

@@ -16,7 +16,7 @@ P(w | u, v) the same over c(u, v, w), c(u, v), n(u, v) and P(w | v).
    Elias-Fano code with monotone pointers; quantised probabilities and back-off weights lie beside.
    The shard answers each chunk with the entries it asked for, by successor search within the
    pointers' range.
-4. Each chunk, which travels along as compact word numbers, scores its documents.
+4. Each chunk, which is kept as compact word numbers in buckets, scores its documents where it lies.
 
 Chunks don't send a row to every shard: words go to at most ``FAN`` ranges of hashes at a time. If
 there are more shards, relays in between take the rows of a range in batches and cut each batch into
@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import bound_batches, give_back, materialize, slices
+from .common import bound_batches, give_back, materialize, materialize_by, slices
 from .elias_fano import Lists
 
 #: Tokens of a chunk and bytes of text behind a shard. Both bound the memory of a task.
@@ -698,8 +698,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     levels = _levels(max(1, math.ceil(size / SHARD_BYTES)), FAN)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    # The texts are read once; all else works on the written chunks.
-    chunks = materialize(rows.mapInArrow(_chunks, _ROW), "lm-chunks")
+    # The texts are read once; all else works on the written chunks, which meet their answers in place.
+    chunks, in_place = materialize_by(rows.mapInArrow(_chunks, _ROW), "lm-chunks", "target")
     known = docs.sparkSession.sparkContext.broadcast(special_words(chunks))
     answers = exchange(chunks.mapInArrow(lambda b: _asks(b, levels[0], known.value), _ROW), levels)
-    return chunks.unionByName(answers).groupBy("target").applyInArrow(lambda g: _score(g, known.value), SCORES)
+    return in_place.groupBy("target").cogroup(answers.groupBy("target")).applyInArrow(
+        lambda chunk, found: _score(pa.concat_tables([chunk, found]), known.value), SCORES)

@@ -225,3 +225,14 @@ def test_a_shard_holds_few_bytes_for_each_entry():
     finally:
         tracemalloc.stop()
     assert peak < 230 * entries, peak / entries
+
+
+def test_op4_chunks_are_not_shuffled(spark, docs, folder):
+    """Answers come to the chunks' buckets; the table that buckets need doesn't stay."""
+    out = jobs.op4_lm_scores(spark, folder(documents=docs))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    last = plan[plan.index("CoGroups"):]
+    chunks = last[:last.index("Exchange")]  # what is read in place comes before the answers' shuffle
+    assert "FileScan" in chunks and "Bucketed: true" in chunks and "Union" not in last
+    assert out.count() == docs.count()
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_chunks")] == []
