@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from quarry.llm import bpe, langid, mixing, simhash, suffix_dedup  # noqa: E402
+from quarry.llm.common import shrink_heaps  # noqa: E402
 from quarry.session import checkpoint_path, ensure_checkpoint_dir, ship_package  # noqa: E402
 
 
 def _prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    shrink_heaps(spark)  # each stage begins with the memory of the first one
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

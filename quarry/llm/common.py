@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
 
@@ -64,6 +65,17 @@ def materialize_by(df: DataFrame, name: str, column: str) -> tuple[DataFrame, Da
     return spark.read.schema(df.schema).parquet(path), by_bucket
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect, so that they return heap which earlier jobs have touched.
+
+    A JVM keeps the heap that it once took; what it doesn't use is missing to the Python workers
+    beside it. A task for each core, so each idle executor has some.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    asked = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, cores, 1, cores).select(asked.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def give_back() -> None:
     """Return freed memory to the system, so that a worker that waits for its next task is small."""
     pa.default_memory_pool().release_unused()

@@ -142,3 +142,20 @@ def test_language_stage_keeps_every_document_with_letters(spark, stages):
     short = spark.createDataFrame([*rows, (99, "12", "da", "src0", 2)], out[0].schema)
     kept = C.identify_language(spark, short, "").collect()
     assert sorted(r.doc_id for r in kept) == list(range(len(rows)))
+
+
+def test_stages_begin_with_small_heaps(spark, docs, monkeypatch):
+    """Each stage asks the JVMs to collect before it runs, and they do."""
+    import corpus_pipeline
+    from quarry.llm import common
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    collected = lambda: sum(b.getCollectionCount() for b in beans())
+    before = collected()
+    common.shrink_heaps(spark)
+    assert collected() > before
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "shrink_heaps", asked.append)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs.limit(20), None)
+    assert asked == [spark] * len(corpus_pipeline.STAGES)
