@@ -4,12 +4,15 @@ The oracle is the batch job's SQL: stream and batch must agree."""
 
 from __future__ import annotations
 
+import gc
+
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import changes as chg
 from ..session import checkpoint_path
 from ..sources import events as src
+from ..sources.connector import _file_system
 from ..sources.fixtures import Fixtures
 from ..streaming import pipelines as pipe
 from ..streaming import stateful as st
@@ -85,19 +88,35 @@ def l4_latest_status_stream(spark, sf_dir):
 def _landed(spark, rows, part, path, start, deliveries: int = 3, derived: bool = False) -> None:
     """Land ``rows`` in some deliveries (by ``part`` modulo their number, so each mixes old and new
     rows) and let the stream catch up after each: as many micro-batches, rows out of order.
-    ``derived`` rows, which take joins to make, are made once and kept by delivery beside ``path``."""
+    ``derived`` rows, which take joins to make, are made once, in a folder for each delivery beside
+    ``path``; landing a delivery moves its files. What a delivery shuffled goes before the next."""
     which = F.pmod(part, F.lit(deliveries))
+    dealt = path + "-dealt"
     if derived:
-        dealt = path + "-dealt"
-        rows.withColumn("_delivery", which).write.partitionBy("_delivery").parquet(dealt)
-        made = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_delivery", T.IntegerType())])).parquet(dealt)
+        rows.withColumn("_delivery", which).write.option("compression", "zstd").partitionBy("_delivery").parquet(dealt)
     else:
         made = rows.withColumn("_delivery", which)
     for k in range(deliveries):
-        made.filter(F.col("_delivery") == k).drop("_delivery").write.mode("append").parquet(path)
+        if not derived:
+            made.filter(F.col("_delivery") == k).drop("_delivery").write.mode("append").parquet(path)
+        elif not _moved(f"{dealt}/_delivery={k}", path, f"{k}-"):
+            rows.limit(0).write.mode("append").parquet(path)  # an empty delivery
+        gc.collect()  # Spark drops shuffle files once their plans are collected, those that Python names too
+        spark.sparkContext._jvm.System.gc()
         start(spark.readStream.schema(rows.schema).parquet(path)).awaitTermination()
 
 
+def _moved(folder: str, to: str, prefix: str) -> int:
+    """Move a folder's data files to another one, each under a name with ``prefix``; how many they are."""
+    filesystem, at = _file_system(folder)
+    found = [f for f in filesystem.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    into = _file_system(to)[1]
+    filesystem.create_dir(into, recursive=True)
+    for f in found:
+        filesystem.move(f.path, f"{into}/{prefix}{f.base_name}")
+    return len(found)
+
+
 @register("l6_dedupe_stream")
 def l6_dedupe_stream(spark, sf_dir):
     """Redelivered file events (every tenth twice, in another delivery) de-duplicated as a stream of

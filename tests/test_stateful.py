@@ -1,9 +1,12 @@
 """What L4-L6 remember: right over batches in any order, and not for ever."""
 import datetime as dt
+import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.plans import streams
 from quarry.session import checkpoint_path
 from quarry.streaming import stateful as st
 
@@ -89,3 +92,33 @@ def test_redeliveries_are_dropped_and_old_identities_go(few):
         q = deliver(spark, base, [(f"x{k}", far[0])], schema, start)
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
     assert spark.read.parquet(base + "/out").count() == 33
+
+
+def test_identities_take_few_bytes_whatever_their_length(few):
+    spark, base = few, checkpoint_path(few, "test-l6-small", unique=True)
+    ids = [None, "", "e" * 500, "e" * 499 + "f", "é"]
+    for _ in range(2):
+        deliver(spark, base, [(i, T0) for i in ids], "event_id string, ts timestamp",
+                lambda s: st.start_dedupe_stream(s, base + "/out", base + "/ckpt"))
+    assert sorted(r.event_id or "-" for r in spark.read.parquet(base + "/out").collect()) == sorted(i or "-" for i in ids)
+    keys = [r.key["_identity"] for r in spark.read.format("statestore").load(base + "/ckpt").collect()]
+    assert sorted(len(k) for k in keys if k is not None) == [16] * 4 and len(keys) == 5
+    # The state is uploaded in RocksDB's files: none of it is logged and kept in memory until later.
+    files = {f.rsplit(".", 1)[-1] for _, _, names in os.walk((base + "/ckpt/state").removeprefix("file:")) for f in names}
+    assert "sst" in files and "changelog" not in files
+
+
+def test_derived_deliveries_are_landed_by_moving_them(spark):
+    base = checkpoint_path(spark, "test-landed", unique=True)
+    rows = spark.createDataFrame([(i, None if i == 7 else 2 * i) for i in range(20)], "i int, part int")  # deliveries 0 and 2 of 4
+    seen = []
+
+    def start(stream):
+        left = [f for _, _, names in os.walk((base + "/in-dealt").removeprefix("file:")) for f in names if f.endswith(".parquet")]
+        seen.append((spark.read.parquet(base + "/in").select("i").collect(), len(left)))
+        return type("Query", (), {"awaitTermination": lambda self: stream.schema})()
+
+    streams._landed(spark, rows.repartition(1), F.col("part"), base + "/in", start, deliveries=4, derived=True)
+    parts = [sorted(r.i for r in got) for got, _ in seen]
+    assert parts[0] == parts[1] == [i for i in range(0, 20, 2)] and parts[2] == parts[3] == [i for i in range(20) if i != 7]
+    assert [n for _, n in seen] == [2, 2, 1, 1]  # of three files; the rows of no delivery stay
