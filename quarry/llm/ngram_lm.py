@@ -7,7 +7,8 @@ P(w | u, v) the same over c(u, v, w), c(u, v), n(u, v) and P(w | v).
 1. A first pass adds up what each word brings to its shard. The most frequent words, at most
    ``COMMON`` of them, get numbers that all tasks know. A word that brings more than ``HOT_ENTRIES``
    is split into pieces, which are words of their own to the shards: by the word before it for
-   trigrams, by the word after it for bigrams.
+   trigrams, by the word after it for bigrams. The trigrams of a word and the word before it that
+   bring more than that together are split by the word after both, as bigrams of pieces of the two.
 2. Map tasks cut documents into chunks and send each shard, for the chunk's words v of that shard,
    the words u before them and the words w after both, with training counts: a tree v, u, w.
 3. A shard owns a range of word hashes. It sums the counts and builds its trie: for each word the
@@ -23,8 +24,8 @@ there are more shards, relays in between take the rows of a range in batches and
 rows for the narrower ranges, and put the answers together on the way back. A chunk's rows don't
 grow with the corpus, so all rows together grow like it.
 
-Collected and sent to all tasks are the common and the hot words only, the latter at most one for
-``HOT_ENTRIES`` tokens of the corpus; what the shards gather are the counts of the whole corpus.
+Collected and sent to all tasks are the common and the hot words and pairs only, of the latter at most
+one each for ``HOT_ENTRIES`` tokens of the corpus; what the shards gather are the counts of the whole corpus.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import math
 import mmap
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +49,18 @@ from .elias_fano import Lists
 #: Tokens of a chunk and bytes of text behind a shard. Both bound the memory of a task.
 CHUNK_TOKENS = 1 << 20
 SHARD_BYTES = 6 << 20
-#: Trigram entries, over all chunks, of one word (or piece of one) that a shard may have to hold.
+#: Trigram entries, over all chunks, of one word or pair (or piece of one) that a shard may have to hold.
 HOT_ENTRIES = 1 << 18
 #: Words with numbers of their own, and how often a word is there at least to be looked at.
 COMMON = 65_000
 SEEN = 16
-#: Ranges of hashes that a chunk's words, or a relay's batch of rows, go to at a time.
-FAN = 1024
-#: Rows of a relay's batch: as many as it may send on, so that relays don't multiply rows.
+#: Ranges of hashes that a chunk's words, or a relay's batch of rows, go to at a time. Relays write and
+#: shuffle all rows once more: up to so many shards (12 GB of text) the chunks do without.
+FAN = 2048
+#: Rows and trigram entries of a relay's batch, whichever is reached first. Rows: as many as it may send
+#: on. Entries: more than a chunk's, so that relays don't multiply rows, and what a relay's task holds.
 RELAY_ROWS = FAN
+RELAY_ENTRIES = 2 * CHUNK_TOKENS
 DISCOUNT = 0.75
 #: log10 probabilities are stored in steps of 1 / STEPS, rounded down; code 0 is "not there".
 STEPS = 4096
@@ -385,12 +389,34 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Known:
     """What all tasks know: hot words by hash, with pieces and training count as a context; the common
-    words' hashes in order, and their numbers; tokens and distinct words of training."""
+    words' hashes in order, and their numbers; tokens and distinct words of training; and as the hot
+    words, by the hashes of both, hot pairs of a word before and a word."""
 
     hot: dict[int, tuple[int, int]]
     common: tuple[np.ndarray, np.ndarray]
     tokens: int
     distinct: int
+    pairs: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict)
+
+
+_PAIRS = "before long, word long, contexts long, times long"
+
+
+def _pair_load(batches: Iterator[pa.RecordBatch], hot: list[int]) -> Iterator[pa.RecordBatch]:
+    """Per chunk and pair of hot words: how often they stand before a token, and how often so in
+    training. A pair that is hot consists of hot words."""
+    hot = np.sort(np.array(hot, np.uint64))
+    for _, (vocab, tokens, sizes, flag, _) in _read(batches):
+        place = np.minimum(np.searchsorted(hot, vocab), len(hot) - 1)
+        number = np.where(hot[place] == vocab, place, -1).astype(np.int32)
+        u, v = (number[x] for x in _befores(tokens, sizes))
+        both = np.flatnonzero((u >= 0) & (v >= 0))
+        pairs, at = _distinct(_pair(u[both], v[both]))
+        train = np.repeat(flag & 1 == 0, sizes)[both]
+        cols = [*(hot[x].view(np.int64) for x in _halves(pairs)),
+                *(np.bincount(at, x, len(pairs)).astype(np.int64) for x in (None, train))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["before", "word", "contexts", "times"])
+    give_back()
 
 
 def special_words(chunks: DataFrame) -> Known:
@@ -403,9 +429,16 @@ def special_words(chunks: DataFrame) -> Known:
            for r in words.filter(F.col("contexts") > HOT_ENTRIES).collect()}
     common = words.orderBy(F.desc("seen"), "word").limit(COMMON).select("word").toArrow().column("word").to_numpy().view(np.uint64)
     spark, order = chunks.sparkSession, np.argsort(common)
+    pairs = {}
+    if hot:
+        names = list(hot)
+        both = chunks.mapInArrow(lambda b: _pair_load(b, names), _PAIRS).groupBy("before", "word").agg(
+            F.sum("contexts").alias("contexts"), F.sum("times").alias("times")).filter(F.col("contexts") > HOT_ENTRIES)
+        pairs = {(r["before"] % (1 << 64), r["word"] % (1 << 64)): (-(-r["contexts"] // HOT_ENTRIES), r["times"]) for r in both.collect()}
+        del both
     del words
     spark.sparkContext._jvm.System.gc()  # the counts' shuffle is not needed any more, see materialize
-    return Known(hot, (order.astype(np.int64), common[order]), int(totals.get["tokens"] or 0), int(totals.get["distinct"] or 0))
+    return Known(hot, (order.astype(np.int64), common[order]), int(totals.get["tokens"] or 0), int(totals.get["distinct"] or 0), pairs)
 
 
 def _piece_hash(word: int, kind: str, nth: int) -> int:
@@ -418,8 +451,9 @@ def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndar
     """A chunk's question, and how its tokens find their answers.
 
     Returns the Ask (words by hash), and per token its place in the answers: word of the token, word
-    before (its back-off), context, trigram for the trigram code, and trigram for the bigram code; and
-    for hot words before a token, which of the chunk's hot words, else -1, with their answers' places.
+    before (its back-off), context, trigram for the trigram code, and trigram for the bigram code; for
+    hot words before a token, which of the chunk's hot words, else -1, with their answers' places; and
+    the same for hot pairs, whose trigrams are bigrams of the pair's pieces.
     """
     train = np.repeat(flag & 1 == 0, sizes)
     u, v = _befores(tokens, sizes)
@@ -447,6 +481,18 @@ def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndar
     owner = np.where(split, first_u[v] + (spread[u].astype(np.int64) * pieces[v] >> 31), v)
     again = np.flatnonzero(split)
     owner2 = first_w[v[again]] + (spread[tokens[again]].astype(np.int64) * pieces[v[again]] >> 31)
+    of_pair, pairs = _hot_pairs(vocab, u, v, again, mine, known)
+    if pairs:
+        # So do a hot pair's trigrams: by the word after both, under words of the pair's own.
+        size = np.array([k for _, _, k, _ in pairs])
+        first_p = len(names) + np.cumsum(size) - size
+        names = np.concatenate([names, np.array([_piece_hash(b, f"after {a}", j) for a, b, k, _ in pairs for j in range(k)], np.uint64)])
+        whole = np.concatenate([whole, np.repeat([times for *_, times in pairs], size)])
+        there = np.flatnonzero(of_pair >= 0)
+        which = of_pair[there]
+        owner[there] = first_p[which] + (spread[tokens[there]].astype(np.int64) * size[which] >> 31)
+        u = u.copy()
+        u[there] = 0
     contexts, trigrams, c, t = _tree(np.concatenate([u, np.zeros(len(again), np.int64)]), np.concatenate([owner, owner2]),
                                      np.concatenate([tokens, tokens[again]]))
     count = np.bincount(t, np.concatenate([train, train[again]]), len(trigrams)).astype(np.int64)
@@ -473,7 +519,25 @@ def _ask(vocab: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, flag: np.ndar
     groups = [(place[first_w[i]:first_w[i] + pieces[i]], hot[int(vocab[i])][1]) for i in mine.tolist()]
     which = np.full(n, -1)
     which[mine] = np.arange(len(mine))
-    return ask, (place[tokens], place[v], c_place[c[:len(tokens)]], t_place[t[:len(tokens)]], second), which[v], groups
+    both = [(place[first_p[i]:first_p[i] + k], times) for i, (_, _, k, times) in enumerate(pairs)]
+    return (ask, (place[tokens], place[v], c_place[c[:len(tokens)]], t_place[t[:len(tokens)]], second), (which[v], groups),
+            (of_pair, both))
+
+
+def _hot_pairs(vocab: np.ndarray, u: np.ndarray, v: np.ndarray, split: np.ndarray, hot: np.ndarray, known: Known):
+    """Which of the chunk's hot pairs stands before each token, else -1 (``split``: the tokens after hot
+    words, ``hot``: these words); and the pairs: hashes, pieces, training count."""
+    of_pair = np.full(len(u), -1)
+    number = {int(vocab[i]): i for i in hot.tolist()}
+    here = sorted((number[b] << 32 | number[a], a, b, *x) for (a, b), x in known.pairs.items() if a in number and b in number)
+    if not here:
+        return of_pair, []
+    codes, asked = np.array([x[0] for x in here]), _pair(v[split], u[split])
+    at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+    met = codes[at] == asked
+    found, which = _distinct(at[met])
+    of_pair[split[met]] = which
+    return of_pair, [here[i][1:] for i in found.tolist()]
 
 
 def _asks(batches: Iterator[pa.RecordBatch], ranges: int, known: Known) -> Iterator[pa.RecordBatch]:
@@ -496,11 +560,10 @@ def _relay(batches: Iterator[pa.RecordBatch], finer: int, ranges: int) -> Iterat
     all). Gives the rows onward, and for each batch a row that says where its answers go back to."""
     task, n = TaskContext.get().partitionId(), 0
 
-    def send(held: list[dict]):
+    def send(heads: list[tuple[int, int]], whole: list[Ask]):
         nonlocal n
         batch, n = (1 << 62) | (task << 32) | n, n + 1
         # A row from another relay holds pieces of several chunks, each in the order of hashes.
-        whole = [Ask.get(r) for r in held]
         asks = []
         for a in whole:
             edges, at = _starts(a.pieces).tolist(), a.starts()
@@ -509,7 +572,7 @@ def _relay(batches: Iterator[pa.RecordBatch], finer: int, ranges: int) -> Iterat
         first = (int(next(c for c in cuts if len(c))[0]) // finer) * finer
         edges = [np.searchsorted(c, np.arange(first, first + finer + 1)) for c in cuts]
         starts = [a.starts() for a in asks]
-        rows = [_row(batch, STREAM, batch, -1, np.array([[r["chunk"], r["part"]] for r in held]),
+        rows = [_row(batch, STREAM, batch, -1, np.array(heads),
                      np.array([len(a.pieces) for a in whole]))]
         for k in range(finer):
             parts = [a.part(e[k], e[k + 1], s) for a, e, s in zip(asks, edges, starts, strict=True)]
@@ -520,16 +583,18 @@ def _relay(batches: Iterator[pa.RecordBatch], finer: int, ranges: int) -> Iterat
                 rows = []
         yield _batch(rows)
 
-    held, target = [], None
+    heads, held, entries, target = [], [], 0, None
     for b in batches:
         for r in b.to_pylist():
-            if held and (r["target"] != target or len(held) == RELAY_ROWS):
-                yield from send(held)
-                held = []
+            if held and (r["target"] != target or len(held) == RELAY_ROWS or entries >= RELAY_ENTRIES):
+                yield from send(heads, held)
+                heads, held, entries = [], [], 0
             target = r["target"]
-            held.append(r)
+            heads.append((r["chunk"], r["part"]))
+            held.append(Ask.get(r))
+            entries += len(held[-1].after)
     if held:
-        yield from send(held)
+        yield from send(heads, held)
     give_back()
 
 
@@ -644,17 +709,24 @@ def _score(group: pa.Table, known: Known) -> pa.Table:
     rows = group.sort_by([("kind", "ascending"), ("part", "ascending")]).to_pylist()
     stream, total, distinct = rows[0], known.tokens, known.distinct
     vocab, tokens, sizes, flag, ids = _chunk(stream)
-    _, (word, before, context, third, second), hot_before, groups = _ask(vocab, tokens, sizes, flag, known)
+    _, (word, before, context, third, second), *hot = _ask(vocab, tokens, sizes, flag, known)
     a = _answers([Answer.get(r) for r in rows[1:]])
-    back = _probabilities(a.back)[before]
-    if groups:
-        # A hot word's distinct successors are those of all its pieces.
-        own = np.array([_probabilities(_back_off(np.array([a.distinct[at].sum()]), np.array([times])))[0] for at, times in groups])
-        back = np.where(hot_before >= 0, own[np.maximum(hot_before, 0)], back)
+
+    def own(back: np.ndarray, which: np.ndarray, groups: list) -> np.ndarray:
+        """Back-off with that of hot words, or pairs, in place: their distinct successors are those of all pieces."""
+        if not groups:
+            return back
+        theirs = np.array([_probabilities(_back_off(np.array([a.distinct[at].sum()]), np.array([times])))[0] for at, times in groups])
+        return np.where(which >= 0, theirs[np.maximum(which, 0)], back)
+
+    back = own(_probabilities(a.back)[before], *hot[0])
     seen = a.seen[word]
     single = (seen + 0.1) / (total + 0.1 * (distinct + 1))
     double = _probabilities(a.second[second]) + back * single
-    p = _probabilities(a.third[third]) + _probabilities(a.context[context]) * double
+    triple = a.third[third]
+    if hot[1][1]:
+        triple = np.where(hot[1][0] >= 0, a.second[third], triple)
+    p = _probabilities(triple) + own(_probabilities(a.context[context]), *hot[1]) * double
     at = np.cumsum(sizes) - sizes
     return pa.table({
         "doc_id": pa.array(ids, mask=(flag & 2) > 0),

@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
-from quarry.llm import jobs, ngram_lm
+from quarry.llm import jobs, langid, ngram_lm
 from quarry.llm.elias_fano import EliasFano, Lists
 
 
@@ -236,3 +238,43 @@ def test_op4_chunks_are_not_shuffled(spark, docs, folder):
     assert "FileScan" in chunks and "Bucketed: true" in chunks and "Union" not in last
     assert out.count() == docs.count()
     assert [t.name for t in spark.catalog.listTables() if t.name.startswith("lm_chunks")] == []
+
+
+def test_op4_hot_pairs_span_shards(spark, folder, monkeypatch):
+    """Two words that follow each other in every third place: what follows both comes in pieces too."""
+    texts = [(i, " ".join(f"of the w{(37 * i + k) % 900}" for k in range(60))) for i in range(200)]
+    pair, n = tuple(xxhash.xxh64_intdigest(w) for w in (b"of", b"the")), 60 * len(texts)
+    times = 60 * sum(zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in texts)
+    known = ngram_lm.Known
+    monkeypatch.setattr(ngram_lm, "Known", lambda *a: known(*a, {pair: (-(-n // 300), times)}))
+    _, _, sent, hot = one_task(texts, monkeypatch, 1024, 3000, hot=300, chunk_tokens=2000)  # scores equal brute force
+    assert set(pair) <= set(hot)
+    held = Counter()
+    for r in sent.to_pylist():
+        if r["kind"] == ngram_lm.ASK:
+            ask = ngram_lm.Ask.get(r)
+            c_at, t_at = ask.starts()
+            for name, x in zip(ask.vocab.tolist(), np.diff(t_at[c_at])):
+                held[name] += int(x)
+    assert max(held.values()) < 0.1 * n  # the pair's trigrams were one piece of the word: a third of all
+    monkeypatch.undo()
+    monkeypatch.setattr(ngram_lm, "HOT_ENTRIES", 300)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    compare(spark, folder, df)
+    held_out = df.select("doc_id", langid.held_out(F.col("doc_id"), 10, 0).alias("held_out"), "text")
+    chunks, _ = ngram_lm.materialize_by(held_out.mapInArrow(ngram_lm._chunks, ngram_lm._ROW), "lm-test", "target")
+    assert ngram_lm.special_words(chunks).pairs[pair] == (-(-n // 300), times)
+
+
+def test_op4_relays_hold_few_entries(docs, monkeypatch):
+    """A relay's batch is full by its entries too, whatever the number of its rows."""
+    monkeypatch.setattr(ngram_lm, "RELAY_ENTRIES", 3000)
+    rows = [(r.doc_id, r.text) for r in docs.limit(80).select("doc_id", "text").collect()]
+    most, kept = [], ngram_lm._joined
+    monkeypatch.setattr(ngram_lm, "_joined", lambda asks: most.append(sum(len(a.after) for a in asks)) or kept(asks))
+    answer = ngram_lm._answer
+    monkeypatch.setattr(ngram_lm, "_answer", lambda group: (lambda n: (answer(group), most.__delitem__(slice(n, None)))[0])(len(most)))
+    levels, asked, sent, _ = one_task(rows, monkeypatch, 8, 5000, chunk_tokens=1000)
+    largest = max(len(ngram_lm._get(r["i"], np.uint32)) for r in sent.to_pylist())
+    assert len(levels) == 2 and 3000 > 2 * largest and max(most) < 3000 + largest
+    assert sum(most) > 5 * 3000
